@@ -1,6 +1,6 @@
 """Reports per address, per /24 block and per CIDR range."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,7 +104,7 @@ def newest_first():
     return [F.col("loaded_at").desc_nulls_first(), F.col("event_id").desc()]
 
 
-def history_of(events: DataFrame, ip: str, n: int = HISTORY_PER_IP) -> DataFrame:
+def history_of(events: DataFrame, ip: str | Column, n: int = HISTORY_PER_IP) -> DataFrame:
     """The newest rows of one address; text that is no address simply has none."""
     return events.filter(F.col("ip") == ip).orderBy(*newest_first()).limit(n)
 

@@ -1,5 +1,7 @@
 """The raw message stream: where it is read from and how a message is parsed."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -25,13 +27,13 @@ def bus(spark: SparkSession, fmt: str = "kafka", streaming: bool = True, schema=
     return loaded.withColumn("value", F.col("value").cast("string")) if "value" in loaded.columns else loaded
 
 
-def parse_message(raw: DataFrame, on_malformed: str = "quarantine") -> DataFrame:
-    """Typed message columns from JSON text.
+def parse_message(raw: DataFrame, on_malformed: str = "quarantine", keep: Sequence[str] = ()) -> DataFrame:
+    """Typed message columns from JSON text, after the columns of `raw` named in `keep`.
 
     on_malformed="keep" turns text that is no valid message into a row of NULLs; "quarantine" leaves it out
     here and `quarantined` returns it.
     """
-    return _parsed(raw, on_malformed).select("data.*").drop("_corrupt")
+    return _parsed(raw, on_malformed).select(*keep, "data.*").drop("_corrupt")
 
 
 def quarantined(raw: DataFrame) -> DataFrame:
