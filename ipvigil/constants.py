@@ -66,6 +66,8 @@ REPLAY_POOL_SIZE = 500
 
 # --- fixed values: limits and thresholds of the reports
 IPV4_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z"
+QUAD_PATTERN = r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\z"
+CIDR_PATTERN = QUAD_PATTERN.removesuffix(r"\z") + r"(/(3[0-2]|[12]?[0-9]))?\z"
 HISTORY_PER_IP = 50
 RECENT_POOL = 2000
 TOP_COUNTRIES = 15

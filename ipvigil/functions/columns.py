@@ -9,6 +9,7 @@ from ipvigil.constants import (
     BULK_SOURCE,
     CLOUD_PROVIDERS,
     IPV4_PATTERN,
+    QUAD_PATTERN,
     REPORTS_READ,
     RISK_BANDS,
     RISK_FLOOR,
@@ -54,13 +55,10 @@ def subnet24(ip: Column | str) -> Column:
 
 def ip_to_long(ip: Column | str) -> Column:
     """Numeric value of a dotted quad with every group in 0..255, NULL for anything else."""
-    groups = F.split(col_of(ip), r"\.")
-    octets = [F.try_to_number(F.get(groups, F.lit(i)), F.lit("999")).cast("bigint") for i in range(4)]
-    in_range = is_ipv4(ip)
-    for octet in octets:
-        in_range = in_range & octet.between(0, 255)
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(in_range, value)
+    ip = col_of(ip)
+    groups = F.split(ip, r"\.")
+    a, b, c, d = (F.get(groups, F.lit(i)).try_cast("bigint") for i in range(4))
+    return F.when(ip.rlike(QUAD_PATTERN), a * 16777216 + b * 65536 + c * 256 + d)
 
 
 def country_filter(text: str) -> str:

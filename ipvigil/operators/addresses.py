@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ipvigil.constants import CLUSTER_SAMPLE_IPS, HISTORY_PER_IP, MIN_CLUSTER_IPS
+from ipvigil.constants import CIDR_PATTERN, CLUSTER_SAMPLE_IPS, HISTORY_PER_IP, MIN_CLUSTER_IPS, QUAD_PATTERN
 from ipvigil.functions.columns import ip_to_long, is_ipv4, safe_pct, subnet24
 from ipvigil.operators.scale import small, top_n_per_key
 
@@ -142,13 +142,17 @@ def first_sighting(events: DataFrame) -> DataFrame:
 
 
 def cidr_bounds(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """Add prefix_len and the range's leading bits; rows that are no IPv4 range are dropped."""
-    parts = F.split(F.col(cidr), "/")
-    base = ip_to_long(F.get(parts, F.lit(0)))
-    length = F.coalesce(F.try_to_number(F.get(parts, F.lit(1)), F.lit("99")).cast("int"), F.lit(32))
-    sized = ranges.withColumn("prefix_len", length).withColumn("base", base)
-    valid = sized.filter(F.col("base").isNotNull() & F.col("prefix_len").between(0, 32))
-    return valid.withColumn("prefix", F.expr("shiftright(base, 32 - prefix_len)")).drop("base")
+    """Add prefix_len and the range's leading bits; a bare address is a range of one, other text is dropped.
+
+    Validity is one pattern match on the text, so the filter stays cheap wherever Spark moves it; the numbers
+    computed afterwards are never NULL.
+    """
+    valid = ranges.filter(F.col(cidr).rlike(CIDR_PATTERN))
+    length = F.get(F.split(F.col(cidr), "/"), F.lit(1)).try_cast("int")
+    sized = valid.withColumn("prefix_len", F.coalesce(length, F.lit(32))).withColumn(
+        "base", F.coalesce(ip_to_long(F.substring_index(cidr, "/", 1)), F.lit(-1))
+    )
+    return sized.withColumn("prefix", F.expr("shiftright(base, 32 - prefix_len)")).drop("base")
 
 
 def cidr_members(addresses: DataFrame, ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
@@ -159,9 +163,10 @@ def cidr_members(addresses: DataFrame, ranges: DataFrame, cidr: str = "cidr") ->
     """
     bounds = cidr_bounds(ranges.select(cidr).distinct(), cidr)
     lengths = bounds.agg(F.collect_set("prefix_len").alias("lengths")).scalar()
-    numbered = addresses.select("ip").distinct().withColumn("value", ip_to_long("ip")).filter("value IS NOT NULL")
+    numbered = addresses.filter(F.col("ip").rlike(QUAD_PATTERN)).select("ip").distinct()
     probes = (
-        numbered.withColumn("lengths", lengths)
+        numbered.withColumn("value", F.coalesce(ip_to_long("ip"), F.lit(-1)))
+        .withColumn("lengths", lengths)
         .select("ip", "value", F.explode("lengths").alias("prefix_len"))
         .select("ip", "prefix_len", F.expr("shiftright(value, 32 - prefix_len)").alias("prefix"))
     )

@@ -125,6 +125,9 @@ def anomalies(events: DataFrame, breaks=None, limit: int = 8, pool: int = RECENT
     """Strangest of the newest events (lowest anomaly score first) with their rank among all and a reason."""
     recent = newest(events, pool).filter(F.col("anomaly_score").isNotNull())
     picked = recent.orderBy("anomaly_score", F.col("loaded_at").desc(), "event_id").limit(limit)
+    if isinstance(breaks, Column):
+        picked = picked.withColumn("breaks", breaks)
+        breaks = F.col("breaks")
     scored = picked.withColumn("unusual_pct", C.unusual_pct("anomaly_score", breaks))
     explained = rarity(scored, events)
     return explained.select(

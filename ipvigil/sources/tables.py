@@ -1,5 +1,6 @@
 """The event table on storage: reading, loading by batch, and companion tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,25 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
     return reader.load()
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def batch_path(path: str, batch_id: int, run: str = "main") -> str:
+    return f"{path}/run={run}/batch_id={batch_id}"
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int, run: str = "main") -> None:
     """Load one batch; loading the same batch again replaces it.
 
-    The batch owns its folder, so no other file is touched and no reader sees it twice.
+    The batch owns its folder, so no other file is touched and no reader sees it twice. `run` names the
+    checkpoint whose batch numbers are meant: a stream started from a new checkpoint needs a new name.
     """
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows.write.mode("overwrite").parquet(batch_path(path, batch_id, run))
+
+
+def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str = "main") -> bool:
+    try:
+        spark.read.parquet(batch_path(path, batch_id, run))
+    except AnalysisException:
+        return False
+    return True
 
 
 def append_snapshot(row: DataFrame, path: str) -> None:

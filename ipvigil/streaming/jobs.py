@@ -11,9 +11,9 @@ from pyspark.storagelevel import StorageLevel
 from ipvigil.constants import LIVE_FEED_ROWS, TABLE_TRIGGER
 from ipvigil.operators.enrich import enrich
 from ipvigil.operators.rankings import live_feed
-from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS
+from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS, conform
 from ipvigil.sources.messages import parse_message, to_bus
-from ipvigil.sources.tables import write_batch
+from ipvigil.sources.tables import batch_exists, batch_path, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -34,32 +34,41 @@ def without_models(events: DataFrame) -> DataFrame:
 
 
 def load_batch(
-    batch: DataFrame, batch_id: int, table: str, metrics: str, score: Scorer | None = None, bus: str | None = None
+    batch: DataFrame,
+    batch_id: int,
+    table: str,
+    metrics: str,
+    score: Scorer | None = None,
+    bus: str | None = None,
+    run: str = "main",
 ) -> None:
     """Write one micro-batch to the table (and as JSON messages to `bus`) and log rows and write time.
 
-    Everything is keyed by the batch id, so a replayed batch replaces itself. Scores are computed by the
-    executors; rows never pass the driver. Empty batches leave no trace.
+    The metrics row is written last: a batch that has one is complete and is skipped when it comes again, an
+    unfinished one is replaced. Scores are computed by the executors; rows never pass the driver. Empty
+    batches leave no trace.
     """
+    spark = batch.sparkSession
+    if batch_exists(spark, metrics, batch_id, run):
+        return
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = batch.count()
         if rows == 0:
             return
-        spark = batch.sparkSession
         scored = without_models(score(batch) if score else batch)
         stamped = scored.withColumn("loaded_at", F.lit(time.time()).cast("timestamp").cast("timestamp_ntz"))
         start = time.monotonic()
-        write_batch(stamped.drop("categories"), table, batch_id)
+        write_batch(stamped.drop("categories"), table, batch_id, run)
         elapsed = (time.monotonic() - start) * 1000.0
         if bus:
-            write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id)
+            write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id, run)
         row = spark.range(1).select(
             F.lit(rows).cast("bigint").alias("batch_rows"),
             F.lit(elapsed).alias("write_duration_ms"),
             F.lit(time.time()).cast("timestamp").cast("timestamp_ntz").alias("recorded_at"),
         )
-        write_batch(row, metrics, batch_id)
+        write_batch(row, metrics, batch_id, run)
     finally:
         batch.unpersist()
 
@@ -72,11 +81,12 @@ def start_table_sink(
     score: Scorer | None = None,
     bus: str | None = None,
     interval: str | None = TABLE_TRIGGER,
+    run: str = "main",
 ) -> StreamingQuery:
     """One query feeds table, metrics and, if asked, the bus: the source is read and parsed once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch, batch_id, table, metrics, score, bus)
+        load_batch(batch, batch_id, table, metrics, score, bus, run)
 
     writer = events.writeStream.foreachBatch(handle).outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval)).start()
@@ -120,7 +130,7 @@ def start_live_feed(
     def handle(batch: DataFrame, batch_id: int) -> None:
         pool = batch.select(*kept)
         if batch_id > 0:
-            earlier = batch.sparkSession.read.schema(batch.select(*kept).schema).parquet(f"{path}/batch_id={batch_id - 1}")
+            earlier = batch.sparkSession.read.schema(batch.select(*kept).schema).parquet(batch_path(path, batch_id - 1))
             pool = pool.unionByName(earlier)
         write_batch(live_feed(pool, rows), path, batch_id)
 
@@ -130,8 +140,8 @@ def start_live_feed(
 
 def newest_batch(counts: DataFrame) -> DataFrame:
     last = counts.agg(F.max("batch_id").alias("b")).scalar()
-    return counts.filter(F.col("batch_id") == last).drop("batch_id")
+    return counts.filter(F.col("batch_id") == last).drop("batch_id", "run")
 
 
 def read_metrics(spark, path: str) -> DataFrame:
-    return spark.read.schema(PIPELINE_METRICS).parquet(path)
+    return conform(spark.read.parquet(path), PIPELINE_METRICS)
