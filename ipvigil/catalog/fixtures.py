@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ipvigil.functions.columns import risk_level
-from ipvigil.operators.scale import small
+from ipvigil.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def events_from(raw: DataFrame, nation: DataFrame) -> DataFrame:
     keyed = raw.withColumn("k", F.expr("CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)")).withColumn(
         "n_nationkey", F.expr("CAST((user_id * user_id) % 25 AS INT)")
     )
-    joined = keyed.join(small(nation.select("n_nationkey", "n_regionkey")), "n_nationkey")
+    joined = keyed.join(nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
     built = joined.selectExpr(
         "event_id",
         "concat(CAST(11 + CAST(floor(user_id / 250) AS INT) AS STRING), '.', CAST(user_id % 250 AS STRING), '.', "
@@ -126,7 +126,7 @@ def candidates(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame
         "CAST(c_custkey % 250 AS STRING)) AS ip",
         "c_custkey AS m",
     )
-    return own.unionByName(others)
+    return cut_lineage(own.unionByName(others), "candidates")
 
 
 def reputation(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def dim_cidr(events: DataFrame) -> DataFrame:
     c16 = numbered.filter("m % 10 = 0").select(F.concat_ws(".", first[0], first[1], F.lit("0.0/16")).alias("cidr"))
     c30 = numbered.filter("m % 9 = 0").select(F.concat(F.concat_ws(".", *first), F.lit("/30")).alias("cidr"))
     c8 = numbered.select(F.concat(first[0], F.lit(".0.0.0/8")).alias("cidr"))
-    return c24.unionByName(c16).unionByName(c30).unionByName(c8).distinct()
+    return cut_lineage(c24.unionByName(c16).unionByName(c30).unionByName(c8).distinct(), "ranges")
 
 
 def cidr_payloads(events: DataFrame) -> DataFrame:

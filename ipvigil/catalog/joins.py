@@ -7,7 +7,6 @@ from ipvigil.catalog.registry import query
 from ipvigil.catalog.sql import CANDIDATES, DIM_CATEGORY, DIM_COUNTRY, FEED_LIST, LONG, MESSAGES, over_events
 from ipvigil.operators import addresses as A
 from ipvigil.operators import decisions, enrich
-from ipvigil.operators.scale import small
 from ipvigil.sources import exports, feeds, messages, tables
 
 
@@ -267,10 +266,10 @@ def _(spark, sf):
 
 @query(
     "rank_cidr",
-    over_events("SELECT * FROM enriched ORDER BY source_count DESC, abuse_confidence_score DESC NULLS LAST, ip LIMIT 100", REPORTED),
+    over_events("SELECT * FROM enriched ORDER BY source_count DESC, abuse_confidence_score DESC NULLS LAST, ip", REPORTED),
 )
 def _(spark, sf):
-    return A.rank_cidr(reported_rows(spark, sf)).limit(100)
+    return A.rank_cidr(reported_rows(spark, sf))
 
 
 @query(

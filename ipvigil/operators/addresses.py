@@ -67,37 +67,34 @@ def repeat_offenders(events: DataFrame, page: int = 1, page_size: int = 20) -> D
 
 
 def infra_clusters(events: DataFrame, limit: int | None = 15) -> DataFrame:
-    """/24 blocks with three or more reported addresses, largest first.
+    """/24 blocks with three or more reported addresses, largest first; `limit=None` returns all.
 
-    Blocks are ranked on distinct (block, address) pairs; details are read for the chosen blocks alone.
-    `limit=None` returns all blocks.
+    Blocks are ranked on distinct (block, address) pairs, and details are read for the ranked blocks alone.
+    The sample of addresses is a first-n per block, which map tasks trim before the shuffle, so a block with
+    very many addresses is never sorted or collected as a whole.
     """
     v4 = events.filter(is_ipv4("ip")).withColumn("subnet", subnet24("ip"))
-    pairs = v4.groupBy("subnet", "ip").agg(F.count("*").alias("n"))
+    pairs = v4.select("subnet", "ip").distinct()
     blocks = pairs.groupBy("subnet").agg(F.count("*").alias("ip_count")).filter(F.col("ip_count") >= MIN_CLUSTER_IPS)
-    if limit is None:
-        rows = v4.join(blocks, "subnet")
-    else:
-        top = blocks.orderBy(F.col("ip_count").desc(), "subnet").limit(max(1, min(limit, 50)))
-        rows = v4.join(F.broadcast(top), "subnet")
-    per_ip = rows.groupBy("subnet", "ip_count", "ip").agg(
-        F.max("country_code").alias("country_code"),
-        F.sort_array(F.collect_set("source")).alias("sources"),
-        F.max("abuse_confidence_score").alias("max_score"),
-    )
-    first = Window.partitionBy("subnet").orderBy("ip")
-    numbered = per_ip.withColumn("position", F.row_number().over(first))
-    # distinct combinations of sources are few, so the set stays small however many addresses a block has
-    return (
-        numbered.groupBy("subnet", "ip_count")
+    if limit is not None:
+        ranked = blocks.orderBy(F.col("ip_count").desc(), "subnet")
+        blocks = F.broadcast(ranked.limit(max(1, min(limit, 50))))
+    detail = (
+        v4.join(blocks, "subnet")
+        .groupBy("subnet", "ip_count")
         .agg(
             F.max("country_code").alias("country_code"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-            F.max("max_score").alias("max_score"),
-            F.sort_array(F.collect_set(F.when(F.col("position") <= CLUSTER_SAMPLE_IPS, F.col("ip")))).alias("sample_ips"),
+            F.sort_array(F.collect_set("source")).alias("sources"),
+            F.max("abuse_confidence_score").alias("max_score"),
         )
-        .orderBy(F.col("ip_count").desc(), "subnet")
     )
+    candidates = pairs if limit is None else pairs.join(blocks.select("subnet"), "subnet", "left_semi")
+    first = Window.partitionBy("subnet").orderBy("ip")
+    sample = candidates.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= CLUSTER_SAMPLE_IPS)
+    samples = sample.groupBy("subnet").agg(F.sort_array(F.collect_list("ip")).alias("sample_ips"))
+    return detail.join(samples, "subnet").select(
+        "subnet", "ip_count", "country_code", "sources", "max_score", "sample_ips"
+    ).orderBy(F.col("ip_count").desc(), "subnet")
 
 
 def newest_first():

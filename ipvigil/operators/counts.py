@@ -93,22 +93,32 @@ def regroup(counted: DataFrame, column: str) -> DataFrame:
 
 
 def attack_patterns(events: DataFrame, dim_category: DataFrame) -> DataFrame:
-    """Per category: count, share of categorised events, most frequent known country and tactic."""
-    cells = events_by(events.filter(F.col("category").isNotNull()), "category", "country_code")
+    """Per category: count, share of categorised events, most frequent known country and tactic.
+
+    One pass: totals are taken over the per-category rows (the uncategorised ones included), which are few.
+    """
+    cells = events_by(events, "category", "country_code")
     largest = F.min(
         F.when(F.col("country_code").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("country_code")))
     )
     per_category = cells.groupBy("category").agg(F.sum("n").alias("n"), largest.alias("top"))
-    categorised = events.agg(F.count("category").alias("c"), F.count("*").alias("t"))
-    labelled = per_category.join(small(dim_category.select("category", "tactic")), "category", "left")
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = F.when(F.col("category").isNotNull(), F.col("n"))
+    totals = per_category.withColumns(
+        {
+            "categorised": F.coalesce(F.sum(known).over(everything), F.lit(0)),
+            "total": F.sum("n").over(everything),
+        }
+    ).filter(F.col("category").isNotNull())
+    labelled = totals.join(small(dim_category.select("category", "tactic")), "category", "left")
     return labelled.select(
         "category",
         "n",
-        safe_pct("n", categorised.select("c").scalar()).alias("pct_of_categorized"),
+        safe_pct("n", "categorised").alias("pct_of_categorized"),
         F.col("top.country_code").alias("top_country"),
         (-F.col("top.neg")).alias("top_country_n"),
         "tactic",
-        safe_pct(categorised.select("c").scalar(), categorised.select("t").scalar()).alias("pct_categorized_of_total"),
+        safe_pct("categorised", "total").alias("pct_categorized_of_total"),
     ).orderBy(F.col("n").desc(), "category")
 
 
@@ -130,7 +140,8 @@ def tactic_rollup(events: DataFrame, dim_category: DataFrame) -> DataFrame:
 
 def tactic_ips(events: DataFrame, dim_category: DataFrame) -> DataFrame:
     """Distinct addresses over the categories of the leading tactic."""
-    leading = tactic_rollup(events, dim_category).limit(1).select("tactic")
-    chosen = dim_category.filter(F.col("tactic") == leading.scalar()).select("category")
+    top = tactic_rollup(events, dim_category).first()
+    tactic = F.lit(top.tactic if top else None).cast("string")
+    chosen = dim_category.filter(F.col("tactic") == tactic).select("category")
     hits = events.join(small(chosen), "category", "left_semi").select("ip").distinct()
-    return hits.agg(F.count("*").alias("ip_count")).withColumn("tactic", leading.scalar())
+    return hits.agg(F.count("*").alias("ip_count")).withColumn("tactic", tactic)

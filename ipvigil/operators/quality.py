@@ -2,13 +2,16 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ipvigil.constants import RECENT_BATCHES
 from ipvigil.functions.columns import check_status, known_risk_level, safe_pct, safe_rate
 from ipvigil.operators.counts import as_of
 from ipvigil.operators.scale import exact_percentiles
+SECOND_MICROS = 1_000_000
+DAY_MICROS = 86_400 * SECOND_MICROS
+
 
 def load_minute():
     return F.date_trunc("minute", F.col("loaded_at")).cast("timestamp_ntz")
@@ -47,7 +50,7 @@ def latency_percentiles(events: DataFrame, shares=(0.5, 0.95), approximate: bool
         picked = F.percentile_approx("latency", [float(s) for s in shares], 100_000)
         rows = latencies.agg(picked.alias("p"), F.count("*").alias("samples"))
         return rows.select(*[(F.col("p")[i] / 1e6).alias(n) for i, n in enumerate(names)], "samples")
-    exact = exact_percentiles(latencies, "latency", shares, width=1_000_000)
+    exact = exact_percentiles(latencies, "latency", shares, widths=(DAY_MICROS, SECOND_MICROS))
     columns = [
         F.max(F.when(F.col("share") == float(s), F.col("value") / 1e6)).alias(n) for s, n in zip(shares, names)
     ]
@@ -66,17 +69,24 @@ def duplicate_rows(events: DataFrame, *columns: str, name: str = "exact_duplicat
     return tuples.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(name))
 
 
+def failure_counts() -> dict[str, Column]:
+    """Counts of rows that break a rule; they add up over parts of the table."""
+    country, score = F.col("country_code"), F.col("abuse_confidence_score")
+    return {
+        "bad_country": F.count_if(country.isNull() | (F.length(country) != 2)),
+        "bad_score": F.count_if((score < 0) | (score > 100)),
+        "bad_risk": F.count_if(~known_risk_level("risk_level")),
+    }
+
+
+def exact_duplicates(events: DataFrame) -> DataFrame:
+    return duplicate_rows(events, "ip", "source", "last_reported_at")
+
+
 def quality_counters(events: DataFrame) -> DataFrame:
     """One row of failure counts, all but the duplicates from a single pass."""
-    country, score = F.col("country_code"), F.col("abuse_confidence_score")
-    single = events.agg(
-        F.count("*").alias("total"),
-        F.count_if(country.isNull() | (F.length(country) != 2)).alias("bad_country"),
-        F.count_if((score < 0) | (score > 100)).alias("bad_score"),
-        F.count_if(~known_risk_level("risk_level")).alias("bad_risk"),
-    )
-    duplicates = duplicate_rows(events, "ip", "source", "last_reported_at")
-    return single.withColumn("exact_duplicates", duplicates.scalar())
+    single = events.agg(F.count("*").alias("total"), *[c.alias(n) for n, c in failure_counts().items()])
+    return single.withColumn("exact_duplicates", exact_duplicates(events).scalar())
 
 
 CHECKS = [
@@ -99,18 +109,20 @@ def schema_check(events: DataFrame, column: str = "last_reported_at") -> DataFra
     )
 
 
-def quality_checks(events: DataFrame) -> DataFrame:
-    """The checks as rows (name, status, failed, total, pct)."""
+def judged(counters: DataFrame) -> DataFrame:
+    """Check rows (name, status, failed, total, pct) from one row of counts."""
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("failed")) for n, c in CHECKS])
-    counted = quality_counters(events).select("total", F.inline(rows))
-    judged = counted.select(
+    return counters.select("total", F.inline(rows)).select(
         "name",
         check_status("failed", "total").alias("status"),
         "failed",
         "total",
         F.round(safe_pct("failed", "total"), 2).alias("pct"),
     )
-    return judged.unionByName(schema_check(events))
+
+
+def quality_checks(events: DataFrame) -> DataFrame:
+    return judged(quality_counters(events)).unionByName(schema_check(events))
 
 
 def failing_checks(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ipvigil.constants import LIVE_FEED_ROWS, RECENT_POOL, TREND_ROWS
 from ipvigil.functions import columns as C
 from ipvigil.operators.scale import newest, small
+from ipvigil.session import cut_lineage
 
 SORT_COLUMNS = {
     "loaded_at": "loaded_at",
@@ -73,22 +74,22 @@ def history_page(
 def rarity(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Add the rarest of source, country and category of every row: label, value, count, share and text.
 
-    Counts come from one scan of `events`; "uncategorized" is counted against the NULL group. The columns are
-    NULL when the rarest value still holds five percent or more.
+    Counts come from one scan of `events` and are written once; "uncategorized" is counted against the NULL
+    group. The columns are NULL when the rarest value still holds five percent or more.
     """
     features = ["source", "country_code", "category"]
     labels = {"source": "source", "country_code": "country", "category": "category"}
     cells = events.select(F.inline(F.array(*[
         F.struct(F.lit(labels[f]).alias("label"), F.col(f).cast("string").alias("value")) for f in features
     ])))
-    counted = small(cells.groupBy("label", "value").agg(F.count("*").alias("cnt")), 50_000)
-    total = events.agg(F.count("*").alias("n")).scalar()
+    counted = cut_lineage(cells.groupBy("label", "value").agg(F.count("*").alias("cnt")), "rarity")
+    total = counted.filter("label = 'source'").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).scalar()
     out = rows
     for i, f in enumerate(features):
         side = counted.filter(F.col("label") == labels[f]).select(
             F.col("value").alias(f"value_{i}"), F.col("cnt").alias(f"cnt_{i}")
         )
-        out = out.join(side, F.col(f).eqNullSafe(F.col(f"value_{i}")), "left").drop(f"value_{i}")
+        out = out.join(small(side), F.col(f).eqNullSafe(F.col(f"value_{i}")), "left").drop(f"value_{i}")
 
     def candidate(i: int, value: Column) -> Column:
         return F.struct(

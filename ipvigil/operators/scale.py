@@ -95,24 +95,26 @@ def uniform_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return head.drop("draw")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], width: int) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], widths: Sequence[int]) -> DataFrame:
     """Interpolated percentiles of a whole-number column as rows (share, value, n), exact at any size.
 
-    Values are counted in buckets of `width`; the buckets holding the wanted ranks are then counted value by
-    value. A bucket has at most `width` distinct values, so no task holds more than that.
+    The ranks are located level by level: values are counted in buckets of widths[0], then only those in the
+    bucket holding a rank in buckets of widths[1], and so on down to single values. Each level is one scan of
+    one column, and the ordered pass of a level sees at most width / next width rows per rank.
     """
     values = df.select(F.col(value).alias("v")).filter("v IS NOT NULL")
-    bucket = F.floor(F.col("v") / F.lit(width))
-    buckets = values.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    total = buckets.agg(F.sum("rows").alias("n")).scalar()
-    placed = buckets.withColumn("upto", F.sum("rows").over(running)).withColumn("n", total)
 
-    wanted = []
+    def bucket(width: int) -> Column:
+        return F.floor(F.col("v") / F.lit(width)) if width > 1 else F.col("v")
+
+    counted = values.groupBy(bucket(widths[0]).alias("bucket")).agg(F.count("*").alias("rows"))
+    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    total = counted.agg(F.sum("rows").alias("n")).scalar()
+    ends = []
     for share in shares:
         position = F.lit(float(share)) * (F.col("n") - 1)
         for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-            wanted.append(
+            ends.append(
                 F.struct(
                     F.lit(float(share)).alias("share"),
                     F.lit(side).alias("side"),
@@ -120,23 +122,25 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], width:
                     (position - F.floor(position)).alias("fraction"),
                 )
             )
-    ranks = (
-        placed.withColumn("w", F.explode(F.array(*wanted)))
-        .select("bucket", "n", (F.col("upto") - F.col("rows")).alias("offset"), "upto", "w.*")
-        .filter((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("upto")))
-        .drop("upto")
-    )  # two rows per share
-
-    keys = ["share", "side", "rank", "fraction", "n", "offset"]
-    near = values.withColumn("bucket", bucket).join(F.broadcast(ranks), "bucket")
-    counted = near.groupBy(*keys, "v").agg(F.count("*").alias("rows"))
-    inside = Window.partitionBy("share", "side").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = counted.withColumn("upto", F.sum("rows").over(inside) + F.col("offset")).filter(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("rows"))
-    )
-    ends = hit.groupBy("share", "n").agg(
-        F.max(F.when(F.col("side") == "low", F.col("v"))).alias("low"),
-        F.max(F.when(F.col("side") == "high", F.col("v"))).alias("high"),
+    placed = counted.withColumn("upto", F.sum("rows").over(running)).withColumn("n", total)
+    wanted = placed.withColumn("w", F.explode(F.array(*ends))).select("bucket", "rows", "upto", "n", "w.*")
+
+    def hit(rows: DataFrame) -> DataFrame:
+        """Two rows per share: the bucket its rank lies in, and the rank inside that bucket."""
+        before = F.col("upto") - F.col("rows")
+        inside = rows.filter((F.col("rank") >= before) & (F.col("rank") < F.col("upto")))
+        return inside.withColumn("rank", F.col("rank") - before).drop("upto", "rows")
+
+    located = hit(wanted)
+    keys = ["share", "side", "rank", "fraction", "n"]
+    per_rank = Window.partitionBy("share", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    for outer, inner in zip(widths, [*widths[1:], 1]):
+        near = values.withColumn("bucket", bucket(outer)).join(F.broadcast(located), "bucket").drop("bucket")
+        finer = near.groupBy(*keys, bucket(inner).alias("bucket")).agg(F.count("*").alias("rows"))
+        located = hit(finer.withColumn("upto", F.sum("rows").over(per_rank)))
+    found = located.groupBy("share", "n").agg(
+        F.max(F.when(F.col("side") == "low", F.col("bucket"))).alias("low"),
+        F.max(F.when(F.col("side") == "high", F.col("bucket"))).alias("high"),
         F.max("fraction").alias("fraction"),
     )
-    return ends.select("share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction")).alias("value"), "n")
+    return found.select("share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction")).alias("value"), "n")

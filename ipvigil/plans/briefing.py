@@ -9,11 +9,12 @@ from ipvigil.operators.concentration import gini
 from ipvigil.operators.counts import as_of, regroup
 from ipvigil.operators.rankings import latest_snapshot
 from ipvigil.operators.scale import small
+from ipvigil.session import cut_lineage
 
 
-def _figures(events: DataFrame, snapshots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(one row of figures, counts by country, counts by category), from one shared pre-aggregation."""
-    cells = events.groupBy("country_code", "category", "source").agg(F.count("*").alias("n"))
+def _figures(events: DataFrame, snapshots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(one row of figures, counts by category), from one pre-aggregation that is written once."""
+    cells = cut_lineage(events.groupBy("country_code", "category", "source").agg(F.count("*").alias("n")), "briefing")
     by_country = regroup(cells, "country_code")
     by_category = regroup(cells, "category")
     by_source = regroup(cells, "source")
@@ -61,18 +62,19 @@ def _figures(events: DataFrame, snapshots: DataFrame | None) -> tuple[DataFrame,
         )
     else:
         row = row.withColumns({c: F.lit(None).cast("double") for c in ("gini_delta", "cross_delta")})
-    return row, by_country, by_category
+    return cut_lineage(row, "figures"), by_category
 
 
 def briefing(
     events: DataFrame, snapshots: DataFrame | None, dim_category: DataFrame, dim_tactic: DataFrame
 ) -> DataFrame:
     """Rows (position, kind, priority, subject, amount, pct, delta, text); limitations have no priority."""
-    row, _, by_category = _figures(events, snapshots)
+    row, by_category = _figures(events, snapshots)
     mapped = by_category.filter("category IS NOT NULL").join(small(dim_category.select("category", "tactic")), "category")
     tactics = mapped.filter("tactic IS NOT NULL").groupBy("tactic").agg(F.sum("n").alias("n"))
     leading = tactics.orderBy(F.col("n").desc(), "tactic").limit(1).join(small(dim_tactic), "tactic", "left")
-    chosen = dim_category.filter(F.col("tactic") == leading.select("tactic").scalar()).select("category")
+    top = leading.first()
+    chosen = dim_category.filter(F.col("tactic") == (top.tactic if top else None)).select("category")
     tactic_ips = events.join(small(chosen), "category", "left_semi").select("ip").distinct().agg(F.count("*").alias("n"))
     row = row.withColumns(
         {
@@ -127,7 +129,7 @@ def briefing(
 
 def snapshot(events: DataFrame, snapshots: DataFrame, force: bool = False) -> DataFrame:
     """The row to append to the snapshot series: empty unless the last one is over an hour old."""
-    row, _, _ = _figures(events, None)
+    row, _ = _figures(events, None)
     now = as_of(events)
     last = snapshots.agg(F.max("recorded_at").alias("last")).scalar()
     due = F.lit(True) if force else last.isNull() | (last < now - F.expr("INTERVAL 1 HOUR"))

@@ -5,39 +5,49 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ipvigil.constants import RECENT_BATCHES
 from ipvigil.operators import quality as Q
 from ipvigil.operators.counts import as_of
-from ipvigil.plans.summary import section, stacked
+from ipvigil.plans.summary import facts, section, stacked
+from ipvigil.session import cut_lineage
 
 
 def pipeline_health(events: DataFrame, at: datetime | None = None) -> DataFrame:
     """Recent batches, geo validity, sources, latency, throughput and quality checks.
 
-    Sources, validity and minute counts share one pre-aggregated frame.
+    One pass counts everything additive per load time and source (all rows of a load share its time, so this
+    is a small table) and is written once; latency and duplicates need their own passes.
     """
-    cells = events.groupBy(Q.load_minute().alias("loaded_minute"), "source").agg(
-        F.count("*").alias("n"),
-        F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)).alias("valid"),
-        F.count_if(F.col("loaded_at") > as_of(events, at) - F.expr("INTERVAL 10 MINUTES")).alias("recent"),
+    cells = cut_lineage(
+        events.groupBy("loaded_at", "source").agg(
+            F.count("*").alias("n"),
+            F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)).alias("valid"),
+            *[c.alias(name) for name, c in Q.failure_counts().items()],
+        ),
+        "health",
     )
-    minutes = cells.groupBy("loaded_minute").agg(F.sum("n").alias("n"))
-    latest = minutes.orderBy(F.col("loaded_minute").desc_nulls_first()).limit(20)
-    by_source = cells.groupBy("source").agg(
-        F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.sum("recent").alias("recent")
-    )
-    whole = by_source.agg(F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.sum("recent").alias("recent"))
-    latency = Q.latency_percentiles(events)
-    checks = Q.quality_checks(events)
+    minutes = cells.groupBy(Q.load_minute().alias("loaded_minute")).agg(F.sum("n").alias("n"))
+    latest = minutes.orderBy(F.col("loaded_minute").desc_nulls_first()).limit(RECENT_BATCHES)
+    recent = F.col("loaded_at") > as_of(cells, at) - F.expr("INTERVAL 10 MINUTES")
+    whole = cells.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valid", *Q.failure_counts())],
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("recent"),
+    ).withColumn("exact_duplicates", Q.exact_duplicates(events).scalar())
+    checks = Q.judged(whole).unionByName(Q.schema_check(events))
+    grade = F.when(F.col("status") == "pass", 0).when(F.col("status") == "warn", 1).otherwise(2)
     return stacked([
         section("recent_batch", latest.withColumn("key", F.unix_seconds(F.col("loaded_minute").cast("timestamp"))), "n", "key"),
         section("total_batches", minutes.agg(F.count("loaded_minute").alias("n")), "n"),
-        section("pct_valid_geo", whole, F.try_divide(F.col("valid") * 100.0, F.col("n").cast("double"))),
-        section("by_source", by_source, "n", "source"),
-        section("latency_p50_seconds", latency, F.round("p50", 1)),
-        section("latency_p95_seconds", latency, F.round("p95", 1)),
-        section("latency_sample_size", latency, "samples"),
-        section("throughput_per_min", whole, F.coalesce(F.col("recent"), F.lit(0)) / F.lit(10.0)),
-        section("check_failed", checks, "failed", "name"),
-        section("check_pct", checks, "pct", "name"),
-        section("check_not_passed", checks, F.when(F.col("status") == "pass", 0).when(F.col("status") == "warn", 1).otherwise(2), "name"),
+        section("by_source", cells.groupBy("source").agg(F.sum("n").alias("n")), "n", "source"),
+        facts(whole, {
+            "pct_valid_geo": F.try_divide(F.col("valid") * 100.0, F.col("total").cast("double")),
+            "throughput_per_min": F.col("recent") / F.lit(10.0),
+        }),
+        facts(Q.latency_percentiles(events), {
+            "latency_p50_seconds": F.round("p50", 1),
+            "latency_p95_seconds": F.round("p95", 1),
+            "latency_sample_size": F.col("samples"),
+        }),
+        facts(checks, {"check_failed": F.col("failed"), "check_pct": F.col("pct"), "check_not_passed": grade}, key="name"),
     ])

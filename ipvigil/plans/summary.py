@@ -1,6 +1,8 @@
 """The overview of the whole table as rows (section, key, value)."""
 
+from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,57 +10,54 @@ from pyspark.sql import functions as F
 from ipvigil.operators.addresses import offender_totals
 from ipvigil.operators.concentration import gini
 from ipvigil.operators.counts import as_of, regroup
-
-CELL_COLUMNS = ["country_code", "category", "risk_level"]
+from ipvigil.session import cut_lineage
 
 
 def section(name: str, frame: DataFrame, value: str | Column, key: str | None = None) -> DataFrame:
-    value = F.col(value) if isinstance(value, str) else value
+    return facts(frame, {name: F.col(value) if isinstance(value, str) else value}, key)
+
+
+def facts(frame: DataFrame, values: Mapping[str, Column], key: str | None = None) -> DataFrame:
+    """Every row of `frame` as one row per named value."""
     label = F.col(key).cast("string") if key else F.lit(None).cast("string")
-    return frame.select(F.lit(name).alias("section"), label.alias("key"), value.cast("double").alias("value"))
+    rows = [
+        F.struct(F.lit(name).alias("section"), label.alias("key"), value.cast("double").alias("value"))
+        for name, value in values.items()
+    ]
+    return frame.select(F.inline(F.array(*rows)))
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
     """Totals, group counts, repeat and cross-source addresses and concentration.
 
-    The group reports share one pre-aggregated frame: its shuffle is planned once and reused. Together with
-    the per-address counts, the table is scanned twice plus a one-column scan for the newest load.
+    The group reports come from one pre-aggregated frame, written once. With the counts per address and the
+    one-column scan for the newest load, the table is read three times however many reports there are.
     """
     since = as_of(events, at) - F.expr("INTERVAL 24 HOURS")
-    cells = events.groupBy(*CELL_COLUMNS).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("loaded_at") >= since).alias("recent"),
-        F.max("loaded_at").alias("last"),
+    cells = cut_lineage(
+        events.groupBy("country_code", "category", "risk_level").agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("loaded_at") >= since).alias("recent"),
+            F.max("loaded_at").alias("last"),
+        ),
+        "summary",
     )
     by_country = regroup(cells, "country_code")
     whole = cells.agg(F.sum("n").alias("n"), F.sum("recent").alias("recent"), F.max("last").alias("last"))
-    offenders = offender_totals(events)
-    totals = whole.select(F.inline(F.array(
-        *[
-            F.struct(F.lit(name).alias("section"), F.lit(None).cast("string").alias("key"), value.cast("double").alias("value"))
-            for name, value in [
-                ("total", F.coalesce("n", F.lit(0))),
-                ("new_24h", F.coalesce("recent", F.lit(0))),
-                ("last_loaded_epoch", F.unix_seconds(F.col("last").cast("timestamp"))),
-            ]
-        ]
-    )))
-    addresses = offenders.select(F.inline(F.array(
-        *[
-            F.struct(F.lit(name).alias("section"), F.lit(None).cast("string").alias("key"), F.col(c).cast("double").alias("value"))
-            for name, c in [("repeat_offenders", "repeat_ips"), ("cross_source_corroborated", "cross_source_ips")]
-        ]
-    )))
     return stacked([
-        totals,
-        addresses,
+        facts(whole, {
+            "total": F.coalesce("n", F.lit(0)),
+            "new_24h": F.coalesce("recent", F.lit(0)),
+            "last_loaded_epoch": F.unix_seconds(F.col("last").cast("timestamp")),
+        }),
+        facts(offender_totals(events), {
+            "repeat_offenders": F.col("repeat_ips"),
+            "cross_source_corroborated": F.col("cross_source_ips"),
+        }),
         section("by_risk", regroup(cells, "risk_level"), "n", "risk_level"),
         section("by_country", by_country, "n", "country_code"),
         section("distinct_countries", by_country.agg(F.count("country_code").alias("n")), "n"),
