@@ -76,23 +76,21 @@ def infra_clusters(events: DataFrame, limit: int | None = 15) -> DataFrame:
     v4 = events.filter(is_ipv4("ip")).withColumn("subnet", subnet24("ip"))
     pairs = v4.select("subnet", "ip").distinct()
     blocks = pairs.groupBy("subnet").agg(F.count("*").alias("ip_count")).filter(F.col("ip_count") >= MIN_CLUSTER_IPS)
+    rows, addresses = v4, pairs
     if limit is not None:
         ranked = blocks.orderBy(F.col("ip_count").desc(), "subnet")
         blocks = F.broadcast(ranked.limit(max(1, min(limit, 50))))
-    detail = (
-        v4.join(blocks, "subnet")
-        .groupBy("subnet", "ip_count")
-        .agg(
-            F.max("country_code").alias("country_code"),
-            F.sort_array(F.collect_set("source")).alias("sources"),
-            F.max("abuse_confidence_score").alias("max_score"),
-        )
+        rows = v4.join(blocks.select("subnet"), "subnet", "left_semi")
+        addresses = pairs.join(blocks.select("subnet"), "subnet", "left_semi")
+    detail = rows.groupBy("subnet").agg(
+        F.max("country_code").alias("country_code"),
+        F.sort_array(F.collect_set("source")).alias("sources"),
+        F.max("abuse_confidence_score").alias("max_score"),
     )
-    candidates = pairs if limit is None else pairs.join(blocks.select("subnet"), "subnet", "left_semi")
     first = Window.partitionBy("subnet").orderBy("ip")
-    sample = candidates.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= CLUSTER_SAMPLE_IPS)
+    sample = addresses.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= CLUSTER_SAMPLE_IPS)
     samples = sample.groupBy("subnet").agg(F.sort_array(F.collect_list("ip")).alias("sample_ips"))
-    return detail.join(samples, "subnet").select(
+    return detail.join(blocks, "subnet").join(samples, "subnet").select(
         "subnet", "ip_count", "country_code", "sources", "max_score", "sample_ips"
     ).orderBy(F.col("ip_count").desc(), "subnet")
 

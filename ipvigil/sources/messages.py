@@ -37,17 +37,15 @@ def parse_message(raw: DataFrame, on_malformed: str = "quarantine", keep: Sequen
 
 
 def quarantined(raw: DataFrame) -> DataFrame:
-    parsed = _with_data(raw)
-    return parsed.filter(F.col("value").isNull() | F.col("data").isNull() | F.col("data._corrupt").isNotNull()).select("value")
-
-
-def _with_data(raw: DataFrame) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return raw.withColumn("data", F.from_json("value", PARSED, options))
+    """The text of messages that `parse_message` leaves out."""
+    parsed = _parsed(raw, "keep")
+    return parsed.filter(F.col("data").isNull() | F.col("data._corrupt").isNotNull()).select("value")
 
 
 def _parsed(raw: DataFrame, on_malformed: str) -> DataFrame:
-    parsed = _with_data(raw)
+    """Add `data`. Through explode the text is parsed once, however many columns and filters use the result."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = raw.select("*", F.explode(F.array(F.from_json("value", PARSED, options))).alias("data"))
     if on_malformed == "keep":
         return parsed
     return parsed.filter(F.col("data").isNotNull() & F.col("data._corrupt").isNull())
