@@ -441,9 +441,10 @@ def _(spark, sf):
 @query(
     "export_feed_csv",
     over_events(
-        """SELECT event_id, concat('"', ip, '","', coalesce(country_code, ''), '","', risk_level, '","', source, '"') AS line FROM te"""
+        """SELECT event_id, concat('"', ip, '","', coalesce(country_code, ''), '","', risk_level, '","',
+          coalesce(strftime(event_time, '%Y-%m-%d %H:%M:%S'), ''), '"') AS line FROM te"""
     ),
 )
 def _(spark, sf):
-    rows = X.threat_events(spark, sf).withColumn("event_time", F.col("source"))
-    return exports.feed_csv_lines(rows)
+    whole_seconds = F.date_trunc("second", "event_time").cast("timestamp_ntz")
+    return exports.feed_csv_lines(X.threat_events(spark, sf).withColumn("event_time", whole_seconds))

@@ -41,19 +41,21 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+# --- fixed values: columns of the exported feed and what fills them
+FEED_CSV = {"ip": "ip", "country_code": "country_code", "risk_level": "risk_level", "timestamp": "event_time"}
+
+
 def feed_csv_lines(feed: DataFrame) -> DataFrame:
-    """(ip, line): all fields quoted, quotes doubled, NULL as empty."""
-    columns = ["ip", "country_code", "risk_level", "event_time"]
+    """(event_id, line): all fields quoted, quotes doubled, NULL as empty."""
 
     def quoted(name: str) -> Column:
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
         return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
-    return feed.select("event_id", F.concat_ws(",", *[quoted(c) for c in columns]).alias("line"))
+    return feed.select("event_id", F.concat_ws(",", *[quoted(c) for c in FEED_CSV.values()]).alias("line"))
 
 
 def write_feed_csv(feed: DataFrame, path: str) -> None:
-    columns = ["ip", "country_code", "risk_level", "event_time"]
-    feed.select(*columns).write.mode("overwrite").csv(
-        path, header=True, quoteAll=True, escape='"', nullValue="", emptyValue=""
-    )
+    """One file of the live feed, which has a few dozen rows."""
+    rows = feed.select(*[F.col(c).alias(n) for n, c in FEED_CSV.items()]).repartition(1)
+    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', nullValue="", emptyValue="")
