@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ipvigil.constants import CONTAMINATION, ISOLATION_SAMPLE, ISOLATION_TREES, MODEL_SEED
-from ipvigil.ml.features import encoder, features, path_normaliser
+from ipvigil.ml.features import encoder, features, path_normaliser, score_by_combination
 from ipvigil.operators.counts import top_country_codes
 from ipvigil.operators.scale import uniform_sample
 from ipvigil.session import cut_lineage
@@ -72,19 +72,19 @@ class IsolationModel:
     top_countries: list[str]
     scorer: object = field(default=None, repr=False)
 
-    def encoded(self, events: DataFrame) -> DataFrame:
-        """Input rows with the numeric vector `x` and nothing else added or changed."""
-        kept = [F.col(c) for c in events.columns]
-        packed = events.select(F.struct(*kept).alias("row"), *kept)
-        vector = self.encoder.transform(features(packed, self.top_countries))
-        return vector.select("row.*", vector_to_array("features").alias("x"))
+    def encoded(self, prepared: DataFrame) -> DataFrame:
+        """Rows with model features plus the numeric vector `x`."""
+        return self.encoder.transform(prepared).withColumn("x", vector_to_array("features"))
 
     def score(self, events: DataFrame, column: str = "anomaly_score") -> DataFrame:
-        """Add the anomaly score in (-1, 0): the lower, the stranger. No shuffle; the trees travel to the rows."""
-        kept = [c for c in events.columns if c != column]
+        """Add the anomaly score in (-1, 0): the lower, the stranger. The trees travel to the rows."""
         if self.scorer is None:
             self.scorer = self._scorer()
-        return self.encoded(events.select(*kept)).withColumn(column, self.scorer(F.col("x"))).drop("x")
+
+        def anomaly(prepared: DataFrame) -> DataFrame:
+            return self.encoded(prepared).withColumn(column, self.scorer("x"))
+
+        return score_by_combination(events, self.top_countries, anomaly, column)
 
     def _scorer(self):
         # at most trees * (4 * sample) nodes, whatever the table holds
@@ -143,9 +143,9 @@ def fit(
     """Grow `trees` trees, each from its own sample. The node table is small and kept in the shared folder."""
     rows = events.select("event_id", "source", "country_code", "category", "risk_level", "abuse_confidence_score")
     top = top_country_codes(rows)
-    encoding = encoder().fit(features(rows, top))
-    model = IsolationModel(encoding, None, sample, trees, top)
-    encoded = model.encoded(rows).select("event_id", "x")
+    prepared = features(rows, top)
+    model = IsolationModel(encoder().fit(prepared), None, sample, trees, top)
+    encoded = model.encoded(prepared).select("event_id", "x")
     drawn, model.sample = sample_trees(encoded, trees, sample, seed)
     depth = int(np.ceil(np.log2(max(model.sample, 2))))
     grown = drawn.groupBy("tree_id").applyInPandas(_grow(seed, depth), NODE)

@@ -13,17 +13,29 @@ from pyspark.storagelevel import StorageLevel
 
 from ipvigil.constants import FOREST_DEPTH, FOREST_TREES, LR_ITERATIONS, MODEL_SEED
 from ipvigil.functions.columns import safe_pct
-from ipvigil.ml.features import class_weights, encoder, features, stratified_split, train_set
+from ipvigil.ml.features import (
+    MODEL_COLUMNS,
+    class_weights,
+    combine,
+    encoder,
+    features,
+    score_by_combination,
+    stratified_split,
+    train_set,
+)
 from ipvigil.operators.counts import top_country_codes
 
 
-def logistic_regression() -> LogisticRegression:
-    return LogisticRegression(labelCol="reoffended", weightCol="weight", maxIter=LR_ITERATIONS)
+def logistic_regression(n: int) -> LogisticRegression:
+    """L2-regularised with unit strength against the summed loss of n rows; the intercept is not penalised."""
+    return LogisticRegression(
+        labelCol="reoffended", weightCol="weight", maxIter=LR_ITERATIONS, regParam=1.0 / max(n, 1), standardization=False
+    )
 
 
 def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> RandomForestClassifier:
     return RandomForestClassifier(
-        labelCol="reoffended", weightCol="weight", numTrees=trees, maxDepth=depth, seed=MODEL_SEED
+        labelCol="reoffended", weightCol="weight", numTrees=trees, maxDepth=depth, seed=MODEL_SEED, maxMemoryInMB=512
     )
 
 
@@ -37,10 +49,11 @@ class ReoffenseModel:
 
     def score(self, events: DataFrame) -> DataFrame:
         """Add reoffense_probability; the other columns stay as they were."""
-        kept = [F.col(c) for c in events.columns if c != "reoffense_probability"]
-        packed = events.select(F.struct(*kept).alias("row"), *kept)
-        probability = F.round(vector_to_array("probability")[1], 4).alias("reoffense_probability")
-        return self.predict(packed).select("row.*", probability)
+        return score_by_combination(events, self.top_countries, self._probability, "reoffense_probability")
+
+    def _probability(self, prepared: DataFrame) -> DataFrame:
+        scored = self.pipeline.transform(prepared)
+        return scored.withColumn("reoffense_probability", F.round(vector_to_array("probability")[1], 4))
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -64,20 +77,33 @@ class Training:
     sizes: DataFrame
 
 
-def fit(train: DataFrame, classifier, top_countries: list[str]) -> ReoffenseModel:
+def fit(prepared: DataFrame, classifier, top_countries: list[str]) -> ReoffenseModel:
+    """Fit on rows that have their features and weights."""
     stages = [*encoder().getStages(), classifier]
-    return ReoffenseModel(Pipeline(stages=stages).fit(features(train, top_countries)), top_countries)
+    return ReoffenseModel(Pipeline(stages=stages).fit(prepared), top_countries)
+
 
+def train(events: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Training:
+    """Fit both classifiers on 80 % of the addresses; the rest is for evaluation.
 
-def train(events: DataFrame, classifiers: dict | None = None) -> Training:
-    """Fit the classifiers on 80 % of the addresses; the rest is for evaluation."""
-    if classifiers is None:
-        classifiers = {"logistic_regression": logistic_regression(), "random_forest": random_forest()}
+    The rows are spread evenly over all cores and kept, since tree growing reads them once per level. The
+    linear model reads combined rows.
+    """
     rows = train_set(events)
     top = top_country_codes(rows)
     split = stratified_split(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    fitting = class_weights(split.filter(~F.col("is_test")))
-    models = {name: fit(fitting, classifier, top) for name, classifier in classifiers.items()}
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    fitting = class_weights(features(split.filter(~F.col("is_test")), top)).select(*MODEL_COLUMNS, "reoffended", "weight")
+    fitting = fitting.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    combined = combine(fitting).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = {
+            "logistic_regression": fit(combined, logistic_regression(fitting.count()), top),
+            "random_forest": fit(fitting, random_forest(trees, depth), top),
+        }
+    finally:
+        combined.unpersist()
+        fitting.unpersist()
     sizes = split.groupBy("is_test", "reoffended").agg(F.count("*").alias("n"))
     return Training(models, split.filter("is_test"), sizes)
 

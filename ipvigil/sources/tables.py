@@ -1,5 +1,7 @@
 """The event table on storage: reading, loading by batch, and companion tables."""
 
+from datetime import date, datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +23,18 @@ def create_tables(spark: SparkSession, base: str) -> None:
         spark.createDataFrame([], schema).write.mode("append").parquet(f"{base}/{name}")
 
 
-def scan_events(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The event table; files written before a column existed read as NULL there."""
+def scan_events(
+    spark: SparkSession, path: str, columns: list[str] | None = None, since: datetime | None = None
+) -> DataFrame:
+    """The event table; files written before a column existed read as NULL there.
+
+    `since` keeps rows loaded from that time on and prunes the folders of earlier days.
+    """
     merged = spark.read.option("mergeSchema", "true").parquet(path)
+    if since is not None:
+        if "load_date" in merged.columns:
+            merged = merged.filter(F.col("load_date") >= F.lit(since.date()))
+        merged = merged.filter(F.col("loaded_at") >= F.lit(since).cast("timestamp_ntz"))
     events = conform(merged, THREAT_EVENTS)
     return events.select(*columns) if columns else events
 
@@ -42,17 +53,18 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
     return reader.load()
 
 
-def batch_path(path: str, batch_id: int, run: str = "main") -> str:
-    return f"{path}/run={run}/batch_id={batch_id}"
+def batch_path(path: str, batch_id: int, run: str = "main", day: date | None = None) -> str:
+    base = f"{path}/load_date={day.isoformat()}" if day else path
+    return f"{base}/run={run}/batch_id={batch_id}"
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, run: str = "main") -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int, run: str = "main", day: date | None = None) -> None:
     """Load one batch; loading the same batch again replaces it.
 
     The batch owns its folder, so no other file is touched and no reader sees it twice. `run` names the
     checkpoint whose batch numbers are meant: a stream started from a new checkpoint needs a new name.
     """
-    rows.write.mode("overwrite").parquet(batch_path(path, batch_id, run))
+    rows.write.mode("overwrite").parquet(batch_path(path, batch_id, run, day))
 
 
 def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str = "main") -> bool:
@@ -63,6 +75,14 @@ def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str = "main
     return True
 
 
+def load_time(spark: SparkSession, log: str, batch_id: int, run: str = "main") -> datetime:
+    """Load time (UTC) of a batch: noted before its first attempt, so a retry lands in the same folder."""
+    if not batch_exists(spark, log, batch_id, run):
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        write_batch(spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("loaded_at")), log, batch_id, run)
+    return spark.read.schema("loaded_at timestamp_ntz").parquet(batch_path(log, batch_id, run)).first().loaded_at
+
+
 def append_snapshot(row: DataFrame, path: str) -> None:
     conform(row, BRIEFING_SNAPSHOTS).coalesce(1).write.mode("append").parquet(path)
 

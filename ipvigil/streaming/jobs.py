@@ -2,6 +2,7 @@
 
 import time
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ipvigil.operators.enrich import enrich
 from ipvigil.operators.rankings import live_feed
 from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS, conform
 from ipvigil.sources.messages import parse_message, to_bus
-from ipvigil.sources.tables import batch_exists, batch_path, write_batch
+from ipvigil.sources.tables import batch_exists, batch_path, load_time, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -57,16 +58,17 @@ def load_batch(
         if rows == 0:
             return
         scored = without_models(score(batch) if score else batch)
-        stamped = scored.withColumn("loaded_at", F.lit(time.time()).cast("timestamp").cast("timestamp_ntz"))
+        loaded_at = load_time(spark, f"{metrics}_started", batch_id, run)
+        stamped = scored.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp_ntz"))
         start = time.monotonic()
-        write_batch(stamped.drop("categories"), table, batch_id, run)
+        write_batch(stamped.drop("categories"), table, batch_id, run, loaded_at.date())
         elapsed = (time.monotonic() - start) * 1000.0
         if bus:
             write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id, run)
         row = spark.range(1).select(
             F.lit(rows).cast("bigint").alias("batch_rows"),
             F.lit(elapsed).alias("write_duration_ms"),
-            F.lit(time.time()).cast("timestamp").cast("timestamp_ntz").alias("recorded_at"),
+            F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz").alias("recorded_at"),
         )
         write_batch(row, metrics, batch_id, run)
     finally:

@@ -53,9 +53,11 @@ def test_unseen_values_encode_to_zero(labelled):
 
 @pytest.mark.parametrize("classifier", ["lr", "rf"])
 def test_classifiers_learn_and_persist(spark, labelled, classifier, tmp_path):
-    estimator = reoffense.logistic_regression() if classifier == "lr" else reoffense.random_forest(20, 5)
+    top = [f"K{i}" for i in range(1, 16)]
     split = feat.stratified_split(labelled)
-    model = reoffense.fit(feat.class_weights(split.filter("NOT is_test")), estimator, [f"K{i}" for i in range(1, 16)])
+    prepared = feat.class_weights(feat.features(split.filter("NOT is_test"), top))
+    estimator = reoffense.logistic_regression(2400) if classifier == "lr" else reoffense.random_forest(20, 5)
+    model = reoffense.fit(prepared, estimator, top)
     row = reoffense.evaluate(model, split.filter("is_test")).first()
     assert row.accuracy > 0.99 and row.roc_auc > 0.99
     assert row.tn + row.fp + row.fn + row.tp == 600
@@ -71,6 +73,29 @@ def test_classifiers_learn_and_persist(spark, labelled, classifier, tmp_path):
     assert scored.filter("category IS NULL").count() == 1500
 
 
+def test_combined_rows_train_the_same_linear_model(labelled):
+    noisy = labelled.withColumn("reoffended", F.when(F.xxhash64("ip") % 4 == 0, 1 - F.col("reoffended")).otherwise(F.col("reoffended")))
+    top = [f"K{i}" for i in range(1, 16)]
+    prepared = feat.class_weights(feat.features(noisy, top))
+    combined = feat.combine(prepared)
+    assert combined.count() < 3000
+    scores = []
+    for rows in (prepared, combined):
+        model = reoffense.fit(rows, reoffense.logistic_regression(3000), top)
+        scores.append({r.ip: r.reoffense_probability for r in model.score(labelled).collect()})
+    assert max(abs(scores[0][ip] - scores[1][ip]) for ip in scores[0]) < 1e-3
+
+
+def test_scoring_by_row_equals_scoring_by_combination(labelled):
+    def score(rows):
+        return rows.withColumn("s", F.length("country_bucket") + F.col("abuse_confidence_score") + F.length("category"))
+
+    both = [feat.score_by_combination(labelled, ["K1", "K10"], score, "s", limit) for limit in (100_000, 10)]
+    rows = [sorted((r.ip, r.s, r.country_code or "", r.category or "") for r in b.collect()) for b in both]
+    assert rows[0] == rows[1] and len(rows[0]) == 3000
+    assert both[0].columns == both[1].columns == [*labelled.columns, "s"]
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """2,000 ordinary events and ten strange ones."""

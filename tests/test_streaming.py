@@ -1,6 +1,7 @@
 """Streams give what the same rows give in one batch, however they are cut and however often they come."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,9 +90,14 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     assert keyed(tables.scan_events(spark, table).select(*EVENT_COLUMNS).collect()) == expected
 
     # an unfinished batch (rows written, no metrics row) is replaced
-    tables.write_batch(loaded.limit(3), table, 3)
+    day = tables.load_time(spark, f"{metrics}_started", 3).date()
+    tables.write_batch(loaded.limit(3), table, 3, day=day)
     jobs.load_batch(again, 3, table, metrics)
     assert tables.scan_events(spark, table).count() == 5
+    assert tables.scan_events(spark, table, since=datetime(2024, 1, 1)).count() == 5
+    later = tables.scan_events(spark, table, since=datetime(2999, 1, 1))
+    assert later.count() == 0
+    assert "PartitionFilters: [isnotnull(load_date" in later._jdf.queryExecution().executedPlan().toString()
     # a restarted stream has nothing left to do
     jobs.start_table_sink(events, table, metrics, str(tmp_path / "state"), interval=None).awaitTermination()
     assert tables.scan_events(spark, table).count() == 5
