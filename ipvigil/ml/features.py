@@ -93,15 +93,15 @@ def score_by_combination(
 
 def split_sizes(counted: DataFrame, label: str, share: float = TEST_SHARE) -> DataFrame:
     """(label, n, test_n): the test share rounded up overall, divided over classes by largest remainder."""
-    whole = counted.agg(F.sum("n").alias("n")).scalar()
-    wanted = F.ceil(F.round(whole * F.lit(share), 9))
-    quota = counted.withColumn("wanted", wanted).withColumn(
-        "base", F.floor(F.col("wanted") * F.col("n") / whole)
-    ).withColumn("rest", F.col("wanted") * F.col("n") - F.col("base") * whole)
+    whole = counted.agg(F.sum("n").alias("n")).scalar().cast("decimal(18,0)")
+    wanted = F.ceil(F.round(whole.cast("double") * F.lit(share), 9)).cast("decimal(18,0)")
+    product = (F.col("wanted") * F.col("n").cast("decimal(18,0)")).cast("decimal(37,0)")
+    quota = counted.withColumn("wanted", wanted).withColumn("rest", (product % whole).cast("decimal(37,0)"))
+    quota = quota.withColumn("base", ((product - F.col("rest")) / whole).cast("bigint"))
     order = Window.orderBy(F.col("rest").desc(), F.col(label))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = quota.withColumn("place", F.row_number().over(order)).withColumn(
-        "left", F.col("wanted") - F.sum("base").over(everything)
+        "left", F.col("wanted").cast("bigint") - F.sum("base").over(everything)
     )
     extra = (F.col("place") <= F.col("left")).cast("bigint")
     return placed.select(label, "n", (F.col("base") + extra).cast("bigint").alias("test_n"))

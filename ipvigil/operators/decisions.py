@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ipvigil.functions import columns as C
 from ipvigil.operators.addresses import ip_history, local_evidence
+from ipvigil.operators.scale import written_hot_keys
 
 DECISIONS = ["insufficient_data", "block", "block", "monitor", "monitor", "monitor", "insufficient_data"]
 
@@ -87,7 +88,8 @@ def dossier(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo:
     """Per address: its newest rows as a list (at most 50), its reputation and its location as records."""
     fields = ["rank", "loaded_at", "source", "category", "risk_level", "abuse_confidence_score",
               "country_code", "last_reported_at", "reoffense_probability"]
-    rows = ip_history(events.join(addresses.select("ip").distinct(), "ip", "left_semi"), **routing)
+    asked = events.join(addresses.select("ip").distinct(), "ip", "left_semi")
+    rows = ip_history(asked, hot=written_hot_keys(events, "ip", **routing))
     history = rows.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("history"))
     rep = reputation.select("ip", F.struct(*[c for c in reputation.columns if c != "ip"]).alias("reputation"))
     loc = geo.select("ip", F.struct(*[c for c in geo.columns if c != "ip"]).alias("geo"))

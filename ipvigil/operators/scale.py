@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ipvigil.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 
 
@@ -46,24 +48,34 @@ def top_n_per_key(
     salts: int = 512,
     share: float = 0.001,
     min_rows: int = 1_000_000,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The first `n` rows of every key under a total order, numbered in `rank`.
 
     Ordinary keys take one shuffle, and Spark already trims each map task to n rows per key. Hot keys are
-    first reduced in `salts` slices each, so no task ever sorts a whole hot key.
+    first reduced in `salts` slices each, so no task ever sorts a whole hot key. The list of hot keys (given,
+    or found here) is written before use: both branches must see the same list, whatever is recomputed.
     """
-    hot = F.broadcast(hot_keys(df, key, share, min_rows))
 
     def ranked(rows: DataFrame, *partition: str) -> DataFrame:
         window = Window.partitionBy(*partition).orderBy(*order)
         return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
+    if hot is None:
+        hot = written_hot_keys(df, key, share, min_rows)
+    if hot.isEmpty():
+        return ranked(df, key)
+    hot = F.broadcast(hot)
     ordinary = ranked(df.join(hot, key, "left_anti"), key)
     sliced = df.join(hot, key, "left_semi").withColumn("slice", F.pmod(F.xxhash64(row_id), F.lit(salts)))
     reduced = ranked(sliced, key, "slice").drop("slice", "rank")
     return ordinary.unionByName(ranked(reduced, key))
 
 
+def written_hot_keys(df: DataFrame, key: str, share: float = 0.001, min_rows: int = 1_000_000) -> DataFrame:
+    return cut_lineage(hot_keys(df, key, share, min_rows), "hot-keys")
+
+
 def ordered_head(df: DataFrame, coarse: Column, order: Sequence[Column], n: int, descending: bool = False) -> DataFrame:
     """The first `n` rows under `order`, for an n too large to keep in every task of a very large scan.
 

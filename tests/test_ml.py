@@ -24,6 +24,10 @@ def labelled(spark):
 def test_split_sizes_round_up_and_keep_shares(spark):
     counted = spark.createDataFrame([(0, 15530), (1, 9036)], "y int, n bigint")
     assert {r.y: r.test_n for r in feat.split_sizes(counted, "y").collect()} == {0: 3107, 1: 1807}
+    huge = spark.createDataFrame([(0, 7 * 10**11), (1, 3 * 10**11)], "y int, n bigint")
+    assert {r.y: r.test_n for r in feat.split_sizes(huge, "y").collect()} == {0: 14 * 10**10, 1: 6 * 10**10}
+    odd = spark.createDataFrame([(0, 333333333333), (1, 666666666667)], "y int, n bigint")
+    assert {r.y: r.test_n for r in feat.split_sizes(odd, "y").collect()} == {0: 66666666667, 1: 133333333333}
 
 
 @pytest.mark.parametrize("share", [0.2, 0.0003, 0.5])
