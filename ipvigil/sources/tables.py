@@ -5,11 +5,14 @@ from datetime import date, datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ipvigil.constants import MODEL_SEED, REPLAY_POOL_SIZE
 from ipvigil.operators.scale import uniform_sample
 from ipvigil.schema import BRIEFING_SNAPSHOTS, PIPELINE_METRICS, THREAT_EVENTS, conform
 
+ROWS_PER_BATCH_BITS = 40
+
 TABLES = {
     "threat_events": THREAT_EVENTS,
     "pipeline_metrics": PIPELINE_METRICS,
@@ -26,17 +29,17 @@ def create_tables(spark: SparkSession, base: str) -> None:
 def scan_events(
     spark: SparkSession, path: str, columns: list[str] | None = None, since: datetime | None = None
 ) -> DataFrame:
-    """The event table; files written before a column existed read as NULL there.
+    """The event table with its declared columns: no file is opened to learn them, and files written before a
+    column existed read as NULL there.
 
     `since` keeps rows loaded from that time on and prunes the folders of earlier days.
     """
-    merged = spark.read.option("mergeSchema", "true").parquet(path)
+    rows = spark.read.schema(THREAT_EVENTS).parquet(path)
     if since is not None:
-        if "load_date" in merged.columns:
-            merged = merged.filter(F.col("load_date") >= F.lit(since.date()))
-        merged = merged.filter(F.col("loaded_at") >= F.lit(since).cast("timestamp_ntz"))
-    events = conform(merged, THREAT_EVENTS)
-    return events.select(*columns) if columns else events
+        if "load_date" in rows.columns:
+            rows = rows.filter(F.col("load_date") >= F.lit(since.date()))
+        rows = rows.filter(F.col("loaded_at") >= F.lit(since).cast("timestamp_ntz"))
+    return rows.select(*(columns or THREAT_EVENTS.names))
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int, **options) -> DataFrame:
@@ -83,6 +86,22 @@ def load_time(spark: SparkSession, log: str, batch_id: int, run: str = "main") -
     return spark.read.schema("loaded_at timestamp_ntz").parquet(batch_path(log, batch_id, run)).first().loaded_at
 
 
+def with_event_ids(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Number the rows of a persisted batch without sorting or collecting them.
+
+    The id holds the batch number and the row's position: rows before its partition, then its place inside.
+    Only the partition sizes (one row each) are summed in order.
+    """
+    place = F.monotonically_increasing_id()
+    tagged = batch.withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND((1 << 33) - 1)})
+    sizes = tagged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = tagged.join(F.broadcast(offsets), "part")
+    event_id = F.lit(batch_id << ROWS_PER_BATCH_BITS).cast("bigint") + F.col("before") + F.col("place")
+    return numbered.select(event_id.alias("event_id"), *batch.columns)
+
+
 def append_snapshot(row: DataFrame, path: str) -> None:
     conform(row, BRIEFING_SNAPSHOTS).coalesce(1).write.mode("append").parquet(path)
 

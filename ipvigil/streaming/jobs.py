@@ -14,7 +14,7 @@ from ipvigil.operators.enrich import enrich
 from ipvigil.operators.rankings import live_feed
 from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS, conform
 from ipvigil.sources.messages import parse_message, to_bus
-from ipvigil.sources.tables import batch_exists, batch_path, load_time, write_batch
+from ipvigil.sources.tables import batch_exists, batch_path, load_time, with_event_ids, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -57,7 +57,8 @@ def load_batch(
         rows = batch.count()
         if rows == 0:
             return
-        scored = without_models(score(batch) if score else batch)
+        numbered = with_event_ids(batch, batch_id)
+        scored = without_models(score(numbered) if score else numbered)
         loaded_at = load_time(spark, f"{metrics}_started", batch_id, run)
         stamped = scored.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp_ntz"))
         start = time.monotonic()

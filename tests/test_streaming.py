@@ -83,6 +83,9 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     logged = {r.batch_id: r.batch_rows for r in jobs.read_metrics(spark, metrics).collect()}
     assert sorted(logged.values()) == [1, 1, 2] and set(logged) == {0, 1, 2}
     assert spark.read.parquet(bus).count() == 4
+    ids = [r.event_id for r in loaded.select("event_id").collect()]
+    batches = [i >> tables.ROWS_PER_BATCH_BITS for i in ids]
+    assert {b: batches.count(b) for b in set(batches)} == logged and len(set(ids)) == 4
 
     # a completed batch that comes again changes nothing
     again = jobs.enriched_stream(messages.bus(spark, "text", streaming=False, path=topic), countries).limit(1)
@@ -103,6 +106,13 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     assert tables.scan_events(spark, table).count() == 5
 
 
+def test_event_ids_are_dense_over_partitions(spark):
+    rows = spark.range(1000, numPartitions=7).filter("id % 3 = 0").persist()
+    ids = sorted(r.event_id for r in tables.with_event_ids(rows, 5).collect())
+    assert ids == [(5 << tables.ROWS_PER_BATCH_BITS) + i for i in range(334)]
+    rows.unpersist()
+
+
 def test_empty_batch_leaves_no_trace(spark, topic, countries, tmp_path):
     none = enrich(messages.parse_message(messages.bus(spark, "text", streaming=False, path=topic)), countries).filter("false")
     jobs.load_batch(none, 0, str(tmp_path / "t"), str(tmp_path / "m"))
