@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ipvigil.catalog import fixtures as X
-from ipvigil.catalog.registry import query
+from ipvigil.catalog.registry import listed, query
+from ipvigil.catalog.scalars import NAMED_CATEGORIES
 from ipvigil.catalog.sql import CANDIDATES, DIM_CATEGORY, DIM_COUNTRY, FEED_LIST, LONG, MESSAGES, over_events
 from ipvigil.operators import addresses as A
 from ipvigil.operators import decisions, enrich
@@ -356,6 +357,7 @@ def _(spark, sf):
     ),
     ruled AS (
       SELECT c.ip, r.abuse_confidence_score AS s, r.num_distinct_users AS u, r.total_reports, coalesce(e.seen, 0) AS seen,
+        coalesce(r.first_category, '') AS categories,
         coalesce(e.sources, '') AS sources,
         CASE WHEN r.ip IS NULL AND e.ip IS NULL THEN 0
           WHEN (r.abuse_confidence_score >= 90 AND coalesce(r.num_distinct_users, 0) >= 10)
@@ -368,7 +370,7 @@ def _(spark, sf):
     )
     SELECT ip, rule, CASE WHEN rule IN (1, 2) THEN 'block' WHEN rule IN (3, 4, 5) THEN 'monitor' ELSE 'insufficient_data' END AS recommendation,
       s IS NOT NULL OR seen > 0 AS known_threat, s AS confidence_score, u AS distinct_reporters, total_reports,
-      seen AS seen_locally, sources AS corroborating_sources FROM ruled""",
+      seen AS seen_locally, sources AS corroborating_sources, categories FROM ruled""",
         CANDIDATES,
         LONG,
     ),
@@ -377,7 +379,22 @@ def _(spark, sf):
     events = X.threat_events(spark, sf)
     rows = X.candidates(spark, sf, events)
     decided = decisions.attribution(rows, events, X.reputation(rows), X.geo(rows)).drop("reason")
-    return decided.withColumn("corroborating_sources", F.array_join("corroborating_sources", ","))
+    return listed(decided, "corroborating_sources", "categories")
+
+
+@query(
+    "attribution_techniques",
+    over_events(
+        NAMED_CATEGORIES
+        + """
+    SELECT te.ip, d.category, d.tactic, d.technique_id, d.technique_name
+    FROM named n JOIN te ON n.event_id = te.event_id JOIN dim_category d ON d.category = n.name""",
+        DIM_CATEGORY,
+    ),
+)
+def _(spark, sf):
+    payloads = X.reputation_payloads(X.threat_events(spark, sf))
+    return decisions.techniques(enrich.project_reputation(payloads, X.CATEGORY_NAMES), X.dim_category(spark))
 
 
 @query(

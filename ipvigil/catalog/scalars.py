@@ -157,20 +157,20 @@ def _(spark, sf):
     return C.fill_feature_defaults(X.threat_events(spark, sf).select("event_id", "category", "abuse_confidence_score"))
 
 
+NAMED_CATEGORIES = """,
+ids AS (
+  SELECT event_id, i * 2 AS pos, (event_id * i) % 25 + 1 AS id FROM te, range(1, 11) r(i) WHERE event_id % 19 <> 0
+  UNION ALL
+  SELECT event_id, i * 2 + 1 AS pos, (event_id + i) % 25 + 1 AS id FROM te, range(1, 11) r(i) WHERE event_id % 19 <> 0
+),
+named AS (
+  SELECT event_id, concat('C', lpad(CAST(id AS VARCHAR), 2, '0')) AS name, min(pos) AS pos FROM ids WHERE id <= 23 GROUP BY 1, 2
+)"""
+
+
 @query(
     "category_names",
-    over_events(
-        """,
-    ids AS (
-      SELECT event_id, i * 2 AS pos, (event_id * i) % 25 + 1 AS id FROM te, range(1, 11) r(i) WHERE event_id % 19 <> 0
-      UNION ALL
-      SELECT event_id, i * 2 + 1 AS pos, (event_id + i) % 25 + 1 AS id FROM te, range(1, 11) r(i) WHERE event_id % 19 <> 0
-    ),
-    named AS (
-      SELECT event_id, concat('C', lpad(CAST(id AS VARCHAR), 2, '0')) AS name, min(pos) AS pos FROM ids WHERE id <= 23 GROUP BY 1, 2
-    )
-    SELECT event_id, string_agg(name, ',' ORDER BY pos) AS recent_categories FROM named GROUP BY event_id"""
-    ),
+    over_events("SELECT event_id, string_agg(name, ',' ORDER BY pos) AS recent_categories FROM named GROUP BY event_id", NAMED_CATEGORIES),
 )
 def _(spark, sf):
     payloads = X.reputation_payloads(X.threat_events(spark, sf)).filter(F.col("data").isNotNull())

@@ -156,13 +156,14 @@ def fit(
 def anomaly_rate(events: DataFrame, column: str = "anomaly_score", contamination: float = CONTAMINATION) -> DataFrame:
     """Share of rows below the contamination quantile, and whether it is close to the target.
 
-    Scores carry four decimals, so the exact percentile holds few distinct values.
+    Scores carry four decimals; everything is derived from the counts per score, in one pass.
     """
-    scored = events.filter(F.col(column).isNotNull())
-    cutoff = scored.agg(F.percentile(column, contamination).alias("q")).scalar()
-    counted = scored.agg(F.count_if(F.col(column) < cutoff).alias("below"), F.count("*").alias("scored"))
+    counted = events.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    cutoff = counted.agg(F.percentile(column, contamination, "n").alias("q")).scalar()
+    below = F.when(F.col(column) < cutoff, F.col("n")).otherwise(F.lit(0))
+    sums = counted.agg(F.coalesce(F.sum(below), F.lit(0)).alias("below"), F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
     rate = F.round(F.try_divide(F.col("below").cast("double"), F.col("scored").cast("double")), 4)
-    return counted.select(
+    return sums.select(
         "scored",
         "below",
         rate.alias("observed_rate"),

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from ipvigil.functions import columns as C
 from ipvigil.operators.addresses import ip_history, local_evidence
-from ipvigil.operators.scale import written_hot_keys
+from ipvigil.operators.scale import small, written_hot_keys
 
 DECISIONS = ["insufficient_data", "block", "block", "monitor", "monitor", "monitor", "insufficient_data"]
 
 
 def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, **routing) -> DataFrame:
     """Every address with its local sightings, reputation and hosting flag. All four sides meet on ip."""
-    rep = reputation.select("ip", "abuse_confidence_score", "num_distinct_users", "total_reports")
+    rep = reputation.select("ip", "abuse_confidence_score", "num_distinct_users", "total_reports", "recent_categories")
     hosts = geo.select("ip", "is_hosting")
     joined = (
         addresses.select("ip")
@@ -24,6 +24,7 @@ def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo
         {
             "seen": F.coalesce("seen", F.lit(0)),
             "sources": F.coalesce("sources", F.array().cast("array<string>")),
+            "recent_categories": F.coalesce("recent_categories", F.array().cast("array<string>")),
             "in_reputation": F.coalesce("in_reputation", F.lit(False)),
         }
     )
@@ -68,11 +69,18 @@ def attribution(addresses: DataFrame, events: DataFrame, reputation: DataFrame,
             "total_reports",
             F.col("seen").alias("seen_locally"),
             F.col("sources").alias("corroborating_sources"),
+            F.col("recent_categories").alias("categories"),
             reason.alias("reason"),
         )
     )
 
 
+def techniques(reputation: DataFrame, dim_category: DataFrame) -> DataFrame:
+    """Tactic and technique of every recent category of an address; unmapped categories are left out."""
+    reported = reputation.select("ip", F.explode("recent_categories").alias("category"))
+    return reported.join(small(dim_category), "category").select("ip", "category", "tactic", "technique_id", "technique_name")
+
+
 def origin_verdict(reputation: DataFrame, geo: DataFrame) -> DataFrame:
     """Kind of network behind an address, and what it was last reported for."""
     flags = geo.select("ip", "is_proxy_or_vpn", "is_hosting", "is_mobile")
