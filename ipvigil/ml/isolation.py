@@ -159,7 +159,7 @@ def anomaly_rate(events: DataFrame, column: str = "anomaly_score", contamination
     Scores carry four decimals; everything is derived from the counts per score, in one pass.
     """
     counted = events.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    cutoff = counted.agg(F.percentile(column, contamination, "n").alias("q")).scalar()
+    cutoff = counted.agg(F.percentile(column, contamination, F.col("n")).alias("q")).scalar()
     below = F.when(F.col(column) < cutoff, F.col("n")).otherwise(F.lit(0))
     sums = counted.agg(F.coalesce(F.sum(below), F.lit(0)).alias("below"), F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
     rate = F.round(F.try_divide(F.col("below").cast("double"), F.col("scored").cast("double")), 4)

@@ -153,7 +153,7 @@ def score_percentiles(events: DataFrame, column: str = "anomaly_score") -> DataF
     ten thousand weighted values instead of one set of values per map task.
     """
     counted = events.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    whole = F.percentile(column, F.array(*[F.lit(i / 100) for i in range(101)]), "n")
+    whole = F.percentile(column, F.array(*[F.lit(i / 100) for i in range(101)]), F.col("n"))
     return counted.agg(F.transform(whole, lambda v: F.round(v, 6)).alias("breaks"))
 
 

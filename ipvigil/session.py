@@ -14,8 +14,6 @@ def build_session(app: str = "ipvigil", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.sql.parquet.aggregatePushdown", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
