@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ipvigil.llm import toxicity
+from ipvigil.llm import automata, decontaminate, licences, lines, phrases, pieces, simhash, substrings, toxicity, warc
 from ipvigil.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,145 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs, model, ["doc_id"])
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, deleted lines and the digest of what is left, per document; see `lines`."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = lines.rebuilt(docs, lines.repeated_windows(docs), ["doc_id"])
+    return made.select(
+        "doc_id", F.col("line_count").alias("n_lines"), F.col("line_removed").alias("n_removed"),
+        F.col("line_sha256").alias("kept_sha256"),
+    )
+
+
+CHECKS["op1_line_dedup"] = f"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+compared AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM split WHERE trim(line, ' ') <> ''),
+joined AS (
+  SELECT doc_id, k, string_agg(trim(line, ' '), chr(10)) OVER w AS content, count(*) OVER w AS n
+  FROM compared WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {lines.RUN - 1} FOLLOWING)),
+firsts AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY content ORDER BY doc_id, k) AS nth FROM joined WHERE n = {lines.RUN}),
+gone AS (
+  SELECT DISTINCT c.doc_id, c.i FROM compared c JOIN firsts f
+  ON f.doc_id = c.doc_id AND f.nth > 1 AND c.k BETWEEN f.k AND f.k + {lines.RUN - 1})
+SELECT s.doc_id, CAST(count(*) FILTER (trim(s.line, ' ') <> '') AS BIGINT) AS n_lines, CAST(count(g.i) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i
+GROUP BY s.doc_id
+"""
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document; see `simhash`."""
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows found in every document; see `decontaminate`."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = decontaminate.matched(docs, table(spark, folder, "benchmark"), ["doc_id"])
+    hit = F.aggregate(
+        F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("long"),
+        lambda total, i: total + F.get("spans", i + 1) - F.get("spans", i),
+    )
+    return made.select(
+        "doc_id", "n_words", F.when(F.size("spans") > 0, hit).otherwise(0).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), F.col("longest").alias("longest_match"),
+    )
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+CHECKS["op7_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, least(len(w), {decontaminate.WINDOW}) AS n, array_to_string(w[k:k + {decontaminate.WINDOW - 1}], ' ') AS content, k
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1))) AS k FROM b WHERE len(w) > 0)),
+distinct_windows AS (SELECT DISTINCT n, content FROM iw),
+dw AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS content
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k
+        FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hits AS (SELECT dw.* FROM dw JOIN distinct_windows USING (n, content)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT h.doc_id, iw.item FROM hits h JOIN iw USING (n, content)) GROUP BY doc_id),
+same AS (
+  SELECT DISTINCT h.doc_id, iw.item, h.k AS p, iw.k - h.k AS diagonal, h.n FROM hits h JOIN iw USING (n, content)),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, diagonal ORDER BY p) AS run FROM same),
+longest AS (
+  SELECT doc_id, max(size) AS longest_match
+  FROM (SELECT doc_id, item, diagonal, run, max(n) + count(*) - 1 AS size FROM runs GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, their digest, and whether decoding gives the text back; see `pieces`."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = pieces.encoded(docs, pieces.model_bytes(), ["doc_id"])
+    joined = F.sha2(F.array_join("ids", " "), 256)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined.alias("ids_sha256"), "round_trip")
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive every page and read the archives back; see `warc`."""
+    return warc.archived(table(spark, folder, "pages"))
+
+
+CHECKS["op5_warc"] = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.LEAST} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to, true AS intact
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query
+def op3_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text; see `phrases`."""
+    return phrases.with_next(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document; see `licences`."""
+    made = licences.scanned(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    return made.select(
+        "doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join("licences.name", ",").alias("names"),
+        F.coalesce(F.array_max("licences.containment"), F.lit(0.0)).alias("containment"),
+    )
+
+
+@query
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated 100-byte strings removed from every document; see `substrings`."""
+    return substrings.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_automata(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated 13-word windows removed from every document; see `automata`."""
+    return automata.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
