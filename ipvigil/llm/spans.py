@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds a task's memory whatever a batch holds.
 CHUNK = 1 << 18
@@ -38,7 +39,7 @@ def sliced(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[pa.R
     if not len(batch):
         return
     column = batch.column(batch.schema.get_field_index(text))
-    length = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    length = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     part = (np.cumsum(length) - length) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
     for a, b in zip(cuts, cuts[1:], strict=False):
