@@ -196,7 +196,7 @@ class Codec:
         for at, found in zip(range(0, len(new), JOINED), self.head.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = found.ids
             cuts = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            self.known.update((w, ids[a:b]) for w, a, b in zip(new[at : at + JOINED], cuts, cuts[1:], strict=True))
+            self.known.update((w, ids[a:b]) for w, a, b in zip(new[at : at + JOINED], cuts[:-1], cuts[1:], strict=True))
         return [list(chain.from_iterable(map(self.known.__getitem__, t))) for t in texts]
 
     def _in_parts(self, texts: list[str]) -> list[list[int]]:
