@@ -99,6 +99,10 @@ messages AS (
   FROM te
 )"""
 
+BROKEN = """,
+broken AS (
+  SELECT event_id, substr(concat('{"ip":"', ip, '","country_code":"'), 1, 20) AS text FROM messages WHERE event_id % 500 = 7
+)"""
 LONG = """,
 history AS (
   SELECT *, row_number() OVER (PARTITION BY ip ORDER BY loaded_at DESC, event_id DESC) AS rank FROM te
@@ -108,3 +112,8 @@ def over_events(body: str, *parts: str) -> str:
     """A complete statement: the event table, the given parts, then `body` (which may add CTEs by a leading comma)."""
     head = "WITH " + TE + "".join(parts)
     return f"{head}{body}" if body.lstrip().startswith(",") else f"{head}\n{body}"
+
+
+def in_order(select: str, order: str) -> str:
+    """A page with the places of its rows."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS position FROM ({select}) page"

@@ -1,11 +1,13 @@
 """Streaming queries: the given events arrive as a stream, are drained, and the written result is returned."""
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ipvigil.catalog import fixtures as X
 from ipvigil.catalog.registry import listed, query
-from ipvigil.catalog.sql import DIM_COUNTRY, MESSAGES, over_events
+from ipvigil.catalog.sql import BROKEN, DIM_COUNTRY, MESSAGES, over_events
 from ipvigil.schema import EVENT_COLUMNS
 from ipvigil.session import shared_folder
 from ipvigil.sources import messages, tables
@@ -24,13 +26,26 @@ PARTS = (MESSAGES, DIM_COUNTRY, ENRICHED)
 COLUMNS = ", ".join(EVENT_COLUMNS)
 
 
-def raw_stream(spark, sf) -> DataFrame:
-    events = X.events_from(X.event_stream(spark, sf), X.table(spark, sf, "nation"))
-    return X.message_text(events).select("value")
+FILES = 3
+
+
+def texts(spark, sf) -> DataFrame:
+    return X.message_text(X.threat_events(spark, sf))
+
+
+def topic(messages_: DataFrame, path: str) -> str:
+    """Messages as a folder of several files; a stream takes one file per batch."""
+    messages_.select("value").repartition(FILES).write.text(path)
+    return path
+
+
+def stream_of(spark, sf, path: str) -> DataFrame:
+    raw = messages.bus(spark, "text", path=path, maxFilesPerTrigger="1")
+    return jobs.enriched_stream(raw, X.dim_country(spark, sf))
 
 
 def enriched_stream(spark, sf) -> DataFrame:
-    return jobs.enriched_stream(raw_stream(spark, sf), X.dim_country(spark, sf))
+    return stream_of(spark, sf, topic(texts(spark, sf), shared_folder(spark, "topic")))
 
 
 def drained(stream: DataFrame, base: str) -> DataFrame:
@@ -40,24 +55,43 @@ def drained(stream: DataFrame, base: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-@query("stream_enrich", over_events(f"SELECT {COLUMNS}, categories FROM enriched", *PARTS))
+EMPTY = """SELECT NULL AS ip, NULL AS country_code, NULL AS abuse_confidence_score, 'low' AS risk_level, 0 AS latitude,
+  0 AS longitude, NULL AS last_reported_at, NULL AS event_time, NULL AS source, NULL AS category"""
+
+
+@query(
+    "stream_enrich",
+    over_events(
+        f"""SELECT {COLUMNS}, categories, CAST(NULL AS VARCHAR) AS malformed FROM enriched
+        UNION ALL SELECT e.*, '' AS categories, text FROM ({EMPTY}) e, broken""",
+        *PARTS, BROKEN,
+    ),
+)
 def _(spark, sf):
     return listed(drained(enriched_stream(spark, sf), shared_folder(spark, "stream-enrich")), "categories")
 
 
-@query("src_bus", over_events("SELECT source, count(*) AS n FROM enriched GROUP BY source", *PARTS))
+@query(
+    "src_bus",
+    over_events(
+        """SELECT source, count(*) AS n, CAST(0 AS BIGINT) AS malformed FROM enriched GROUP BY source
+        UNION ALL SELECT NULL, count(*), count(*) FROM broken""",
+        *PARTS, BROKEN,
+    ),
+)
 def _(spark, sf):
     base = shared_folder(spark, "bus")
-    X.message_text(X.threat_events(spark, sf)).select("value").write.text(f"{base}/topic")
-    raw = messages.bus(spark, "text", path=f"{base}/topic")
+    raw = messages.bus(spark, "text", path=topic(texts(spark, sf), f"{base}/topic"), maxFilesPerTrigger="1")
     rows = drained(messages.parse_message(raw), base)
-    return rows.groupBy("source").agg(F.count("*").alias("n"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("malformed").alias("malformed"))
 
 
 @query(
     "sink_bus",
     over_events(
-        "SELECT ip AS key, country_code, abuse_confidence_score, risk_level, latitude, source, categories FROM enriched", *PARTS
+        """SELECT ip AS key, country_code, abuse_confidence_score, risk_level, latitude, source, categories, CAST(NULL AS VARCHAR) AS malformed
+        FROM enriched UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, '', text FROM broken""",
+        *PARTS, BROKEN,
     ),
 )
 def _(spark, sf):
@@ -66,34 +100,68 @@ def _(spark, sf):
     jobs.start_bus_sink(stream, f"{base}/state", fmt="json", path=f"{base}/topic").awaitTermination()
     sent = spark.read.schema("key string, value string").json(f"{base}/topic")
     body = F.from_json("value", stream.schema).alias("m")
-    columns = ["country_code", "abuse_confidence_score", "risk_level", "latitude", "source", "categories"]
-    return listed(sent.select("key", body).select("key", *[f"m.{c}" for c in columns]), "categories")
+    columns = ["country_code", "abuse_confidence_score", "risk_level", "latitude", "source", "categories", "malformed"]
+    rows = listed(sent.select("key", body).select("key", *[f"m.{c}" for c in columns]), "categories")
+    return rows.withColumn("categories", F.coalesce("categories", F.lit("")))
 
 
 def _loaded(spark, sf, score=None, bus: bool = False) -> str:
-    """Run the table sink over the whole stream and return its folder."""
+    """Load all messages into one table, in the ways a table is loaded, and return its folder.
+
+    A third comes from a stream in several batches, a third from a second stream with a new checkpoint, and a third in
+    a batch of which an unfinished attempt has left other rows behind. Then the first batches come again.
+    """
     base = shared_folder(spark, "sink-table")
-    started = jobs.start_table_sink(
-        enriched_stream(spark, sf), f"{base}/table", f"{base}/metrics", f"{base}/state", score,
-        f"{base}/bus" if bus else None, interval=None,
-    )
-    started.awaitTermination()
+    places = f"{base}/table", f"{base}/metrics"
+    sent = f"{base}/bus" if bus else None
+    part = F.col("event_id") % 3
+    for i in range(2):
+        stream = stream_of(spark, sf, topic(texts(spark, sf).filter(part == i), f"{base}/topic-{i}"))
+        jobs.start_table_sink(stream, *places, f"{base}/state-{i}", score, sent, interval=None).awaitTermination()
+    rest = jobs.enriched_stream(texts(spark, sf).filter(part == 2), X.dim_country(spark, sf))
+    day = tables.start_of(spark, f"{places[1]}_started", 0, "by-hand", messages.valid(rest).count())[0].date()
+    tables.write_batch(tables.scan_events(spark, places[0]).drop("load_date").limit(5), places[0], 0, "by-hand", day)
+    jobs.load_batch(rest, 0, "by-hand", *places, score, sent)
+    for run in tables.folders(spark, places[1]):
+        again = jobs.enriched_stream(texts(spark, sf).limit(10), X.dim_country(spark, sf))
+        jobs.load_batch(again, 0, run.removeprefix("run="), *places, score, sent)
     return base
 
 
 @query("sink_table", over_events(f"SELECT {COLUMNS} FROM enriched", *PARTS))
 def _(spark, sf):
-    """Every message is delivered twice: batch 0 comes again after the stream has ended."""
-    base = _loaded(spark, sf)
-    again = jobs.enriched_stream(X.message_text(X.threat_events(spark, sf)), X.dim_country(spark, sf))
-    jobs.load_batch(again, 0, f"{base}/table", f"{base}/metrics")
-    return tables.scan_events(spark, f"{base}/table").select(*EVENT_COLUMNS)
+    return tables.scan_events(spark, f"{_loaded(spark, sf)}/table").select(*EVENT_COLUMNS)
+
+
+@query("compact_days", over_events(f"SELECT {COLUMNS} FROM enriched", *PARTS))
+def _(spark, sf):
+    """The same rows once the batches of all days are rewritten."""
+    path = f"{_loaded(spark, sf)}/table"
+    tables.compact_days(spark, path, date(9999, 1, 1))
+    return tables.scan_events(spark, path).select(*EVENT_COLUMNS)
+
+
+@query("event_ids", over_events("SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most FROM enriched", *PARTS))
+def _(spark, sf):
+    """Ids are distinct and dense over all batches of all runs."""
+    rows = tables.scan_events(spark, f"{_loaded(spark, sf)}/table")
+    return rows.agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("event_id").alias("least"), F.max("event_id").alias("most")
+    )
+
+
+@query("quarantine", over_events("SELECT text AS value FROM broken", MESSAGES, BROKEN))
+def _(spark, sf):
+    return spark.read.parquet(f"{_loaded(spark, sf)}/table_quarantine").select("value")
 
 
-@query("batch_metrics", over_events("SELECT count(*) AS batch_rows FROM enriched", *PARTS))
+@query(
+    "batch_metrics",
+    over_events("SELECT (SELECT count(*) FROM enriched) AS batch_rows, (SELECT count(*) FROM broken) AS malformed_rows", *PARTS, BROKEN),
+)
 def _(spark, sf):
-    base = _loaded(spark, sf)
-    return jobs.read_metrics(spark, f"{base}/metrics").agg(F.sum("batch_rows").alias("batch_rows"))
+    logged = jobs.read_metrics(spark, f"{_loaded(spark, sf)}/metrics")
+    return logged.agg(F.sum("batch_rows").alias("batch_rows"), F.sum("malformed_rows").alias("malformed_rows"))
 
 
 @query(
@@ -101,8 +169,9 @@ def _(spark, sf):
     over_events(
         """SELECT 'table' AS sink, source, count(*) AS n FROM enriched GROUP BY source
         UNION ALL SELECT 'bus', source, count(*) FROM enriched GROUP BY source
+        UNION ALL SELECT 'bus', NULL, count(*) FROM broken
         UNION ALL SELECT 'metrics', NULL, count(*) FROM enriched""",
-        *PARTS,
+        *PARTS, BROKEN,
     ),
 )
 def _(spark, sf):
@@ -123,9 +192,12 @@ def _(spark, sf):
     over_events("SELECT country_code, count(*) AS n FROM enriched WHERE country_code IS NOT NULL GROUP BY country_code", *PARTS),
 )
 def _(spark, sf):
+    """A stream over a part of the messages, then one with a new checkpoint over all: only the latter's counts stay."""
     base = shared_folder(spark, "live-counts")
-    jobs.start_live_counts(enriched_stream(spark, sf), f"{base}/counts", f"{base}/state").awaitTermination()
-    return jobs.newest_batch(spark.read.parquet(f"{base}/counts"))
+    part = stream_of(spark, sf, topic(texts(spark, sf).filter("event_id % 4 = 0"), f"{base}/topic"))
+    jobs.start_live_counts(part, f"{base}/counts", f"{base}/state-0").awaitTermination()
+    jobs.start_live_counts(enriched_stream(spark, sf), f"{base}/counts", f"{base}/state-1").awaitTermination()
+    return jobs.newest_state(spark.read.parquet(f"{base}/counts"))
 
 
 @query(
@@ -139,5 +211,5 @@ def _(spark, sf):
 def _(spark, sf):
     base = shared_folder(spark, "live-feed")
     jobs.start_live_feed(enriched_stream(spark, sf), f"{base}/feed", f"{base}/state").awaitTermination()
-    feed = jobs.newest_batch(spark.read.parquet(f"{base}/feed"))
+    feed = jobs.newest_state(spark.read.parquet(f"{base}/feed"))
     return feed.select("ip", "source", "country_code", "risk_level", "event_time")

@@ -4,14 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ipvigil.functions import columns as C
-from ipvigil.operators.scale import small
+from ipvigil.operators.scale import latest_per_key
 from ipvigil.schema import EVENT_COLUMNS
 
 
 def with_centroid(events: DataFrame, dim_country: DataFrame) -> DataFrame:
     """Country coordinates; an unknown or missing country lies at (0, 0)."""
     dim = dim_country.select("country_code", "latitude", "longitude")
-    joined = events.drop("latitude", "longitude").join(small(dim), "country_code", "left")
+    joined = events.drop("latitude", "longitude").join(dim, "country_code", "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("latitude", "longitude")}
     )
@@ -21,16 +21,17 @@ def with_country_name(events: DataFrame, dim_country: DataFrame) -> DataFrame:
     """Country name, else its code, else 'Unknown' (also for an empty code)."""
     dim = dim_country.select("country_code", F.col("name").alias("country_name"))
     code = F.when(F.col("country_code") != "", F.col("country_code"))
-    joined = events.join(small(dim), "country_code", "left")
+    joined = events.join(dim, "country_code", "left")
     return joined.withColumn("country_name", F.coalesce("country_name", code, F.lit("Unknown")))
 
 
 def with_tactic(events: DataFrame, dim_category: DataFrame, keep_unmapped: bool = True) -> DataFrame:
-    return events.join(small(dim_category), "category", "left" if keep_unmapped else "inner")
+    return events.join(dim_category, "category", "left" if keep_unmapped else "inner")
 
 
 def enrich(messages: DataFrame, dim_country: DataFrame) -> DataFrame:
-    """Event columns plus the category list, for every message."""
+    """Event columns plus the category list (and the mark of malformed messages), for every message."""
+    marked = ["malformed"] if "malformed" in messages.columns else []
     located = with_centroid(messages, dim_country)
     return located.withColumns(
         {
@@ -38,19 +39,23 @@ def enrich(messages: DataFrame, dim_country: DataFrame) -> DataFrame:
             "event_time": C.event_time("ingested_at"),
             "categories": C.categories("category"),
         }
-    ).select(*EVENT_COLUMNS, "categories")
+    ).select(*EVENT_COLUMNS, "categories", *marked)
 
 
 def fill_country(messages: DataFrame, geo: DataFrame) -> DataFrame:
-    """Country by address where the message has none; stays NULL if the lookup knows nothing."""
-    found = geo.filter(F.col("status") == "success").select("ip", F.col("countryCode").alias("found"))
+    """Country by address where the message has none; stays NULL if the lookup knows nothing.
+
+    The latest successful answer for an address counts (by `landed_at`, where the answers have it).
+    """
+    known = latest_per_key(geo.filter(F.col("status") == "success"), "ip")
+    found = known.select("ip", F.col("countryCode").alias("found"))
     joined = messages.join(found, "ip", "left")
     return joined.withColumn("country_code", F.coalesce("country_code", "found")).drop("found")
 
 
 def refine_location(events: DataFrame, geo: DataFrame) -> DataFrame:
-    """City coordinates where the lookup succeeded with a position, else the coordinates at hand."""
-    known = geo.filter((F.col("status") == "success") & F.col("lat").isNotNull())
+    """City coordinates where the latest successful lookup with a position has them, else those at hand."""
+    known = latest_per_key(geo.filter((F.col("status") == "success") & F.col("lat").isNotNull()), "ip")
     found = known.select("ip", F.col("lat").alias("geo_lat"), F.col("lon").alias("geo_lon"), "city")
     joined = events.join(found, "ip", "left")
     located = F.col("geo_lat").isNotNull()
@@ -125,8 +130,12 @@ def seen_categories(events: DataFrame) -> DataFrame:
 
 
 def keyed_update(events: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Fill `column` by key where it is NULL; all other rows pass without a shuffle."""
+    """Fill `column` by key where it is NULL; all other rows pass without a shuffle.
+
+    Of several updates of a key the latest counts (by `landed_at`, where there is one, else the largest value).
+    """
     missing = events.filter(F.col(column).isNull())
-    new = updates.select(key, F.col(column).alias("new_value"))
+    timed = [c for c in ("landed_at",) if c in updates.columns and c not in (key, column)]
+    new = latest_per_key(updates.select(key, *timed, F.col(column).alias("new_value")), key)
     filled = missing.join(new, key, "left").withColumn(column, F.col("new_value")).drop("new_value")
     return events.filter(F.col(column).isNotNull()).unionByName(filled.select(*events.columns))

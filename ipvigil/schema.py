@@ -6,7 +6,10 @@ from pyspark.sql.types import StructType
 
 
 def _schema(columns: str) -> StructType:
-    """Flat schema from "name type, name type" with Spark's type names."""
+    """Flat schema from "name type, name type" with Spark's type names.
+
+    Spark's own reader of such texts needs a running session, which does not exist yet when this is imported.
+    """
     out = StructType()
     for column in columns.split(", "):
         name, kind = column.split(" ")
@@ -14,6 +17,7 @@ def _schema(columns: str) -> StructType:
     return out
 
 
+# --- fixed values: names and types of the messages and of the table, which other programs read
 RAW_MESSAGE = _schema(
     "ip string, country_code string, abuse_confidence_score double, last_reported_at string, "
     "source string, ingested_at double, category string"
@@ -42,7 +46,7 @@ THREAT_EVENTS = _schema(
 )
 
 PIPELINE_METRICS = _schema(
-    "batch_id long, batch_rows long, write_duration_ms double, recorded_at timestamp_ntz"
+    "batch_id long, batch_rows long, write_duration_ms double, recorded_at timestamp_ntz, malformed_rows long"
 )
 
 BRIEFING_SNAPSHOTS = _schema(

@@ -27,30 +27,35 @@ def bus(spark: SparkSession, fmt: str = "kafka", streaming: bool = True, schema=
     return loaded.withColumn("value", F.col("value").cast("string")) if "value" in loaded.columns else loaded
 
 
-def parse_message(raw: DataFrame, on_malformed: str = "quarantine", keep: Sequence[str] = ()) -> DataFrame:
-    """Typed message columns from JSON text, after the columns of `raw` named in `keep`.
+def parse_message(raw: DataFrame, on_malformed: str = "mark", keep: Sequence[str] = ()) -> DataFrame:
+    """Typed message columns from JSON text, after the columns of `raw` named in `keep`. No message is lost.
 
-    on_malformed="keep" turns text that is no valid message into a row of NULLs; "quarantine" leaves it out
-    here and `quarantined` returns it.
+    Text that is no valid message becomes a row of NULLs. on_malformed="mark" adds a column `malformed` with that text
+    (NULL for valid messages), by which the sinks tell such rows apart; "keep" leaves the column out.
     """
-    return _parsed(raw, on_malformed).select(*keep, "data.*").drop("_corrupt")
+    # through explode the text is parsed once, however many columns and filters use the result
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = raw.select("*", F.explode(F.array(F.from_json("value", PARSED, options))).alias("data"))
+    rows = parsed.select(*keep, "data.*", "value", F.col("data").isNull().alias("_empty"))
+    if on_malformed == "mark":
+        broken = F.col("_empty") | F.col("_corrupt").isNotNull()
+        rows = rows.withColumn("malformed", F.when(broken, F.coalesce("value", F.lit(""))))
+    return rows.drop("_corrupt", "_empty", *([] if "value" in keep else ["value"]))
 
 
-def quarantined(raw: DataFrame) -> DataFrame:
-    """The text of messages that `parse_message` leaves out."""
-    parsed = _parsed(raw, "keep")
-    return parsed.filter(F.col("data").isNull() | F.col("data._corrupt").isNotNull()).select("value")
+def quarantined(rows: DataFrame) -> DataFrame:
+    """The text of the malformed messages among marked rows."""
+    return rows.filter(F.col("malformed").isNotNull()).select(F.col("malformed").alias("value"))
 
 
-def _parsed(raw: DataFrame, on_malformed: str) -> DataFrame:
-    """Add `data`. Through explode the text is parsed once, however many columns and filters use the result."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = raw.select("*", F.explode(F.array(F.from_json("value", PARSED, options))).alias("data"))
-    if on_malformed == "keep":
-        return parsed
-    return parsed.filter(F.col("data").isNotNull() & F.col("data._corrupt").isNull())
+def valid(rows: DataFrame) -> DataFrame:
+    """Marked rows without the malformed ones; frames that are not marked pass as they are."""
+    return rows.filter(F.col("malformed").isNull()).drop("malformed") if "malformed" in rows.columns else rows
 
 
 def to_bus(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Outgoing messages: address as key, the named columns as JSON."""
-    return events.select(F.col("ip").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+    """Outgoing messages: address as key, the named columns as JSON; malformed text goes on without a key."""
+    body = F.to_json(F.struct(*columns))
+    if "malformed" in events.columns:
+        body = F.when(F.col("malformed").isNull(), body).otherwise(F.to_json(F.struct("malformed")))
+    return events.select(F.col("ip").alias("key"), body.alias("value"))

@@ -5,14 +5,13 @@ from datetime import date, datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ipvigil.constants import MODEL_SEED, REPLAY_POOL_SIZE
 from ipvigil.operators.scale import uniform_sample
 from ipvigil.schema import BRIEFING_SNAPSHOTS, PIPELINE_METRICS, THREAT_EVENTS, conform
 
-ROWS_PER_BATCH_BITS = 40
-
 TABLES = {
     "threat_events": THREAT_EVENTS,
     "pipeline_metrics": PIPELINE_METRICS,
@@ -32,14 +31,17 @@ def scan_events(
     """The event table with its declared columns: no file is opened to learn them, and files written before a
     column existed read as NULL there.
 
-    `since` keeps rows loaded from that time on and prunes the folders of earlier days.
+    A table in daily folders keeps `load_date`, the day of `loaded_at`, as its last column; reports on the newest
+    events use it to read the last days' folders alone. `since` keeps rows loaded from that time on.
     """
     rows = spark.read.schema(THREAT_EVENTS).parquet(path)
     if since is not None:
         if "load_date" in rows.columns:
             rows = rows.filter(F.col("load_date") >= F.lit(since.date()))
         rows = rows.filter(F.col("loaded_at") >= F.lit(since).cast("timestamp_ntz"))
-    return rows.select(*(columns or THREAT_EVENTS.names))
+    if "load_date" in rows.columns:
+        rows = rows.withColumn("load_date", F.col("load_date").cast("date"))
+    return rows.select(*(columns or [c for c in (*THREAT_EVENTS.names, "load_date") if c in rows.columns]))
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int, **options) -> DataFrame:
@@ -56,40 +58,81 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
     return reader.load()
 
 
-def batch_path(path: str, batch_id: int, run: str = "main", day: date | None = None) -> str:
+def batch_path(path: str, batch_id: int, run: str, day: date | None = None) -> str:
     base = f"{path}/load_date={day.isoformat()}" if day else path
     return f"{base}/run={run}/batch_id={batch_id}"
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, run: str = "main", day: date | None = None) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int, run: str, day: date | None = None) -> None:
     """Load one batch; loading the same batch again replaces it.
 
-    The batch owns its folder, so no other file is touched and no reader sees it twice. `run` names the
-    checkpoint whose batch numbers are meant: a stream started from a new checkpoint needs a new name.
+    The batch owns its folder, so no other file is touched and no reader sees it twice. `run` names the checkpoint
+    whose batch numbers are meant: every checkpoint counts from 0.
     """
     rows.write.mode("overwrite").parquet(batch_path(path, batch_id, run, day))
 
 
-def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str = "main") -> bool:
+def stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
+    """The files at `path`, None if there is no such folder; any other trouble is an error."""
     try:
-        spark.read.parquet(batch_path(path, batch_id, run))
-    except AnalysisException:
-        return False
-    return True
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str, schema: StructType = PIPELINE_METRICS) -> bool:
+    """Whether a batch was written; a folder without rows is what an unfinished attempt has left."""
+    rows = stored(spark, batch_path(path, batch_id, run), schema)
+    return rows is not None and not rows.isEmpty()
+
 
+STARTED = "loaded_at timestamp_ntz, first_id long, rows long"
 
-def load_time(spark: SparkSession, log: str, batch_id: int, run: str = "main") -> datetime:
-    """Load time (UTC) of a batch: noted before its first attempt, so a retry lands in the same folder."""
-    if not batch_exists(spark, log, batch_id, run):
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        write_batch(spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("loaded_at")), log, batch_id, run)
-    return spark.read.schema("loaded_at timestamp_ntz").parquet(batch_path(log, batch_id, run)).first().loaded_at
 
+def start_of(spark: SparkSession, log: str, batch_id: int, run: str, rows: int) -> tuple[datetime, int]:
+    """Load time (UTC) and first event_id of a batch, noted before its first attempt, so that a retry gets the same.
 
-def with_event_ids(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Number the rows of a persisted batch without sorting or collecting them.
+    Ids follow those of all batches of all runs that have started. Should two runs start batches at the same moment,
+    both see the other's note, and the later one (by time, then run) takes new ids.
+    """
+    own = batch_path(log, batch_id, run)
+
+    def note(loaded_at: datetime, first_id: int) -> None:
+        row = spark.range(1).select(
+            F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at"),
+            F.lit(first_id).cast("long").alias("first_id"),
+            F.lit(rows).cast("long").alias("rows"),
+        )
+        row.write.mode("overwrite").parquet(own)
+
+    def next_id() -> int:
+        noted = stored(spark, log, STARTED)
+        found = noted.agg(F.max(F.col("first_id") + F.col("rows"))).first()[0] if noted is not None else None
+        return found or 0
+
+    noted = stored(spark, own, STARTED)
+    if noted is None or noted.isEmpty():
+        note(datetime.now(timezone.utc).replace(tzinfo=None), next_id())
+    while True:
+        mine = stored(spark, own, STARTED).first()
+        others = stored(spark, log, f"{STARTED}, run string, batch_id long").filter(
+            ~((F.col("run") == run) & (F.col("batch_id") == batch_id))
+            & (F.col("first_id") < mine.first_id + rows)
+            & (F.col("first_id") + F.col("rows") > mine.first_id)
+        )
+        earlier = F.struct("loaded_at", "run") < F.struct(
+            F.lit(mine.loaded_at).cast("timestamp_ntz").alias("loaded_at"), F.lit(run).alias("run")
+        )
+        if others.filter(earlier).isEmpty():
+            return mine.loaded_at, mine.first_id
+        note(mine.loaded_at, next_id())
+
+
+def with_event_ids(batch: DataFrame, first_id: int) -> DataFrame:
+    """Number the rows of a persisted batch from `first_id` on, without sorting or collecting them.
 
-    The id holds the batch number and the row's position: rows before its partition, then its place inside.
     Only the partition sizes (one row each) are summed in order.
     """
     place = F.monotonically_increasing_id()
@@ -98,10 +141,56 @@ def with_event_ids(batch: DataFrame, batch_id: int) -> DataFrame:
     before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     numbered = tagged.join(F.broadcast(offsets), "part")
-    event_id = F.lit(batch_id << ROWS_PER_BATCH_BITS).cast("bigint") + F.col("before") + F.col("place")
+    event_id = F.lit(first_id).cast("bigint") + F.col("before") + F.col("place")
     return numbered.select(event_id.alias("event_id"), *batch.columns)
 
 
+def _storage(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, of the public Hadoop API."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    files, place = _storage(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _storage(spark, path)
+    files.delete(place, True)
+
+
+def compact_days(spark: SparkSession, path: str, before: date) -> list[str]:
+    """Rewrite every day before `before` (a day that gets no more batches) from one folder per batch to one folder.
+
+    The rewritten day is completed in a folder that readers skip; only then the batch folders go and it takes their
+    place. A call that was interrupted is finished by the next one. Returns the days it rewrote.
+    """
+    done = []
+    for name in folders(spark, path):
+        day = name.removeprefix("load_date=")
+        if name == day or day >= before.isoformat():
+            continue
+        folder, ready = f"{path}/{name}", f"{path}/_compact-{day}"
+        files, place = _storage(spark, f"{ready}/_SUCCESS")
+        if not files.exists(place):
+            if folders(spark, folder) == ["run=compacted"]:
+                continue
+            rows = spark.read.schema(THREAT_EVENTS).parquet(folder).select(*THREAT_EVENTS.names)
+            rows.write.mode("overwrite").parquet(ready)
+        for old in folders(spark, folder):
+            remove_folder(spark, f"{folder}/{old}")
+        files, target = _storage(spark, f"{folder}/run=compacted")
+        files.mkdirs(target)
+        files.rename(_storage(spark, ready)[1], _storage(spark, f"{folder}/run=compacted/batch_id=0")[1])
+        done.append(day)
+    return done
+
+
 def append_snapshot(row: DataFrame, path: str) -> None:
     conform(row, BRIEFING_SNAPSHOTS).coalesce(1).write.mode("append").parquet(path)
 

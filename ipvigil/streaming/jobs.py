@@ -13,8 +13,8 @@ from ipvigil.constants import LIVE_FEED_ROWS, TABLE_TRIGGER
 from ipvigil.operators.enrich import enrich
 from ipvigil.operators.rankings import live_feed
 from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS, conform
-from ipvigil.sources.messages import parse_message, to_bus
-from ipvigil.sources.tables import batch_exists, batch_path, load_time, with_event_ids, write_batch
+from ipvigil.sources.messages import parse_message, quarantined, to_bus, valid
+from ipvigil.sources.tables import batch_exists, folders, remove_folder, start_of, with_event_ids, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -24,7 +24,7 @@ def trigger_of(interval: str | None) -> dict:
     return {"processingTime": interval} if interval else {"availableNow": True}
 
 
-def enriched_stream(raw: DataFrame, dim_country: DataFrame, on_malformed: str = "quarantine") -> DataFrame:
+def enriched_stream(raw: DataFrame, dim_country: DataFrame, on_malformed: str = "mark") -> DataFrame:
     return enrich(parse_message(raw, on_malformed), dim_country)
 
 
@@ -34,42 +34,58 @@ def without_models(events: DataFrame) -> DataFrame:
     return events.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else events
 
 
+def run_of(batch: DataFrame) -> str:
+    """The id of the streaming query that a batch comes from: fixed per checkpoint, new with a new checkpoint."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise ValueError("not inside a streaming query")
+    return run
+
+
 def load_batch(
     batch: DataFrame,
     batch_id: int,
+    run: str,
     table: str,
     metrics: str,
     score: Scorer | None = None,
     bus: str | None = None,
-    run: str = "main",
+    quarantine: str | None = None,
 ) -> None:
     """Write one micro-batch to the table (and as JSON messages to `bus`) and log rows and write time.
 
-    The metrics row is written last: a batch that has one is complete and is skipped when it comes again, an
-    unfinished one is replaced. Scores are computed by the executors; rows never pass the driver. Empty
-    batches leave no trace.
+    `run` names the checkpoint that `batch_id` belongs to. Malformed messages go to `quarantine` (by default next to
+    the table) and are counted in the metrics row. That row is written last: a batch that has one is complete and is
+    skipped when it comes again, an unfinished one is replaced. Scores are computed by the executors; rows never pass
+    the driver. Empty batches leave no trace.
     """
     spark = batch.sparkSession
     if batch_exists(spark, metrics, batch_id, run):
         return
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = batch.count()
-        if rows == 0:
+        good = valid(batch)
+        rows, bad = good.count(), batch.count()
+        bad -= rows
+        if rows == bad == 0:
             return
-        numbered = with_event_ids(batch, batch_id)
+        loaded_at, first_id = start_of(spark, f"{metrics}_started", batch_id, run, rows)
+        numbered = with_event_ids(good, first_id)
         scored = without_models(score(numbered) if score else numbered)
-        loaded_at = load_time(spark, f"{metrics}_started", batch_id, run)
         stamped = scored.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp_ntz"))
         start = time.monotonic()
-        write_batch(stamped.drop("categories"), table, batch_id, run, loaded_at.date())
+        if rows:
+            write_batch(stamped.drop("categories"), table, batch_id, run, loaded_at.date())
         elapsed = (time.monotonic() - start) * 1000.0
+        if bad:
+            write_batch(quarantined(batch), quarantine or f"{table}_quarantine", batch_id, run, loaded_at.date())
         if bus:
             write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id, run)
         row = spark.range(1).select(
             F.lit(rows).cast("bigint").alias("batch_rows"),
             F.lit(elapsed).alias("write_duration_ms"),
             F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz").alias("recorded_at"),
+            F.lit(bad).cast("bigint").alias("malformed_rows"),
         )
         write_batch(row, metrics, batch_id, run)
     finally:
@@ -84,12 +100,12 @@ def start_table_sink(
     score: Scorer | None = None,
     bus: str | None = None,
     interval: str | None = TABLE_TRIGGER,
-    run: str = "main",
+    quarantine: str | None = None,
 ) -> StreamingQuery:
-    """One query feeds table, metrics and, if asked, the bus: the source is read and parsed once."""
+    """One query feeds table, quarantine, metrics and, if asked, the bus: the source is read and parsed once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch, batch_id, table, metrics, score, bus, run)
+        load_batch(batch, batch_id, run_of(batch), table, metrics, score, bus, quarantine)
 
     writer = events.writeStream.foreachBatch(handle).outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval)).start()
@@ -114,13 +130,26 @@ def live_counts(events: DataFrame) -> DataFrame:
     return events.filter(F.col("country_code") != "").groupBy("country_code").agg(F.count("*").alias("n"))
 
 
+def replace_state(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Keep `batch` as the newest state at `path`; of older states only the last stays, for readers at work."""
+    spark, run = batch.sparkSession, run_of(batch)
+    written = datetime.now(timezone.utc).replace(tzinfo=None)
+    write_batch(batch.withColumn("written_at", F.lit(written).cast("timestamp_ntz")), path, batch_id, run)
+    for other in folders(spark, path):
+        if other != f"run={run}":
+            remove_folder(spark, f"{path}/{other}")
+    for old in folders(spark, f"{path}/run={run}"):
+        if int(old.removeprefix("batch_id=")) < batch_id - 1:
+            remove_folder(spark, f"{path}/run={run}/{old}")
+
+
 def start_live_counts(events: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Keep the running counts at `path`; every trigger replaces them. One row per country is written."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        replace_state(batch, path, batch_id)
 
-    writer = live_counts(events).writeStream.foreachBatch(handle).outputMode("complete")
+    writer = live_counts(valid(events)).writeStream.foreachBatch(handle).outputMode("complete")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval)).start()
 
 
@@ -131,20 +160,23 @@ def start_live_feed(
     kept = [*EVENT_COLUMNS, "categories"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        pool = batch.select(*kept)
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.schema(batch.select(*kept).schema).parquet(batch_path(path, batch_id - 1))
-            pool = pool.unionByName(earlier)
-        write_batch(live_feed(pool, rows), path, batch_id)
-
-    writer = events.writeStream.foreachBatch(handle).outputMode("append")
+        pool, spark = batch.select(*kept), batch.sparkSession
+        base = f"{path}/run={run_of(batch)}"
+        numbers = [int(f.removeprefix("batch_id=")) for f in folders(spark, base)]
+        before = [n for n in numbers if n < batch_id]
+        if before:
+            pool = pool.unionByName(spark.read.schema(pool.schema).parquet(f"{base}/batch_id={max(before)}"))
+        replace_state(live_feed(pool, rows), path, batch_id)
+
+    writer = valid(events).writeStream.foreachBatch(handle).outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval)).start()
 
 
-def newest_batch(counts: DataFrame) -> DataFrame:
-    last = counts.agg(F.max("batch_id").alias("b")).scalar()
-    return counts.filter(F.col("batch_id") == last).drop("batch_id", "run")
+def newest_state(states: DataFrame) -> DataFrame:
+    """The rows of the state that was written last."""
+    last = states.agg(F.max("written_at").alias("w")).scalar()
+    return states.filter(F.col("written_at") == last).drop("batch_id", "run", "written_at")
 
 
 def read_metrics(spark, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), PIPELINE_METRICS)
+    return conform(spark.read.option("mergeSchema", "true").parquet(path), PIPELINE_METRICS)

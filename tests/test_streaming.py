@@ -1,7 +1,7 @@
 """Streams give what the same rows give in one batch, however they are cut and however often they come."""
 
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,11 +49,11 @@ def keyed(rows):
 
 def test_parsing_modes(spark, topic):
     raw = messages.bus(spark, "text", streaming=False, path=topic)
-    assert messages.parse_message(raw).count() == 4
+    assert messages.valid(messages.parse_message(raw)).count() == 4
     kept = messages.parse_message(raw, on_malformed="keep")
     assert kept.count() == 6
     assert kept.filter("ip IS NULL AND source IS NULL").count() == 2
-    assert sorted(r.value for r in messages.quarantined(raw).collect()) == sorted(BROKEN)
+    assert sorted(r.value for r in messages.quarantined(messages.parse_message(raw)).collect()) == sorted(BROKEN)
 
 
 def test_malformed_messages_become_low_risk_rows_if_kept(spark, topic, countries):
@@ -76,46 +76,79 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     table, metrics, bus = (str(tmp_path / n) for n in ("table", "metrics", "bus"))
     events = stream(spark, topic, countries)
     jobs.start_table_sink(events, table, metrics, str(tmp_path / "state"), bus=bus, interval=None).awaitTermination()
-    expected = keyed(jobs.enriched_stream(messages.bus(spark, "text", streaming=False, path=topic), countries).select(*EVENT_COLUMNS).collect())
+    once = messages.valid(jobs.enriched_stream(messages.bus(spark, "text", streaming=False, path=topic), countries))
+    expected = keyed(once.select(*EVENT_COLUMNS).collect())
     loaded = tables.scan_events(spark, table)
     assert keyed(loaded.select(*EVENT_COLUMNS).collect()) == expected
     assert loaded.filter("reoffense_probability IS NOT NULL OR anomaly_score IS NOT NULL").count() == 0
     logged = {r.batch_id: r.batch_rows for r in jobs.read_metrics(spark, metrics).collect()}
     assert sorted(logged.values()) == [1, 1, 2] and set(logged) == {0, 1, 2}
-    assert spark.read.parquet(bus).count() == 4
-    ids = [r.event_id for r in loaded.select("event_id").collect()]
-    batches = [i >> tables.ROWS_PER_BATCH_BITS for i in ids]
-    assert {b: batches.count(b) for b in set(batches)} == logged and len(set(ids)) == 4
+    assert sorted(r.malformed_rows for r in jobs.read_metrics(spark, metrics).collect()) == [0, 0, 2]
+    assert sorted(r.value for r in spark.read.parquet(f"{table}_quarantine").collect()) == sorted(BROKEN)
+    sent = spark.read.parquet(bus)
+    assert sent.filter("key IS NOT NULL").count() == 4
+    assert sorted(json.loads(r.value)["malformed"] for r in sent.filter("key IS NULL").collect()) == sorted(BROKEN)
+    assert sorted(r.event_id for r in loaded.select("event_id").collect()) == [0, 1, 2, 3]
+    run = tables.folders(spark, metrics)[0].removeprefix("run=")
 
     # a completed batch that comes again changes nothing
-    again = jobs.enriched_stream(messages.bus(spark, "text", streaming=False, path=topic), countries).limit(1)
-    jobs.load_batch(again, 1, table, metrics)
+    again = once.limit(1)
+    jobs.load_batch(again, 1, run, table, metrics)
     assert keyed(tables.scan_events(spark, table).select(*EVENT_COLUMNS).collect()) == expected
 
     # an unfinished batch (rows written, no metrics row) is replaced
-    day = tables.load_time(spark, f"{metrics}_started", 3).date()
-    tables.write_batch(loaded.limit(3), table, 3, day=day)
-    jobs.load_batch(again, 3, table, metrics)
+    day = tables.start_of(spark, f"{metrics}_started", 3, run, 1)[0].date()
+    tables.write_batch(loaded.drop("load_date").limit(3), table, 3, run, day)
+    jobs.load_batch(again, 3, run, table, metrics)
     assert tables.scan_events(spark, table).count() == 5
     assert tables.scan_events(spark, table, since=datetime(2024, 1, 1)).count() == 5
     later = tables.scan_events(spark, table, since=datetime(2999, 1, 1))
     assert later.count() == 0
     assert "PartitionFilters: [isnotnull(load_date" in later._jdf.queryExecution().executedPlan().toString()
-    # a restarted stream has nothing left to do
+    # a restarted stream has nothing left to do; one with a new checkpoint loads everything, under new ids
     jobs.start_table_sink(events, table, metrics, str(tmp_path / "state"), interval=None).awaitTermination()
     assert tables.scan_events(spark, table).count() == 5
+    jobs.start_table_sink(events, table, metrics, str(tmp_path / "state-2"), interval=None).awaitTermination()
+    ids = sorted(r.event_id for r in tables.scan_events(spark, table).collect())
+    assert ids == list(range(9))
+
+    # days that are over become one folder each, once
+    before = keyed(tables.scan_events(spark, table).collect())
+    assert len(tables.compact_days(spark, table, date(9999, 1, 1))) == 1
+    assert tables.compact_days(spark, table, date(9999, 1, 1)) == []
+    assert keyed(tables.scan_events(spark, table).collect()) == before
+
+
+def test_batches_started_at_the_same_moment_get_other_ids(spark, tmp_path):
+    log = str(tmp_path / "log")
+    first = tables.start_of(spark, log, 0, "b", 10)
+    # run "a" has read the log before "b" wrote its note, and notes the same ids a little later
+    later = spark.range(1).selectExpr("timestamp_ntz'2999-01-01' AS loaded_at", "0L AS first_id", "5L AS rows")
+    later.write.parquet(tables.batch_path(log, 0, "a"))
+    assert first[1] == 0 and tables.start_of(spark, log, 0, "a", 5)[1] == 10
+    assert tables.start_of(spark, log, 0, "b", 10) == first
+    assert tables.start_of(spark, log, 1, "b", 3)[1] == 15
+
+
+def test_unreadable_folders_are_errors(spark, tmp_path):
+    bad = tmp_path / "m" / "run=r" / "batch_id=0"
+    bad.mkdir(parents=True)
+    assert not tables.batch_exists(spark, str(tmp_path / "m"), 0, "r")
+    (bad / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        tables.batch_exists(spark, str(tmp_path / "m"), 0, "r")
 
 
 def test_event_ids_are_dense_over_partitions(spark):
     rows = spark.range(1000, numPartitions=7).filter("id % 3 = 0").persist()
     ids = sorted(r.event_id for r in tables.with_event_ids(rows, 5).collect())
-    assert ids == [(5 << tables.ROWS_PER_BATCH_BITS) + i for i in range(334)]
+    assert ids == [5 + i for i in range(334)]
     rows.unpersist()
 
 
 def test_empty_batch_leaves_no_trace(spark, topic, countries, tmp_path):
     none = enrich(messages.parse_message(messages.bus(spark, "text", streaming=False, path=topic)), countries).filter("false")
-    jobs.load_batch(none, 0, str(tmp_path / "t"), str(tmp_path / "m"))
+    jobs.load_batch(none, 0, "r", str(tmp_path / "t"), str(tmp_path / "m"))
     assert not (tmp_path / "t").exists() and not (tmp_path / "m").exists()
 
 
@@ -141,7 +174,7 @@ def test_outgoing_messages(spark, topic, countries, tmp_path):
     out = str(tmp_path / "out")
     jobs.start_bus_sink(stream(spark, topic, countries), str(tmp_path / "state"), fmt="json", path=out).awaitTermination()
     sent = {r.key: json.loads(r.value) for r in spark.read.schema("key string, value string").json(out).collect()}
-    assert set(sent) == {m["ip"] for m in MESSAGES}
+    assert set(sent) == {None, *(m["ip"] for m in MESSAGES)} and sent[None]["malformed"] in BROKEN
     assert sent["1.1.1.1"]["categories"] == ["SSH"] and sent["1.1.1.2"]["categories"] == []
     assert "country_code" not in sent["1.1.1.3"]
 
@@ -149,10 +182,13 @@ def test_outgoing_messages(spark, topic, countries, tmp_path):
 def test_live_counts_and_feed_over_batches(spark, topic, countries, tmp_path):
     events = stream(spark, topic, countries)
     jobs.start_live_counts(events, str(tmp_path / "c"), str(tmp_path / "cs")).awaitTermination()
-    found = {r.country_code: r.n for r in jobs.newest_batch(spark.read.parquet(str(tmp_path / "c"))).collect()}
+    found = {r.country_code: r.n for r in jobs.newest_state(spark.read.parquet(str(tmp_path / "c"))).collect()}
     assert found == {"US": 1, "XX": 1, "FR": 1}
+    assert [len(tables.folders(spark, f"{tmp_path}/c/{f}")) for f in tables.folders(spark, str(tmp_path / "c"))] == [2]
+    jobs.start_live_counts(events.filter("country_code = 'US'"), str(tmp_path / "c"), str(tmp_path / "cs2")).awaitTermination()
+    assert [r.country_code for r in jobs.newest_state(spark.read.parquet(str(tmp_path / "c"))).collect()] == ["US"]
     jobs.start_live_feed(events, str(tmp_path / "f"), str(tmp_path / "fs"), rows=3).awaitTermination()
-    feed = jobs.newest_batch(spark.read.parquet(str(tmp_path / "f")))
+    feed = jobs.newest_state(spark.read.parquet(str(tmp_path / "f")))
     assert [r.ip for r in feed.orderBy(F.desc("event_time")).collect()] == ["1.1.1.4", "1.1.1.3", "1.1.1.2"]
 
 
