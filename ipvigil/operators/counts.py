@@ -1,5 +1,6 @@
 """Counts of events by group, and facts about the whole table."""
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -8,13 +9,15 @@ from pyspark.sql.window import Window
 
 from ipvigil.constants import TOP_COUNTRIES
 from ipvigil.functions.columns import safe_pct
-from ipvigil.operators.scale import small
 
 
 def as_of(events: DataFrame, at: datetime | None = None, time: str = "loaded_at") -> Column:
     """The reference moment of a report: given, or the newest load; never the wall clock."""
     if at is not None:
         return F.lit(at).cast("timestamp_ntz")
+    if time == "loaded_at" and "load_date" in events.columns:
+        last = events.select("load_date").agg(F.max("load_date").alias("d")).scalar()
+        events = events.filter(F.col("load_date") == last)
     return events.agg(F.max(time).alias("as_of")).scalar()
 
 
@@ -46,9 +49,11 @@ def last_loaded(events: DataFrame) -> DataFrame:
 
 
 def loaded_since(events: DataFrame, interval: str, at: datetime | None = None, inclusive: bool = True) -> DataFrame:
-    """Events loaded within `interval` before the reference moment."""
+    """Events loaded within `interval` before the reference moment; of a table in daily folders only their days."""
     start = as_of(events, at) - F.expr(f"INTERVAL {interval}")
     loaded = F.col("loaded_at")
+    if "load_date" in events.columns:
+        events = events.filter(F.col("load_date") >= F.to_date(start))
     return events.filter(loaded >= start if inclusive else loaded > start)
 
 
@@ -88,6 +93,20 @@ def events_by(events: DataFrame, *columns: str) -> DataFrame:
     return events.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def grouped_by_each(events: DataFrame, columns: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Counts by every one of some columns, and of all rows, in one pass (GROUPING SETS).
+
+    `grouping` names the column a row is about ("" for the row about everything) and `value` its value as text.
+    Map tasks combine, so a hot value costs one row per task. The result has a row per distinct value.
+    """
+    named = F.lit("")
+    for c in columns:
+        named = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(named)
+    value = F.coalesce(*[F.col(c).cast("string") for c in columns])
+    sets = events.groupingSets([[c] for c in columns] + [[]], *columns)
+    return sets.agg(named.alias("grouping"), value.alias("value"), F.count("*").alias("n"), *aggregates).drop(*columns)
+
+
 def regroup(counted: DataFrame, column: str) -> DataFrame:
     return counted.groupBy(column).agg(F.sum("n").alias("n"))
 
@@ -110,7 +129,7 @@ def attack_patterns(events: DataFrame, dim_category: DataFrame) -> DataFrame:
             "total": F.sum("n").over(everything),
         }
     ).filter(F.col("category").isNotNull())
-    labelled = totals.join(small(dim_category.select("category", "tactic")), "category", "left")
+    labelled = totals.join(dim_category.select("category", "tactic"), "category", "left")
     return labelled.select(
         "category",
         "n",
@@ -133,15 +152,14 @@ def tactic_rollup(events: DataFrame, dim_category: DataFrame) -> DataFrame:
     """Categorised events per tactic with their share of all categorised events; unmapped ones are left out."""
     counted = events_by(events.filter(F.col("category").isNotNull()), "category")
     whole = counted.agg(F.sum("n").alias("whole")).scalar()
-    mapped = counted.join(small(dim_category.select("category", "tactic")), "category")
+    mapped = counted.join(dim_category.select("category", "tactic"), "category")
     per_tactic = mapped.filter(F.col("tactic").isNotNull()).groupBy("tactic").agg(F.sum("n").alias("n"))
     return per_tactic.withColumn("pct_of_categorized", safe_pct("n", whole)).orderBy(F.col("n").desc(), "tactic")
 
 
 def tactic_ips(events: DataFrame, dim_category: DataFrame) -> DataFrame:
     """Distinct addresses over the categories of the leading tactic."""
-    top = tactic_rollup(events, dim_category).first()
-    tactic = F.lit(top.tactic if top else None).cast("string")
-    chosen = dim_category.filter(F.col("tactic") == tactic).select("category")
-    hits = events.join(small(chosen), "category", "left_semi").select("ip").distinct()
-    return hits.agg(F.count("*").alias("ip_count")).withColumn("tactic", tactic)
+    top = tactic_rollup(events, dim_category).limit(1).select("tactic")
+    chosen = dim_category.join(top, "tactic", "left_semi").select("category")
+    hits = events.join(chosen, "category", "left_semi").select("ip").distinct()
+    return hits.agg(F.count("*").alias("ip_count")).withColumn("tactic", top.scalar())

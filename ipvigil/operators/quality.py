@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ipvigil.constants import RECENT_BATCHES
 from ipvigil.functions.columns import check_status, known_risk_level, safe_pct, safe_rate
-from ipvigil.operators.counts import as_of
+from ipvigil.operators.counts import loaded_since
 from ipvigil.operators.scale import exact_percentiles
 SECOND_MICROS = 1_000_000
 DAY_MICROS = 86_400 * SECOND_MICROS
@@ -58,8 +58,7 @@ def latency_percentiles(events: DataFrame, shares=(0.5, 0.95), approximate: bool
 
 
 def throughput(events: DataFrame, minutes: int = 10, at: datetime | None = None) -> DataFrame:
-    since = as_of(events, at) - F.expr(f"INTERVAL {minutes} MINUTES")
-    recent = events.filter(F.col("loaded_at") > since)
+    recent = loaded_since(events, f"{minutes} MINUTES", at, inclusive=False)
     return recent.agg((F.count("*") / F.lit(float(minutes))).alias("per_minute"))
 
 
@@ -76,6 +75,7 @@ def failure_counts() -> dict[str, Column]:
         "bad_country": F.count_if(country.isNull() | (F.length(country) != 2)),
         "bad_score": F.count_if((score < 0) | (score > 100)),
         "bad_risk": F.count_if(~known_risk_level("risk_level")),
+        "bad_time": F.count_if(F.col("last_reported_at").isNotNull() & F.col("last_reported_at").try_cast("timestamp").isNull()),
     }
 
 
@@ -90,6 +90,7 @@ def quality_counters(events: DataFrame) -> DataFrame:
 
 
 CHECKS = [
+    ("last_reported_at format", "bad_time"),
     ("country_code completeness", "bad_country"),
     ("score range", "bad_score"),
     ("risk level values", "bad_risk"),
@@ -97,18 +98,6 @@ CHECKS = [
 ]
 
 
-def schema_check(events: DataFrame, column: str = "last_reported_at") -> DataFrame:
-    """Warn while a time is stored as text."""
-    as_text = events.schema[column].dataType.simpleString() == "string"
-    return events.sparkSession.range(1).select(
-        F.lit(f"{column} type").alias("name"),
-        F.lit("warn" if as_text else "pass").alias("status"),
-        F.lit(int(as_text)).cast("bigint").alias("failed"),
-        F.lit(1).cast("bigint").alias("total"),
-        F.lit(100.0 if as_text else 0.0).alias("pct"),
-    )
-
-
 def judged(counters: DataFrame) -> DataFrame:
     """Check rows (name, status, failed, total, pct) from one row of counts."""
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("failed")) for n, c in CHECKS])
@@ -122,7 +111,7 @@ def judged(counters: DataFrame) -> DataFrame:
 
 
 def quality_checks(events: DataFrame) -> DataFrame:
-    return judged(quality_counters(events)).unionByName(schema_check(events))
+    return judged(quality_counters(events))
 
 
 def failing_checks(events: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ipvigil.constants import LIVE_FEED_ROWS, RECENT_POOL, TREND_ROWS
 from ipvigil.functions import columns as C
-from ipvigil.operators.scale import newest, small
-from ipvigil.session import cut_lineage
+from ipvigil.operators.addresses import page_bounds
+from ipvigil.operators.scale import SCORE_WIDTHS, exact_percentiles, newest
 
 SORT_COLUMNS = {
     "loaded_at": "loaded_at",
@@ -50,9 +50,9 @@ def history_page(
     """One page of events, newest (or largest) first, with the number of matching rows.
 
     `after` = (sort value, event_id) of the last row seen continues from there at the cost of a first page,
-    however deep; page numbers suit the first pages.
+    however deep; page numbers serve the first MAX_PAGED_ROWS rows.
     """
-    size = max(1, min(page_size, 100))
+    skip, size = page_bounds(1 if after is not None else page, page_size)
     column = SORT_COLUMNS.get(sort, "loaded_at")
     matching = filter_history(events, country, risk)
     rows = matching
@@ -66,7 +66,6 @@ def history_page(
             value = F.lit(value).cast(events.schema[column].dataType)
             rows = rows.filter((key < value) | ((key == value) & tie))
     ordered = rows.orderBy(F.col(column).desc_nulls_first(), "event_id")
-    skip = 0 if after is not None else (max(1, page) - 1) * size
     found = ordered.offset(skip).limit(size) if skip else ordered.limit(size)
     return found.select(*HISTORY_COLUMNS).withColumn("total", matching.agg(F.count("*").alias("total")).scalar())
 
@@ -74,22 +73,23 @@ def history_page(
 def rarity(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Add the rarest of source, country and category of every row: label, value, count, share and text.
 
-    Counts come from one scan of `events` and are written once; "uncategorized" is counted against the NULL
-    group. The columns are NULL when the rarest value still holds five percent or more.
+    Counts come from one grouping of `events`, whose result adaptive execution reuses for all three features;
+    "uncategorized" is counted against the NULL group. The columns are NULL when the rarest value still holds five
+    percent or more.
     """
     features = ["source", "country_code", "category"]
     labels = {"source": "source", "country_code": "country", "category": "category"}
     cells = events.select(F.inline(F.array(*[
         F.struct(F.lit(labels[f]).alias("label"), F.col(f).cast("string").alias("value")) for f in features
     ])))
-    counted = cut_lineage(cells.groupBy("label", "value").agg(F.count("*").alias("cnt")), "rarity")
+    counted = cells.groupBy("label", "value").agg(F.count("*").alias("cnt"))
     total = counted.filter("label = 'source'").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).scalar()
     out = rows
     for i, f in enumerate(features):
         side = counted.filter(F.col("label") == labels[f]).select(
             F.col("value").alias(f"value_{i}"), F.col("cnt").alias(f"cnt_{i}")
         )
-        out = out.join(small(side), F.col(f).eqNullSafe(F.col(f"value_{i}")), "left").drop(f"value_{i}")
+        out = out.join(side, F.col(f).eqNullSafe(F.col(f"value_{i}")), "left").drop(f"value_{i}")
 
     def candidate(i: int, value: Column) -> Column:
         return F.struct(
@@ -147,14 +147,11 @@ def anomalies(events: DataFrame, breaks=None, limit: int = 8, pool: int = RECENT
 
 
 def score_percentiles(events: DataFrame, column: str = "anomaly_score") -> DataFrame:
-    """One array of 101 interpolated breakpoints.
-
-    Scores carry four decimals, so rows are first counted per score: the percentile then reads at most some
-    ten thousand weighted values instead of one set of values per map task.
-    """
-    counted = events.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    whole = F.percentile(column, F.array(*[F.lit(i / 100) for i in range(101)]), F.col("n"))
-    return counted.agg(F.transform(whole, lambda v: F.round(v, 6)).alias("breaks"))
+    """One array of 101 interpolated breakpoints (NULL without scores), exact for scores of any precision."""
+    shares = [i / 100 for i in range(101)]
+    found = exact_percentiles(events, column, shares, SCORE_WIDTHS)
+    pairs = F.sort_array(F.collect_list(F.struct("share", F.round("value", 6).alias("value"))))
+    return found.agg(pairs.alias("pairs")).select(F.when(F.size("pairs") > 0, F.col("pairs.value")).alias("breaks"))
 
 
 def live_feed(events: DataFrame, n: int = LIVE_FEED_ROWS) -> DataFrame:

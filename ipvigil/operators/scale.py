@@ -6,74 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ipvigil.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
+SLICES = 64
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast if it has at most `max_rows` rows.
+def latest_per_key(rows: DataFrame, key: str, time: str = "landed_at") -> DataFrame:
+    """One row per key: the one with the largest `time` if there is such a column, ties by the other columns.
 
-    The check reads no more than max_rows + 1 rows. A larger table is returned as it is; the join is then
-    shuffled, and adaptive skew handling splits a hot key of the event side.
+    Landed lookup answers repeat a key every time it is looked up; joining them as they are would multiply rows.
+    Map tasks keep one row per key, so a key that is looked up very often costs one row per task.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def hot_keys(df: DataFrame, key: str, share: float = 0.001, min_rows: int = 1_000_000) -> DataFrame:
-    """Keys that hold at least `share` of all rows (and `min_rows` rows).
-
-    A frequent-items sketch answers this in one scan without shuffling the rows; at most 1 / share keys can
-    qualify, so the result is always small enough to broadcast. The sketch only decides how rows are routed,
-    never which rows are kept.
-    """
-    k = int(1 / share)
-    found = df.agg(
-        F.expr(f"approx_top_k({key}, {k}, {k * 10})").alias("top"), F.count("*").alias("total")
-    )
-    return (
-        found.select(F.explode("top").alias("t"), "total")
-        .filter((F.col("t.count") >= F.lit(share) * F.col("total")) & (F.col("t.count") >= min_rows))
-        .select(F.col("t.item").alias(key))
-        .filter(F.col(key).isNotNull())
-    )
+    rest = [c for c in rows.columns if c not in (key, time)]
+    order = [time, *rest] if time in rows.columns else rest
+    kept = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("latest"))
+    return kept.select(key, *[F.col("latest")[c].alias(c) for c in order if c != time])
 
 
 def top_n_per_key(
-    df: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    n: int,
-    row_id: str,
-    salts: int = 512,
-    share: float = 0.001,
-    min_rows: int = 1_000_000,
-    hot: DataFrame | None = None,
+    df: DataFrame, key: str, order: Sequence[Column], n: int, row_id: str, slices: int = SLICES
 ) -> DataFrame:
     """The first `n` rows of every key under a total order, numbered in `rank`.
 
-    Ordinary keys take one shuffle, and Spark already trims each map task to n rows per key. Hot keys are
-    first reduced in `salts` slices each, so no task ever sorts a whole hot key. The list of hot keys (given,
-    or found here) is written before use: both branches must see the same list, whatever is recomputed.
+    Every key is cut in slices by a hash of the row id. Map tasks and then slices are trimmed to n rows, and only what
+    is left of a key meets in one task: n rows per slice at most, however hot the key is.
     """
 
     def ranked(rows: DataFrame, *partition: str) -> DataFrame:
         window = Window.partitionBy(*partition).orderBy(*order)
         return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 
-    if hot is None:
-        hot = written_hot_keys(df, key, share, min_rows)
-    if hot.isEmpty():
-        return ranked(df, key)
-    hot = F.broadcast(hot)
-    ordinary = ranked(df.join(hot, key, "left_anti"), key)
-    sliced = df.join(hot, key, "left_semi").withColumn("slice", F.pmod(F.xxhash64(row_id), F.lit(salts)))
-    reduced = ranked(sliced, key, "slice").drop("slice", "rank")
-    return ordinary.unionByName(ranked(reduced, key))
-
-
-def written_hot_keys(df: DataFrame, key: str, share: float = 0.001, min_rows: int = 1_000_000) -> DataFrame:
-    return cut_lineage(hot_keys(df, key, share, min_rows), "hot-keys")
+    sliced = df.withColumn("slice", F.pmod(F.xxhash64(row_id), F.lit(slices)))
+    return ranked(ranked(sliced, key, "slice").drop("slice", "rank"), key)
 
 
 def ordered_head(df: DataFrame, coarse: Column, order: Sequence[Column], n: int, descending: bool = False) -> DataFrame:
@@ -94,8 +57,17 @@ def ordered_head(df: DataFrame, coarse: Column, order: Sequence[Column], n: int,
 
 
 def newest(df: DataFrame, n: int, time: str = "loaded_at", row_id: str = "event_id") -> DataFrame:
-    """The newest `n` rows; equal times are ordered by row id."""
+    """The newest `n` rows; equal times are ordered by row id.
+
+    A table in daily folders (`load_date`, the day of `time`) is counted by day first, which reads no column, and only
+    the folders of the last days that hold n rows are read.
+    """
     order = [F.col(time).desc_nulls_first(), F.col(row_id).desc()]
+    if "load_date" in df.columns:
+        days = df.groupBy("load_date").agg(F.count("*").alias("rows"))
+        later = F.sum("rows").over(Window.orderBy(F.desc("load_date")).rowsBetween(Window.unboundedPreceding, -1))
+        needed = days.withColumn("later", F.coalesce(later, F.lit(0))).filter(F.col("later") < n)
+        df = df.filter(F.col("load_date") >= needed.agg(F.min("load_date").alias("d")).scalar())
     return ordered_head(df, F.date_trunc("hour", F.col(time)).cast("timestamp_ntz"), order, n, descending=True)
 
 
@@ -107,35 +79,31 @@ def uniform_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return head.drop("draw")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], widths: Sequence[int]) -> DataFrame:
-    """Interpolated percentiles of a whole-number column as rows (share, value, n), exact at any size.
+#: Bucket widths for scores between -1 and 1.
+SCORE_WIDTHS = (1e-3, 1e-6)
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], widths: Sequence[float]) -> DataFrame:
+    """Interpolated percentiles of a numeric column as rows (share, value, n), exact at any size.
 
-    The ranks are located level by level: values are counted in buckets of widths[0], then only those in the
-    bucket holding a rank in buckets of widths[1], and so on down to single values. Each level is one scan of
-    one column, and the ordered pass of a level sees at most width / next width rows per rank.
+    The ranks are located level by level: values are counted in buckets of widths[0], then only those in a bucket that
+    holds a rank in buckets of widths[1], and so on down to single values. Each level is one scan of one column; what
+    is counted joins the distinct buckets that are looked for, so a row counts once however many ranks share its bucket.
     """
     values = df.select(F.col(value).alias("v")).filter("v IS NOT NULL")
 
-    def bucket(width: int) -> Column:
-        return F.floor(F.col("v") / F.lit(width)) if width > 1 else F.col("v")
+    def bucket(width: float | None) -> Column:
+        return F.floor(F.col("v") / F.lit(width)) if width else F.col("v")
 
     counted = values.groupBy(bucket(widths[0]).alias("bucket")).agg(F.count("*").alias("rows"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     total = counted.agg(F.sum("rows").alias("n")).scalar()
-    ends = []
-    for share in shares:
-        position = F.lit(float(share)) * (F.col("n") - 1)
-        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-            ends.append(
-                F.struct(
-                    F.lit(float(share)).alias("share"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    (position - F.floor(position)).alias("fraction"),
-                )
-            )
+    ends = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(side).alias("side")) for s in shares for side in ("low", "high")])
     placed = counted.withColumn("upto", F.sum("rows").over(running)).withColumn("n", total)
-    wanted = placed.withColumn("w", F.explode(F.array(*ends))).select("bucket", "rows", "upto", "n", "w.*")
+    wanted = placed.select("bucket", "rows", "upto", "n", F.explode(ends).alias("w")).select("bucket", "rows", "upto", "n", "w.*")
+    position = F.col("share") * (F.col("n") - 1)
+    rank = F.when(F.col("side") == "low", F.floor(position)).otherwise(F.ceil(position))
+    wanted = wanted.withColumns({"rank": rank.cast("bigint"), "fraction": position - F.floor(position)})
 
     def hit(rows: DataFrame) -> DataFrame:
         """Two rows per share: the bucket its rank lies in, and the rank inside that bucket."""
@@ -144,12 +112,13 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], widths
         return inside.withColumn("rank", F.col("rank") - before).drop("upto", "rows")
 
     located = hit(wanted)
-    keys = ["share", "side", "rank", "fraction", "n"]
-    per_rank = Window.partitionBy("share", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    for outer, inner in zip(widths, [*widths[1:], 1]):
-        near = values.withColumn("bucket", bucket(outer)).join(F.broadcast(located), "bucket").drop("bucket")
-        finer = near.groupBy(*keys, bucket(inner).alias("bucket")).agg(F.count("*").alias("rows"))
-        located = hit(finer.withColumn("upto", F.sum("rows").over(per_rank)))
+    per_bucket = Window.partitionBy("outer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    for outer, inner in zip(widths, [*widths[1:], None]):
+        sought = located.select(F.col("bucket").alias("outer")).distinct()
+        near = values.withColumn("outer", bucket(outer)).join(F.broadcast(sought), "outer")
+        finer = near.groupBy("outer", bucket(inner).alias("bucket")).agg(F.count("*").alias("rows"))
+        finer = finer.withColumn("upto", F.sum("rows").over(per_bucket))
+        located = hit(F.broadcast(located.withColumnRenamed("bucket", "outer")).join(finer, "outer")).drop("outer")
     found = located.groupBy("share", "n").agg(
         F.max(F.when(F.col("side") == "low", F.col("bucket"))).alias("low"),
         F.max(F.when(F.col("side") == "high", F.col("bucket"))).alias("high"),

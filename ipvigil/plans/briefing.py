@@ -6,18 +6,16 @@ from pyspark.sql import functions as F
 from ipvigil.functions.columns import safe_pct, trend_delta
 from ipvigil.operators.addresses import offender_totals
 from ipvigil.operators.concentration import gini
-from ipvigil.operators.counts import as_of, regroup
+from ipvigil.operators.counts import as_of, grouped_by_each
 from ipvigil.operators.rankings import latest_snapshot
-from ipvigil.operators.scale import small
-from ipvigil.session import cut_lineage
 
 
 def _figures(events: DataFrame, snapshots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(one row of figures, counts by category), from one pre-aggregation that is written once."""
-    cells = cut_lineage(events.groupBy("country_code", "category", "source").agg(F.count("*").alias("n")), "briefing")
-    by_country = regroup(cells, "country_code")
-    by_category = regroup(cells, "category")
-    by_source = regroup(cells, "source")
+    """(one row of figures, counts by category), from one grouping by each column and the counts per address."""
+    cells = grouped_by_each(events, ["country_code", "category", "source"])
+    by_country, by_category, by_source = (
+        cells.filter(F.col("grouping") == c).select(F.col("value").alias(c), "n") for c in ("country_code", "category", "source")
+    )
     ordered = by_country.orderBy(F.col("n").desc(), F.col("country_code").asc_nulls_first()).limit(5)
     leading = ordered.agg(
         F.sum("n").alias("n"),
@@ -62,7 +60,7 @@ def _figures(events: DataFrame, snapshots: DataFrame | None) -> tuple[DataFrame,
         )
     else:
         row = row.withColumns({c: F.lit(None).cast("double") for c in ("gini_delta", "cross_delta")})
-    return cut_lineage(row, "figures"), by_category
+    return row, by_category
 
 
 def briefing(
@@ -70,12 +68,11 @@ def briefing(
 ) -> DataFrame:
     """Rows (position, kind, priority, subject, amount, pct, delta, text); limitations have no priority."""
     row, by_category = _figures(events, snapshots)
-    mapped = by_category.filter("category IS NOT NULL").join(small(dim_category.select("category", "tactic")), "category")
+    mapped = by_category.filter("category IS NOT NULL").join(dim_category.select("category", "tactic"), "category")
     tactics = mapped.filter("tactic IS NOT NULL").groupBy("tactic").agg(F.sum("n").alias("n"))
-    leading = tactics.orderBy(F.col("n").desc(), "tactic").limit(1).join(small(dim_tactic), "tactic", "left")
-    top = leading.first()
-    chosen = dim_category.filter(F.col("tactic") == (top.tactic if top else None)).select("category")
-    tactic_ips = events.join(small(chosen), "category", "left_semi").select("ip").distinct().agg(F.count("*").alias("n"))
+    leading = tactics.orderBy(F.col("n").desc(), "tactic").limit(1).join(dim_tactic, "tactic", "left")
+    chosen = dim_category.join(leading.select("tactic"), "tactic", "left_semi").select("category")
+    tactic_ips = events.join(chosen, "category", "left_semi").select("ip").distinct().agg(F.count("*").alias("n"))
     row = row.withColumns(
         {
             "tactic": leading.select(F.struct("tactic", "n", "advice")).scalar(),

@@ -7,39 +7,37 @@ from pyspark.sql import functions as F
 
 from ipvigil.constants import RECENT_BATCHES
 from ipvigil.operators import quality as Q
-from ipvigil.operators.counts import as_of
+from ipvigil.operators.counts import as_of, grouped_by_each
 from ipvigil.plans.summary import facts, section, stacked
-from ipvigil.session import cut_lineage
 
 
 def pipeline_health(events: DataFrame, at: datetime | None = None) -> DataFrame:
     """Recent batches, geo validity, sources, latency, throughput and quality checks.
 
-    One pass counts everything additive per load time and source (all rows of a load share its time, so this
-    is a small table) and is written once; latency and duplicates need their own passes.
+    Everything additive is one grouping by load minute, by source and of all rows; latency and duplicates need their
+    own passes. Nothing runs before the result is asked for.
     """
-    cells = cut_lineage(
-        events.groupBy("loaded_at", "source").agg(
-            F.count("*").alias("n"),
-            F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)).alias("valid"),
-            *[c.alias(name) for name, c in Q.failure_counts().items()],
-        ),
-        "health",
+    recent = F.col("loaded_at") > as_of(events, at) - F.expr("INTERVAL 10 MINUTES")
+    cells = grouped_by_each(
+        events.withColumn("loaded_minute", F.unix_seconds(Q.load_minute().cast("timestamp"))),
+        ["loaded_minute", "source"],
+        F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)).alias("valid"),
+        F.count_if(recent).alias("recent"),
+        *[c.alias(name) for name, c in Q.failure_counts().items()],
     )
-    minutes = cells.groupBy(Q.load_minute().alias("loaded_minute")).agg(F.sum("n").alias("n"))
-    latest = minutes.orderBy(F.col("loaded_minute").desc_nulls_first()).limit(RECENT_BATCHES)
-    recent = F.col("loaded_at") > as_of(cells, at) - F.expr("INTERVAL 10 MINUTES")
-    whole = cells.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valid", *Q.failure_counts())],
+    minutes = cells.filter("grouping = 'loaded_minute'")
+    latest = minutes.orderBy(F.col("value").cast("bigint").desc_nulls_first()).limit(RECENT_BATCHES)
+    whole = cells.filter("grouping = ''").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("recent"),
-    ).withColumn("exact_duplicates", Q.exact_duplicates(events).scalar())
-    checks = Q.judged(whole).unionByName(Q.schema_check(events))
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valid", "recent", *Q.failure_counts())],
+    )
+    whole = whole.withColumn("exact_duplicates", Q.exact_duplicates(events).scalar())
+    checks = Q.judged(whole)
     grade = F.when(F.col("status") == "pass", 0).when(F.col("status") == "warn", 1).otherwise(2)
     return stacked([
-        section("recent_batch", latest.withColumn("key", F.unix_seconds(F.col("loaded_minute").cast("timestamp"))), "n", "key"),
-        section("total_batches", minutes.agg(F.count("loaded_minute").alias("n")), "n"),
-        section("by_source", cells.groupBy("source").agg(F.sum("n").alias("n")), "n", "source"),
+        section("recent_batch", latest, "n", "value"),
+        section("total_batches", minutes.agg(F.count("value").alias("n")), "n"),
+        section("by_source", cells.filter("grouping = 'source'"), "n", "value"),
         facts(whole, {
             "pct_valid_geo": F.try_divide(F.col("valid") * 100.0, F.col("total").cast("double")),
             "throughput_per_min": F.col("recent") / F.lit(10.0),

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ipvigil.operators.addresses import offender_totals
 from ipvigil.operators.concentration import gini
-from ipvigil.operators.counts import as_of, regroup
-from ipvigil.session import cut_lineage
+from ipvigil.operators.counts import as_of, grouped_by_each
 
 
 def section(name: str, frame: DataFrame, value: str | Column, key: str | None = None) -> DataFrame:
@@ -34,20 +33,20 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
 def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
     """Totals, group counts, repeat and cross-source addresses and concentration.
 
-    The group reports come from one pre-aggregated frame, written once. With the counts per address and the
-    one-column scan for the newest load, the table is read three times however many reports there are.
+    The group reports are one grouping by each column, whose rows are told apart afterwards. With the counts per
+    address and the one-column scan for the newest load, the table is read three times; nothing runs before the result
+    is asked for.
     """
     since = as_of(events, at) - F.expr("INTERVAL 24 HOURS")
-    cells = cut_lineage(
-        events.groupBy("country_code", "category", "risk_level").agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("loaded_at") >= since).alias("recent"),
-            F.max("loaded_at").alias("last"),
-        ),
-        "summary",
+    cells = grouped_by_each(
+        events,
+        ["country_code", "category", "risk_level"],
+        F.count_if(F.col("loaded_at") >= since).alias("recent"),
+        F.max("loaded_at").alias("last"),
     )
-    by_country = regroup(cells, "country_code")
-    whole = cells.agg(F.sum("n").alias("n"), F.sum("recent").alias("recent"), F.max("last").alias("last"))
+    by = {c: cells.filter(F.col("grouping") == c) for c in ("country_code", "category", "risk_level")}
+    by_country = by["country_code"]
+    whole = cells.filter("grouping = ''").agg(F.sum("n").alias("n"), F.sum("recent").alias("recent"), F.max("last").alias("last"))
     return stacked([
         facts(whole, {
             "total": F.coalesce("n", F.lit(0)),
@@ -58,9 +57,9 @@ def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
             "repeat_offenders": F.col("repeat_ips"),
             "cross_source_corroborated": F.col("cross_source_ips"),
         }),
-        section("by_risk", regroup(cells, "risk_level"), "n", "risk_level"),
-        section("by_country", by_country, "n", "country_code"),
-        section("distinct_countries", by_country.agg(F.count("country_code").alias("n")), "n"),
-        section("by_category", regroup(cells, "category").filter("category IS NOT NULL"), "n", "category"),
+        section("by_risk", by["risk_level"], "n", "value"),
+        section("by_country", by_country, "n", "value"),
+        section("distinct_countries", by_country.agg(F.count("value").alias("n")), "n"),
+        section("by_category", by["category"].filter("value IS NOT NULL"), "n", "value"),
         section("gini_coefficient", gini(by_country), "gini"),
     ])

@@ -1,5 +1,6 @@
 """Session settings for a cluster, and the shared folder for lineage cuts and streaming state."""
 
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,13 @@ def build_session(app: str = "ipvigil", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, the storage all executors see.
 
-    Only where the setting is missing (a test on one machine) a temporary folder takes its place.
+    Only where the setting is missing and all tasks run in this process (a test) a temporary folder takes its place;
+    on a cluster that would be another folder on every machine, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ipvigil-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ipvigil/{purpose}-{uuid.uuid4().hex}"

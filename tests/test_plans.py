@@ -1,10 +1,19 @@
 """Plans keep the shape they were designed for."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from ipvigil.catalog import fixtures as X
 from ipvigil.operators import addresses as A
 from ipvigil.operators import counts, rankings
+from ipvigil.operators.quality import throughput
+from ipvigil.operators.scale import newest
+from ipvigil.plans.briefing import briefing
+from ipvigil.plans.health import pipeline_health
+from ipvigil.plans.summary import summary
 from ipvigil.sources import tables
 from tests.conftest import SMALL
 
@@ -49,7 +58,31 @@ def test_ranking_shuffles_narrow_rows(stored):
 def test_first_n_is_trimmed_before_the_shuffle(stored):
     text = plan(A.ip_history(stored.select("ip", "loaded_at", "event_id")))
     assert "WindowGroupLimit" in text and "Partial" in text
-    assert "WindowGroupLimit" in plan(A.infra_clusters(stored))
+    assert plan(A.infra_clusters(stored)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["summary", "pipeline_health", "briefing"])
+def test_reports_run_nothing_while_they_are_planned(spark, stored, name):
+    lookups = X.dim_category(spark), X.dim_tactic(spark)
+    report = {"summary": summary, "pipeline_health": pipeline_health, "briefing": lambda e: briefing(e, None, *lookups)}[name]
+    spark.sparkContext.setJobGroup(f"plan-{name}", name)
+    report(stored)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"plan-{name}")
+    spark.sparkContext.setJobGroup("", "")
+    assert list(jobs) == []
+
+
+def test_recent_reports_read_the_last_days_only(spark, events, tmp_path):
+    path = str(tmp_path / "daily")
+    daily = events.withColumn("load_date", F.to_date("loaded_at")).withColumns({"run": F.lit("r"), "batch_id": F.lit(0)})
+    daily.write.partitionBy("load_date", "run", "batch_id").parquet(path)
+    table = tables.scan_events(spark, path)
+    assert table.columns[-1] == "load_date" and table.count() == events.count()
+    for report in (counts.loaded_since(table, "24 HOURS"), newest(table, 50), throughput(table)):
+        text = plan(report)
+        assert re.search(r"PartitionFilters: \[isnotnull\(load_date#\d+\), \(load_date#\d+ >= (cast\()?Subquery", text)
+    assert {r.event_id for r in newest(table, 50).collect()} == {r.event_id for r in newest(events, 50).collect()}
+    assert counts.loaded_since(table, "24 HOURS").count() == counts.loaded_since(events, "24 HOURS").count()
 
 
 def test_pages_are_found_by_a_bounded_sort(stored):

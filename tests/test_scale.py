@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ipvigil.operators import addresses as A
 from ipvigil.operators import concentration, counts
-from ipvigil.operators.scale import exact_percentiles, hot_keys, newest, small, top_n_per_key, uniform_sample
+from ipvigil.operators.scale import SCORE_WIDTHS, exact_percentiles, latest_per_key, newest, top_n_per_key, uniform_sample
 
 
 @pytest.fixture(scope="module")
@@ -27,17 +27,19 @@ def skewed(spark):
     )
 
 
-def test_hot_keys_finds_the_hot_address(skewed):
-    assert [r.ip for r in hot_keys(skewed, "ip", share=0.1, min_rows=100).collect()] == ["10.0.0.1"]
-    assert hot_keys(skewed, "ip").count() == 0
+def test_latest_answer_per_key(spark):
+    rows = [("a", "old", "2024-01-01"), ("a", "new", "2024-03-01"), ("a", "mid", "2024-02-01"), ("b", None, None), (None, "x", "2024-01-01")]
+    found = latest_per_key(spark.createDataFrame(rows, "k string, v string, landed_at string"), "k").collect()
+    assert sorted((r.k, r.v) for r in found) == [("a", "new"), ("b", None)]
+    untimed = latest_per_key(spark.createDataFrame([("a", 1), ("a", 5)], "k string, v int"), "k").collect()
+    assert [(r.k, r.v) for r in untimed] == [("a", 5)]
 
 
-@pytest.mark.parametrize("min_rows", [100, 1_000_000])
-def test_history_is_the_same_with_and_without_salting(skewed, min_rows):
+def test_newest_rows_per_address_of_a_hot_address(skewed):
     rows = skewed.select("event_id", "ip", "loaded_at").toPandas()
     rows = rows.sort_values(["ip", "loaded_at", "event_id"], ascending=[True, False, False])
     expected = {(r.ip, r.event_id) for r in rows.groupby("ip").head(50).itertuples()}
-    found = A.ip_history(skewed, min_rows=min_rows).collect()
+    found = A.ip_history(skewed).collect()
     assert {(r.ip, r.event_id) for r in found} == expected
     assert len(found) == len(expected)
     hot = sorted((r for r in found if r.ip == "10.0.0.1"), key=lambda r: r["rank"])
@@ -47,7 +49,7 @@ def test_history_is_the_same_with_and_without_salting(skewed, min_rows):
 
 def test_top_n_keeps_rows_without_a_key(spark):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "a")], "event_id bigint, k string")
-    found = top_n_per_key(rows, "k", [F.col("event_id")], 1, "event_id", min_rows=1, share=0.01)
+    found = top_n_per_key(rows, "k", [F.col("event_id")], 1, "event_id")
     assert sorted((r.k or "", r.event_id) for r in found.collect()) == [("", 1), ("a", 3)]
 
 
@@ -94,10 +96,39 @@ def test_exact_percentiles_of_nothing(spark):
     assert exact_percentiles(spark.createDataFrame([], "v bigint"), "v", [0.5], (1000,)).collect() == []
 
 
-def test_small_checks_the_size(spark):
-    few, many = spark.range(10), spark.range(1000)
-    assert small(many, 100) is many
-    assert small(few, 100) is not few
+def test_exact_percentiles_of_scores(spark):
+    rng = random.Random(5)
+    values = [-rng.random() for _ in range(2000)] + [-0.25] * 1000 + [-0.25 - 1e-9]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [i / 100 for i in range(101)]
+    found = {r.share: r.value for r in exact_percentiles(frame, "v", shares, SCORE_WIDTHS).collect()}
+    assert [found[s] for s in shares] == pytest.approx(np.percentile(values, [s * 100 for s in shares]).tolist(), abs=1e-12)
+
+
+def test_pages_end_and_continue(skewed):
+    with pytest.raises(ValueError):
+        A.repeat_offenders(skewed, page=1_000_000)
+    pages = [r for p in (1, 2, 3) for r in A.repeat_offenders(skewed, p, 7).collect()]
+    last = pages[6]
+    after = A.repeat_offenders(skewed, page_size=14, after=(last.source_count, last.report_count, last.ip)).collect()
+    assert after == pages[7:]
+
+
+def test_ranges_of_both_families(spark):
+    ranges = ["2001:db8::/32", "::/0", "10.0.0.0/8", "2001:db8::1", "fe80::/10", "0.0.0.0/0", "bad/9", "1::2::3/4", "10.0.0.0/33", "::1/129"]
+    ips = ["2001:DB8::1", "2001:db8:0:0:0:0:0:1", "2001:db9::", "10.2.3.4", "febf::1", "::1", "no", "1:2:3", None]
+    found = A.cidr_members(
+        spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame([(r,) for r in ranges], "cidr string")
+    )
+    import ipaddress
+
+    want = set()
+    for ip in ips[:6]:
+        for r in ranges[:6]:
+            net = ipaddress.ip_network(r)
+            if ipaddress.ip_address(ip).version == net.version and ipaddress.ip_address(ip) in net:
+                want.add((ip, r))
+    assert {(r.ip, r.cidr) for r in found.collect()} == want
 
 
 def brute_gini(counts_):
