@@ -68,7 +68,9 @@ REPLAY_POOL_SIZE = 500
 IPV4_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\z"
 QUAD_PATTERN = r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\z"
 CIDR_PATTERN = QUAD_PATTERN.removesuffix(r"\z") + r"(/(3[0-2]|[12]?[0-9]))?\z"
+IPV6_PATTERN = r"^[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,8}\z"
 HISTORY_PER_IP = 50
+MAX_PAGED_ROWS = 10_000
 RECENT_POOL = 2000
 TOP_COUNTRIES = 15
 MIN_CLUSTER_IPS = 3
@@ -84,6 +86,7 @@ CONTAMINATION = 0.02
 MODEL_SEED = 42
 FOREST_TREES = 200
 FOREST_DEPTH = 12
+FOREST_ROWS = 2_000_000
 LR_ITERATIONS = 1000
 TEST_SHARE = 0.2
 ISOLATION_TREES = 100

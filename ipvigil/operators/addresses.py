@@ -4,9 +4,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ipvigil.constants import CIDR_PATTERN, CLUSTER_SAMPLE_IPS, HISTORY_PER_IP, MIN_CLUSTER_IPS, QUAD_PATTERN
+from ipvigil.constants import (
+    CIDR_PATTERN,
+    CLUSTER_SAMPLE_IPS,
+    HISTORY_PER_IP,
+    IPV6_PATTERN,
+    MAX_PAGED_ROWS,
+    MIN_CLUSTER_IPS,
+    QUAD_PATTERN,
+)
 from ipvigil.functions.columns import ip_to_long, is_ipv4, safe_pct, subnet24
-from ipvigil.operators.scale import small, top_n_per_key
+from ipvigil.operators.scale import top_n_per_key
 
 
 def ip_stats(events: DataFrame) -> DataFrame:
@@ -39,15 +47,31 @@ def corroboration_share(events: DataFrame) -> DataFrame:
     )
 
 
-def repeat_offenders(events: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
+def page_bounds(page: int, page_size: int) -> tuple[int, int]:
+    """(rows to skip, page size). All rows up to a page meet in one place, so pages end at MAX_PAGED_ROWS rows."""
+    size = max(1, min(page_size, 100))
+    skip = (max(1, page) - 1) * size
+    if skip + size > MAX_PAGED_ROWS:
+        raise ValueError(f"pages reach to row {MAX_PAGED_ROWS}; continue from the last row seen with `after`")
+    return skip, size
+
+
+def repeat_offenders(
+    events: DataFrame, page: int = 1, page_size: int = 20, after: tuple[int, int, str] | None = None
+) -> DataFrame:
     """One page of addresses reported more than once, best corroborated first.
 
-    Only (ip, reports, sources) is shuffled for the ranking; the wide columns are read for the page's
-    addresses alone.
+    Only (ip, reports, sources) is shuffled for the ranking; the wide columns are read for the page's addresses alone.
+    `after` = (source_count, report_count, ip) of the last row seen continues from there, however deep.
     """
-    size = max(1, min(page_size, 100))
-    ranked = ip_stats(events).filter("reports > 1").orderBy(F.col("sources").desc(), F.col("reports").desc(), "ip")
-    chosen = ranked.offset((max(1, page) - 1) * size).limit(size)
+    skip, size = page_bounds(1 if after is not None else page, page_size)
+    ranked = ip_stats(events).filter("reports > 1")
+    if after is not None:
+        sources, reports, ip = after
+        fewer = (F.col("reports") < reports) | ((F.col("reports") == reports) & (F.col("ip") > ip))
+        ranked = ranked.filter((F.col("sources") < sources) | ((F.col("sources") == sources) & fewer))
+    ordered = ranked.orderBy(F.col("sources").desc(), F.col("reports").desc(), "ip")
+    chosen = ordered.offset(skip).limit(size) if skip else ordered.limit(size)
     rows = events.join(F.broadcast(chosen), "ip")
     detail = rows.groupBy("ip", "reports", "sources").agg(
         F.max("country_code").alias("country_code"),
@@ -66,33 +90,37 @@ def repeat_offenders(events: DataFrame, page: int = 1, page_size: int = 20) -> D
     ).orderBy(F.col("source_count").desc(), F.col("report_count").desc(), "ip")
 
 
+def _clustered(events: DataFrame) -> DataFrame:
+    """(subnet, ip, max_country, sources, score): one row per address of a /24 block, from one pass over the events."""
+    v4 = events.filter(is_ipv4("ip")).withColumn("subnet", subnet24("ip"))
+    return v4.groupBy("subnet", "ip").agg(
+        F.max("country_code").alias("country_code"),
+        F.collect_set("source").alias("sources"),
+        F.max("abuse_confidence_score").alias("score"),
+    )
+
+
+def cluster_sizes(events: DataFrame) -> DataFrame:
+    """(subnet, ip_count) of every /24 block with three or more reported addresses."""
+    pairs = events.filter(is_ipv4("ip")).select(subnet24("ip").alias("subnet"), "ip").distinct()
+    return pairs.groupBy("subnet").agg(F.count("*").alias("ip_count")).filter(F.col("ip_count") >= MIN_CLUSTER_IPS)
+
+
 def infra_clusters(events: DataFrame, limit: int | None = 15) -> DataFrame:
     """/24 blocks with three or more reported addresses, largest first; `limit=None` returns all.
 
-    Blocks are ranked on distinct (block, address) pairs, and details are read for the ranked blocks alone.
-    The sample of addresses is a first-n per block, which map tasks trim before the shuffle, so a block with
-    very many addresses is never sorted or collected as a whole.
+    A block has at most a thousand texts for addresses, so everything about it comes from those: the events are
+    reduced to one row per address first, map tasks doing most of it, and are read once.
     """
-    v4 = events.filter(is_ipv4("ip")).withColumn("subnet", subnet24("ip"))
-    pairs = v4.select("subnet", "ip").distinct()
-    blocks = pairs.groupBy("subnet").agg(F.count("*").alias("ip_count")).filter(F.col("ip_count") >= MIN_CLUSTER_IPS)
-    rows, addresses = v4, pairs
-    if limit is not None:
-        ranked = blocks.orderBy(F.col("ip_count").desc(), "subnet")
-        blocks = F.broadcast(ranked.limit(max(1, min(limit, 50))))
-        rows = v4.join(blocks.select("subnet"), "subnet", "left_semi")
-        addresses = pairs.join(blocks.select("subnet"), "subnet", "left_semi")
-    detail = rows.groupBy("subnet").agg(
+    per_block = _clustered(events).groupBy("subnet").agg(
+        F.count("*").alias("ip_count"),
         F.max("country_code").alias("country_code"),
-        F.sort_array(F.collect_set("source")).alias("sources"),
-        F.max("abuse_confidence_score").alias("max_score"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        F.max("score").alias("max_score"),
+        F.slice(F.sort_array(F.collect_list("ip")), 1, CLUSTER_SAMPLE_IPS).alias("sample_ips"),
     )
-    first = Window.partitionBy("subnet").orderBy("ip")
-    sample = addresses.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= CLUSTER_SAMPLE_IPS)
-    samples = sample.groupBy("subnet").agg(F.sort_array(F.collect_list("ip")).alias("sample_ips"))
-    return detail.join(blocks, "subnet").join(samples, "subnet").select(
-        "subnet", "ip_count", "country_code", "sources", "max_score", "sample_ips"
-    ).orderBy(F.col("ip_count").desc(), "subnet")
+    ranked = per_block.filter(F.col("ip_count") >= MIN_CLUSTER_IPS).orderBy(F.col("ip_count").desc(), "subnet")
+    return ranked if limit is None else ranked.limit(max(1, min(limit, 50)))
 
 
 def newest_first():
@@ -104,23 +132,23 @@ def history_of(events: DataFrame, ip: str | Column, n: int = HISTORY_PER_IP) ->
     return events.filter(F.col("ip") == ip).orderBy(*newest_first()).limit(n)
 
 
-def ip_history(events: DataFrame, n: int = HISTORY_PER_IP, **routing) -> DataFrame:
+def ip_history(events: DataFrame, n: int = HISTORY_PER_IP) -> DataFrame:
     """The newest `n` rows of every address, numbered from the newest."""
-    return top_n_per_key(events, "ip", newest_first(), n, "event_id", **routing)
+    return top_n_per_key(events, "ip", newest_first(), n, "event_id")
 
 
-def local_evidence(events: DataFrame, n: int = HISTORY_PER_IP, **routing) -> DataFrame:
+def local_evidence(events: DataFrame, n: int = HISTORY_PER_IP) -> DataFrame:
     """(ip, seen, sources) over the newest rows of every address."""
-    rows = ip_history(events.select("ip", "loaded_at", "event_id", "source"), n, **routing)
+    rows = ip_history(events.select("ip", "loaded_at", "event_id", "source"), n)
     return rows.groupBy("ip").agg(
         F.count("*").alias("seen"),
         F.sort_array(F.collect_set(F.when(F.col("source") != "", F.col("source")))).alias("sources"),
     )
 
 
-def latest_score(events: DataFrame, n: int = HISTORY_PER_IP, **routing) -> DataFrame:
+def latest_score(events: DataFrame, n: int = HISTORY_PER_IP) -> DataFrame:
     """Per address, the newest repeat-offence probability among its newest rows."""
-    rows = ip_history(events.select("ip", "loaded_at", "event_id", "reoffense_probability"), n, **routing)
+    rows = ip_history(events.select("ip", "loaded_at", "event_id", "reoffense_probability"), n)
     scored = rows.filter(F.col("reoffense_probability").isNotNull())
     return scored.groupBy("ip").agg(F.min_by("reoffense_probability", "rank").alias("reoffense_probability"))
 
@@ -136,36 +164,47 @@ def first_sighting(events: DataFrame) -> DataFrame:
     return grouped.select("ip", "first.*", "report_count")
 
 
-def cidr_bounds(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """Add prefix_len and the range's leading bits; a bare address is a range of one, other text is dropped.
+def address_bits(ip: str | Column) -> Column:
+    """An address as text of 32 (IPv4) or 128 (IPv6) binary digits; NULL for text that is neither."""
+    ip = F.col(ip) if isinstance(ip, str) else ip
+    v4 = F.lpad(F.conv(ip_to_long(ip).cast("string"), 10, 2), 32, "0")
+    # the groups before and after "::", and as many zero groups between them as are left out
+    halves = F.split(F.lower(ip), "::")
+    groups = [F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1)]
+    missing = F.greatest(F.lit(8) - F.size(groups[0]) - F.size(groups[1]), F.lit(0))
+    every = F.concat(groups[0], F.array_repeat(F.lit("0"), missing), groups[1])
+    v6 = F.array_join(F.transform(every, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    exact = (F.size(every) == 8) & (F.size(halves) == 2) | (F.size(halves) == 1) & (F.size(groups[0]) == 8)
+    return F.when(ip.rlike(QUAD_PATTERN), v4).when(ip.rlike(IPV6_PATTERN) & exact, v6)
 
-    Validity is one pattern match on the text, so the filter stays cheap wherever Spark moves it; the numbers
-    computed afterwards are never NULL.
-    """
-    valid = ranges.filter(F.col(cidr).rlike(CIDR_PATTERN))
-    length = F.get(F.split(F.col(cidr), "/"), F.lit(1)).try_cast("int")
-    sized = valid.withColumn("prefix_len", F.coalesce(length, F.lit(32))).withColumn(
-        "base", F.coalesce(ip_to_long(F.substring_index(cidr, "/", 1)), F.lit(-1))
-    )
-    return sized.withColumn("prefix", F.expr("shiftright(base, 32 - prefix_len)")).drop("base")
+
+def cidr_bounds(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """Add family, prefix_len and the range's leading bits; a bare address is a range of one, other text is dropped."""
+    length = F.get(F.split(F.col(cidr), "/"), F.lit(1))
+    bits = address_bits(F.substring_index(cidr, "/", 1))
+    sized = ranges.withColumns({"bits": bits, "prefix_len": F.coalesce(length.try_cast("int"), F.length(bits))})
+    stated = F.col(cidr).rlike(CIDR_PATTERN) | (F.col("bits").isNotNull() & (length.isNull() | length.rlike("^[0-9]{1,3}$")))
+    valid = sized.filter(stated & (F.col("prefix_len") <= F.length("bits")))
+    return valid.withColumns({"family": F.length("bits"), "prefix": F.expr("left(bits, prefix_len)")}).drop("bits")
 
 
 def cidr_members(addresses: DataFrame, ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """(ip, cidr) for every given range an address lies in.
+    """(ip, cidr) for every given range an address lies in, IPv4 and IPv6.
 
-    Containment is equality of the leading bits, so each address is looked up once per prefix length in use
-    (at most 33) with an ordinary equi-join.
+    Containment is equality of the leading bits, so each address is looked up once per prefix length in use (at most
+    33 or 129) with an ordinary equi-join, which adaptive execution broadcasts or splits by its run-time size.
     """
     bounds = cidr_bounds(ranges.select(cidr).distinct(), cidr)
-    lengths = bounds.agg(F.collect_set("prefix_len").alias("lengths")).scalar()
-    numbered = addresses.filter(F.col("ip").rlike(QUAD_PATTERN)).select("ip").distinct()
+    lengths = bounds.agg(F.collect_set(F.struct("family", "prefix_len")).alias("lengths")).scalar()
+    numbered = addresses.select("ip").distinct().withColumn("bits", address_bits("ip"))
     probes = (
-        numbered.withColumn("value", F.coalesce(ip_to_long("ip"), F.lit(-1)))
+        numbered.filter(F.col("bits").isNotNull())
         .withColumn("lengths", lengths)
-        .select("ip", "value", F.explode("lengths").alias("prefix_len"))
-        .select("ip", "prefix_len", F.expr("shiftright(value, 32 - prefix_len)").alias("prefix"))
+        .select("ip", "bits", F.inline("lengths"))
+        .filter(F.col("family") == F.length("bits"))
+        .select("ip", "family", "prefix_len", F.expr("left(bits, prefix_len)").alias("prefix"))
     )
-    return probes.join(small(bounds), ["prefix_len", "prefix"]).select("ip", cidr)
+    return probes.join(bounds, ["family", "prefix_len", "prefix"]).select("ip", cidr)
 
 
 def cidr_enrich(reported: DataFrame, events: DataFrame) -> DataFrame:
@@ -174,7 +213,7 @@ def cidr_enrich(reported: DataFrame, events: DataFrame) -> DataFrame:
     Only events of reported addresses are counted, and pairs are made distinct before that, so a hot address
     shrinks to its sources.
     """
-    wanted = small(reported.select("ip").distinct())
+    wanted = reported.select("ip").distinct()
     own = events.filter(F.col("source").isNotNull()).select("ip", "source").join(wanted, "ip", "left_semi")
     pairs = own.distinct()
     per_ip = pairs.groupBy("ip").agg(F.count("*").alias("source_count"))

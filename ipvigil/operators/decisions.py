@@ -5,18 +5,20 @@ from pyspark.sql import functions as F
 
 from ipvigil.functions import columns as C
 from ipvigil.operators.addresses import ip_history, local_evidence
-from ipvigil.operators.scale import small, written_hot_keys
+from ipvigil.operators.scale import latest_per_key
 
 DECISIONS = ["insufficient_data", "block", "block", "monitor", "monitor", "monitor", "insufficient_data"]
 
 
-def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, **routing) -> DataFrame:
+def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame) -> DataFrame:
     """Every address with its local sightings, reputation and hosting flag. All four sides meet on ip."""
-    rep = reputation.select("ip", "abuse_confidence_score", "num_distinct_users", "total_reports", "recent_categories")
-    hosts = geo.select("ip", "is_hosting")
+    rep = latest_per_key(reputation, "ip").select(
+        "ip", "abuse_confidence_score", "num_distinct_users", "total_reports", "recent_categories"
+    )
+    hosts = latest_per_key(geo, "ip").select("ip", "is_hosting")
     joined = (
         addresses.select("ip")
-        .join(local_evidence(events, **routing), "ip", "left")
+        .join(local_evidence(events), "ip", "left")
         .join(rep.withColumn("in_reputation", F.lit(True)), "ip", "left")
         .join(hosts, "ip", "left")
     )
@@ -30,9 +32,21 @@ def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo
     )
 
 
-def attribution(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, **routing) -> DataFrame:
-    """Decision per address: the first rule that holds, numbered 0 to 6."""
-    known = evidence(addresses, events, reputation, geo, **routing)
+def attribution(
+    addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, dim_category: DataFrame | None = None
+) -> DataFrame:
+    """Decision per address: the first rule that holds, numbered 0 to 6.
+
+    With `dim_category` also the tactics and techniques of its recent categories, as the list `mitre`.
+    """
+    known = evidence(addresses, events, reputation, geo)
+    mitre = []
+    if dim_category is not None:
+        found = techniques(known.select("ip", "recent_categories"), dim_category)
+        record = F.struct("category", "tactic", "technique_id", "technique_name")
+        listed = found.groupBy("ip").agg(F.sort_array(F.collect_set(record)).alias("mitre"))
+        known = known.join(listed, "ip", "left")
+        mitre = [F.coalesce("mitre", F.array().cast(listed.schema["mitre"].dataType)).alias("mitre")]
     score = F.col("abuse_confidence_score")
     reporters = F.coalesce("num_distinct_users", F.lit(0))
     seen = F.col("seen") > 0
@@ -71,6 +85,7 @@ def attribution(addresses: DataFrame, events: DataFrame, reputation: DataFrame,
             F.col("sources").alias("corroborating_sources"),
             F.col("recent_categories").alias("categories"),
             reason.alias("reason"),
+            *mitre,
         )
     )
 
@@ -78,13 +93,13 @@ def attribution(addresses: DataFrame, events: DataFrame, reputation: DataFrame,
 def techniques(reputation: DataFrame, dim_category: DataFrame) -> DataFrame:
     """Tactic and technique of every recent category of an address; unmapped categories are left out."""
     reported = reputation.select("ip", F.explode("recent_categories").alias("category"))
-    return reported.join(small(dim_category), "category").select("ip", "category", "tactic", "technique_id", "technique_name")
+    return reported.join(dim_category, "category").select("ip", "category", "tactic", "technique_id", "technique_name")
 
 
 def origin_verdict(reputation: DataFrame, geo: DataFrame) -> DataFrame:
     """Kind of network behind an address, and what it was last reported for."""
-    flags = geo.select("ip", "is_proxy_or_vpn", "is_hosting", "is_mobile")
-    joined = reputation.select("ip", "is_tor", "recent_categories").join(flags, "ip", "left")
+    flags = latest_per_key(geo, "ip").select("ip", "is_proxy_or_vpn", "is_hosting", "is_mobile")
+    joined = latest_per_key(reputation, "ip").select("ip", "is_tor", "recent_categories").join(flags, "ip", "left")
     return joined.select(
         "ip",
         C.origin("is_tor", "is_proxy_or_vpn", "is_hosting", "is_mobile").alias("origin"),
@@ -92,14 +107,17 @@ def origin_verdict(reputation: DataFrame, geo: DataFrame) -> DataFrame:
     )
 
 
-def dossier(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, **routing) -> DataFrame:
+def dossier(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame) -> DataFrame:
     """Per address: its newest rows as a list (at most 50), its reputation and its location as records."""
     fields = ["rank", "loaded_at", "source", "category", "risk_level", "abuse_confidence_score",
               "country_code", "last_reported_at", "reoffense_probability"]
-    asked = events.join(addresses.select("ip").distinct(), "ip", "left_semi")
-    rows = ip_history(asked, hot=written_hot_keys(events, "ip", **routing))
+    asked = addresses.select("ip").distinct()
+    # trimmed to the newest rows per address first: what is joined has at most 50 rows per address
+    rows = ip_history(events.select("ip", "event_id", *[f for f in fields if f != "rank"])).join(asked, "ip", "left_semi")
     history = rows.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("history"))
-    rep = reputation.select("ip", F.struct(*[c for c in reputation.columns if c != "ip"]).alias("reputation"))
-    loc = geo.select("ip", F.struct(*[c for c in geo.columns if c != "ip"]).alias("geo"))
-    joined = addresses.select("ip").distinct().join(history, "ip", "left").join(rep, "ip", "left").join(loc, "ip", "left")
+    rep, loc = (
+        latest_per_key(side, "ip").select("ip", F.struct(*[c for c in side.columns if c not in ("ip", "landed_at")]).alias(name))
+        for side, name in ((reputation, "reputation"), (geo, "geo"))
+    )
+    joined = asked.join(history, "ip", "left").join(rep, "ip", "left").join(loc, "ip", "left")
     return joined.withColumn("history_count", F.coalesce(F.size("history"), F.lit(0)))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # --- fixed values: rule formats understood by the consuming programs
 RULES = {"iptables": "iptables -A INPUT -s {} -j DROP", "nginx": "deny {};"}
@@ -18,27 +17,25 @@ def rule(target: Column, style: str) -> Column:
     return F.concat(F.lit(before), target, F.lit(after))
 
 
-def _file(ranked: DataFrame, target: str, style: str, header: list[str], order: list[Column]) -> DataFrame:
-    """(line_no, line) of one file. `ranked` is a report page of at most a hundred rows."""
-    spark = ranked.sparkSession
-    body = ranked.select(
-        F.row_number().over(Window.orderBy(*order)).alias("line_no"), rule(F.col(target), style).alias("line")
-    )
-    head = spark.createDataFrame([(i - len(header) + 1, h) for i, h in enumerate(header)], "line_no int, line string")
-    return head.unionByName(body).orderBy("line_no")
+def _write(ranked: DataFrame, lines: Column, header: list[str], order: list[Column], path: str) -> None:
+    """`path`/header, and `path`/rules: every row's line, in files whose names are in the order of the ranking.
 
+    Rows are sorted by ranges over all tasks, so an export has no largest size.
+    """
+    ranked.orderBy(*order).select(lines.alias("line")).write.mode("overwrite").text(f"{path}/rules")
+    head = ranked.sparkSession.createDataFrame([(h,) for h in header], "line string").coalesce(1)
+    head.write.mode("overwrite").text(f"{path}/header")
 
-def blocklist_lines(offenders: DataFrame, style: str = "nginx") -> DataFrame:
-    order = [F.col("source_count").desc(), F.col("report_count").desc(), F.col("ip")]
-    return _file(offenders, "ip", style, HEADERS[style], order)
 
+def write_blocklist(offenders: DataFrame, path: str, style: str = "nginx") -> None:
+    """Rules for all given addresses (ip, reports, sources), best corroborated first."""
+    order = [F.col("sources").desc(), F.col("reports").desc(), F.col("ip")]
+    _write(offenders, rule(F.col("ip"), style), HEADERS[style], order, path)
 
-def subnet_lines(clusters: DataFrame) -> DataFrame:
-    return _file(clusters, "subnet", "nginx", SUBNET_HEADER, [F.col("ip_count").desc(), F.col("subnet")])
 
-
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_subnets(clusters: DataFrame, path: str) -> None:
+    """Rules for all given blocks (subnet, ip_count), largest first."""
+    _write(clusters, rule(F.col("subnet"), "nginx"), SUBNET_HEADER, [F.col("ip_count").desc(), F.col("subnet")], path)
 
 
 # --- fixed values: columns of the exported feed and what fills them

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ipvigil.constants import BULK_MIN_SCORE, BULK_SOURCE, FEED_SAMPLE_SIZE, MODEL_SEED, NEW_IPS_PER_SOURCE
-from ipvigil.operators.scale import small, uniform_sample
+from ipvigil.operators.scale import uniform_sample
 from ipvigil.schema import BULK_PAYLOAD, DIM_FEED, RAW_MESSAGE, conform
 
 
@@ -60,7 +60,7 @@ def feed_table(spark: SparkSession, feeds: list[tuple]) -> DataFrame:
 def tag(entries: DataFrame, dim_feed: DataFrame) -> DataFrame:
     """Category and score of the list an address came from."""
     labels = dim_feed.select("source", "list_name", "category", F.col("score").alias("abuse_confidence_score"))
-    return entries.join(small(labels), ["source", "list_name"])
+    return entries.join(labels, ["source", "list_name"])
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

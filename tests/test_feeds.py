@@ -98,14 +98,27 @@ def test_exports(spark, tmp_path):
          (4, "1.1.1.2", "a", 1.0, None, "t"), (5, "1.1.1.3", "a", 1.0, None, "t")],
         "event_id bigint, ip string, source string, abuse_confidence_score double, country_code string, last_reported_at string",
     )
-    lines = exports.blocklist_lines(A.repeat_offenders(rows), "nginx")
-    exports.write_lines(lines, str(tmp_path / "deny"))
-    text = [r.value for r in spark.read.text(str(tmp_path / "deny")).collect()]
-    assert text[0].startswith("#") and text[1:] == ["deny 1.1.1.1;", "deny 1.1.1.2;"]
-    shell = [r.line for r in exports.blocklist_lines(A.repeat_offenders(rows), "iptables").collect()]
-    assert shell[0] == "#!/bin/sh" and shell[2] == "iptables -A INPUT -s 1.1.1.1 -j DROP"
-    blocks = [r.line for r in exports.subnet_lines(A.infra_clusters(rows)).collect()]
-    assert blocks[1:] == ["deny 1.1.1.0/24;"]
+    offenders = A.ip_stats(rows).filter("reports > 1")
+    exports.write_blocklist(offenders, str(tmp_path / "deny"), "nginx")
+    assert lines_of(tmp_path / "deny" / "header")[0].startswith("#")
+    assert lines_of(tmp_path / "deny" / "rules") == ["deny 1.1.1.1;", "deny 1.1.1.2;"]
+    exports.write_blocklist(offenders, str(tmp_path / "shell"), "iptables")
+    assert lines_of(tmp_path / "shell" / "header")[0] == "#!/bin/sh"
+    assert lines_of(tmp_path / "shell" / "rules")[0] == "iptables -A INPUT -s 1.1.1.1 -j DROP"
+    exports.write_subnets(A.cluster_sizes(rows), str(tmp_path / "blocks"))
+    assert lines_of(tmp_path / "blocks" / "rules") == ["deny 1.1.1.0/24;"]
+
+
+def test_exports_hold_all_rows_in_order(spark, tmp_path):
+    rows = spark.range(3000, numPartitions=5).selectExpr("concat('ip', lpad(id * 7 % 3000, 4, '0')) AS ip", "id % 50 AS reports", "id % 3 AS sources")
+    exports.write_blocklist(rows, str(tmp_path / "all"))
+    want = [f"deny {r.ip};" for r in sorted(rows.collect(), key=lambda r: (-r.sources, -r.reports, r.ip))]
+    assert lines_of(tmp_path / "all" / "rules") == want
+
+
+def lines_of(folder):
+    """Lines of an export's files in the order of their names."""
+    return [line for f in sorted(folder.glob("part-*")) for line in f.read_text().splitlines()]
 
 
 def test_feed_csv_quotes(spark, tmp_path):
