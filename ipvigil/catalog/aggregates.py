@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ipvigil.catalog import fixtures as X
 from ipvigil.catalog.joins import CLUSTERS, FIRST, OFFENDERS
-from ipvigil.catalog.registry import listed, query
+from ipvigil.catalog.registry import listed, positioned, query
 from ipvigil.catalog.scalars import BREAKS, RARITY
-from ipvigil.catalog.sql import DIM_CATEGORY, LONG, METRICS, SNAPSHOTS, over_events
+from ipvigil.catalog.sql import DIM_CATEGORY, LONG, METRICS, SNAPSHOTS, in_order, over_events
 from ipvigil.operators import addresses as A
 from ipvigil.operators import concentration, counts, quality, rankings
 from ipvigil.plans.briefing import briefing, snapshot
@@ -188,20 +188,40 @@ def _(spark, sf):
     return counts.top_country_per_category(X.threat_events(spark, sf))
 
 
+OFFENDER_ORDER = "source_count DESC, report_count DESC, ip"
+
+
 @query(
     "repeat_offenders",
-    over_events("SELECT * FROM offenders ORDER BY source_count DESC, report_count DESC, ip LIMIT 20", OFFENDERS),
+    over_events(in_order("SELECT * FROM offenders ORDER BY source_count DESC, report_count DESC, ip LIMIT 20", OFFENDER_ORDER), OFFENDERS),
 )
 def _(spark, sf):
-    return listed(A.repeat_offenders(X.threat_events(spark, sf)), "sources")
+    return listed(positioned(A.repeat_offenders(X.threat_events(spark, sf))), "sources")
 
 
 @query(
     "repeat_offenders_page",
-    over_events("SELECT * FROM offenders ORDER BY source_count DESC, report_count DESC, ip LIMIT 50 OFFSET 100", OFFENDERS),
+    over_events(
+        in_order("SELECT * FROM offenders ORDER BY source_count DESC, report_count DESC, ip LIMIT 50 OFFSET 100", OFFENDER_ORDER), OFFENDERS
+    ),
+)
+def _(spark, sf):
+    return listed(positioned(A.repeat_offenders(X.threat_events(spark, sf), page=3, page_size=50)), "sources")
+
+
+@query(
+    "repeat_offenders_after",
+    over_events(
+        in_order(
+            """SELECT * FROM offenders WHERE source_count < 2 OR (source_count = 2 AND (report_count < 2 OR (report_count = 2 AND ip > '2')))
+            ORDER BY source_count DESC, report_count DESC, ip LIMIT 50""",
+            OFFENDER_ORDER,
+        ),
+        OFFENDERS,
+    ),
 )
 def _(spark, sf):
-    return listed(A.repeat_offenders(X.threat_events(spark, sf), page=3, page_size=50), "sources")
+    return listed(positioned(A.repeat_offenders(X.threat_events(spark, sf), page_size=50, after=(2, 2, "2"))), "sources")
 
 
 @query(
@@ -281,6 +301,7 @@ counters AS (
   SELECT count(*) AS total, count(*) FILTER (WHERE country_code IS NULL OR length(country_code) <> 2) AS bad_country,
     count(*) FILTER (WHERE abuse_confidence_score < 0 OR abuse_confidence_score > 100) AS bad_score,
     count(*) FILTER (WHERE risk_level NOT IN ('low', 'medium', 'high', 'critical')) AS bad_risk,
+    count(*) FILTER (WHERE last_reported_at IS NOT NULL AND try_cast(last_reported_at AS TIMESTAMPTZ) IS NULL) AS bad_time,
     count(*) - (SELECT count(*) FROM (SELECT DISTINCT ip, source, last_reported_at FROM te) d) AS exact_duplicates
   FROM te
 ),
@@ -289,11 +310,11 @@ checks0 AS (
   UNION ALL SELECT 'score range', bad_score, total FROM counters
   UNION ALL SELECT 'risk level values', bad_risk, total FROM counters
   UNION ALL SELECT 'exact duplicates', exact_duplicates, total FROM counters
+  UNION ALL SELECT 'last_reported_at format', bad_time, total FROM counters
 ),
 checks AS (
   SELECT name, CASE WHEN failed = 0 THEN 'pass' WHEN round(CAST(failed AS DOUBLE) * 100 / total, 2) < 1 THEN 'warn' ELSE 'fail' END AS status,
     failed, total, round(CAST(failed AS DOUBLE) * 100 / total, 2) AS pct FROM checks0
-  UNION ALL SELECT 'last_reported_at type', 'warn', 1, 1, 100
 )"""
 
 
@@ -307,9 +328,18 @@ def _(spark, sf):
     return quality.quality_checks(X.threat_events(spark, sf))
 
 
-@query("dq_schema", over_events("SELECT * FROM checks WHERE name = 'last_reported_at type'", COUNTERS))
+@query(
+    "dq_format",
+    over_events(
+        """SELECT 'last_reported_at format' AS name, 'fail' AS status, count(*) FILTER (WHERE event_id % 50 = 1) AS failed, count(*) AS total,
+          round(count(*) FILTER (WHERE event_id % 50 = 1) * CAST(100 AS DOUBLE) / count(*), 2) AS pct FROM te"""
+    ),
+)
 def _(spark, sf):
-    return quality.schema_check(X.threat_events(spark, sf))
+    """Share of report times that are no time; one in 50 is cut short here."""
+    events = X.threat_events(spark, sf)
+    cut = F.when(F.col("event_id") % 50 == 1, F.substring("last_reported_at", 1, 6)).otherwise(F.col("last_reported_at"))
+    return quality.quality_checks(events.withColumn("last_reported_at", cut)).filter("name = 'last_reported_at format'")
 
 
 @query("failing_checks", over_events("SELECT count(*) AS failing FROM checks WHERE status <> 'pass'", COUNTERS))
@@ -563,29 +593,43 @@ PAGE = """SELECT event_id, ip, country_code, risk_level, abuse_confidence_score,
   (SELECT count(*) FROM te{where}) AS total FROM te{where} ORDER BY {column} DESC NULLS FIRST, event_id LIMIT {size} OFFSET {skip}"""
 
 
-@query("history_page", over_events(PAGE.format(where="", column="loaded_at", size=25, skip=50)))
+PAGE_ORDER = "{} DESC NULLS FIRST, event_id"
+
+
+@query(
+    "history_page",
+    over_events(in_order(PAGE.format(where="", column="loaded_at", size=25, skip=50), PAGE_ORDER.format("loaded_at"))),
+)
 def _(spark, sf):
-    return rankings.history_page(X.threat_events(spark, sf), page=3)
+    return positioned(rankings.history_page(X.threat_events(spark, sf), page=3))
 
 
 @query(
     "history_page_by_score",
-    over_events(PAGE.format(where=" WHERE country_code = 'BB'", column="abuse_confidence_score", size=100, skip=0)),
+    over_events(
+        in_order(
+            PAGE.format(where=" WHERE country_code = 'BB'", column="abuse_confidence_score", size=100, skip=0),
+            PAGE_ORDER.format("abuse_confidence_score"),
+        )
+    ),
 )
 def _(spark, sf):
-    return rankings.history_page(X.threat_events(spark, sf), page_size=500, country="bb", sort="score")
+    return positioned(rankings.history_page(X.threat_events(spark, sf), page_size=500, country="bb", sort="score"))
 
 
 @query(
     "history_after",
     over_events(
-        """SELECT event_id, ip, country_code, risk_level, abuse_confidence_score, last_reported_at, loaded_at, (SELECT count(*) FROM te) AS total
-        FROM te WHERE abuse_confidence_score < 90 OR (abuse_confidence_score = 90 AND event_id > 5)
-        ORDER BY abuse_confidence_score DESC, event_id LIMIT 25"""
+        in_order(
+            """SELECT event_id, ip, country_code, risk_level, abuse_confidence_score, last_reported_at, loaded_at, (SELECT count(*) FROM te) AS total
+            FROM te WHERE abuse_confidence_score < 90 OR (abuse_confidence_score = 90 AND event_id > 5)
+            ORDER BY abuse_confidence_score DESC, event_id LIMIT 25""",
+            PAGE_ORDER.format("abuse_confidence_score"),
+        )
     ),
 )
 def _(spark, sf):
-    return rankings.history_page(X.threat_events(spark, sf), sort="score", after=(90.0, 5))
+    return positioned(rankings.history_page(X.threat_events(spark, sf), sort="score", after=(90.0, 5)))
 
 
 @query(
@@ -595,7 +639,8 @@ def _(spark, sf):
     recent AS (SELECT * FROM te ORDER BY loaded_at DESC, event_id DESC LIMIT 2000),
     picked AS (SELECT * FROM recent WHERE anomaly_score IS NOT NULL ORDER BY anomaly_score, loaded_at DESC, event_id LIMIT 8)
     SELECT p.event_id, ip, source, country_code, category, risk_level, abuse_confidence_score, anomaly_score,
-      CAST(greatest(0, least(100, 100 - (SELECT count(*) FROM breaks WHERE b <= p.anomaly_score))) AS INT) AS unusual_pct, loaded_at, why
+      CAST(greatest(0, least(100, 100 - (SELECT count(*) FROM breaks WHERE b <= p.anomaly_score))) AS INT) AS unusual_pct, loaded_at, why,
+      row_number() OVER (ORDER BY anomaly_score, loaded_at DESC, p.event_id) - 1 AS position
     FROM picked p LEFT JOIN explained x ON p.event_id = x.event_id""",
         BREAKS,
         RARITY,
@@ -603,29 +648,35 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = X.threat_events(spark, sf)
-    return rankings.anomalies(events, rankings.score_percentiles(events).scalar())
+    return positioned(rankings.anomalies(events, rankings.score_percentiles(events).scalar()))
 
 
 @query(
     "trends",
     over_events(
-        "SELECT recorded_at, gini_coefficient, cross_source_pct, categorized_pct FROM briefing_snapshots ORDER BY recorded_at DESC LIMIT 200",
+        in_order(
+            "SELECT recorded_at, gini_coefficient, cross_source_pct, categorized_pct FROM briefing_snapshots ORDER BY recorded_at DESC LIMIT 200",
+            "recorded_at",
+        ),
         SNAPSHOTS,
     ),
 )
 def _(spark, sf):
-    return rankings.trends(X.briefing_snapshots(X.threat_events(spark, sf)))
+    return positioned(rankings.trends(X.briefing_snapshots(X.threat_events(spark, sf))))
 
 
 @query(
     "trends_oldest",
     over_events(
-        "SELECT recorded_at, gini_coefficient, cross_source_pct, categorized_pct FROM briefing_snapshots ORDER BY recorded_at LIMIT 200",
+        in_order(
+            "SELECT recorded_at, gini_coefficient, cross_source_pct, categorized_pct FROM briefing_snapshots ORDER BY recorded_at LIMIT 200",
+            "recorded_at",
+        ),
         SNAPSHOTS,
     ),
 )
 def _(spark, sf):
-    return rankings.trends(X.briefing_snapshots(X.threat_events(spark, sf)), keep="oldest")
+    return positioned(rankings.trends(X.briefing_snapshots(X.threat_events(spark, sf)), keep="oldest"))
 
 
 BRIEFING = """,

@@ -3,7 +3,7 @@
 Each frame has a twin in SQL text below, used by the checks; both define the same rows.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ipvigil.functions.columns import risk_level
@@ -53,12 +53,6 @@ def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_from(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given events as a stream; the wildcard also matches a folder of part files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-
-
 def message_rows(events: DataFrame) -> DataFrame:
     epoch = F.unix_micros(F.col("loaded_at").cast("timestamp")) / F.lit(1e6) - F.col("event_id") % 300 + F.lit(0.25)
     return events.select(
@@ -166,6 +160,12 @@ def geo_payloads(rows: DataFrame) -> DataFrame:
     )
 
 
+def landed_twice(answers: DataFrame, **stale: Column) -> DataFrame:
+    """Every lookup answer, and an older one for the same address with other values."""
+    older = answers.withColumns(stale).withColumn("landed_at", F.lit("2024-01-01"))
+    return answers.withColumn("landed_at", F.lit("2024-02-01")).unionByName(older)
+
+
 def reputation_payloads(events: DataFrame) -> DataFrame:
     """One nested answer per event with twelve reports of two categories each; ids 24 and 25 mean nothing."""
     return events.selectExpr(

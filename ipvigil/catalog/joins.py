@@ -1,22 +1,29 @@
 """Joins, feed selection and exports."""
 
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ipvigil.catalog import fixtures as X
 from ipvigil.catalog.registry import listed, query
 from ipvigil.catalog.scalars import NAMED_CATEGORIES
-from ipvigil.catalog.sql import CANDIDATES, DIM_CATEGORY, DIM_COUNTRY, FEED_LIST, LONG, MESSAGES, over_events
+from ipvigil.catalog.sql import BROKEN, CANDIDATES, DIM_CATEGORY, DIM_COUNTRY, FEED_LIST, LONG, MESSAGES, over_events
 from ipvigil.operators import addresses as A
 from ipvigil.operators import decisions, enrich
+from ipvigil.schema import DIM_CATEGORY as DIM_CATEGORY_COLUMNS
+from ipvigil.session import shared_folder
 from ipvigil.sources import exports, feeds, messages, tables
 
 
 @query(
     "parse_message",
     over_events(
-        "SELECT event_id, ip, country_code, abuse_confidence_score, last_reported_at, source, ingested_at, category "
-        "FROM messages WHERE event_id % 500 <> 7",
+        """SELECT event_id, ip, country_code, abuse_confidence_score, last_reported_at, source, ingested_at, category,
+          CAST(NULL AS VARCHAR) AS malformed FROM messages WHERE event_id % 500 <> 7
+        UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, text FROM broken""",
         MESSAGES,
+        BROKEN,
     ),
 )
 def _(spark, sf):
@@ -145,7 +152,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = X.threat_events(spark, sf)
-    geo = X.geo_payloads(X.candidates(spark, sf, events))
+    geo = X.landed_twice(X.geo_payloads(X.candidates(spark, sf, events)), countryCode=F.lit("ZZ"))
     return enrich.fill_country(events.select("event_id", "ip", "country_code"), geo).select("event_id", "country_code")
 
 
@@ -160,7 +167,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = X.threat_events(spark, sf)
-    geo = X.geo_payloads(X.candidates(spark, sf, events))
+    geo = X.landed_twice(X.geo_payloads(X.candidates(spark, sf, events)), lat=F.col("lat") + 1, city=F.lit("Elsewhere"))
     return enrich.refine_location(events.select("event_id", "ip", "latitude", "longitude"), geo).drop("ip")
 
 
@@ -181,8 +188,13 @@ def _(spark, sf):
     over_events("SELECT source, risk_level, count(*) AS n, count(anomaly_score) AS scored FROM te GROUP BY source, risk_level"),
 )
 def _(spark, sf):
-    events = X.threat_events(spark, sf)
-    return events.groupBy("source", "risk_level").agg(F.count("*").alias("n"), F.count("anomaly_score").alias("scored"))
+    """Written in daily folders by two runs, and read from there."""
+    path = shared_folder(spark, "events")
+    events = X.threat_events(spark, sf).withColumn("load_date", F.to_date("loaded_at"))
+    runs = events.withColumn("run", F.concat(F.lit("r"), F.col("event_id") % 2)).withColumn("batch_id", F.lit(0))
+    runs.write.partitionBy("load_date", "run", "batch_id").parquet(path)
+    stored = tables.scan_events(spark, path, since=datetime(2000, 1, 1))
+    return stored.groupBy("source", "risk_level").agg(F.count("*").alias("n"), F.count("anomaly_score").alias("scored"))
 
 
 FIRST = """,
@@ -319,6 +331,18 @@ def _(spark, sf):
     return events.filter(F.col("last_reported_at") >= since).select("event_id")
 
 
+def _landed(rows):
+    """Reputation and location of the candidates, each looked up twice."""
+    reputation = X.landed_twice(X.reputation(rows), abuse_confidence_score=F.lit(100.0), num_distinct_users=F.lit(99).cast("bigint"))
+    return reputation, X.landed_twice(X.geo(rows), is_hosting=~F.col("is_hosting"))
+
+
+def _kinds(spark):
+    """The categories of the candidates' reputation records, two of five without a technique."""
+    rows = [(f"Kind {i}", f"T{i}", f"X{i}", f"Technique {i}") for i in (1, 2, 4)]
+    return spark.createDataFrame(rows, DIM_CATEGORY_COLUMNS)
+
+
 @query(
     "dossier",
     over_events(
@@ -335,7 +359,7 @@ def _(spark, sf):
 def _(spark, sf):
     events = X.threat_events(spark, sf)
     rows = X.candidates(spark, sf, events)
-    full = decisions.dossier(rows, events, X.reputation(rows), X.geo(rows))
+    full = decisions.dossier(rows, events, *_landed(rows))
     line = F.transform("history", lambda h: F.concat(h["rank"].cast("string"), F.lit(":"), h["source"]))
     return full.select(
         "ip",
@@ -370,7 +394,10 @@ def _(spark, sf):
     )
     SELECT ip, rule, CASE WHEN rule IN (1, 2) THEN 'block' WHEN rule IN (3, 4, 5) THEN 'monitor' ELSE 'insufficient_data' END AS recommendation,
       s IS NOT NULL OR seen > 0 AS known_threat, s AS confidence_score, u AS distinct_reporters, total_reports,
-      seen AS seen_locally, sources AS corroborating_sources, categories FROM ruled""",
+      seen AS seen_locally, sources AS corroborating_sources, categories,
+      CASE WHEN categories IN ('Kind 1', 'Kind 2', 'Kind 4') THEN concat(categories, '/T', right(categories, 1), '/X', right(categories, 1)) ELSE '' END
+        AS mitre
+    FROM ruled""",
         CANDIDATES,
         LONG,
     ),
@@ -378,8 +405,9 @@ def _(spark, sf):
 def _(spark, sf):
     events = X.threat_events(spark, sf)
     rows = X.candidates(spark, sf, events)
-    decided = decisions.attribution(rows, events, X.reputation(rows), X.geo(rows)).drop("reason")
-    return listed(decided, "corroborating_sources", "categories")
+    decided = decisions.attribution(rows, events, *_landed(rows), _kinds(spark)).drop("reason")
+    mitre = F.transform("mitre", lambda m: F.concat_ws("/", m["category"], m["tactic"], m["technique_id"]))
+    return listed(decided.withColumn("mitre", mitre), "corroborating_sources", "categories", "mitre")
 
 
 @query(
@@ -406,7 +434,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = X.threat_events(spark, sf).select("event_id", "ip", "anomaly_score")
-    updates = events.filter("event_id % 40 = 3").select("event_id", F.lit(-0.9).alias("anomaly_score"))
+    updates = X.landed_twice(events.filter("event_id % 40 = 3").select("event_id", F.lit(-0.9).alias("anomaly_score")), anomaly_score=F.lit(-0.1))
     return enrich.keyed_update(events, updates, "event_id", "anomaly_score")
 
 
@@ -419,18 +447,26 @@ offenders AS (
 )"""
 
 
+def exported(spark, write) -> DataFrame:
+    """(part, line) of an export as it was written."""
+    path = shared_folder(spark, "export")
+    write(path)
+    files = [spark.read.text(f"{path}/{part}").select(F.lit(part).alias("part"), F.col("value").alias("line")) for part in ("header", "rules")]
+    return files[0].unionByName(files[1])
+
+
 @query(
     "export_blocklist",
     over_events(
-        """SELECT CAST(rn AS INT) AS line_no, concat('iptables -A INPUT -s ', ip, ' -j DROP') AS line FROM (
-          SELECT ip, row_number() OVER (ORDER BY source_count DESC, report_count DESC, ip) AS rn FROM offenders) o WHERE rn <= 100
-        UNION ALL SELECT -1, '#!/bin/sh'
-        UNION ALL SELECT 0, '# generated blocklist, best corroborated addresses first'""",
+        """SELECT 'rules' AS part, concat('iptables -A INPUT -s ', ip, ' -j DROP') AS line FROM offenders
+        UNION ALL SELECT 'header', '#!/bin/sh'
+        UNION ALL SELECT 'header', '# generated blocklist, best corroborated addresses first'""",
         OFFENDERS,
     ),
 )
 def _(spark, sf):
-    return exports.blocklist_lines(A.repeat_offenders(X.threat_events(spark, sf), page_size=100), "iptables")
+    offenders = A.ip_stats(X.threat_events(spark, sf)).filter("reports > 1")
+    return exported(spark, lambda path: exports.write_blocklist(offenders, path, "iptables"))
 
 
 CLUSTERS = """,
@@ -445,14 +481,13 @@ clusters AS (
 @query(
     "export_subnets",
     over_events(
-        """SELECT CAST(rn AS INT) AS line_no, concat('deny ', subnet, ';') AS line FROM (
-          SELECT subnet, row_number() OVER (ORDER BY ip_count DESC, subnet) AS rn FROM clusters) c WHERE rn <= 50
-        UNION ALL SELECT 0, '# generated deny list of /24 blocks with several reported addresses'""",
+        """SELECT 'rules' AS part, concat('deny ', subnet, ';') AS line FROM clusters
+        UNION ALL SELECT 'header', '# generated deny list of /24 blocks with several reported addresses'""",
         CLUSTERS,
     ),
 )
 def _(spark, sf):
-    return exports.subnet_lines(A.infra_clusters(X.threat_events(spark, sf), limit=50))
+    return exported(spark, lambda path: exports.write_subnets(A.cluster_sizes(X.threat_events(spark, sf)), path))
 
 
 @query(

@@ -1,7 +1,9 @@
 """Training, scoring and model reports."""
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ipvigil.catalog import fixtures as X
 from ipvigil.catalog.joins import FIRST
 from ipvigil.catalog.registry import query
 from ipvigil.catalog.scalars import TOP_15
-from ipvigil.catalog.sql import over_events
-from ipvigil.catalog.streams import _loaded
-from ipvigil.constants import CATEGORICAL_FEATURES, CONTAMINATION
+from ipvigil.catalog.sql import DIM_COUNTRY, MESSAGES, over_events
+from ipvigil.catalog.streams import ENRICHED, _loaded
+from ipvigil.constants import CATEGORICAL_FEATURES, CONTAMINATION, ISOLATION_TREES
 from ipvigil.ml import features as feat
 from ipvigil.ml import isolation, jobs, reoffense
 from ipvigil.operators import addresses as A
@@ -25,22 +27,28 @@ def unscored(spark, sf):
 
 
 @lru_cache(maxsize=8)
-def _trained(app: str, sf: str) -> reoffense.Training:
+def _trained(app: str, sf: str, version) -> reoffense.Training:
     return reoffense.train(unscored(SparkSession.active(), sf))
 
 
 @lru_cache(maxsize=8)
-def _forest(app: str, sf: str) -> isolation.IsolationModel:
+def _forest(app: str, sf: str, version) -> isolation.IsolationModel:
     return isolation.fit(unscored(SparkSession.active(), sf))
 
 
+def _version(spark, sf):
+    """When the events' files were last changed: a changed table is not answered from an older model."""
+    files = X.table(spark, sf, "events").select("_metadata.file_modification_time", "_metadata.file_size")
+    return tuple(files.distinct().agg(F.max("file_modification_time"), F.sum("file_size")).first())
+
+
 def trained(spark, sf) -> reoffense.Training:
     """One training run per session and folder serves all queries that need its models."""
-    return _trained(spark.sparkContext.applicationId, sf)
+    return _trained(spark.sparkContext.applicationId, sf, _version(spark, sf))
 
 
 def forest(spark, sf) -> isolation.IsolationModel:
-    return _forest(spark.sparkContext.applicationId, sf)
+    return _forest(spark.sparkContext.applicationId, sf, _version(spark, sf))
 
 
 @query(
@@ -97,30 +105,70 @@ def _(spark, sf):
     return split.groupBy("reoffended", "is_test").agg(F.count("*").alias("n"))
 
 
-@query("encode")
+FEATURES = """,
+prepared AS (
+  SELECT event_id, source, CASE WHEN country_code IN (SELECT country_code FROM top) THEN country_code ELSE 'OTHER' END AS country_bucket,
+    coalesce(category, 'UNKNOWN') AS category, risk_level, coalesce(abuse_confidence_score, 0) AS score FROM te)"""
+
+
+def _places(feature: str) -> str:
+    return f"(SELECT {feature}, row_number() OVER (ORDER BY count(*) DESC, {feature}) - 1 AS at FROM prepared GROUP BY {feature})"
+
+
+ENCODED = f"""
+SELECT event_id, s.at AS source, c.at AS country_bucket, k.at AS category, r.at AS risk_level, score AS abuse_confidence_score,
+  (SELECT count(DISTINCT source) + count(DISTINCT country_bucket) + count(DISTINCT category) + count(DISTINCT risk_level) + 1 FROM prepared) AS width
+FROM prepared JOIN {_places("source")} s USING (source) JOIN {_places("country_bucket")} c USING (country_bucket)
+  JOIN {_places("category")} k USING (category) JOIN {_places("risk_level")} r USING (risk_level)"""
+
+
+@query("encode", over_events(ENCODED, TOP_15, FEATURES))
 def _(spark, sf):
+    """The place of the one in each one-hot block, read from the encoded vector."""
     events = X.threat_events(spark, sf)
     rows = feat.features(events, counts.top_country_codes(events))
-    return feat.encoder().fit(rows).transform(rows).select("event_id", F.col("features").cast("string").alias("features"))
+    model = feat.encoder().fit(rows)
+    sizes = [len(labels) for labels in model.stages[0].labelsArray]
+    encoded = model.transform(rows).withColumn("x", vector_to_array("features"))
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    ones = [
+        (F.array_position(F.slice("x", start + 1, size), F.lit(1.0)) - 1).alias(name)
+        for name, start, size in zip(CATEGORICAL_FEATURES, starts, sizes)
+    ]
+    return encoded.select("event_id", *ones, F.element_at("x", -1).alias("abuse_confidence_score"), F.size("x").cast("bigint").alias("width"))
+
+
+def _figures(run, name: str):
+    """Rows of the test set, and whether all figures of a model are shares and fit together."""
+    found = reoffense.evaluate(run.models[name], run.test)
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
+    tested = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    fits = F.abs(F.col("accuracy") * tested - F.col("tn") - F.col("tp")) < 1e-6
+    return found.select(
+        F.lit(name).alias("model"), tested.alias("tested"), (F.col("fn") + F.col("tp")).alias("positive"), reduce(and_, shares, fits).alias("sound")
+    )
 
 
-@query("fit_lr")
+TESTED = "SELECT '{}' AS model, CAST(sum(test_n) AS BIGINT) AS tested, CAST(sum(CASE WHEN reoffended = 1 THEN test_n END) AS BIGINT) AS positive, true AS sound FROM test_sizes"
+
+
+@query("fit_lr", over_events(TESTED.format("logistic_regression"), FIRST, SPLIT))
 def _(spark, sf):
-    run = trained(spark, sf)
-    return reoffense.evaluate(run.models["logistic_regression"], run.test)
+    return _figures(trained(spark, sf), "logistic_regression")
 
 
-@query("fit_rf")
+@query("fit_rf", over_events(TESTED.format("random_forest"), FIRST, SPLIT))
 def _(spark, sf):
-    run = trained(spark, sf)
-    return reoffense.evaluate(run.models["random_forest"], run.test)
+    return _figures(trained(spark, sf), "random_forest")
 
 
-@query("evaluate")
+@query(
+    "evaluate",
+    over_events(f"{TESTED.format('logistic_regression')} UNION ALL {TESTED.format('random_forest')}", FIRST, SPLIT),
+)
 def _(spark, sf):
     run = trained(spark, sf)
-    both = [reoffense.evaluate(m, run.test).withColumn("model", F.lit(name)) for name, m in run.models.items()]
-    return both[0].unionByName(both[1])
+    return _figures(run, "logistic_regression").unionByName(_figures(run, "random_forest"))
 
 
 @query(
@@ -148,25 +196,81 @@ def _(spark, sf):
     return reoffense.confusion_pct(reoffense.confusion(rows))
 
 
-@query("importance")
+@query(
+    "importance",
+    over_events(
+        """SELECT count(DISTINCT source) + count(DISTINCT b) + count(DISTINCT c) + count(DISTINCT risk_level) + 1 >= 15 AS enough, 15 AS named,
+          true AS shares, true AS ordered
+        FROM (SELECT source, risk_level, coalesce(category, 'UNKNOWN') AS c, country_code AS b FROM firsts) f""",
+        FIRST,
+    ),
+)
 def _(spark, sf):
     run = trained(spark, sf)
-    return reoffense.importance(run.models["random_forest"], run.test)
+    top = reoffense.importance(run.models["random_forest"], run.test)
+    listed_ = top.agg(F.collect_list("importance").alias("v"), F.count("*").alias("named"))
+    return listed_.select(
+        (F.col("named") >= 15).alias("enough"),
+        F.col("named").cast("int").alias("named"),
+        (F.aggregate("v", F.lit(0.0), lambda a, x: a + x).between(0.3, 1.001) & F.forall("v", lambda x: x.between(0, 1))).alias("shares"),
+        (F.col("v") == F.reverse(F.array_sort("v"))).alias("ordered"),
+    )
 
 
-@query("score_reoffense")
+SCORED = "SELECT count(*) AS n, count(*) AS scored, true AS in_range FROM te"
+
+
+def _scored(rows, column: str, low: float, high: float):
+    return rows.agg(
+        F.count("*").alias("n"), F.count(column).alias("scored"), F.bool_and(F.col(column).between(low, high)).alias("in_range")
+    )
+
+
+@query("score_reoffense", over_events(SCORED))
 def _(spark, sf):
-    return trained(spark, sf).models["random_forest"].score(unscored(spark, sf)).select("event_id", "reoffense_probability")
+    return _scored(trained(spark, sf).models["random_forest"].score(unscored(spark, sf)), "reoffense_probability", 0, 1)
 
 
-@query("fit_iforest")
+@query("fit_iforest", over_events(f"SELECT CAST({ISOLATION_TREES} AS BIGINT) AS trees, true AS binary FROM (SELECT count(*) FROM te) t"))
 def _(spark, sf):
-    return forest(spark, sf).nodes
+    """A tree is complete if it has one leaf more than inner nodes, and every node but the root has its parent."""
+    nodes = forest(spark, sf).nodes
+    parent = F.floor((F.col("node") - 1) / 2)
+    inner = nodes.filter("feature >= 0").select("tree_id", F.col("node").alias("parent"))
+    rooted = nodes.withColumn("parent", parent).join(inner, ["tree_id", "parent"], "left_semi")
+    lost = nodes.filter("node > 0").count() - rooted.count()
+    shape = nodes.groupBy("tree_id").agg((F.count_if(F.col("feature") < 0) - F.count_if(F.col("feature") >= 0)).alias("more"))
+    return shape.agg(F.count("*").alias("trees"), (F.bool_and(F.col("more") == 1) & F.lit(lost == 0)).alias("binary"))
+
 
+FIXED_TREES = [(0, 50.0, 1.0, 3.0), (1, 80.0, 2.0, 1.5)]
 
-@query("score_anomaly")
+
+@query(
+    "score_anomaly",
+    over_events(
+        "SELECT event_id, round(-pow(2, -(("
+        + " + ".join(f"CASE WHEN score <= {t} THEN {a} ELSE {b} END" for _, t, a, b in FIXED_TREES)
+        + f") / 2) / CAST({feat.path_normaliser(256)!r} AS DOUBLE)), 4) AS anomaly_score FROM prepared",
+        TOP_15,
+        FEATURES,
+    ),
+)
 def _(spark, sf):
-    return forest(spark, sf).score(unscored(spark, sf)).select("event_id", "anomaly_score")
+    """Two fixed trees that each ask for the abuse score."""
+    events = unscored(spark, sf)
+    top = counts.top_country_codes(events)
+    rows = feat.features(events, top)
+    encoder = feat.encoder().fit(rows)
+    last = sum(len(labels) for labels in encoder.stages[0].labelsArray)
+    nodes = [n for t, cut, a, b in FIXED_TREES for n in ((t, 0, last, cut, 0.0), (t, 1, -1, 0.0, a), (t, 2, -1, 0.0, b))]
+    model = isolation.IsolationModel(encoder, spark.createDataFrame(nodes, isolation.NODE), 256, len(FIXED_TREES), top)
+    return model.score(events).select("event_id", "anomaly_score")
+
+
+@query("score_anomaly_fitted", over_events(SCORED))
+def _(spark, sf):
+    return _scored(forest(spark, sf).score(unscored(spark, sf)), "anomaly_score", -1, 0)
 
 
 @query(
@@ -193,32 +297,65 @@ def _(spark, sf):
     return jobs.backfill(X.threat_events(spark, sf), "anomaly_score", constant).select("event_id", "anomaly_score")
 
 
-@query("backfill_model")
+@query(
+    "backfill_model",
+    over_events("SELECT count(*) AS n, count(anomaly_score) AS kept, count(*) - count(anomaly_score) AS filled FROM te"),
+)
 def _(spark, sf):
     events = X.threat_events(spark, sf)
-    return jobs.backfill(events, "anomaly_score", forest(spark, sf).score).select("event_id", "anomaly_score")
+    after = jobs.backfill(events, "anomaly_score", forest(spark, sf).score).select("event_id", F.col("anomaly_score").alias("after"))
+    both = events.select("event_id", "anomaly_score").join(after, "event_id")
+    return both.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("anomaly_score") == F.col("after")).alias("kept"),
+        F.count_if(F.col("anomaly_score").isNull() & F.col("after").between(-1, 0)).alias("filled"),
+    )
 
 
-@query("stream_score")
+@query(
+    "stream_score",
+    over_events("SELECT count(*) AS n, count(*) AS reoffense, count(*) AS anomaly FROM enriched", MESSAGES, DIM_COUNTRY, ENRICHED),
+)
 def _(spark, sf):
+    """Rows of the table that a scoring stream has loaded, and how many carry a probability and a score."""
     score = jobs.stream_scorer(trained(spark, sf).models["random_forest"], forest(spark, sf))
     scored = tables.scan_events(spark, f"{_loaded(spark, sf, score)}/table")
-    return scored.select("ip", "source", "reoffense_probability", "anomaly_score")
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("reoffense_probability").between(0, 1)).alias("reoffense"),
+        F.count_if(F.col("anomaly_score").between(-1, 0)).alias("anomaly"),
+    )
 
 
-@query("model_registry")
+@query("model_registry", over_events("SELECT count(*) AS n, count(*) AS same FROM te"))
 def _(spark, sf):
+    """Models that were saved and loaded again score every event as before."""
     base = shared_folder(spark, "models")
-    trained(spark, sf).models["random_forest"].save(f"{base}/reoffense")
-    forest(spark, sf).save(f"{base}/anomaly")
-    again = isolation.IsolationModel.load(f"{base}/anomaly").score(unscored(spark, sf))
-    return reoffense.ReoffenseModel.load(f"{base}/reoffense").score(again).select(
-        "event_id", "reoffense_probability", "anomaly_score"
+    models = trained(spark, sf).models["random_forest"], forest(spark, sf)
+    models[0].save(f"{base}/reoffense")
+    models[1].save(f"{base}/anomaly")
+    again = reoffense.ReoffenseModel.load(f"{base}/reoffense"), isolation.IsolationModel.load(f"{base}/anomaly")
+    rows = unscored(spark, sf)
+    first, second = (
+        pair[1].score(pair[0].score(rows)).select("event_id", F.struct("reoffense_probability", "anomaly_score").alias(name))
+        for pair, name in ((models, "a"), (again, "b"))
     )
+    return first.join(second, "event_id").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
-@query("model_report")
+@query(
+    "model_report",
+    over_events(
+        """SELECT 'random_forest' AS model, s.*, c.*, true AS sound FROM
+          (SELECT CAST(sum(n) AS BIGINT) AS trained_on_rows, CAST(sum(n - test_n) AS BIGINT) AS train_rows,
+            CAST(sum(test_n) AS BIGINT) AS test_rows FROM test_sizes) s,
+          (SELECT count(*) AS total, count(reoffense_probability) AS reoffense_scored, count(anomaly_score) AS anomaly_scored FROM te) c""",
+        FIRST,
+        SPLIT,
+    ),
+)
 def _(spark, sf):
+    """The report as it lies beside the saved model."""
     run = trained(spark, sf)
     figures = reoffense.evaluate(run.models["random_forest"], run.test).withColumn("model", F.lit("random_forest"))
     sizes = run.sizes.agg(
@@ -227,4 +364,11 @@ def _(spark, sf):
         F.sum(F.when(F.col("is_test"), F.col("n"))).alias("test_rows"),
     )
     report = figures.withColumn("sizes", sizes.select(F.struct("*")).scalar()).withColumn("contamination", F.lit(CONTAMINATION))
-    return jobs.model_report(report.select("*", "sizes.*").drop("sizes"), X.threat_events(spark, sf))
+    whole = jobs.model_report(report.select("*", "sizes.*").drop("sizes"), X.threat_events(spark, sf))
+    path = shared_folder(spark, "report")
+    jobs.save_report(whole, path)
+    stored = spark.read.schema(whole.schema).json(path)
+    sound = F.col("accuracy").between(0, 1) & F.col("roc_auc").between(0, 1) & (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("test_rows"))
+    return stored.select(
+        "model", "trained_on_rows", "train_rows", "test_rows", "total", "reoffense_scored", "anomaly_scored", sound.alias("sound")
+    )

@@ -22,6 +22,11 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """A page of rows with their places in it, so that the SQL sees the order as well."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id())
+
+
 def listed(df: DataFrame, *columns: str, separator: str = ",") -> DataFrame:
     """Array columns as text, so results compare across engines."""
     return df.withColumns({c: F.array_join(c, separator) for c in columns})

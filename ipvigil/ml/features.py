@@ -2,8 +2,6 @@
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -14,8 +12,6 @@ from pyspark.sql.window import Window
 from ipvigil.constants import CATEGORICAL_FEATURES, MODEL_SEED, NUMERIC_FEATURES, TEST_SHARE
 from ipvigil.functions.columns import country_bucket, fill_feature_defaults
 from ipvigil.operators.addresses import first_sighting
-from ipvigil.operators.scale import BROADCAST_ROWS
-from ipvigil.session import cut_lineage
 
 SIGHTING = ["source", "country_code", "abuse_confidence_score", "risk_level", "category"]
 
@@ -54,7 +50,6 @@ def class_weights(rows: DataFrame, label: str = "reoffended") -> DataFrame:
     return rows.withColumn("weight", weight)
 
 
-SCORING_TASKS = 256
 MODEL_COLUMNS = [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES]
 
 
@@ -67,28 +62,14 @@ def combine(rows: DataFrame, label: str = "reoffended", weight: str = "weight")
     return rows.groupBy(*MODEL_COLUMNS, label).agg(F.sum(weight).alias(weight))
 
 
-def score_by_combination(
-    rows: DataFrame,
-    top_countries: Sequence[str],
-    score: Callable[[DataFrame], DataFrame],
-    column: str,
-    max_rows: int = BROADCAST_ROWS,
+def score_rows(
+    rows: DataFrame, top_countries: Sequence[str], score: Callable[[DataFrame], DataFrame], column: str
 ) -> DataFrame:
-    """Add a model's score to `rows`, computing it once per combination of feature values.
-
-    Events repeat few combinations, so the model runs on a small table that is broadcast back. Its size is
-    checked: with more combinations than that, every row is scored where it lies. Neither way shuffles events.
-    """
+    """Add a model's score to `rows`, row by row where they lie: one pass, no shuffle, the same plan at any size."""
     kept = [F.col(c) for c in rows.columns if c != column]
     packed = rows.select(F.struct(*kept).alias("row"), *kept)
     prepared = features(packed, top_countries).select("row", *MODEL_COLUMNS)
-    combinations = cut_lineage(prepared.select(*MODEL_COLUMNS).distinct(), "combinations")
-    if combinations.limit(max_rows + 1).count() > max_rows:
-        return score(prepared).select("row.*", column)
-    spread = combinations.repartition(min(rows.sparkSession.sparkContext.defaultParallelism, SCORING_TASKS))
-    scored = cut_lineage(score(spread).select(*[F.col(c).alias(f"of_{c}") for c in MODEL_COLUMNS], column), "scores")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in MODEL_COLUMNS])
-    return prepared.join(F.broadcast(scored), same, "left").select("row.*", column)
+    return score(prepared).select("row.*", column)
 
 
 def split_sizes(counted: DataFrame, label: str, share: float = TEST_SHARE) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ipvigil.constants import CONTAMINATION, ISOLATION_SAMPLE, ISOLATION_TREES, MODEL_SEED
-from ipvigil.ml.features import encoder, features, path_normaliser, score_by_combination
+from ipvigil.ml.features import encoder, features, path_normaliser, score_rows
 from ipvigil.operators.counts import top_country_codes
-from ipvigil.operators.scale import uniform_sample
+from ipvigil.operators.scale import SCORE_WIDTHS, exact_percentiles, uniform_sample
 from ipvigil.session import cut_lineage
 
 NODE = "tree_id int, node int, feature int, threshold double, path double"
@@ -84,7 +84,7 @@ class IsolationModel:
         def anomaly(prepared: DataFrame) -> DataFrame:
             return self.encoded(prepared).withColumn(column, self.scorer("x"))
 
-        return score_by_combination(events, self.top_countries, anomaly, column)
+        return score_rows(events, self.top_countries, anomaly, column)
 
     def _scorer(self):
         # at most trees * (4 * sample) nodes, whatever the table holds
@@ -154,14 +154,11 @@ def fit(
 
 
 def anomaly_rate(events: DataFrame, column: str = "anomaly_score", contamination: float = CONTAMINATION) -> DataFrame:
-    """Share of rows below the contamination quantile, and whether it is close to the target.
-
-    Scores carry four decimals; everything is derived from the counts per score, in one pass.
-    """
-    counted = events.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    cutoff = counted.agg(F.percentile(column, contamination, F.col("n")).alias("q")).scalar()
-    below = F.when(F.col(column) < cutoff, F.col("n")).otherwise(F.lit(0))
-    sums = counted.agg(F.coalesce(F.sum(below), F.lit(0)).alias("below"), F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
+    """Share of rows below the contamination quantile (exact for scores of any precision), and whether it is close
+    to the target."""
+    cutoff = exact_percentiles(events, column, [contamination], SCORE_WIDTHS).agg(F.max("value").alias("q")).scalar()
+    scored = events.filter(F.col(column).isNotNull())
+    sums = scored.agg(F.count_if(F.col(column) < cutoff).alias("below"), F.count("*").alias("scored"))
     rate = F.round(F.try_divide(F.col("below").cast("double"), F.col("scored").cast("double")), 4)
     return sums.select(
         "scored",

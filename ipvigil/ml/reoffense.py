@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ipvigil.constants import FOREST_DEPTH, FOREST_TREES, LR_ITERATIONS, MODEL_SEED
+from ipvigil.constants import FOREST_DEPTH, FOREST_ROWS, FOREST_TREES, LR_ITERATIONS, MODEL_SEED
 from ipvigil.functions.columns import safe_pct
 from ipvigil.ml.features import (
     MODEL_COLUMNS,
@@ -19,11 +19,12 @@ from ipvigil.ml.features import (
     combine,
     encoder,
     features,
-    score_by_combination,
+    score_rows,
     stratified_split,
     train_set,
 )
 from ipvigil.operators.counts import top_country_codes
+from ipvigil.session import cut_lineage
 
 
 def logistic_regression(n: int) -> LogisticRegression:
@@ -49,7 +50,7 @@ class ReoffenseModel:
 
     def score(self, events: DataFrame) -> DataFrame:
         """Add reoffense_probability; the other columns stay as they were."""
-        return score_by_combination(events, self.top_countries, self._probability, "reoffense_probability")
+        return score_rows(events, self.top_countries, self._probability, "reoffense_probability")
 
     def _probability(self, prepared: DataFrame) -> DataFrame:
         scored = self.pipeline.transform(prepared)
@@ -83,27 +84,31 @@ def fit(prepared: DataFrame, classifier, top_countries: list[str]) -> ReoffenseM
     return ReoffenseModel(Pipeline(stages=stages).fit(prepared), top_countries)
 
 
-def train(events: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Training:
+def train(
+    events: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, forest_rows: int = FOREST_ROWS
+) -> Training:
     """Fit both classifiers on 80 % of the addresses; the rest is for evaluation.
 
-    The rows are spread evenly over all cores and kept, since tree growing reads them once per level. The
-    linear model reads combined rows.
+    The linear model reads all training rows, combined. The forest grows on at most about `forest_rows` of them, drawn
+    by a hash of the address, since tree growing reads its rows once per level. Both are kept only while they are used.
     """
     rows = train_set(events)
     top = top_country_codes(rows)
-    split = stratified_split(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    cores = events.sparkSession.sparkContext.defaultParallelism
-    fitting = class_weights(features(split.filter(~F.col("is_test")), top)).select(*MODEL_COLUMNS, "reoffended", "weight")
-    fitting = fitting.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    split = cut_lineage(stratified_split(rows), "split")
+    fitting = class_weights(features(split.filter(~F.col("is_test")), top)).select("ip", *MODEL_COLUMNS, "reoffended", "weight")
+    count = fitting.count()
+    share = min(1.0, forest_rows / max(count, 1))
+    drawn = fitting.filter(F.pmod(F.xxhash64("ip"), F.lit(1_000_000)) < int(share * 1_000_000))
     combined = combine(fitting).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = drawn.drop("ip").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = {
-            "logistic_regression": fit(combined, logistic_regression(fitting.count()), top),
-            "random_forest": fit(fitting, random_forest(trees, depth), top),
+            "logistic_regression": fit(combined, logistic_regression(count), top),
+            "random_forest": fit(drawn, random_forest(trees, depth), top),
         }
     finally:
         combined.unpersist()
-        fitting.unpersist()
+        drawn.unpersist()
     sizes = split.groupBy("is_test", "reoffended").agg(F.count("*").alias("n"))
     return Training(models, split.filter("is_test"), sizes)
 
@@ -127,7 +132,7 @@ def confusion_pct(matrix: DataFrame) -> DataFrame:
 
 def evaluate(model: ReoffenseModel, test: DataFrame) -> DataFrame:
     """One row of quality figures on held-out addresses."""
-    predicted = model.predict(test).persist(StorageLevel.MEMORY_AND_DISK)
+    predicted = model.predict(test)
     auc = BinaryClassificationEvaluator(labelCol="reoffended", numBins=0).evaluate(predicted)
     c = F.col
     whole = c("tn") + c("fp") + c("fn") + c("tp")

@@ -90,14 +90,13 @@ def test_combined_rows_train_the_same_linear_model(labelled):
     assert max(abs(scores[0][ip] - scores[1][ip]) for ip in scores[0]) < 1e-3
 
 
-def test_scoring_by_row_equals_scoring_by_combination(labelled):
+def test_scoring_keeps_rows_and_columns_and_shuffles_nothing(labelled):
     def score(rows):
         return rows.withColumn("s", F.length("country_bucket") + F.col("abuse_confidence_score") + F.length("category"))
 
-    both = [feat.score_by_combination(labelled, ["K1", "K10"], score, "s", limit) for limit in (100_000, 10)]
-    rows = [sorted((r.ip, r.s, r.country_code or "", r.category or "") for r in b.collect()) for b in both]
-    assert rows[0] == rows[1] and len(rows[0]) == 3000
-    assert both[0].columns == both[1].columns == [*labelled.columns, "s"]
+    scored = feat.score_rows(labelled, ["K1", "K10"], score, "s")
+    assert scored.count() == 3000 and scored.columns == [*labelled.columns, "s"]
+    assert sorted(r.ip for r in scored.collect()) == sorted(r.ip for r in labelled.collect())
 
 
 @pytest.fixture(scope="module")
