@@ -14,7 +14,6 @@ Words are told apart by 64-bit hashes. Defined results: null texts have no words
 null item_id is listed as an empty name; equal item ids are listed once; documents that repeat are each judged.
 """
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,19 +165,21 @@ def matched(
     names = [free_name(docs, n) for n in ("n_words", "longest", "spans", "items")]
     kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
     fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
+    earlier = {n: free_name(docs, f"{n}_before") for n in names}
     current, columns = None, [*keep, *([] if text in keep else [text])]
     for block in blocks(benchmark, window, block_words):
         if current is not None:
             current = cut_lineage(current, "benchmark-block")
-        current = _pass(docs if current is None else current, text, columns, fields, block, [] if current is None else names)
+        merge = {} if current is None else earlier
+        current = _pass(docs if current is None else current, text, columns, fields, block, merge)
     if current is None:
-        current = _pass(docs, text, columns, fields, block_of([], [], window), [])
+        current = _pass(docs, text, columns, fields, block_of([], [], window), {})
     return current.select(*keep, *names)
 
 
-def _pass(docs: DataFrame, text: str, columns: list[str], fields: list, block: Block, names: list[str]) -> DataFrame:
-    """One block against all documents; the results of earlier blocks, in the columns `names`, are merged."""
-    before = [f"{c}_before" for c in names]
+def _pass(docs: DataFrame, text: str, columns: list[str], fields: list, block: Block, merge: dict[str, str]) -> DataFrame:
+    """One block against all documents; the results of earlier blocks, in columns renamed by `merge`, are merged."""
+    before = list(merge.values())
 
     def compute(part: pa.RecordBatch) -> list:
         index = part.schema.get_field_index
@@ -197,11 +198,11 @@ def _pass(docs: DataFrame, text: str, columns: list[str], fields: list, block: B
         for d, i in pairs.tolist():
             items[d].add(block.names[i])
         if before:
-            earlier = [part.column(index(c)).to_pylist() for c in before]
-            longest = np.maximum(longest, np.array(earlier[1], np.int64))
+            _, length, ranges, found = (part.column(index(c)).to_pylist() for c in before)
+            longest = np.maximum(longest, np.array(length, np.int64))
             for d in range(n):
-                items[d].update(earlier[3][d])
-                for a, b in zip(earlier[2][d][::2], earlier[2][d][1::2], strict=True):
+                items[d].update(found[d])
+                for a, b in zip(ranges[d][::2], ranges[d][1::2], strict=True):
                     hit[first[d] + a] += 1
                     hit[first[d] + b] -= 1
         covered = np.cumsum(hit[:-1]) > 0
@@ -219,12 +220,7 @@ def _pass(docs: DataFrame, text: str, columns: list[str], fields: list, block: B
 
     if not before:
         return map_text(docs, text, fields, compute, columns)
-    renamed = docs.withColumnsRenamed(dict(zip(names, before, strict=True)))
-    return map_text(renamed, text, fields, compute, [*columns, *before]).drop(*before)
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return map_text(docs.withColumnsRenamed(merge), text, fields, compute, [*columns, *before]).drop(*before)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -157,7 +157,7 @@ def features(df: DataFrame, text: str, stems: np.ndarray, weights: np.ndarray, n
             _sums(_MASK[data], bounds) / n_bytes,
             _sums(odd, first) / n_words,
             _sums(unmasked, first) / n_words,
-            np.log1p(n_words),
+            np.log1p(_sums(np.ones(len(start)), first)),
             np.log1p(_sums(end - start, first) / n_words),
         ]
         values = np.stack(columns, axis=1).astype(np.float64).ravel()
