@@ -93,18 +93,26 @@ def events_by(events: DataFrame, *columns: str) -> DataFrame:
     return events.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def grouped_by_each(events: DataFrame, columns: Sequence[str], *aggregates: Column) -> DataFrame:
+def grouped_by_each(events: DataFrame, columns: Sequence[str], **counts: Column) -> DataFrame:
     """Counts by every one of some columns, and of all rows, in one pass (GROUPING SETS).
 
-    `grouping` names the column a row is about ("" for the row about everything) and `value` its value as text.
-    Map tasks combine, so a hot value costs one row per task. The result has a row per distinct value.
+    `grouping` names the column a row is about ("" for the row about everything), `value` is its value as text, `n` the
+    rows; `counts` are whole-number aggregates. Map tasks combine, so a hot value costs one row per task.
+
+    Reports take several parts of this frame. Names and values depend on a count and the numbers sit in one array, so a
+    part's filter and columns stay above the grouping, all parts have it in common, and it runs once.
     """
     named = F.lit("")
     for c in columns:
         named = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(named)
     value = F.coalesce(*[F.col(c).cast("string") for c in columns])
+    whole = {"n": F.count("*"), **counts}
     sets = events.groupingSets([[c] for c in columns] + [[]], *columns)
-    return sets.agg(named.alias("grouping"), value.alias("value"), F.count("*").alias("n"), *aggregates).drop(*columns)
+    numbered = [c.cast("bigint").alias(name) for name, c in whole.items()]
+    some = F.count("*") > 0
+    cells = sets.agg(F.when(some, named).alias("grouping"), F.when(some, value).alias("value"), *numbered)
+    cells = cells.select("grouping", "value", F.transform(F.array(*whole), lambda x: x).alias("numbers"))
+    return cells.select("grouping", "value", *[F.get("numbers", F.lit(i)).alias(c) for i, c in enumerate(whole)])
 
 
 def regroup(counted: DataFrame, column: str) -> DataFrame:

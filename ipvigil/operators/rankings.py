@@ -83,6 +83,8 @@ def rarity(rows: DataFrame, events: DataFrame) -> DataFrame:
         F.struct(F.lit(labels[f]).alias("label"), F.col(f).cast("string").alias("value")) for f in features
     ])))
     counted = cells.groupBy("label", "value").agg(F.count("*").alias("cnt"))
+    # through the count the label's filters stay above the grouping, so that it runs once
+    counted = counted.withColumn("label", F.when(F.col("cnt") > 0, F.col("label")))
     total = counted.filter("label = 'source'").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).scalar()
     out = rows
     for i, f in enumerate(features):

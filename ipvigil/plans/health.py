@@ -21,9 +21,9 @@ def pipeline_health(events: DataFrame, at: datetime | None = None) -> DataFrame:
     cells = grouped_by_each(
         events.withColumn("loaded_minute", F.unix_seconds(Q.load_minute().cast("timestamp"))),
         ["loaded_minute", "source"],
-        F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)).alias("valid"),
-        F.count_if(recent).alias("recent"),
-        *[c.alias(name) for name, c in Q.failure_counts().items()],
+        valid=F.count_if((F.col("latitude") != 0) & (F.col("longitude") != 0)),
+        recent=F.count_if(recent),
+        **Q.failure_counts(),
     )
     minutes = cells.filter("grouping = 'loaded_minute'")
     latest = minutes.orderBy(F.col("value").cast("bigint").desc_nulls_first()).limit(RECENT_BATCHES)
@@ -36,7 +36,7 @@ def pipeline_health(events: DataFrame, at: datetime | None = None) -> DataFrame:
     grade = F.when(F.col("status") == "pass", 0).when(F.col("status") == "warn", 1).otherwise(2)
     return stacked([
         section("recent_batch", latest, "n", "value"),
-        section("total_batches", minutes.agg(F.count("value").alias("n")), "n"),
+        section("total_batches", minutes.agg(F.count_if(F.col("value").isNotNull() & (F.col("n") > 0)).alias("n")), "n"),
         section("by_source", cells.filter("grouping = 'source'"), "n", "value"),
         facts(whole, {
             "pct_valid_geo": F.try_divide(F.col("valid") * 100.0, F.col("total").cast("double")),

@@ -41,8 +41,8 @@ def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
     cells = grouped_by_each(
         events,
         ["country_code", "category", "risk_level"],
-        F.count_if(F.col("loaded_at") >= since).alias("recent"),
-        F.max("loaded_at").alias("last"),
+        recent=F.count_if(F.col("loaded_at") >= since),
+        last=F.max(F.unix_seconds(F.col("loaded_at").cast("timestamp"))),
     )
     by = {c: cells.filter(F.col("grouping") == c) for c in ("country_code", "category", "risk_level")}
     by_country = by["country_code"]
@@ -51,7 +51,7 @@ def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
         facts(whole, {
             "total": F.coalesce("n", F.lit(0)),
             "new_24h": F.coalesce("recent", F.lit(0)),
-            "last_loaded_epoch": F.unix_seconds(F.col("last").cast("timestamp")),
+            "last_loaded_epoch": F.col("last"),
         }),
         facts(offender_totals(events), {
             "repeat_offenders": F.col("repeat_ips"),
@@ -59,7 +59,7 @@ def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
         }),
         section("by_risk", by["risk_level"], "n", "value"),
         section("by_country", by_country, "n", "value"),
-        section("distinct_countries", by_country.agg(F.count("value").alias("n")), "n"),
+        section("distinct_countries", by_country.agg(F.count_if(F.col("value").isNotNull() & (F.col("n") > 0)).alias("n")), "n"),
         section("by_category", by["category"].filter("value IS NOT NULL"), "n", "value"),
         section("gini_coefficient", gini(by_country), "gini"),
     ])
