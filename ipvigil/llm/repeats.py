@@ -34,6 +34,8 @@ BLOCK = 1 << 17
 #: One document in SAMPLED looks for hot grams; HOT contexts of one gram are too many for a task.
 SAMPLED = 128
 HOT = 1 << 18
+#: Hot grams that are sent to the tasks, the hottest first; the others take the ordinary way.
+HOT_GRAMS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -158,10 +160,10 @@ def anchors(docs: DataFrame, kind: Kind, hot: np.ndarray) -> DataFrame:
 
 
 def hot_grams(docs: DataFrame, kind: Kind, hot: int = HOT, sampled: int = SAMPLED) -> np.ndarray:
-    """Grams with about `hot` contexts or more, by a sample of documents; at most one for every hot / sampled anchors in it."""
+    """Grams with about `hot` contexts or more, by a sample of documents; at most HOT_GRAMS, the hottest."""
     some = docs.filter(F.pmod(F.xxhash64(F.lit("hot"), "doc"), F.lit(sampled)) == 0)
     count = anchors(some, kind, np.zeros(0, np.uint64)).filter("NOT known").groupBy("key").agg(F.count("*").alias("n"))
-    rows = count.filter(F.col("n") >= max(hot // sampled, 2)).select("key").collect()
+    rows = count.filter(F.col("n") >= max(hot // sampled, 2)).orderBy(F.desc("n"), "key").limit(HOT_GRAMS).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 

@@ -175,7 +175,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     marked = one.agg(F.max(F.col("toxic")).cast("double").alias("label")).filter(allowed)
     total = marked.count()
-    drawn = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, max_rows / max(total, 1)))
+    share = int(2**40 * min(1.0, max_rows / max(total, 1)))
+    drawn = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(2**40)) < share
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1000)).alias("part")
     chosen = marked.filter(drawn).select("doc_id", "label", part)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "part")
