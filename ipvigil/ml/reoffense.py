@@ -97,8 +97,8 @@ def train(
     split = cut_lineage(stratified_split(rows), "split")
     fitting = class_weights(features(split.filter(~F.col("is_test")), top)).select("ip", *MODEL_COLUMNS, "reoffended", "weight")
     count = fitting.count()
-    share = min(1.0, forest_rows / max(count, 1))
-    drawn = fitting.filter(F.pmod(F.xxhash64("ip"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = int(2**40 * min(1.0, forest_rows / max(count, 1)))
+    drawn = fitting.filter(F.pmod(F.xxhash64("ip"), F.lit(2**40)) < share)
     combined = combine(fitting).persist(StorageLevel.MEMORY_AND_DISK)
     drawn = drawn.drop("ip").persist(StorageLevel.MEMORY_AND_DISK)
     try:
