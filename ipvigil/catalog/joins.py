@@ -214,8 +214,7 @@ firsts AS (
     ),
 )
 def _(spark, sf):
-    columns = ["ip", "loaded_at", "event_id", "source", "country_code", "abuse_confidence_score"]
-    return A.first_sighting(X.threat_events(spark, sf).select(*columns)).drop("loaded_at", "event_id")
+    return A.first_with_counts(X.threat_events(spark, sf), ["ip", "source", "country_code", "abuse_confidence_score"])
 
 
 @query(
@@ -249,7 +248,7 @@ def _(spark, sf):
 def _(spark, sf):
     events = X.threat_events(spark, sf)
     tor = X.reputation(X.candidates(spark, sf, events)).filter("is_tor").select("ip")
-    return events.select("event_id", "ip").join(tor, "ip", "left_semi")
+    return enrich.within(events.select("event_id", "ip"), tor, "ip")
 
 
 REPORTED = """,

@@ -115,7 +115,9 @@ def _(spark, sf):
 
 @query("filter_in", over_events("SELECT event_id, category FROM te WHERE category IN ('C01', 'C05', 'C23')"))
 def _(spark, sf):
-    return X.threat_events(spark, sf).filter(F.col("category").isin("C01", "C05", "C23")).select("event_id", "category")
+    events = X.threat_events(spark, sf).select("event_id", "category")
+    wanted = spark.createDataFrame([("C01",), ("C05",), ("C23",), ("C05",), (None,)], "code string")
+    return enrich.within(events, wanted, "category").select("event_id", "category")
 
 
 @query("filter_live", over_events("SELECT event_id, ip FROM te WHERE country_code = 'BB' AND category = 'C07'"))

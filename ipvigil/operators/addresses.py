@@ -1,5 +1,7 @@
 """Reports per address, per /24 block and per CIDR range."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,6 +166,20 @@ def first_sighting(events: DataFrame) -> DataFrame:
     return grouped.select("ip", "first.*", "report_count")
 
 
+def first_with_counts(events: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`first_sighting` as a join of the first rows with the counts per address; two narrow shuffles on ip.
+
+    The first row is found on (loaded_at, event_id) alone, which stays in hash aggregation; its other columns follow by
+    an equi-join on the row's id.
+    """
+    stats = events.groupBy("ip").agg(
+        F.min(F.struct("loaded_at", "event_id")).alias("first"), F.count("*").alias("report_count")
+    )
+    stats = stats.select("ip", F.col("first.event_id").alias("event_id"), "report_count")
+    rows = events.select("event_id", *[c for c in columns if c not in ("ip", "event_id")])
+    return stats.join(rows, "event_id").select("ip", *[c for c in columns if c != "ip"], "report_count")
+
+
 def address_bits(ip: str | Column) -> Column:
     """An address as text of 32 (IPv4) or 128 (IPv6) binary digits; NULL for text that is neither."""
     ip = F.col(ip) if isinstance(ip, str) else ip

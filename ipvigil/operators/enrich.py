@@ -116,6 +116,15 @@ def project_cidr_reports(payloads: DataFrame) -> DataFrame:
     )
 
 
+def within(rows: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """Rows whose `column` is among the values of the first column of `members`, a set of any size.
+
+    A semi-join: repeated members multiply nothing, NULL is no member, and the set travels by its run-time size.
+    """
+    values = members.select(F.col(members.columns[0]).alias(column))
+    return rows.join(values, column, "left_semi")
+
+
 def matching_live(events: DataFrame, country: str | None = None, category: str | None = None) -> DataFrame:
     """Live-feed filter: country equality and membership in the category list; unset filters pass all."""
     if country:

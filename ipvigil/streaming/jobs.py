@@ -1,7 +1,7 @@
 """Streaming jobs: enrich messages, write them to the table and the outgoing bus, count live events."""
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -49,11 +49,14 @@ def load_batch(
     table: str,
     metrics: str,
     score: Scorer | None = None,
-    bus: str | None = None,
+    bus: str | Mapping[str, str] | None = None,
     quarantine: str | None = None,
 ) -> None:
     """Write one micro-batch to the table (and as JSON messages to `bus`) and log rows and write time.
 
+    `bus` is a folder, in which a replaced batch replaces its messages, or the options of a writer, with its `format`
+    (kafka, say): such messages are sent once more if a batch has to be repeated.
+
     `run` names the checkpoint that `batch_id` belongs to. Malformed messages go to `quarantine` (by default next to
     the table) and are counted in the metrics row. That row is written last: a batch that has one is complete and is
     skipped when it comes again, an unfinished one is replaced. Scores are computed by the executors; rows never pass
@@ -79,8 +82,10 @@ def load_batch(
         elapsed = (time.monotonic() - start) * 1000.0
         if bad:
             write_batch(quarantined(batch), quarantine or f"{table}_quarantine", batch_id, run, loaded_at.date())
-        if bus:
+        if isinstance(bus, str):
             write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id, run)
+        elif bus:
+            to_bus(batch, [*EVENT_COLUMNS, "categories"]).write.options(**bus).format(bus["format"]).mode("append").save()
         row = spark.range(1).select(
             F.lit(rows).cast("bigint").alias("batch_rows"),
             F.lit(elapsed).alias("write_duration_ms"),
@@ -98,7 +103,7 @@ def start_table_sink(
     metrics: str,
     checkpoint: str,
     score: Scorer | None = None,
-    bus: str | None = None,
+    bus: str | Mapping[str, str] | None = None,
     interval: str | None = TABLE_TRIGGER,
     quarantine: str | None = None,
 ) -> StreamingQuery:

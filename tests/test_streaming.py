@@ -119,6 +119,14 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     assert keyed(tables.scan_events(spark, table).collect()) == before
 
 
+def test_one_query_feeds_table_and_bus_format(spark, topic, countries, tmp_path):
+    base = str(tmp_path)
+    bus = {"format": "json", "path": f"{base}/bus"}
+    jobs.start_table_sink(stream(spark, topic, countries), f"{base}/t", f"{base}/m", f"{base}/s", bus=bus, interval=None).awaitTermination()
+    assert spark.read.schema("key string, value string").json(f"{base}/bus").count() == 6
+    assert tables.scan_events(spark, f"{base}/t").count() == 4
+
+
 def test_batches_started_at_the_same_moment_get_other_ids(spark, tmp_path):
     log = str(tmp_path / "log")
     first = tables.start_of(spark, log, 0, "b", 10)
