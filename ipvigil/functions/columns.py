@@ -84,10 +84,11 @@ def category_names(reports: Column | str, names: Mapping[int, str]) -> Column:
     return F.array_distinct(F.array_compact(F.transform(ids, lambda i: F.try_element_at(lookup, i))))
 
 
-def cloud_provider(asn: Column | str) -> Column:
+def cloud_provider(asn: Column | str, providers: Sequence[tuple[str, str]] = tuple(CLOUD_PROVIDERS)) -> Column:
+    """The first of `providers` (label, pattern) whose pattern is in the network's name, NULL for others."""
     asn = col_of(asn)
     found = F
-    for label, pattern in CLOUD_PROVIDERS:
+    for label, pattern in providers:
         found = found.when(asn.rlike(f"(?i){pattern}"), label)
     return found.otherwise(F.lit(None).cast("string"))
 

@@ -28,7 +28,11 @@ def features(rows: DataFrame, top_countries: Sequence[str]) -> DataFrame:
 
 
 def encoder() -> Pipeline:
-    """One-hot columns and the score as one vector; a value not seen in training is all zeros."""
+    """One-hot columns and the score as one vector; a value not seen in training is all zeros.
+
+    The indexer brings the distinct values of each feature to the driver: lists of feeds, categories, 15 countries and
+    four levels, which do not grow with the events.
+    """
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
     return Pipeline(

@@ -11,6 +11,7 @@ from ipvigil.functions import columns as C
 from ipvigil.operators.addresses import page_bounds
 from ipvigil.operators.scale import SCORE_WIDTHS, exact_percentiles, newest
 
+# --- fixed values: names of request parameters
 SORT_COLUMNS = {
     "loaded_at": "loaded_at",
     "score": "abuse_confidence_score",
