@@ -81,9 +81,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, separator:
     """A 64-bit hash of each word's bytes and their places."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(data), dtype=np.int64) - _origin(start, len(data))
+    place = _origin(start, len(data))
+    np.subtract(np.arange(len(data), dtype=place.dtype), place, out=place)
     value = BYTE_VALUE[data]
-    value ^= (place >> 10).astype(np.uint64) * _FACTORS[3]
+    if place.max() >= len(_PLACE):
+        value ^= (place >> 10).astype(np.uint64) * _FACTORS[3]
     value *= _PLACE[place & 1023]
     value[separator[data]] = 0
     summed = np.add.reduceat(value, start)
@@ -91,7 +93,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, separator:
 
 
 def _origin(start: np.ndarray, n: int) -> np.ndarray:
-    origin = np.zeros(n, np.int64)
+    """For every byte where its word began, in the smallest type that holds it."""
+    origin = np.zeros(n, np.int32 if n < 2**31 else np.int64)
     origin[start] = np.diff(start, prepend=0)
     return np.cumsum(origin, out=origin)
 

@@ -155,3 +155,17 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     for r in got:
         roots.setdefault(r.root, set()).add(r.node)
     assert sorted(map(min, roots.values())) == [0, 100, 200] and sorted(map(len, roots.values())) == [3, 41, 51]
+
+
+def test_lines_of_empty_tables_and_of_one_id_with_two_texts(spark):
+    assert lines.dedup_lines(frame(spark, [], corpus.SCHEMA)).collect() == []
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "x\na\nb\nc\ny")]
+    left = sorted(r.text for r in lines.dedup_lines(frame(spark, rows, "doc_id long, text string")).collect())
+    # the same row twice is one document; another text under its id is another one, before or after it by its hash
+    assert left in (["a\nb\nc", "a\nb\nc", "x\ny"], ["x\na\nb\nc\ny"])
+
+
+def test_runs_shorter_than_three_lines_stay(spark):
+    rows = [(1, "a\nb\n\nc\nd"), (2, "a\nb\nother\nc\nd"), (3, "zero\na\n  b \n\nc\nend")]
+    left = by_id(lines.dedup_lines(frame(spark, rows, "doc_id long, text string")))
+    assert left == {1: ("a\nb\n\nc\nd",), 2: ("a\nb\nother\nc\nd",), 3: ("zero\n\nend",)}
