@@ -113,6 +113,7 @@ def _combined(rows: dict[str, np.ndarray], kind: Kind) -> dict[str, np.ndarray]:
         later = doc > doc[first]
         if kind.within:
             later |= (doc == doc[first]) & (place > place[first])
+        later &= (rows["key"][some] == rows["key"][some[first]]) & (rows["ctx"][some] == rows["ctx"][some[first]])
         known[some[later]] = True
     key = np.where(known, spans.mixed(rows["doc"].view(np.uint64) * spans._FACTORS[5] + rows["at"].astype(np.uint64)), rows["key"])
     return rows | {"key": key, "known": known}

@@ -29,10 +29,12 @@ def _last_pass(key: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarra
     count = np.maximum(np.diff(bounds) - LENGTH + 1, 0)
     of = np.repeat(np.arange(len(count)), count)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    digit = window[bounds[of] + inner] ^ spans.mixed(key[of].view(np.uint64).copy())
+    digit = window[bounds[of] + inner]
+    group = (np.cumsum(np.r_[False, key[1:] != key[:-1]]))[of]
     start, owner = at[of] + inner, doc[of]
-    order = np.lexsort((start, owner, digit))
-    new = np.r_[True, digit[order][1:] != digit[order][:-1]] if len(order) else np.zeros(0, bool)
+    order = np.lexsort((start, owner, digit, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (digit[order][1:] != digit[order][:-1]) | (group[order][1:] != group[order][:-1])
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
     later = np.zeros(len(of), bool)
     later[order] = (owner[order] > owner[first]) | ((owner[order] == owner[first]) & (start[order] > start[first]))
