@@ -168,3 +168,46 @@ def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
 def op9_automata(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated 13-word windows removed from every document; see `automata`."""
     return automata.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+CHECKS["op9_automata"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(w[k:k + {automata.LENGTH - 1}], ' ') AS content
+  FROM (SELECT *, unnest(generate_series(1, len(w) - {automata.LENGTH - 1})) AS k FROM d WHERE len(w) >= {automata.LENGTH})),
+firsts AS (SELECT content, min(doc_id) AS first FROM windows GROUP BY content),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(generate_series(k, k + {automata.LENGTH - 1})) AS p FROM windows JOIN firsts USING (content) WHERE doc_id > first)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS kept
+  FROM words w LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+CHECKS["op2_substrings"] = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+windows AS (
+  SELECT doc_id, k, substr(h, 2 * k - 1, {2 * substrings.LENGTH}) AS content
+  FROM (SELECT *, unnest(generate_series(1, n - {substrings.LENGTH - 1})) AS k FROM d WHERE n >= {substrings.LENGTH})),
+repeated AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY content ORDER BY doc_id, k) AS nth FROM windows) WHERE nth > 1),
+breaks AS (
+  SELECT doc_id, k, k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {substrings.LENGTH}, 0) AS starts FROM repeated),
+runs AS (
+  SELECT doc_id, min(k) AS a, max(k) + {substrings.LENGTH} AS b
+  FROM (SELECT doc_id, k, count(*) FILTER (starts) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM breaks) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before,
+    row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS last FROM runs),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN last THEN substr(h, 2 * b - 1) ELSE '' END) AS kept
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(from_hex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
