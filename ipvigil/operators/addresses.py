@@ -4,7 +4,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ipvigil.constants import (
     CIDR_PATTERN,

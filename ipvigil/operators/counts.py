@@ -115,10 +115,6 @@ def grouped_by_each(events: DataFrame, columns: Sequence[str], **counts: Column)
     return cells.select("grouping", "value", *[F.get("numbers", F.lit(i)).alias(c) for i, c in enumerate(whole)])
 
 
-def regroup(counted: DataFrame, column: str) -> DataFrame:
-    return counted.groupBy(column).agg(F.sum("n").alias("n"))
-
-
 def attack_patterns(events: DataFrame, dim_category: DataFrame) -> DataFrame:
     """Per category: count, share of categorised events, most frequent known country and tactic.
 

@@ -1,6 +1,5 @@
 """Pages, top lists and time series."""
 
-from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
