@@ -247,7 +247,7 @@ def _contexts(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, places, texts = [], [], [], []
-            for doc, blob, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for doc, _, blob, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if not found.is_valid or not len(found):
                     continue
                 data = unpacked(blob.as_py())
@@ -286,7 +286,8 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Resolver, hot: int = HOT, sam
             arrays = [pa.array(x, t) for x, t in zip(resolve(group), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "first", "end"])
 
-    context = texts.join(near, "doc", "left").select("doc", "blob", "anchors").mapInArrow(_contexts(kind), _CONTEXT)
+    # with the same columns as in `per_document`, so that both joins share one shuffle of the texts
+    context = texts.join(near, "doc", "left").select("doc", "doc_id", "blob", "anchors").mapInArrow(_contexts(kind), _CONTEXT)
     context = context.repartition("key").sortWithinPartitions("key", "doc", "at")
     closer = context.mapInArrow(resolved, "doc long, first int, end int")
     direct = decided.filter("NOT open").select(
