@@ -10,9 +10,11 @@ already. A bucket yields the links of a spanning forest, never all pairs, and `c
 
 Defined results: a null or empty text has fingerprint zero, which is linked like any other; a null doc_id comes last
 when the smallest of a component is sought; rows that repeat a doc_id and its text are the same document.
+
+`one_per_group` takes a similarity, too: then texts whose exact Jaccard similarity reaches it are linked as well (`alike`).
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from ipvigil.llm import alike
 from ipvigil.llm.components import components
 from ipvigil.llm.frames import cut_lineage, free_name, map_text
 
@@ -52,15 +55,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(first)).view(np.uint64)[0])
 
 
-def fingerprinted(docs: DataFrame, keep: list[str], name: str = "fp", text: str = "text") -> DataFrame:
-    """`keep` and the fingerprint of each whole text as a signed long."""
+def fingerprinted(docs: DataFrame, keep: list[str], name: str = "fp", text: str = "text", sketched: bool = False) -> DataFrame:
+    """`keep` and the fingerprint of each whole text as a signed long; if `sketched`, what `alike` compares, too."""
 
     def compute(part: pa.RecordBatch) -> list:
         column = part.column(part.schema.get_field_index(text)).cast(pa.large_binary())
         found = [fingerprint(x.as_py() or b"") for x in column]
-        return [pa.array(np.array(found, np.uint64).view(np.int64))]
+        more = alike.sketches(part.column(part.schema.get_field_index(text))) if sketched else []
+        return [pa.array(np.array(found, np.uint64).view(np.int64)), *more]
 
-    return map_text(docs, text, [T.StructField(name, T.LongType())], compute, keep)
+    return map_text(docs, text, [T.StructField(name, T.LongType()), *(alike.FIELDS if sketched else [])], compute, keep)
 
 
 def buckets(fp: str = "fp") -> Column:
@@ -198,10 +202,13 @@ def near_links(codes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
-def grouped(rows: DataFrame, order: Column) -> DataFrame:
-    """(fp, first): for every fingerprint the smallest `order` in its component. `rows` is read several times."""
+def grouped(rows: DataFrame, order: Column, widen: Callable[[DataFrame], DataFrame] = lambda roots: roots) -> DataFrame:
+    """(fp, first): for every fingerprint the smallest `order` in its component. `rows` is read several times.
+
+    `widen` may join components (node, root) further.
+    """
     classes = cut_lineage(rows.groupBy("fp").agg(F.min(order).alias("first")), "simhash-classes")
-    roots = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    roots = widen(components(near_links(classes.select("fp")))).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return rooted.select("fp", "root").join(best, "root").select("fp", "first")
@@ -214,15 +221,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every component, all columns as they were."""
+def one_per_group(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """The document with the smallest doc_id of every component, all columns as they were.
+
+    With a `similarity`, texts of at least that Jaccard similarity of five-word shingles are linked, too.
+    """
     doc, twin = free_name(docs, "simhash_doc"), free_name(docs, "simhash_twin")
     identity = {
         doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)),
         twin: F.xxhash64(F.coalesce("text", F.lit(""))),
     }
     marked = docs.withColumns(identity)
-    rows = cut_lineage(fingerprinted(marked, [doc, twin], text="text"), "simhash")
-    groups = grouped(rows, F.struct(F.col(doc), F.col(twin)))
+    rows = cut_lineage(fingerprinted(marked, [doc, twin], text="text", sketched=similarity is not None), "simhash")
+    order = F.struct(F.col(doc), F.col(twin))
+    if similarity is None:
+        groups = grouped(rows, order)
+    else:
+        groups = grouped(rows, order, lambda roots: alike.widened(roots, rows, marked, [doc, twin], similarity))
     best = groups.select(f"first.{doc}", f"first.{twin}").distinct()
     return marked.join(best, [doc, twin], "left_semi").dropDuplicates([doc, twin]).select(*docs.columns)
