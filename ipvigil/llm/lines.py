@@ -6,6 +6,9 @@ same place. Fingerprints that occur more than once are joined by position; each
 lines to both sides, which yields all windows of `run` lines around it, and every window that also starts earlier
 (smaller doc_id, or the same document at an earlier line) is deleted. Longer repeated runs are unions of such windows.
 
+`dedup_lines` takes a number of words, too: then later copies of shorter runs that have more words than that go as well,
+so a passage counts however it is broken into lines. Windows of one and two lines are then compared whole.
+
 Hot lines: the counts and first positions combine on the map side; the joins are plain equi-joins, which adaptive
 execution splits. A window is identified by its fingerprint's and its own 64-bit hash together.
 
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from ipvigil.llm.frames import free_name, map_text
 
 RUN = 3
+#: Runs of fewer lines count as passages beyond so many words.
+WORDS = 50
 
 
 def _identity(doc_id: str, text: str) -> list[Column]:
@@ -70,6 +75,34 @@ def repeated_windows(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", te
     return later.select("place.*").groupBy("doc", "twin").agg(F.collect_set("start").alias("starts"))
 
 
+def repeated_passages(
+    docs: DataFrame, words: int = WORDS, run: int = RUN, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc, twin, starts): the compared lines (from 1) in windows of under `run` lines and over `words` words that also start earlier."""
+    compared = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    described = F.transform(
+        compared,
+        lambda x: F.struct(
+            F.xxhash64(F.trim(x)).alias("h"), F.xxhash64(F.lit(1), F.trim(x)).alias("g"),
+            F.size(F.split(F.trim(x), "\\s+")).alias("words"),
+        ),
+    )
+    rows = docs.select(*_identity(doc_id, text), described.alias("lines"))
+
+    def windows(n: int) -> Column:
+        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(1), F.size("lines") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        made = F.transform(starts, lambda at: F.struct(at.alias("start"), F.slice("lines", at, F.lit(n)).alias("own")))
+        return F.filter(made, lambda w: F.aggregate(w["own"]["words"], F.lit(0), lambda total, x: total + x) > words)
+
+    found = rows.select("doc", "twin", F.explode(F.concat(*(windows(n) for n in range(1, run)))).alias("w"))
+    place = F.struct("doc", "twin", F.col("w.start").alias("start")).alias("place")
+    found = found.select(F.xxhash64("w.own.h").alias("h"), F.xxhash64("w.own.g").alias("g"), F.size("w.own").alias("n"), place)
+    first = found.groupBy("h", "g", "n").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    later = found.join(first.filter(F.col("first") < F.col("last")), ["h", "g", "n"]).filter(F.col("place") > F.col("first"))
+    gone = later.select("place.doc", "place.twin", F.explode(F.sequence("place.start", F.col("place.start") + F.col("n") - 1)).alias("start"))
+    return gone.groupBy("doc", "twin").agg(F.collect_set("start").alias("starts"))
+
+
 def rebuilt(
     docs: DataFrame, repeated: DataFrame, keep: list[str], run: int = RUN, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -108,9 +141,19 @@ def rebuilt(
     return out.drop(*(c for c in (text, starts) if c not in keep))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents with later runs deleted, all columns as they were; documents left without a line go."""
-    made = rebuilt(docs, repeated_windows(docs, run), docs.columns, run)
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """The documents with later runs deleted, all columns as they were; documents left without a line go.
+
+    With `words`, later runs of under `run` lines but over `words` words are deleted, too.
+    """
+    repeated = repeated_windows(docs, run)
+    if words is not None:
+        each = F.explode(F.transform("starts", lambda at: F.sequence(at, at + run - 1)))
+        single = repeated.select("doc", "twin", each.alias("starts"))
+        both = single.unionByName(repeated_passages(docs, words, run))
+        repeated = both.groupBy("doc", "twin").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        run = 1
+    made = rebuilt(docs, repeated, docs.columns, run)
     text, count, removed, digest = made.columns[len(docs.columns) :]
     left = made.filter((F.col(count) == 0) | (F.col(removed) < F.col(count)))
     return left.withColumn("text", F.col(text)).select(*docs.columns)
