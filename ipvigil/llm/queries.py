@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ipvigil.llm import automata, decontaminate, licences, lines, phrases, pieces, simhash, substrings, toxicity, warc
+from ipvigil.llm import automata, decontaminate, licences, lines, phrases, pieces, quality, simhash, substrings, toxicity, warc
 from ipvigil.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +211,64 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
   sha256(from_hex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the verdict on every document; see `quality`."""
+    return quality.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), ["doc_id"])
+
+
+#: CRC-32 of the UTF-8 bytes of a word, byte by byte with a table of 256 values that eight shifts each make.
+_CRC_TABLE = """SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)"""
+
+
+def crc_sql(column: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text column, where `t` is the table."""
+    data = f"list_transform(range(strlen({column})), lambda i: CAST('0x' || substr(hex(encode({column})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CHECKS["op12_quality"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t0,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+windows AS (SELECT r, k, array_to_string(w[k:k + {quality.WINDOW - 1}], ' ') AS content
+  FROM (SELECT *, unnest(generate_series(1, len(w) - {quality.WINDOW - 1})) AS k FROM d WHERE len(w) >= {quality.WINDOW})),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, content) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(k, k + {quality.WINDOW - 1})) AS p FROM twice) GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT r, unnest(string_split(t0, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+base AS (
+  SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t0, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.REPEATED} * n_words AS base_failed FROM base),
+grams AS (
+  SELECT r, word AS g FROM words
+  UNION ALL SELECT r, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY p) FROM words),
+buckets AS (SELECT g, {crc_sql("g")} % {quality.BUCKETS} AS bucket FROM (SELECT DISTINCT g FROM grams WHERE g IS NOT NULL), crc),
+trusted AS (
+  SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+  ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {quality.TRUSTED}),
+marked AS (SELECT r, bucket, doc_id IN (FROM trusted) AS good FROM grams JOIN buckets USING (g) JOIN d USING (r)),
+counts AS (
+  SELECT b AS bucket, CAST(count(m.bucket) AS DOUBLE) AS n, CAST(count(*) FILTER (m.good) AS DOUBLE) AS good
+  FROM range({quality.BUCKETS}) x(b) LEFT JOIN marked m ON m.bucket = b GROUP BY b),
+weights AS (
+  SELECT bucket, CAST(floor(1000000 * ln(((good + 1) / (sum(good) OVER () + {quality.BUCKETS}))
+    / ((n + 1) / (sum(n) OVER () + {quality.BUCKETS})))) AS BIGINT) AS weight FROM counts),
+scores AS (
+  SELECT r, CAST(floor(CAST(sum(weight) AS DOUBLE) / (1000 * count(*))) AS BIGINT) AS score FROM marked JOIN weights USING (bucket) GROUP BY r),
+ranked AS (
+  SELECT score, row_number() OVER (ORDER BY score) AS nth, count(*) OVER () AS total
+  FROM judged JOIN scores USING (r) WHERE NOT base_failed AND doc_id IN (FROM trusted))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
+  NOT base_failed AND coalesce(score >= (SELECT min(score) FROM ranked WHERE nth > floor(total / {quality.TAIL})), true) AS kept
+FROM judged LEFT JOIN scores USING (r)
+"""
