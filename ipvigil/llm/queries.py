@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ipvigil.llm import automata, decontaminate, licences, lines, phrases, pieces, quality, simhash, substrings, toxicity, warc
+from ipvigil.llm import automata, conversations, decontaminate, licences, lines, phrases, pieces, quality, simhash, substrings, toxicity, warc
 from ipvigil.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,3 +272,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(score >= (SELECT min(score) FROM ranked WHERE nth > floor(total / {quality.TAIL})), true) AS kept
 FROM judged LEFT JOIN scores USING (r)
 """
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the digest of what that leaves; see `conversations`."""
+    return conversations.reported(conversations.damaged(table(spark, folder, "conversations")))
+
+
+def _steps(label: str, moves: list[tuple[int, str, str, str, str]]) -> str:
+    """A struct of the four states' labels: for each the least of its own and of those that lead to it."""
+    fields = []
+    for state in range(4):
+        ways = [f"{label}.s{a}" if not edit else f"struct_pack(c := {label}.s{a}.c + {cost}, a := {label}.s{a}.a || '{edit}', t := {label}.s{a}.t || {text})"
+                for a, b, edit, cost, text in moves if b == state]
+        fields.append(f"s{state} := list_min([{', '.join(ways)}])" if ways else f"s{state} := {label}.s{state}")
+    return f"struct_pack(r := x.r, {', '.join(fields)})"
+
+
+def _repair_sql() -> str:
+    """One row's step from labels `x` (of the rows before) and `y.r` (the row): inserts, then the row's own edit."""
+    stay = [(s, s, "", "", "") for s in range(4)]
+    said = "chr(10) || "
+    insert = [(a, b, "I", str(conversations.INSERT), f"{said}'{role}:'") for a, (role, b) in conversations.NEXT.items()]
+    grown = "x"
+    for _ in range(3):
+        grown = f"list_transform([{grown}], lambda x: {_steps('x', stay + insert)})[1]"
+    never, extra = "1000000000", f"CASE WHEN y.r.cut THEN {conversations.TRUNCATED} ELSE 0 END"
+    edits = [(s, s, "D", str(conversations.DELETE), "''") for s in range(4)]
+    edits += [(a, b, "R", f"CASE WHEN y.r.bad THEN {never} ELSE {conversations.REROLE} + {extra} END", f"{said}'{role}:' || y.r.text") for a, (role, b) in conversations.NEXT.items()]
+    edits += [(a, b, "K", f"CASE WHEN y.r.bad OR y.r.role[1] <> '{initial}' THEN {never} ELSE {extra} END", f"{said}y.r.role || ':' || y.r.text")
+              for (a, initial), b in conversations.KEPT.items()]
+    return f"list_transform([{grown}], lambda x: {_steps('x', edits)})[1]"
+
+
+def _label(cost: str) -> str:
+    return f"struct_pack(c := {cost}, a := '', t := '')"
+
+
+_START = f"s0 := {_label('0')}, " + ", ".join(f"s{s} := {_label('1000000000')}" for s in (1, 2, 3))
+CHECKS["op13_conversations"] = f"""
+WITH crc AS ({_CRC_TABLE}),
+keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+cases AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("k")} % 20 AS n FROM keyed, crc),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role,
+    CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM cases, range(CASE n WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i FROM rows),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+    count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(struct_pack(r := struct_pack(role := role, text := text, bad := blank OR again, cut := cut), {_START}) ORDER BY i) AS listed
+  FROM marked GROUP BY conv_id),
+solved AS (
+  SELECT *, list_reduce(list_prepend(struct_pack(r := listed[1].r, {_START}), listed), lambda x, y: {_repair_sql()}) AS x FROM counted),
+ended AS (
+  SELECT *, list_min([x.s0, struct_pack(c := x.s2.c + {conversations.INSERT}, a := x.s2.a || 'I', t := x.s2.t || chr(10) || 'assistant:'), x.s3]) AS best FROM solved)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
