@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ipvigil.llm import automata, conversations, decontaminate, licences, lines, phrases, pieces, quality, simhash, substrings, toxicity, warc
+from ipvigil.llm import (
+    automata, conversations, decontaminate, divergence, licences, lines, phrases, pieces, quality, simhash, substrings, toxicity, warc,
+)
 from ipvigil.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,3 +341,37 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between the sources of each lang, and the terms that stand out in each source; see `divergence`."""
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+CHECKS["op11_divergence"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST}),
+groups AS (SELECT DISTINCT lang, source FROM d),
+found AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+shares AS (
+  SELECT *, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM dense),
+langs AS (
+  SELECT lang, term, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares JOIN langs USING (lang, term) WHERE n > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS nth FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(nth AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR nth <= {divergence.TOP}
+"""
