@@ -16,23 +16,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup (1): later copies of runs of lines are deleted; documents left without a line go."""
-    return lines.dedup_lines(docs)
-
-
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As `dedup_lines`; later copies of one or two lines of over 50 words are deleted, too."""
+    """Line dedup (1): later copies of runs of lines, and of one or two lines of over 50 words, are deleted; documents left
+    without a line go."""
     return lines.dedup_lines(docs, words=lines.WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (10): the document with the smallest doc_id of each group stays."""
-    return simhash.one_per_group(docs)
-
-
-def drop_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As `drop_near_duplicates`, with links between texts whose five-word shingles have a Jaccard similarity of 0.8, too."""
+    """SimHash near-dedup (10): the document with the smallest doc_id of each group stays; texts whose five-word shingles have
+    a Jaccard similarity of 0.8 are linked, and so are fingerprints that differ in three bits."""
     return simhash.one_per_group(docs, alike.SIMILARITY)
 
 
@@ -51,23 +43,19 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("line dedup", dedup_lines),
+    ("line dedup", dedup_passages),
     ("near duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("encoding", encode),
 ]
 
-#: Stages that remove more, in place of those of the same name; the tests hold the names and results of STAGES.
-WIDER = {"line dedup": dedup_passages, "near duplicates": drop_alike}
-WIDER_STAGES = [(name, WIDER.get(name, stage)) for name, stage in STAGES]
-
 #: Trees, suffix arrays and tokenizers have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in stages:
+    for name, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
