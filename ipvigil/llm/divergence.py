@@ -91,7 +91,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
 
     for text, lang in _rows(batches):
-        held.setdefault(lang, Counter()).update({t for terms in _terms(text) for t in terms})
+        own: set[bytes] = set()
+        for terms in _terms(text):
+            own.update(terms)
+        held.setdefault(lang, Counter()).update(own)
         if sum(map(len, held.values())) >= HELD:
             yield out()
             held = {}
@@ -141,29 +144,23 @@ def _counted(leads: list[bytes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, bytes], Counter] = {}
 
-        def out() -> pa.RecordBatch:
-            blocks, langs, sources, terms, counts = [], [], [], [], []
+        def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in held.items():
                 start = _of(lang)
                 own = [bisect_right(leads, (start + t)[:LEAD]) for t in found]
-                blocks += own
-                langs += [lang] * len(own)
-                sources += [source] * len(own)
-                terms += found
-                counts += found.values()
-            arrays = [pa.array(blocks, pa.int32()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, sources)), pa.array(terms, pa.binary()), pa.array(counts, pa.int64())]
-            made = pa.RecordBatch.from_arrays(arrays, ["block", "lang", "source", "term", "n"])
-            return made.filter(pc.greater(made.column(0), 0))
+                names = [pa.repeat(pa.scalar(x.decode(), pa.string()), len(own)) for x in (lang, source)]
+                arrays = [pa.array(own, pa.int32()), *names, pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())]
+                made = pa.RecordBatch.from_arrays(arrays, ["block", "lang", "source", "term", "n"])
+                yield made.filter(pc.greater(made.column(0), 0))
 
         for text, lang, source in _rows(batches):
             found = held.setdefault((lang, source), Counter())
             for terms in _terms(text):
                 found.update(terms)
             if sum(map(len, held.values())) >= HELD:
-                yield out()
+                yield from out()
                 held = {}
-        if held:
-            yield out()
+        yield from out()
 
     return run
 
@@ -176,19 +173,29 @@ def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, lang, source, place, n): counted terms streamed through their block's transducer."""
-    names, kinds = ["block", "lang", "source", "place", "n"], [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64()]
-    found, lang, start = None, None, b""
+    found, start, lang = None, b"", None
+    known: dict[bytes, int | None] = {}
     for batch in batches:
-        rows = []
-        for block, own, source, term, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if data is not None:
-                found = Transducer.load(data)
+        names = batch.schema.names
+        langs = batch.column(names.index("lang")).dictionary_encode()
+        places = []
+        rows = zip(batch.column(names.index("term")).to_pylist(), langs.indices.to_pylist(), batch.column(names.index("data")), strict=True)
+        langs = langs.dictionary.to_pylist()
+        for term, at, data in rows:
+            if at is None:  # a block's transducer, before all its rows
+                found, known, lang = Transducer.load(data.as_py()), {}, None
+                places.append(None)
                 continue
-            if own != lang:
-                lang, start = own, _of(own.encode())
-            if (place := found.ordinal(start + term)) is not None:
-                rows.append((block, own, source, place, n))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds, strict=True)], names)
+            if langs[at] != lang or len(known) > HELD:
+                lang, known = langs[at], {}
+                start = _of(lang.encode())
+            place = known.get(term, -1)
+            if place == -1:
+                place = known[term] = found.ordinal(start + term)
+            places.append(place)
+        made = batch.select(["block", "lang", "source", "n"])
+        made = made.append_column("place", pa.array(places, pa.int32())).select(["block", "lang", "source", "place", "n"])
+        yield made.filter(made.column(3).is_valid())
 
 
 def recounted(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -214,68 +221,66 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-_FOUND = "lang string, source string, other string, value decimal(38,0), block int, place int"
-
+_FOUND = "lang string, s int, other int, value decimal(38,0), block int, place int"
 
-def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Sums of distances per pair of sources, and the first `most` terms per source, of every block and lang.
 
-    Rows by block and lang: first the sources with N and V (place null), then the counts by place.
-    """
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.decimal128(38, 0), pa.int32(), pa.int32()]
-    key, sources, totals, kept = None, {}, [], 0
-    cells: list[tuple[int, int, int]] = []
-    pairs: np.ndarray | None = None
-    top: dict[int, list[tuple[int, int]]] = {}
-
-    def add() -> None:
-        """The terms held so far: a matrix of terms and sources."""
-        nonlocal pairs, cells
-        place, source, n = (np.array(x) for x in zip(*cells, strict=True))
-        places, row = np.unique(place, return_inverse=True)
-        counts = np.zeros((len(places), len(totals)), n.dtype)
-        counts[row, source] = n
-        size = np.array(totals) + kept
+def _pairs_and_top(places: np.ndarray, sources: np.ndarray, n: np.ndarray, totals: np.ndarray, kept: int, most: int) -> tuple[np.ndarray, list[list]]:
+    """Sums of distances of all pairs of sources, and per source the (-distance, place) of its first `most` terms."""
+    pairs: np.ndarray | int = 0
+    top: list[list] = [[] for _ in totals]
+    size, whole = totals + kept, np.array([[int(totals.sum()) + kept]])
+    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+    step = max(1, CELLS // len(totals))
+    for a in range(0, len(first), step):  # a matrix of at most CELLS counts: terms by sources
+        own = slice(first[a], first[a + step] if a + step < len(first) else len(places))
+        shown = places[first[a : a + step]]
+        counts = np.zeros((len(shown), len(totals)), np.int64)
+        counts[np.searchsorted(shown, places[own]), sources[own]] = n[own]
         p = shares(counts, size[None, :])
-        own = np.array([distance(p[:, [s]], p).sum(axis=0, dtype=object if p.dtype == object else np.int64) for s in range(len(totals))])
-        pairs = own.astype(object) if pairs is None else pairs + own.astype(object)
-        q = shares(counts.sum(axis=1, keepdims=True), np.array([[sum(totals) + kept]]))
+        kind = object if p.dtype == object else np.int64
+        pairs = pairs + np.array([distance(p[:, [s]], p).sum(axis=0, dtype=kind) for s in range(len(totals))]).astype(object)
+        q = shares(counts.sum(axis=1, keepdims=True), whole)
         f = distance(p, q)
         for s in range(len(totals)):
             some = np.flatnonzero((counts[:, s] > 0) & (p[:, s] > q[:, 0]))
-            best = sorted([*top.get(s, []), *zip((-f[some, s]).tolist(), places[some].tolist(), strict=True)])
-            top[s] = best[:most]
-        cells = []
+            top[s] = sorted([*top[s], *zip((-f[some, s]).tolist(), shown[some].tolist(), strict=True)])[:most]
+    return pairs, top
 
-    def out() -> pa.RecordBatch:
-        if cells:
-            add()
-        rows = []
-        if pairs is not None:
-            listed = list(sources)
-            rows += [(key[1], a, b, Decimal(int(pairs[i, j])), None, None) for i, a in enumerate(listed) for j, b in enumerate(listed) if i != j]
-            rows += [(key[1], listed[s], None, Decimal(-v), key[0], at) for s, best in top.items() for v, at in best]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 6, kinds, strict=True)], names)
 
-    last = None
+def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sums of distances per pair of sources, and the first `most` terms per source, of every block and lang.
+
+    Rows by block and lang: first the sources (s, N, V; place null), then the counts by place.
+    """
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.decimal128(38, 0), pa.int32(), pa.int32()]
+
+    def out(block: int, lang: str, table: pa.Table) -> pa.RecordBatch:
+        heads = table.filter(pc.is_null(table["place"])).sort_by("s")
+        rows = table.filter(pc.is_valid(table["place"]))
+        place, s, n = (rows[c].to_numpy() for c in ("place", "s", "n"))
+        pairs, top = _pairs_and_top(place, s, n, heads["n"].to_numpy(), heads["v"][0].as_py(), most)
+        made = [(lang, i, j, Decimal(int(v)), None, None) for i, row in enumerate(pairs) for j, v in enumerate(row) if i != j]
+        made += [(lang, i, None, Decimal(-v), block, at) for i, best in enumerate(top) for v, at in best]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made) if made else [()] * 6, kinds, strict=True)], names)
+
+    held: list[pa.RecordBatch] = []
+    key = None
     for batch in batches:
-        for block, lang, source, place, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (block, lang) != key:
-                if key is not None:
-                    yield out()
-                key, sources, totals, cells, pairs, top, last = (block, lang), {}, [], [], None, {}, None
-            if place is None:
-                sources[source] = len(sources)
-                totals.append(n)
-                kept = v
-                continue
-            if place != last and len(cells) * max(1, len(totals)) >= CELLS:
-                add()
-            last = place
-            cells.append((place, sources[source], n))
-    if key is not None:
-        yield out()
+        if not len(batch):
+            continue
+        block, lang = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
+        code, langs = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+        cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])]).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+            own = int(block[a]), langs[code[a]]
+            if own != key and held:
+                yield out(*key, pa.Table.from_batches(held))
+                held = []
+            key = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield out(*key, pa.Table.from_batches(held))
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,19 +308,27 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOC
 
     sizes = counts.select("lang", "block", "place").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    known = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    heads = counts.select("block", "lang").distinct().join(known, "lang")
-    rows = counts.withColumn("v", F.lit(None).cast("long")).unionByName(heads.withColumn("place", F.lit(None).cast("int")))
-    rows = rows.repartition("block").sortWithinPartitions("block", "lang", F.col("place").asc_nulls_first(), "source")
-    found = cut_lineage(rows.select("block", "lang", "source", "place", "n", "v").mapInArrow(lambda x: _compared(x, top), _FOUND), "compared")
-
-    summed = found.filter("other IS NOT NULL").groupBy("lang", "source", "other").agg(F.sum("value").cast("long").alias("value"))
-    pairs = groups.join(groups.withColumnRenamed("source", "other"), "lang").filter("source <> other")
-    pairs = pairs.join(summed, ["lang", "source", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    place_of = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    numbered = groups.withColumn("s", place_of)
+    known = numbered.join(totals, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = cut_lineage(known.join(sizes, "lang", "left").withColumn("v", F.coalesce("v", F.lit(0))), "sources")
+    heads = counts.select("block", "lang").distinct().join(known.select("lang", "s", "n", "v"), "lang")
+    rows = counts.join(known.select("lang", "source", "s"), ["lang", "source"]).select("block", "lang", "s", "place", "n")
+    rows = rows.withColumn("v", F.lit(None).cast("long")).unionByName(heads.withColumn("place", F.lit(None).cast("int")))
+    rows = rows.repartition("block").sortWithinPartitions("block", "lang", F.col("place").asc_nulls_first())
+    rows = rows.select("block", "lang", "s", "place", "n", "v")
+    found = cut_lineage(rows.mapInArrow(lambda x: _compared(x, top), _FOUND), "compared")
+
+    summed = found.filter("other IS NOT NULL").groupBy("lang", "s", "other").agg(F.sum("value").cast("long").alias("value"))
+    named = known.select("lang", "source", "s")
+    others = known.select("lang", F.col("source").alias("item"), F.col("s").alias("other"))
+    pairs = named.join(others, "lang").filter("s <> other")
+    pairs = pairs.join(summed, ["lang", "s", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
     per_group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pairs.withColumnRenamed("other", "item").withColumn("rank", F.row_number().over(per_group))
+    pairs = pairs.withColumn("rank", F.row_number().over(per_group))
 
-    standing = found.filter("other IS NULL").select(F.struct("lang", "source").alias("of"), F.col("value").cast("long").alias("value"), "block", "place")
+    standing = found.filter("other IS NULL").join(named, ["lang", "s"])
+    standing = standing.select(F.struct("lang", "source").alias("of"), F.col("value").cast("long").alias("value"), "block", "place")
     standing = standing.withColumn("ordinal", F.struct("block", "place"))
     best = top_n_per_key(standing, "of", [F.desc("value"), F.col("ordinal")], top, "ordinal")
     best = best.select("block", "of.lang", "of.source", "value", "rank", "place")
