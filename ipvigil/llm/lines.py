@@ -9,8 +9,9 @@ lines to both sides, which yields all windows of `run` lines around it, and ever
 `dedup_lines` takes a number of words, too: then later copies of shorter runs that have more words than that go as well,
 so a passage counts however it is broken into lines. Windows of one and two lines are then compared whole.
 
-Hot lines: the counts and first positions combine on the map side; the joins are plain equi-joins, which adaptive
-execution splits. A window is identified by its fingerprint's and its own 64-bit hash together.
+Hot lines: the counts and first positions combine on the map side and are written, as are the windows; so each join is
+one of two tables, whose skewed partitions adaptive execution splits, and windows are dealt by (fingerprint, window) anew.
+A window is identified by its fingerprint's and its own 64-bit hash together.
 
 Defined results: a null text has no lines and stays null; a null doc_id comes before all others; rows that repeat a
 doc_id and its text are the same document and get the same answer, rows that repeat it with another text are separate
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ipvigil.llm.frames import free_name, map_text
+from ipvigil.llm.frames import cut_lineage, free_name, map_text
 
 RUN = 3
 #: Runs of fewer lines count as passages beyond so many words.
@@ -61,16 +62,16 @@ def fingerprints(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text:
 def repeated_windows(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, twin, starts): per document the first lines (from 1) of all windows that also start earlier."""
     found = fingerprints(docs, run, doc_id, text)
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    shared = cut_lineage(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "lines-shared")
     matched = found.join(shared, "h")
     # extended to both sides: every window of `run` lines that holds the fingerprint
     last = F.least(F.col("at"), F.col("low") + F.size("near") - run)
     starts = F.when(last >= F.col("low"), F.sequence("low", last)).otherwise(F.array().cast("array<int>"))
     windows = matched.withColumn("start", F.explode(starts))
     content = F.xxhash64(F.slice("near", F.col("start") - F.col("low") + 1, F.lit(run)))
-    windows = windows.select("h", content.alias("window"), F.struct("doc", "twin", "start").alias("place"))
+    windows = cut_lineage(windows.select("h", content.alias("window"), F.struct("doc", "twin", "start").alias("place")), "lines-windows")
     first = windows.groupBy("h", "window").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    first = first.filter(F.col("first") < F.col("last")).select("h", "window", "first")
+    first = cut_lineage(first.filter(F.col("first") < F.col("last")).select("h", "window", "first"), "lines-first")
     later = windows.join(first, ["h", "window"]).filter(F.col("place") > F.col("first"))
     return later.select("place.*").groupBy("doc", "twin").agg(F.collect_set("start").alias("starts"))
 
@@ -97,8 +98,10 @@ def repeated_passages(
     found = rows.select("doc", "twin", F.explode(F.concat(*(windows(n) for n in range(1, run)))).alias("w"))
     place = F.struct("doc", "twin", F.col("w.start").alias("start")).alias("place")
     found = found.select(F.xxhash64("w.own.h").alias("h"), F.xxhash64("w.own.g").alias("g"), F.size("w.own").alias("n"), place)
+    found = cut_lineage(found, "lines-passages")
     first = found.groupBy("h", "g", "n").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    later = found.join(first.filter(F.col("first") < F.col("last")), ["h", "g", "n"]).filter(F.col("place") > F.col("first"))
+    first = cut_lineage(first.filter(F.col("first") < F.col("last")), "lines-first-passages")
+    later = found.join(first, ["h", "g", "n"]).filter(F.col("place") > F.col("first"))
     gone = later.select("place.doc", "place.twin", F.explode(F.sequence("place.start", F.col("place.start") + F.col("n") - 1)).alias("start"))
     return gone.groupBy("doc", "twin").agg(F.collect_set("start").alias("starts"))
 
