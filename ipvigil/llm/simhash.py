@@ -8,6 +8,10 @@ with the bits they all share as masked pattern, every 16 nodes a node above, and
 already differ in too many places are left out with all below them, and so are nodes that are wholly in one component
 already. A bucket yields the links of a spanning forest, never all pairs, and `components` joins the forests.
 
+A bucket of more than MOST fingerprints (texts that share most of their boilerplate) is split before it is dealt: the bits
+that are not yet alike are parted in four blocks again, one of which three differing bits leave alike. After SPLITS such
+steps a bucket has 44 bits in common, so at most 2^20 fingerprints.
+
 Defined results: a null or empty text has fingerprint zero, which is linked like any other; a null doc_id comes last
 when the smallest of a component is sought; rows that repeat a doc_id and its text are the same document.
 
@@ -15,6 +19,7 @@ when the smallest of a component is sought; rows that repeat a doc_id and its te
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 FANOUT = 16
+MOST, SPLITS = 1 << 11, 2
 #: Shingles whose bits are counted at once, and node pairs compared at once.
 BLOCK = 1 << 15
 
@@ -67,18 +73,52 @@ def fingerprinted(docs: DataFrame, keep: list[str], name: str = "fp", text: str
     return map_text(docs, text, [T.StructField(name, T.LongType()), *(alike.FIELDS if sketched else [])], compute, keep)
 
 
+def _parted(value: Column, width: int, low: int, size: int) -> tuple[Column, Column]:
+    """`size` bits of a value of `width` bits from place `low` on, and the other bits pushed together."""
+    block = F.shiftrightunsigned(value, low).bitwiseAND((1 << size) - 1)
+    below = value.bitwiseAND((1 << low) - 1) if low else F.lit(0).cast("long")
+    above = F.shiftleft(F.shiftrightunsigned(value, low + size), low) if low + size < width else F.lit(0).cast("long")
+    return block, above.bitwiseOR(below)
+
+
+def _quarters(width: int) -> list[tuple[int, int]]:
+    """Places and sizes of four blocks of a value of `width` bits."""
+    cuts = [width * i // 4 for i in range(5)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def buckets(fp: str = "fp") -> Column:
-    """The 16 bucket keys of a fingerprint: its table, one block of 16 bits and one of the other 48 bits' blocks of 12."""
-    value, keys = F.col(fp), []
-    for i in range(4):
-        block = F.shiftrightunsigned(value, 16 * i).bitwiseAND(0xFFFF)
-        below = value.bitwiseAND((1 << 16 * i) - 1) if i else F.lit(0).cast("long")
-        above = F.shiftleft(F.shiftrightunsigned(value, 16 * (i + 1)), 16 * i) if i < 3 else F.lit(0).cast("long")
-        rest = above.bitwiseOR(below)
-        for j in range(4):
-            inner = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(0xFFF)
-            keys.append(F.lit((4 * i + j) << 28).cast("long").bitwiseOR(F.shiftleft(block, 12)).bitwiseOR(inner))
-    return F.array(*keys)
+    """The 16 buckets of a fingerprint: a key of its table, one block of 16 bits and one of the other 48 bits' blocks of 12;
+    and the 36 bits that are left."""
+    out = []
+    for i, (low, size) in enumerate(_quarters(64)):
+        block, rest = _parted(F.col(fp), 64, low, size)
+        for j, (inner_low, inner_size) in enumerate(_quarters(48)):
+            inner, left = _parted(rest, 48, inner_low, inner_size)
+            key = F.lit((4 * i + j) << 28).cast("long").bitwiseOR(F.shiftleft(block, 12)).bitwiseOR(inner)
+            out.append(F.struct(key.alias("bucket"), left.alias("rest")))
+    return F.array(*out)
+
+
+def dealt(codes: DataFrame, most: int = MOST) -> DataFrame:
+    """(bucket, fp): every two fingerprints that differ in at most DISTANCE bits share a bucket; large ones are split."""
+    rows, width, done = codes.select("fp", F.inline(buckets())), 36, []
+    for _ in range(SPLITS):
+        counted = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+        large = cut_lineage(counted.filter(F.col("n") > most).select("bucket"), "simhash-large")
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, "bucket", "left_anti").select("bucket", "fp"))
+        parts = []
+        for j, (low, size) in enumerate(_quarters(width)):
+            block, rest = _parted(F.col("rest"), width, low, size)
+            parts.append(F.struct(F.xxhash64("bucket", F.lit(j), block).alias("bucket"), rest.alias("rest")))
+        hot = rows.join(large, "bucket", "left_semi").select("fp", F.inline(F.array(*parts)))
+        # blocks differ by a bit in size; the narrower rest is read as if it had a zero in front
+        width = width - min(size for _, size in _quarters(width))
+        rows = cut_lineage(hot.select("fp", "bucket", "rest"), "simhash-split")
+    done.append(rows.select("bucket", "fp"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -197,9 +237,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def near_links(codes: DataFrame) -> DataFrame:
     """(a, b): links of distinct fingerprints (`fp`) whose components are those of all links."""
-    keyed = codes.select(F.explode(buckets()).alias("bucket"), "fp")
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
+    sent = dealt(codes).repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
 def grouped(rows: DataFrame, order: Column, widen: Callable[[DataFrame], DataFrame] = lambda roots: roots) -> DataFrame:
