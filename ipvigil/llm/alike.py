@@ -6,8 +6,9 @@ SimHash do not reach that far, as 0.8 costs about ten. Links join the components
 fingerprints): a band whose texts are all in one component is settled. In each of the others the smallest text meets all
 those outside its component and then leaves, STARS times; pairs that are still apart after that are compared one by one.
 
-Nothing is capped: a band of many texts that are all unlike costs its pairs. Hot bands meet map-side minima and plain
-equi-joins. Shingles are told apart by 64-bit hashes, and so are sets of shingles.
+Nothing is capped: a band of many texts that are all unlike costs its pairs. Such a band is cut in parts of about PART
+texts, and every two parts meet in a task of their own, so a task compares PART^2 pairs at most. Hot bands meet map-side
+minima and joins of two tables, which adaptive execution splits. Shingles are told apart by 64-bit hashes, and so are sets of shingles.
 
 Defined results: a null or empty text has no shingles and is like no other; equal sets have similarity 1.
 """
@@ -27,6 +28,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 STARS = 3
+PART = 1 << 9
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,6 +86,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.filter(shared / (F.size("a_set") + F.size("b_set") - shared) >= similarity).select("a", "b")
 
 
+def _in_parts(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """All pairs (a, a_sig, a_size, b, b_sig, b_size) of a band with different roots, dealt by band and two of its parts."""
+    parts = F.ceil(F.col("n") / F.lit(most or PART))
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sig", "fp"), "parts"))
+
+    def side(name: str, low: Column, high: Column, own: str, other: str) -> DataFrame:
+        named = [F.col(c).alias(f"{name}_{c}") for c in ("sig", "size")]
+        return dealt.select("band", F.col("part").alias(own), F.explode(F.sequence(low, high)).alias(other), F.col("root").alias(name), *named)
+
+    left = side("a", F.col("part"), F.col("parts") - 1, "i", "j")
+    right = side("b", F.lit(0).cast("long"), F.col("part"), "j", "i")
+    pairs = left.join(right, ["band", "i", "j"])
+    return pairs.filter((F.col("a") != F.col("b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))))
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after links between roots."""
     more = components(links)
@@ -102,8 +119,9 @@ def widened(roots: DataFrame, rows: DataFrame, docs: DataFrame, keys: list[str],
     for step in range(STARS + 1):
         rooted = buckets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         lead = F.min(F.struct("fp", "sig", "size", "root")).alias("lead")
-        apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead).filter("low <> high")
-        rooted = cut_lineage(rooted.join(apart.select("band", "lead"), "band"), "alike-buckets")
+        apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), lead).filter("low <> high")
+        apart = cut_lineage(apart.select("band", "n", "lead"), "alike-bands")
+        rooted = cut_lineage(rooted.join(apart, "band"), "alike-buckets")
         if rooted.isEmpty():
             break
         if sets is None:
@@ -115,9 +133,7 @@ def widened(roots: DataFrame, rows: DataFrame, docs: DataFrame, keys: list[str],
                                   F.col("root").alias("b"), F.col("sig").alias("b_sig"), F.col("size").alias("b_size"))
             pairs = pairs.filter((F.col("a") != F.col("b")) & _sizes_allow("a_size", "b_size", similarity))
         else:
-            left = rooted.select("band", *(F.col(c).alias(f"a_{c}") for c in ("fp", "sig", "size")), F.col("root").alias("a"))
-            right = rooted.select("band", *(F.col(c).alias(f"b_{c}") for c in ("fp", "sig", "size")), F.col("root").alias("b"))
-            pairs = left.join(right, "band").filter((F.col("a") < F.col("b")) & _sizes_allow("a_size", "b_size", similarity))
+            pairs = _in_parts(rooted).filter(_sizes_allow("a_size", "b_size", similarity))
         pairs = pairs.select("a", "a_sig", "b", "b_sig").distinct()
         roots = _merged(roots, _confirmed(pairs, sets, similarity))
         buckets = rooted.filter((F.col("fp") != F.col("lead.fp")) | (F.col("sig") != F.col("lead.sig"))).select("band", "fp", "sig", "size")
