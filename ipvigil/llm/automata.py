@@ -6,7 +6,9 @@ is first streamed through the suffix automaton of the passages from smaller doc_
 length of the longest match that ends there; where it reaches `LENGTH` words, the last `LENGTH` words are covered. Then
 the passage joins the automaton. Words are compared themselves, not by hashes, in this step.
 
-Defined results: a null text has no words; a null doc_id comes first; rows that repeat a doc_id are one document.
+Defined results: a null text has no words; a null doc_id comes first; rows that repeat a doc_id and its text are one
+document; rows that repeat it with another text are documents of their own, ordered by a hash of the text, so that one
+copy of every passage stays.
 """
 
 import hashlib
@@ -81,12 +83,13 @@ class Automaton:
         return ends
 
 
-def resolve(rows: dict) -> tuple[list, list, list]:
+def resolve(rows: dict) -> tuple[list, list, list, list]:
     """Covered spans of the passages in whole shards, see the module's text."""
     docs, first, last = [], [], []
+    owners = zip(rows["doc"].tolist(), rows["twin"].tolist(), strict=True)
     shard, waiting, doc = None, [], None
     automaton = Automaton()
-    for key, own, at, text in zip(rows["key"].tolist(), rows["doc"].tolist(), rows["at"].tolist(), rows["context"], strict=True):
+    for key, own, at, text in zip(rows["key"].tolist(), owners, rows["at"].tolist(), rows["context"], strict=True):
         if key != shard:
             automaton, waiting, shard = Automaton(), [], key
         elif own != doc:
@@ -104,7 +107,7 @@ def resolve(rows: dict) -> tuple[list, list, list]:
                 first.append(begin)
                 last.append(at + end)
         waiting.append(passage)
-    return docs, first, last
+    return [d for d, _ in docs], [t for _, t in docs], first, last
 
 
 def _result(text: bytes, found) -> tuple[int, int, str]:

@@ -9,6 +9,9 @@ is an anchor, so equal windows hold equal anchors at equal places. Three passes
    windows that they share.
 3. The spans found go to their documents.
 
+A document is a doc_id and a text: rows that repeat both are one document; rows with an id (or none) in common and other
+texts are documents of their own, in the order of a hash of the text (`twin`).
+
 Hot content. Copies of a context are reduced to one per block of rows before anything is shuffled. A gram that has very
 many different contexts (say, at the edge of a passage that a third of all documents share) is looked for in a sample;
 it only decides the way: such anchors are replaced by their single windows, which are told apart by their own hashes,
@@ -52,9 +55,19 @@ class Kind:
         return self.window - self.gram
 
 
-def document(doc_id: str = "doc_id") -> Column:
-    """The id that documents are ordered by; a null id comes first."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+#: What documents are told apart and ordered by.
+IDENTITY = ["doc", "twin"]
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """The id, where a null one comes first, and a hash of the text."""
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    return [doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin")]
+
+
+def _apart(rows: dict[str, np.ndarray], a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
+    """Whether rows lie in different documents."""
+    return (rows["doc"][a] != rows["doc"][b]) | (rows["twin"][a] != rows["twin"][b])
 
 
 def _found(token: np.ndarray, bounds: np.ndarray, kind: Kind) -> dict[str, np.ndarray]:
@@ -85,7 +98,7 @@ def _windows(found: dict[str, np.ndarray], token: np.ndarray, kind: Kind) -> dic
 
 def _tokens(part: pa.RecordBatch, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice]]:
     """Rows of tokens of bounded size, with document bounds, ids, and the places that count (others are margin)."""
-    data, bounds = spans.flat(part.column(1))
+    data, bounds = spans.flat(part.column(2))
     if kind.words:
         start, end, first = spans.words(data, bounds, spans.WHITE)
         token = spans.word_hashes(data, start, end, spans.WHITE)
@@ -106,21 +119,20 @@ def _combined(rows: dict[str, np.ndarray], kind: Kind) -> dict[str, np.ndarray]:
     if len(twice):
         at = np.minimum(np.searchsorted(twice, both), len(twice) - 1)
         some = np.flatnonzero(twice[at] == both)
-        some = some[np.lexsort((rows["at"][some], rows["doc"][some], both[some]))]
+        some = some[np.lexsort((rows["at"][some], rows["twin"][some], rows["doc"][some], both[some]))]
         group = np.r_[True, both[some][1:] != both[some][:-1]]
         first = np.flatnonzero(group)[np.cumsum(group) - 1]
-        doc, place = rows["doc"][some], rows["at"][some]
-        later = doc > doc[first]
+        later = _apart(rows, some, some[first])
         if kind.within:
-            later |= (doc == doc[first]) & (place > place[first])
+            later |= rows["at"][some] > rows["at"][some[first]]
         later &= (rows["key"][some] == rows["key"][some[first]]) & (rows["ctx"][some] == rows["ctx"][some[first]])
         known[some[later]] = True
-    key = np.where(known, spans.mixed(rows["doc"].view(np.uint64) * spans._FACTORS[5] + rows["at"].astype(np.uint64)), rows["key"])
+    key = np.where(known, spans.mixed((rows["doc"] ^ rows["twin"]).view(np.uint64) * spans._FACTORS[5] + rows["at"].astype(np.uint64)), rows["key"])
     return rows | {"key": key, "known": known}
 
 
-_ANCHOR = "key long, ctx long, doc long, at int, left int, right int, known boolean"
-_ANCHOR_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+_ANCHOR = "key long, ctx long, doc long, twin long, at int, left int, right int, known boolean"
+_ANCHOR_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
 
 def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -130,14 +142,14 @@ def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def anchors(docs: DataFrame, kind: Kind, hot: np.ndarray) -> DataFrame:
-    """Anchors of all documents (doc, text), copies in a block of rows marked as known; `hot` grams by window."""
+    """Anchors of all documents (doc, twin, text), copies in a block of rows marked as known; `hot` grams by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         size = 0
         for batch in batches:
             for part in spans.sliced(batch, "text"):
-                ids = np.asarray(part.column(0))
+                ids, twins = np.asarray(part.column(0)), np.asarray(part.column(1))
                 for token, bounds, _, counts in _tokens(part, kind):
                     found = _found(token, np.clip(bounds, 0, len(token)), kind)
                     # cut at a block's edge, a document seems to end there; its anchors there are margin
@@ -148,9 +160,10 @@ def anchors(docs: DataFrame, kind: Kind, hot: np.ndarray) -> DataFrame:
                         is_hot = hot[at] == found["key"]
                         single = _windows({k: v[is_hot] for k, v in found.items()}, token, kind)
                         found = {k: np.concatenate([v[~is_hot], single[k]]) for k, v in found.items()}
-                    doc, place = ids[found["owner"]], found["place"] - bounds[found["owner"]]
-                    held.append({k: found[k] for k in ("key", "ctx", "left", "right")} | {"doc": doc, "at": place})
-                    size += len(doc)
+                    own = found["owner"]
+                    place = {"doc": ids[own], "twin": twins[own], "at": found["place"] - bounds[own]}
+                    held.append({k: found[k] for k in ("key", "ctx", "left", "right")} | place)
+                    size += len(own)
                     if size >= COMBINED:
                         yield _batch(_combined({k: np.concatenate([h[k] for h in held]) for k in held[0]}, kind))
                         held, size = [], 0
@@ -168,24 +181,24 @@ def hot_grams(docs: DataFrame, kind: Kind, hot: int = HOT, sampled: int = SAMPLE
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
-_DECIDED = "doc long, key long, at int, left int, right int, open boolean"
+_DECIDED = "doc long, twin long, key long, at int, left int, right int, open boolean"
 
 
 def _decide(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by key, context, document and place: repeats (open = false), and contexts that need a closer look."""
 
     def decided(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        key, ctx, doc, at = rows["key"], rows["ctx"], rows["doc"], rows["at"]
+        key, ctx, at = rows["key"], rows["ctx"], rows["at"]
         new_key = np.r_[True, key[1:] != key[:-1]]
         new = new_key | np.r_[True, ctx[1:] != ctx[:-1]]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = doc > doc[first]
+        later = _apart(rows, slice(None), first)
         if kind.within:
-            later |= (doc == doc[first]) & (at > at[first])
+            later |= at > at[first]
         group = np.cumsum(new_key) - 1
         several = np.bincount(group, new)[group] > 1
         keep = later | several | rows["known"]
-        names = ["doc", "key", "at", "left", "right"]
+        names = ["doc", "twin", "key", "at", "left", "right"]
         arrays = [pa.array(rows[n][keep]) for n in names]
         return pa.RecordBatch.from_arrays([*arrays, pa.array((several & ~later & ~rows["known"])[keep])], [*names, "open"])
 
@@ -221,24 +234,24 @@ def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text as a zstandard frame, null as empty)."""
+    """(doc, twin, doc_id, text as a zstandard frame, null as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             for part in spans.sliced(batch, "text"):
-                text = part.column(2).cast(pa.large_binary())
+                text = part.column(3).cast(pa.large_binary())
                 blob = pa.array([press.compress(x.as_py() or b"") for x in text], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blob], ["doc", "doc_id", "blob"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], blob], ["doc", "twin", "doc_id", "blob"])
 
-    return docs.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, blob binary")
+    return docs.select("doc", "twin", "doc_id", "text").mapInArrow(run, "doc long, twin long, doc_id long, blob binary")
 
 
 def unpacked(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-_CONTEXT = "key long, doc long, at int, context binary"
+_CONTEXT = "key long, doc long, twin long, at int, context binary"
 
 
 def _contexts(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -246,8 +259,8 @@ def _contexts(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, places, texts = [], [], [], []
-            for doc, _, blob, found in zip(*(batch.column(i) for i in range(4)), strict=True):
+            keys, docs, twins, places, texts = [], [], [], [], []
+            for doc, twin, _, blob, found in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if not found.is_valid or not len(found):
                     continue
                 data = unpacked(blob.as_py())
@@ -256,45 +269,47 @@ def _contexts(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     low, high = row["at"] - row["left"], row["at"] + kind.gram + row["right"]
                     keys.append(row["key"])
                     docs.append(doc.as_py())
+                    twins.append(twin.as_py())
                     places.append(low)
                     texts.append(b" ".join(tokens[low:high]) if kind.words else tokens[low:high])
-            arrays = [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "doc", "at", "context"])
+            arrays = [*(pa.array(x, pa.int64()) for x in (keys, docs, twins)), pa.array(places, pa.int32()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "doc", "twin", "at", "context"])
 
     return run
 
 
-Resolver = Callable[[dict[str, np.ndarray]], tuple[list | np.ndarray, list | np.ndarray, list | np.ndarray]]
+Resolver = Callable[[dict[str, np.ndarray]], tuple[list | np.ndarray, ...]]
 
 
 def repeated(docs: DataFrame, kind: Kind, resolve: Resolver, hot: int = HOT, sampled: int = SAMPLED) -> tuple[DataFrame, DataFrame]:
-    """Packed documents, and (doc, begins, ends): the token spans of each covered by windows that also start earlier.
+    """Packed documents, and (doc, twin, begins, ends): the token spans of each covered by windows that also start earlier.
 
-    `resolve` gets whole groups of contexts (key, doc, at, context; sorted by key, document and place) and returns the
-    documents, first and end tokens of the spans that repeat within a group.
+    `resolve` gets whole groups of contexts (key, doc, twin, at, context; sorted by key, document and place) and returns
+    the documents (doc, twin), first and end tokens of the spans that repeat within a group.
     """
-    rows = docs.select(document().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = hot_grams(rows.select("doc", "text"), kind, hot, sampled)
-    found = anchors(rows.select("doc", "text"), kind, grams).repartition("key")
-    found = found.sortWithinPartitions("key", "ctx", "doc", "at")
+    rows = docs.select(*identity(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    grams = hot_grams(rows.select("doc", "twin", "text"), kind, hot, sampled)
+    found = anchors(rows.select("doc", "twin", "text"), kind, grams).repartition("key")
+    found = found.sortWithinPartitions("key", "ctx", "doc", "twin", "at")
     decided = cut_lineage(found.mapInArrow(_decide(kind), _DECIDED), "repeats")
-    near = decided.filter("open").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("anchors"))
+    near = decided.filter("open").groupBy(*IDENTITY).agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("anchors"))
     texts = packed(rows)
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for group in whole_groups(batches, "key"):
-            arrays = [pa.array(x, t) for x, t in zip(resolve(group), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "first", "end"])
+            arrays = [pa.array(x, t) for x, t in zip(resolve(group), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "twin", "first", "end"])
 
     # with the same columns as in `per_document`, so that both joins share one shuffle of the texts
-    context = texts.join(near, "doc", "left").select("doc", "doc_id", "blob", "anchors").mapInArrow(_contexts(kind), _CONTEXT)
-    context = context.repartition("key").sortWithinPartitions("key", "doc", "at")
-    closer = context.mapInArrow(resolved, "doc long, first int, end int")
+    context = texts.join(near, IDENTITY, "left").select("doc", "twin", "doc_id", "blob", "anchors").mapInArrow(_contexts(kind), _CONTEXT)
+    context = context.repartition("key").sortWithinPartitions("key", "doc", "twin", "at")
+    closer = context.mapInArrow(resolved, "doc long, twin long, first int, end int")
     direct = decided.filter("NOT open").select(
-        "doc", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.lit(kind.gram) + F.col("right")).alias("end")
+        "doc", "twin", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.lit(kind.gram) + F.col("right")).alias("end")
     )
     every = direct.unionByName(closer)
-    listed = every.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    listed = every.groupBy(*IDENTITY).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     return texts, listed
 
 
@@ -324,4 +339,4 @@ def per_document(
             columns = [batch.column(0), *(pa.array([r[i] for r in rows], kinds.field(i + 1).type) for i in range(len(kinds) - 1))]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return texts.join(listed, "doc", "left").select("doc_id", "blob", "spans").mapInArrow(run, schema)
+    return texts.join(listed, IDENTITY, "left").select("doc_id", "blob", "spans").mapInArrow(run, schema)

@@ -7,7 +7,8 @@ exactly the repeated windows. See `repeats` for the passes, which documents take
 
 Every byte that a repeated window covers is removed, unless the window starts nowhere earlier (in a smaller doc_id, or
 earlier in the same document). Defined results: a null text is empty; a null doc_id comes first; rows that repeat a
-doc_id are taken for copies of one document and get the same spans.
+doc_id and its text are one document; rows that repeat it with another text are documents of their own, ordered by a hash
+of the text, so that one copy of every string stays.
 """
 
 import hashlib
@@ -23,7 +24,7 @@ KIND = repeats.Kind(words=False, window=LENGTH, gram=24, within=True)
 SORTED = 1 << 20
 
 
-def _last_pass(key: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarray, bounds: np.ndarray):
+def _last_pass(key: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, data: np.ndarray, bounds: np.ndarray):
     """Spans of the windows in some contexts that also start earlier in a context of the same key."""
     window = spans.mixed(spans.grams(spans.BYTE_VALUE[data], LENGTH))
     count = np.maximum(np.diff(bounds) - LENGTH + 1, 0)
@@ -31,20 +32,20 @@ def _last_pass(key: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarra
     inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     digit = window[bounds[of] + inner]
     group = (np.cumsum(np.r_[False, key[1:] != key[:-1]]))[of]
-    start, owner = at[of] + inner, doc[of]
-    order = np.lexsort((start, owner, digit, group))
+    start, owner, other = at[of] + inner, doc[of], twin[of]
+    order = np.lexsort((start, other, owner, digit, group))
     new = np.ones(len(order), bool)
     new[1:] = (digit[order][1:] != digit[order][:-1]) | (group[order][1:] != group[order][:-1])
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
     later = np.zeros(len(of), bool)
-    later[order] = (owner[order] > owner[first]) | ((owner[order] == owner[first]) & (start[order] > start[first]))
+    later[order] = (owner[order] != owner[first]) | (other[order] != other[first]) | (start[order] > start[first])
     place = np.flatnonzero(later)
     begin = np.r_[True, (np.diff(place) != 1) | (np.diff(of[place]) != 0)] if len(place) else np.zeros(0, bool)
     end = np.r_[begin[1:], True] if len(place) else begin
-    return owner[place[begin]], start[place[begin]], start[place[end]] + LENGTH
+    return owner[place[begin]], other[place[begin]], start[place[begin]], start[place[end]] + LENGTH
 
 
-def resolve(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def resolve(rows: dict) -> tuple[np.ndarray, ...]:
     """The last pass over whole groups, some groups at a time."""
     data, bounds = spans.flat(rows["context"])
     key = rows["key"]
@@ -55,10 +56,10 @@ def resolve(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end = max(int(np.searchsorted(bounds[cuts], bounds[cuts[begin]] + SORTED, "right")) - 1, begin + 1)
         a, b = cuts[begin], cuts[end]
         part = data[bounds[a] : bounds[b]]
-        out.append(_last_pass(key[a:b], rows["doc"][a:b], rows["at"][a:b].astype(np.int64), part, bounds[a : b + 1] - bounds[a]))
+        out.append(_last_pass(key[a:b], rows["doc"][a:b], rows["twin"][a:b], rows["at"][a:b].astype(np.int64), part, bounds[a : b + 1] - bounds[a]))
         begin = end
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none, none, none)
+    return tuple(np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none,) * 4
 
 
 def _result(text: bytes, found) -> tuple[int, int, int, str]:

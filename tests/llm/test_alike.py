@@ -97,3 +97,11 @@ def test_sketches_of_empty_texts():
     size, _, bands = alike.sketches(pa.array([None, "", " \n", "a b", "A  b"]))
     assert size.to_pylist() == [0, 0, 0, 1, 1]
     assert [len(x) for x in bands.to_pylist()] == [0, 0, 0, alike.BANDS, alike.BANDS] and bands[3] == bands[4]
+
+
+def test_parts_of_a_band_hold_every_pair(spark):
+    rows = [(1, i, i * 7, 10, i // 2, 40) for i in range(40)] + [(2, 100, 5, 10, 50, 2), (2, 101, 6, 10, 51, 2)]
+    frame = spark.createDataFrame(rows, "band long, fp long, sig long, size int, root long, n long")
+    got = [tuple(sorted((r.a_sig, r.b_sig))) for r in alike._in_parts(frame, 3).collect()]
+    want = {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and x[4] < y[4]}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -46,7 +46,7 @@ def test_words(spark, docs):
 
 def test_hot_grams_change_nothing(spark, docs):
     df = frame(spark, docs)
-    rows = df.selectExpr("doc_id AS doc", "text")
+    rows = df.selectExpr("doc_id AS doc", "xxhash64(text) AS twin", "text")
     assert len(repeats.hot_grams(rows, substrings.KIND, 2, 1)) > 5
     assert by_id(substrings.deduplicated(df, hot=2, sampled=1)) == corpus.bytes_left(docs)
     assert by_id(automata.deduplicated(df, hot=2, sampled=1)) == corpus.words_left(docs)
@@ -58,7 +58,8 @@ def test_long_texts_in_blocks(spark, docs, monkeypatch):
     import pyarrow as pa
 
     text = (docs[20][1] or "") * 3 + "".join(d[1] or "" for d in docs[:30])
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array([text, "", text[7:]])], ["doc", "text"])
+    ids = pa.array([1, 2, 3], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([text, "", text[7:]])], ["doc", "twin", "text"])
 
     def found():
         out = set()
@@ -169,3 +170,51 @@ def test_runs_shorter_than_three_lines_stay(spark):
     rows = [(1, "a\nb\n\nc\nd"), (2, "a\nb\nother\nc\nd"), (3, "zero\na\n  b \n\nc\nend")]
     left = by_id(lines.dedup_lines(frame(spark, rows, "doc_id long, text string")))
     assert left == {1: ("a\nb\n\nc\nd",), 2: ("a\nb\nother\nc\nd",), 3: ("zero\n\nend",)}
+
+
+def test_large_buckets_are_split_without_losing_a_link(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    codes = {int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 6)))) for b in base for _ in range(150)}
+    frame_ = spark.createDataFrame([(int(np.uint64(c).view(np.int64)),) for c in codes], "fp long")
+    want = {tuple(sorted((a, b))) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= simhash.DISTANCE}
+    for most in (10**6, 8, 1):
+        where = {}
+        for r in simhash.dealt(frame_, most).collect():
+            where.setdefault(int(np.int64(r.fp).view(np.uint64)), set()).add(r.bucket)
+        assert set(where) == codes and all(where[a] & where[b] for a, b in want)
+
+
+def plain_left(rows, length, split, within, text_hash):
+    """What stays of each row where documents are ids (null first) and texts, in the order of the texts' hashes."""
+    seen, left = {}, {}
+    for own in sorted({(d is not None, d or 0, text_hash[t], t or "") for d, t in rows}):
+        tokens = split(own[3])
+        gone = [False] * len(tokens)
+        windows = [tuple(tokens[i : i + length]) for i in range(len(tokens) - length + 1)]
+        for i, window in enumerate(windows):
+            if window in seen or (within and window in windows[:i]):
+                gone[i : i + length] = [True] * length
+        seen.update(dict.fromkeys(windows))
+        left[own[0], own[1], own[3]] = [t for t, g in zip(tokens, gone, strict=True) if not g]
+    return sorted(str(left[d is not None, d or 0, t or ""]) for d, t in rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_with_equal_or_no_ids_and_different_texts(spark, seed):
+    rnd = np.random.default_rng(seed)
+    parts = [" ".join(f"p{k}w{rnd.integers(10**6)}" for _ in range(20)) for k in range(6)]
+    rows = []
+    for i in range(24):
+        own = [f"own{i}x{k}" for k in range(15)]
+        text = " ".join([*own[:7], *(parts[int(p)] for p in rnd.integers(0, 6, rnd.integers(0, 4))), *own[7:]])
+        rows.append((None if i % 3 == 0 else int(rnd.integers(5, 8)), text))
+    rows += rows[:5] + [(7, None), (None, None), (5, "")]
+    df = frame(spark, rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    got = sorted(str(r.text.encode().split()) for r in automata.kept_text(df).collect())
+    assert got == plain_left(rows, automata.LENGTH, lambda t: t.encode().split(), False, hashes)
+    got = sorted(str(list(r.text.encode())) for r in substrings.kept_text(df).collect())
+    assert got == plain_left(rows, substrings.LENGTH, lambda t: list(t.encode()), True, hashes)
+    left = " ".join(r.text for r in automata.kept_text(df).collect())
+    assert all(p in left for p in parts if any(p in (t or "") for _, t in rows))
