@@ -9,9 +9,9 @@ from ipvigil.catalog import fixtures as X
 from ipvigil.catalog.registry import listed, query
 from ipvigil.catalog.sql import BROKEN, DIM_COUNTRY, MESSAGES, over_events
 from ipvigil.schema import EVENT_COLUMNS
-from ipvigil.session import shared_folder
+from ipvigil.session import cut_lineage, shared_folder
 from ipvigil.sources import messages, tables
-from ipvigil.streaming import jobs
+from ipvigil.streaming import jobs, reports
 
 ENRICHED = """,
 enriched AS (
@@ -105,7 +105,7 @@ def _(spark, sf):
     return rows.withColumn("categories", F.coalesce("categories", F.lit("")))
 
 
-def _loaded(spark, sf, score=None, bus: bool = False) -> str:
+def _loaded(spark, sf, score=None, bus: bool = False, show=None) -> str:
     """Load all messages into one table, in the ways a table is loaded, and return its folder.
 
     A third comes from a stream in several batches, a third from a second stream with a new checkpoint, and a third in
@@ -117,7 +117,7 @@ def _loaded(spark, sf, score=None, bus: bool = False) -> str:
     part = F.col("event_id") % 3
     for i in range(2):
         stream = stream_of(spark, sf, topic(texts(spark, sf).filter(part == i), f"{base}/topic-{i}"))
-        jobs.start_table_sink(stream, *places, f"{base}/state-{i}", score, sent, interval=None).awaitTermination()
+        jobs.start_table_sink(stream, *places, f"{base}/state-{i}", score, sent, interval=None, show=show).awaitTermination()
     rest = jobs.enriched_stream(texts(spark, sf).filter(part == 2), X.dim_country(spark, sf))
     day = tables.start_of(spark, f"{places[1]}_started", 0, "by-hand", messages.valid(rest).count())[0].date()
     tables.write_batch(tables.scan_events(spark, places[0]).drop("load_date").limit(5), places[0], 0, "by-hand", day)
@@ -170,12 +170,15 @@ def _(spark, sf):
         """SELECT 'table' AS sink, source, count(*) AS n FROM enriched GROUP BY source
         UNION ALL SELECT 'bus', source, count(*) FROM enriched GROUP BY source
         UNION ALL SELECT 'bus', NULL, count(*) FROM broken
-        UNION ALL SELECT 'metrics', NULL, count(*) FROM enriched""",
+        UNION ALL SELECT 'metrics', NULL, count(*) FROM enriched
+        UNION ALL SELECT 'console', NULL, CAST(60 AS BIGINT)""",
         *PARTS, BROKEN,
     ),
 )
 def _(spark, sf):
-    base = _loaded(spark, sf, bus=True)
+    """Table, bus, metrics and console; the two streams' six batches show ten rows each."""
+    lines = []
+    base = _loaded(spark, sf, bus=True, show=lines.append)
     table = tables.scan_events(spark, f"{base}/table").groupBy("source").agg(F.count("*").alias("n"))
     sent = spark.read.schema("key string, value string").parquet(f"{base}/bus")
     bus = sent.groupBy(F.get_json_object("value", "$.source").alias("source")).agg(F.count("*").alias("n"))
@@ -184,6 +187,7 @@ def _(spark, sf):
         table.select(F.lit("table").alias("sink"), "source", "n")
         .unionByName(bus.select(F.lit("bus").alias("sink"), "source", "n"))
         .unionByName(logged.select(F.lit("metrics").alias("sink"), F.lit(None).cast("string").alias("source"), "n"))
+        .unionByName(spark.range(1).select(F.lit("console").alias("sink"), F.lit(None).cast("string").alias("source"), F.lit(len(lines)).cast("long").alias("n")))
     )
 
 
@@ -213,3 +217,130 @@ def _(spark, sf):
     jobs.start_live_feed(enriched_stream(spark, sf), f"{base}/feed", f"{base}/state").awaitTermination()
     feed = jobs.newest_state(spark.read.parquet(f"{base}/feed"))
     return feed.select("ip", "source", "country_code", "risk_level", "event_time")
+
+
+#: The table as it is loaded: four parts by load time, each one file and so one micro-batch; some rows come a part late.
+ARRIVALS = """,
+ends AS (SELECT min(epoch_us(loaded_at) // 1000000) AS low, max(epoch_us(loaded_at) // 1000000) AS high FROM te),
+arrivals AS (
+  SELECT te.*, least(3, (epoch_us(loaded_at) // 1000000 - low) * 4 // greatest(high - low, 1) + CASE WHEN event_id % 29 = 3 THEN 1 ELSE 0 END) AS part
+  FROM te, ends)"""
+
+
+def arrivals(spark, sf, late: bool = True) -> DataFrame:
+    events = X.threat_events(spark, sf)
+    second = F.unix_seconds(F.col("loaded_at").cast("timestamp"))
+    ends = events.agg(F.min(second).alias("low"), F.max(second).alias("high"))
+    low, high = (ends.select(c).scalar() for c in ("low", "high"))
+    part = F.floor((second - low) * 4 / F.greatest(high - low, F.lit(1)))
+    if late:
+        part += (F.col("event_id") % 29 == 3).cast("int")
+    return cut_lineage(events.withColumn("part", F.least(F.lit(3), part).cast("int")), "arrivals")
+
+
+def loaded_in_parts(rows: DataFrame, base: str, start) -> DataFrame:
+    """Load the parts as files; `start` gets the table as a stream, and is stopped and started again after the second."""
+    spark, path = rows.sparkSession, f"{base}/table"
+    for parts in ((0, 1), (2, 3)):
+        for part in parts:
+            rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+        start(reports.table_stream(spark, path, 1)).awaitTermination()
+    return tables.scan_events(spark, path)
+
+
+@query(
+    "stream_minute_batches",
+    over_events(
+        """,
+        marks AS (SELECT max(loaded_at) FILTER (part <= 1) - INTERVAL 10 MINUTE AS half, max(loaded_at) - INTERVAL 10 MINUTE AS whole FROM arrivals),
+        judged AS (
+          SELECT date_trunc('minute', loaded_at) AS minute, part >= 2 AND date_trunc('minute', loaded_at) + INTERVAL 1 MINUTE <= half AS late, whole
+          FROM arrivals, marks),
+        counted AS (
+          SELECT minute, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late, minute + INTERVAL 1 MINUTE <= any_value(whole) AS closed
+          FROM judged GROUP BY minute)
+        SELECT minute, n, late FROM counted WHERE minute <= (SELECT max(minute) FROM counted WHERE closed AND n > 0)""",
+        ARRIVALS,
+    ),
+)
+def _(spark, sf):
+    """Rows per minute of load, counted by the stream, and those that came after their minute was closed."""
+    base = shared_folder(spark, "minute-batches")
+    start = lambda rows: reports.start_minute_counts(rows, f"{base}/out", f"{base}/state")
+    table = loaded_in_parts(arrivals(spark, sf), base, start)
+    return reports.minute_counts(table, spark.read.schema(reports.MINUTE_COUNTS).parquet(f"{base}/out"))
+
+
+@query(
+    "stream_exact_duplicates",
+    over_events(
+        """,
+        seen AS (SELECT * FROM arrivals UNION ALL SELECT * FROM arrivals WHERE event_id % 7 = 2)
+        SELECT source, (SELECT count(*) FROM (SELECT DISTINCT ip, source, last_reported_at FROM te) u WHERE u.source IS NOT DISTINCT FROM s.source) AS unique_rows,
+          count(*) - (SELECT count(*) FROM (SELECT DISTINCT ip, source, last_reported_at FROM te) u WHERE u.source IS NOT DISTINCT FROM s.source) AS duplicates
+        FROM seen s GROUP BY source""",
+        ARRIVALS,
+    ),
+)
+def _(spark, sf):
+    """Some rows are delivered again a part later, across micro-batches and the restart."""
+    base = shared_folder(spark, "unique")
+    rows = arrivals(spark, sf)
+    again = rows.filter("event_id % 7 = 2").withColumn("part", F.least(F.lit(3), F.col("part") + 1))
+    start = lambda x: reports.start_unique_events(x, f"{base}/out", f"{base}/state", delay="3650 days")
+    table = loaded_in_parts(rows.unionByName(again), base, start)
+    unique = spark.read.schema("ip string, source string, last_reported_at string").parquet(f"{base}/out")
+    return reports.duplicates_by_source(table, unique)
+
+
+@query(
+    "stream_snapshot",
+    over_events(
+        """,
+        hours AS (SELECT *, date_trunc('hour', loaded_at) AS recorded_at FROM te),
+        by_country AS (SELECT recorded_at, country_code, count(*) AS n, count(category) AS c FROM hours GROUP BY ALL),
+        steps AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY recorded_at ORDER BY n, country_code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM by_country),
+        figures AS (SELECT recorded_at, sum(2 * before + n) AS area, count(*) AS groups, sum(n) AS total, max(n) AS first, sum(c) AS c FROM steps GROUP BY 1),
+        crossed AS (
+          SELECT recorded_at, count(*) AS k FROM (
+            SELECT recorded_at, ip FROM hours WHERE source <> '' GROUP BY ALL HAVING count(DISTINCT source) > 1) GROUP BY 1)
+        SELECT recorded_at, round(1 - CAST(area AS DOUBLE) / (CAST(groups AS DOUBLE) * CAST(total AS DOUBLE)), 3) AS gini_coefficient,
+          round(CAST(first AS DOUBLE) * 100 / total, 1) AS top_country_pct, round(CAST(coalesce(k, 0) AS DOUBLE) * 100 / total, 1) AS cross_source_pct,
+          round(CAST(c AS DOUBLE) * 100 / total, 1) AS categorized_pct
+        FROM figures LEFT JOIN crossed USING (recorded_at)
+        WHERE recorded_at + INTERVAL 1 HOUR <= (SELECT max(loaded_at) FROM te) - INTERVAL 1 DAY"""
+    ),
+)
+def _(spark, sf):
+    """One row per closed hour, over several micro-batches and a restart."""
+    base = shared_folder(spark, "hourly")
+
+    def start(rows):
+        return reports.start_hourly_snapshots(rows, f"{base}/table", f"{base}/out", f"{base}/state", delay="1 day")
+
+    loaded_in_parts(arrivals(spark, sf, late=False), base, start)
+    return reports.snapshot_series(spark, f"{base}/out")
+
+
+BOOK = ["ip", "loaded_at", "event_id", "source", "country_code", "abuse_confidence_score", "risk_level", "category", "reoffense_probability"]
+
+
+@query(
+    "stream_addresses",
+    over_events(
+        """,
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY loaded_at, event_id) AS rn FROM arrivals),
+        known AS (
+          SELECT ip, count(*) AS report_count, arg_max(reoffense_probability, (loaded_at, event_id)) AS latest_score, CAST(min(part) AS BIGINT) AS since
+          FROM arrivals GROUP BY ip)
+        SELECT ip, loaded_at, event_id, source, country_code, abuse_confidence_score, risk_level, category, reoffense_probability, report_count, latest_score, since
+        FROM numbered JOIN known USING (ip) WHERE rn = 1""",
+        ARRIVALS,
+    ),
+)
+def _(spark, sf):
+    """First sighting, number of rows, newest score and the batch that brought each address, with a fold in between."""
+    base = shared_folder(spark, "addresses")
+    start = lambda rows: reports.start_address_book(rows.select(*BOOK), f"{base}/out", f"{base}/state", fold=2)
+    loaded_in_parts(arrivals(spark, sf), base, start)
+    return reports.address_book(spark, f"{base}/out", BOOK)

@@ -18,20 +18,33 @@ from ipvigil.functions.columns import ip_to_long, is_ipv4, safe_pct, subnet24
 from ipvigil.operators.scale import top_n_per_key
 
 
+def source_counts(events: DataFrame) -> DataFrame:
+    """(ip, source, n): rows per address and source."""
+    return events.groupBy("ip", "source").agg(F.count("*").alias("n"))
+
+
+def stats_of(pairs: DataFrame) -> DataFrame:
+    """(ip, reports, sources) from rows per address and source."""
+    return pairs.groupBy("ip").agg(F.sum("n").alias("reports"), F.count("source").alias("sources"))
+
+
 def ip_stats(events: DataFrame) -> DataFrame:
     """(ip, reports, sources) with exact distinct non-NULL sources.
 
     Counting per (ip, source) first keeps both steps in hash aggregation with fixed-size buffers and combines
     a hot address on the map side.
     """
-    pairs = events.groupBy("ip", "source").agg(F.count("*").alias("n"))
-    return pairs.groupBy("ip").agg(F.sum("n").alias("reports"), F.count("source").alias("sources"))
+    return stats_of(source_counts(events))
 
 
 def offender_totals(events: DataFrame) -> DataFrame:
     """One row: addresses, repeat addresses, cross-source addresses and the most reports of a repeat address."""
+    return totals_of(ip_stats(events))
+
+
+def totals_of(stats: DataFrame) -> DataFrame:
     repeat = F.col("reports") > 1
-    return ip_stats(events).agg(
+    return stats.agg(
         F.count("*").alias("ips"),
         F.count_if(repeat).alias("repeat_ips"),
         F.count_if(F.col("sources") >= 2).alias("cross_source_ips"),

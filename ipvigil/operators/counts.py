@@ -97,7 +97,7 @@ def grouped_by_each(events: DataFrame, columns: Sequence[str], **counts: Column)
     """Counts by every one of some columns, and of all rows, in one pass (GROUPING SETS).
 
     `grouping` names the column a row is about ("" for the row about everything), `value` is its value as text, `n` the
-    rows; `counts` are whole-number aggregates. Map tasks combine, so a hot value costs one row per task.
+    rows; `counts` are whole-number aggregates (an `n` among them takes the place of the number of rows). Map tasks combine, so a hot value costs one row per task.
 
     Reports take several parts of this frame. Names and values depend on a count and the numbers sit in one array, so a
     part's filter and columns stay above the grouping, all parts have it in common, and it runs once.

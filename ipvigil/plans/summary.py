@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ipvigil.operators.addresses import offender_totals
+from ipvigil.operators.addresses import offender_totals, stats_of, totals_of
 from ipvigil.operators.concentration import gini
 from ipvigil.operators.counts import as_of, grouped_by_each
+from ipvigil.sources.partials import pairs
 
 
 def section(name: str, frame: DataFrame, value: str | Column, key: str | None = None) -> DataFrame:
@@ -33,15 +34,26 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
 def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
     """Totals, group counts, repeat and cross-source addresses and concentration.
 
-    The group reports are one grouping by each column, whose rows are told apart afterwards. With the counts per
-    address and the one-column scan for the newest load, the table is read three times; nothing runs before the result
-    is asked for.
+    The group reports are one grouping by each column, whose rows are told apart afterwards. Besides, the table is read for
+    the counts per address and, one column, for the newest load; nothing runs before the result is asked for. To answer
+    without reading the events at all, see `summary_of_partials`.
     """
-    since = as_of(events, at) - F.expr("INTERVAL 24 HOURS")
+    return _summary(events, F.lit(1), offender_totals(events), at)
+
+
+def summary_of_partials(cells: DataFrame, addresses: DataFrame, at: datetime | None = None) -> DataFrame:
+    """`summary` from the partials that are written with each batch (`sources.partials`)."""
+    return _summary(cells, F.col("n"), totals_of(stats_of(pairs(addresses))), at)
+
+
+def _summary(rows: DataFrame, n: Column, totals: DataFrame, at: datetime | None) -> DataFrame:
+    """`n`: how many events a row stands for."""
+    since = as_of(rows, at) - F.expr("INTERVAL 24 HOURS")
     cells = grouped_by_each(
-        events,
+        rows,
         ["country_code", "category", "risk_level"],
-        recent=F.count_if(F.col("loaded_at") >= since),
+        n=F.sum(n),
+        recent=F.sum(F.when(F.col("loaded_at") >= since, n).otherwise(0)),
         last=F.max(F.unix_seconds(F.col("loaded_at").cast("timestamp"))),
     )
     by = {c: cells.filter(F.col("grouping") == c) for c in ("country_code", "category", "risk_level")}
@@ -53,7 +65,7 @@ def summary(events: DataFrame, at: datetime | None = None) -> DataFrame:
             "new_24h": F.coalesce("recent", F.lit(0)),
             "last_loaded_epoch": F.col("last"),
         }),
-        facts(offender_totals(events), {
+        facts(totals, {
             "repeat_offenders": F.col("repeat_ips"),
             "cross_source_corroborated": F.col("cross_source_ips"),
         }),

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app: str = "ipvigil", **conf: str) -> SparkSession:
     """A session with runtime re-planning on. Partition counts are left to the cluster's own settings."""
@@ -15,6 +17,8 @@ def build_session(app: str = "ipvigil", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # the state of streams on disk, not in the executors' heap
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -159,6 +159,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory())
 
 
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether what was written to a folder was committed."""
+    files, place = _storage(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     files, place = _storage(spark, path)
     files.delete(place, True)

@@ -14,10 +14,14 @@ from ipvigil.operators.enrich import enrich
 from ipvigil.operators.rankings import live_feed
 from ipvigil.schema import EVENT_COLUMNS, PIPELINE_METRICS, conform
 from ipvigil.sources.messages import parse_message, quarantined, to_bus, valid
+from ipvigil.sources.partials import write_partials
 from ipvigil.sources.tables import batch_exists, folders, remove_folder, start_of, with_event_ids, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+#: Rows of a batch that the console sink shows.
+SHOWN = 10
+
 
 def trigger_of(interval: str | None) -> dict:
     """Processing-time trigger, or drain what is there and stop."""
@@ -51,12 +55,17 @@ def load_batch(
     score: Scorer | None = None,
     bus: str | Mapping[str, str] | None = None,
     quarantine: str | None = None,
+    partials: str | None = None,
+    show: Callable[[str], None] | None = None,
 ) -> None:
     """Write one micro-batch to the table (and as JSON messages to `bus`) and log rows and write time.
 
     `bus` is a folder, in which a replaced batch replaces its messages, or the options of a writer, with its `format`
     (kafka, say): such messages are sent once more if a batch has to be repeated.
 
+    `partials` is where additive results of the batch go (`sources.partials`), which reports read instead of the events.
+    `show` gets the first SHOWN rows of the batch as text (print, say): the console as a further sink of the same read.
+
     `run` names the checkpoint that `batch_id` belongs to. Malformed messages go to `quarantine` (by default next to
     the table) and are counted in the metrics row. That row is written last: a batch that has one is complete and is
     skipped when it comes again, an unfinished one is replaced. Scores are computed by the executors; rows never pass
@@ -68,8 +77,9 @@ def load_batch(
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good = valid(batch)
-        rows, bad = good.count(), batch.count()
-        bad -= rows
+        broken = F.count("malformed") if "malformed" in batch.columns else F.lit(0)
+        every, bad = batch.agg(F.count("*"), broken).first()
+        rows = every - bad
         if rows == bad == 0:
             return
         loaded_at, first_id = start_of(spark, f"{metrics}_started", batch_id, run, rows)
@@ -79,6 +89,8 @@ def load_batch(
         start = time.monotonic()
         if rows:
             write_batch(stamped.drop("categories"), table, batch_id, run, loaded_at.date())
+            if partials:
+                write_partials(stamped, partials, batch_id, run)
         elapsed = (time.monotonic() - start) * 1000.0
         if bad:
             write_batch(quarantined(batch), quarantine or f"{table}_quarantine", batch_id, run, loaded_at.date())
@@ -86,6 +98,9 @@ def load_batch(
             write_batch(to_bus(batch, [*EVENT_COLUMNS, "categories"]), bus, batch_id, run)
         elif bus:
             to_bus(batch, [*EVENT_COLUMNS, "categories"]).write.options(**bus).format(bus["format"]).mode("append").save()
+        if show:
+            for line in good.select(*EVENT_COLUMNS).limit(SHOWN).collect():
+                show(" ".join(f"{k}={v}" for k, v in line.asDict().items()))
         row = spark.range(1).select(
             F.lit(rows).cast("bigint").alias("batch_rows"),
             F.lit(elapsed).alias("write_duration_ms"),
@@ -106,11 +121,13 @@ def start_table_sink(
     bus: str | Mapping[str, str] | None = None,
     interval: str | None = TABLE_TRIGGER,
     quarantine: str | None = None,
+    partials: str | None = None,
+    show: Callable[[str], None] | None = None,
 ) -> StreamingQuery:
-    """One query feeds table, quarantine, metrics and, if asked, the bus: the source is read and parsed once."""
+    """One query feeds table, quarantine, metrics and, if asked, bus, partials and console: the source is read and parsed once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        load_batch(batch, batch_id, run_of(batch), table, metrics, score, bus, quarantine)
+        load_batch(batch, batch_id, run_of(batch), table, metrics, score, bus, quarantine, partials, show)
 
     writer = events.writeStream.foreachBatch(handle).outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval)).start()
