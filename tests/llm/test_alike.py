@@ -99,9 +99,37 @@ def test_sketches_of_empty_texts():
     assert [len(x) for x in bands.to_pylist()] == [0, 0, 0, alike.BANDS, alike.BANDS] and bands[3] == bands[4]
 
 
-def test_parts_of_a_band_hold_every_pair(spark):
-    rows = [(1, i, i * 7, 10, i // 2, 40) for i in range(40)] + [(2, 100, 5, 10, 50, 2), (2, 101, 6, 10, 51, 2)]
-    frame = spark.createDataFrame(rows, "band long, fp long, sig long, size int, root long, n long")
-    got = [tuple(sorted((r.a_sig, r.b_sig))) for r in alike._in_parts(frame, 3).collect()]
-    want = {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and x[4] < y[4]}
-    assert len(got) == len(set(got)) and set(got) == want
+def test_every_pair_of_a_band_meets_in_one_cell(spark):
+    rows = [(1, i * 7, 40) for i in range(40)] + [(2, 5, 2), (2, 6, 2)]
+    dealt = alike.cells(spark.createDataFrame(rows, "band long, sig long, n long"), 3).collect()
+    met = {}
+    for r in dealt:
+        met.setdefault((r.band, r.i, r.j), []).append((r.part, r.sig))
+    pairs = [
+        (band, *sorted((x[1], y[1])))
+        for (band, i, j), own in met.items() for x in own for y in own
+        if (i < j and x[0] == i and y[0] == j) or (i == j and x[1] < y[1])
+    ]
+    want = {(x[0], *sorted((x[1], y[1]))) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_links_of_a_cell():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(45, 60), False), rng.integers(0, 2**62, rng.integers(1, 8))])) for _ in range(60)]
+    root = np.arange(60)
+    root[:10] = 0
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    for part in (np.zeros(60, int), np.arange(60) % 2):
+        compared = lambda x, y: part.max() == 0 or part[x] != part[y]  # noqa: E731, B023
+        want = corpus_components(root, [(root[x], root[y]) for x in range(60) for y in range(x) if compared(x, y) and like(sets[x], sets[y])])
+        assert corpus_components(root, alike.cell_links(part, root, sets, 0.8)) == want
+
+
+def corpus_components(nodes, links):
+    label = {int(n): int(n) for n in nodes}
+    for _ in label:
+        for a, b in links:
+            label[int(a)] = label[int(b)] = min(label[int(a)], label[int(b)])
+    return label
