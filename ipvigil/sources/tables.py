@@ -1,7 +1,9 @@
 """The event table on storage: reading, loading by batch, and companion tables."""
 
+import uuid
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from ipvigil.constants import MODEL_SEED, REPLAY_POOL_SIZE
 from ipvigil.operators.scale import uniform_sample
 from ipvigil.schema import BRIEFING_SNAPSHOTS, PIPELINE_METRICS, THREAT_EVENTS, conform
 
+#: Bytes of a row group in rewritten days.
+ROW_GROUP = 32 << 20
+
 TABLES = {
     "threat_events": THREAT_EVENTS,
     "pipeline_metrics": PIPELINE_METRICS,
@@ -35,6 +40,10 @@ def scan_events(
     events use it to read the last days' folders alone. `since` keeps rows loaded from that time on.
     """
     rows = spark.read.schema(THREAT_EVENTS).parquet(path)
+    if {"load_date", "run"} <= set(rows.columns):
+        # of a day either the batches or what `compact_days` has made of them; both are whole folders
+        rewritten = F.col("load_date").cast("string").isin(compacted_days(spark, path))
+        rows = rows.filter(rewritten == (F.col("run") == "compacted"))
     if since is not None:
         if "load_date" in rows.columns:
             rows = rows.filter(F.col("load_date") >= F.lit(since.date()))
@@ -88,46 +97,33 @@ def batch_exists(spark: SparkSession, path: str, batch_id: int, run: str, schema
     return rows is not None and not rows.isEmpty()
 
 
-STARTED = "loaded_at timestamp_ntz, first_id long, rows long"
+def _link(log: str, n: int) -> str:
+    return f"{log}/_chain/{n:012d}"
 
 
 def start_of(spark: SparkSession, log: str, batch_id: int, run: str, rows: int) -> tuple[datetime, int]:
     """Load time (UTC) and first event_id of a batch, noted before its first attempt, so that a retry gets the same.
 
-    Ids follow those of all batches of all runs that have started. Should two runs start batches at the same moment,
-    both see the other's note, and the later one (by time, then run) takes new ids.
+    Ids follow those of all batches of all runs. Each reserved range is a link of a chain of small files, of which the next
+    one is put in place only if it is not there yet; of two writers that want the same link one goes on to the next. The
+    number of the last link is kept beside the chain, so a reservation reads a few files however old the log is. A writer
+    that dies between link and note leaves a gap in the ids.
+
+    Putting a file in place if it is absent is atomic on HDFS; object stores need a committer or table service for that.
     """
-    own = batch_path(log, batch_id, run)
-
-    def note(loaded_at: datetime, first_id: int) -> None:
-        row = spark.range(1).select(
-            F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at"),
-            F.lit(first_id).cast("long").alias("first_id"),
-            F.lit(rows).cast("long").alias("rows"),
-        )
-        row.write.mode("overwrite").parquet(own)
-
-    def next_id() -> int:
-        noted = stored(spark, log, STARTED)
-        found = noted.agg(F.max(F.col("first_id") + F.col("rows"))).first()[0] if noted is not None else None
-        return found or 0
-
-    noted = stored(spark, own, STARTED)
-    if noted is None or noted.isEmpty():
-        note(datetime.now(timezone.utc).replace(tzinfo=None), next_id())
-    while True:
-        mine = stored(spark, own, STARTED).first()
-        others = stored(spark, log, f"{STARTED}, run string, batch_id long").filter(
-            ~((F.col("run") == run) & (F.col("batch_id") == batch_id))
-            & (F.col("first_id") < mine.first_id + rows)
-            & (F.col("first_id") + F.col("rows") > mine.first_id)
-        )
-        earlier = F.struct("loaded_at", "run") < F.struct(
-            F.lit(mine.loaded_at).cast("timestamp_ntz").alias("loaded_at"), F.lit(run).alias("run")
-        )
-        if others.filter(earlier).isEmpty():
-            return mine.loaded_at, mine.first_id
-        note(mine.loaded_at, next_id())
+    own = f"{batch_path(log, batch_id, run)}/note"
+    while (noted := read_text(spark, own)) is None:
+        last = int(read_text(spark, f"{log}/_last") or 0)
+        while (link := read_text(spark, _link(log, last + 1))) is not None:
+            last += 1
+        link = read_text(spark, _link(log, last)) if last else "0"
+        first = int(link.split(" ")[0])
+        loaded_at = datetime.now(timezone.utc).replace(tzinfo=None)
+        if put_text(spark, _link(log, last + 1), f"{first + rows} {run} {batch_id}"):
+            put_text(spark, f"{log}/_last", str(last + 1), replace=True)
+            put_text(spark, own, f"{loaded_at.isoformat()} {first}")
+    loaded_at, first = noted.split(" ")
+    return datetime.fromisoformat(loaded_at), int(first)
 
 
 def with_event_ids(batch: DataFrame, first_id: int) -> DataFrame:
@@ -170,30 +166,72 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def compact_days(spark: SparkSession, path: str, before: date) -> list[str]:
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if it is not there."""
+    files, place = _storage(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Put a small file in place at once, complete; without `replace` only if there is none: False if there was one."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files, ready = _storage(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(ready, False)
+    stream.write(text.encode())
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, int(replace))
+    if replace:
+        options[0] = jvm.Options.Rename.OVERWRITE
+    try:
+        context = jvm.FileContext.getFileContext(files.makeQualified(ready).toUri(), spark._jsc.hadoopConfiguration())
+        context.rename(files.makeQualified(ready), files.makeQualified(jvm.Path(path)), options)
+    except Py4JJavaError as e:
+        files.delete(ready, False)
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def compacted_days(spark: SparkSession, path: str) -> list[str]:
+    """The days (yyyy-mm-dd) that readers take in their rewritten form."""
+    return (read_text(spark, f"{path}/_compacted") or "").split()
+
+
+def compact_days(spark: SparkSession, path: str, before: date, metrics: str | None = None, row_group: int = ROW_GROUP) -> list[str]:
     """Rewrite every day before `before` (a day that gets no more batches) from one folder per batch to one folder.
 
-    The rewritten day is completed in a folder that readers skip; only then the batch folders go and it takes their
-    place. A call that was interrupted is finished by the next one. Returns the days it rewrote.
+    Its files are sorted by address, in row groups of `row_group` bytes with a Bloom filter of the addresses, so a look-up of
+    one address opens few of them. A day counts as rewritten once it stands in a list that `scan_events` follows; until then
+    its batches count. They are removed by the next call, for readers at work. With `metrics`, days with a batch that is
+    not complete are left for later. Returns the days it rewrote.
     """
-    done = []
+    listed, done = compacted_days(spark, path), []
     for name in folders(spark, path):
-        day = name.removeprefix("load_date=")
+        day, folder = name.removeprefix("load_date="), f"{path}/{name}"
         if name == day or day >= before.isoformat():
             continue
-        folder, ready = f"{path}/{name}", f"{path}/_compact-{day}"
-        files, place = _storage(spark, f"{ready}/_SUCCESS")
-        if not files.exists(place):
-            if folders(spark, folder) == ["run=compacted"]:
-                continue
-            rows = spark.read.schema(THREAT_EVENTS).parquet(folder).select(*THREAT_EVENTS.names)
-            rows.write.mode("overwrite").parquet(ready)
-        for old in folders(spark, folder):
-            remove_folder(spark, f"{folder}/{old}")
-        files, target = _storage(spark, f"{folder}/run=compacted")
-        files.mkdirs(target)
-        files.rename(_storage(spark, ready)[1], _storage(spark, f"{folder}/run=compacted/batch_id=0")[1])
+        runs = [r for r in folders(spark, folder) if r != "run=compacted"]
+        if day in listed:
+            for run in runs:
+                remove_folder(spark, f"{folder}/{run}")
+            continue
+        batches = [f"{run}/{batch}" for run in runs for batch in folders(spark, f"{folder}/{run}")]
+        if metrics and not all(is_finished(spark, f"{metrics}/{b}") for b in batches):
+            continue
+        reader = spark.read.schema(THREAT_EVENTS).option("basePath", folder)
+        rows = reader.parquet(*(f"{folder}/{b}" for b in batches)).select(*THREAT_EVENTS.names)
+        rows = rows.repartitionByRange("ip").sortWithinPartitions("ip", "loaded_at", "event_id")
+        writer = rows.write.mode("overwrite").option("parquet.block.size", row_group)
+        writer.option("parquet.bloom.filter.enabled#ip", "true").parquet(f"{folder}/run=compacted/batch_id=0")
         done.append(day)
+        put_text(spark, f"{path}/_compacted", "\n".join([*listed, *done]), replace=True)
     return done
 
 

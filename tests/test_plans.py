@@ -73,6 +73,7 @@ def test_reports_run_nothing_while_they_are_planned(spark, stored, name):
 
 
 def test_recent_reports_read_the_last_days_only(spark, events, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     path = str(tmp_path / "daily")
     daily = events.withColumn("load_date", F.to_date("loaded_at")).withColumns({"run": F.lit("r"), "batch_id": F.lit(0)})
     daily.write.partitionBy("load_date", "run", "batch_id").parquet(path)
@@ -80,7 +81,7 @@ def test_recent_reports_read_the_last_days_only(spark, events, tmp_path):
     assert table.columns[-1] == "load_date" and table.count() == events.count()
     for report in (counts.loaded_since(table, "24 HOURS"), newest(table, 50), throughput(table)):
         text = plan(report)
-        assert re.search(r"PartitionFilters: \[isnotnull\(load_date#\d+\), \(load_date#\d+ >= (cast\()?Subquery", text)
+        assert re.search(r"PartitionFilters: \[[^\n]*\(load_date#\d+ >= (cast\()?Subquery", text)
     assert {r.event_id for r in newest(table, 50).collect()} == {r.event_id for r in newest(events, 50).collect()}
     assert counts.loaded_since(table, "24 HOURS").count() == counts.loaded_since(events, "24 HOURS").count()
 

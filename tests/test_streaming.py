@@ -1,13 +1,14 @@
 """Streams give what the same rows give in one batch, however they are cut and however often they come."""
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from ipvigil.operators.enrich import enrich
-from ipvigil.schema import DIM_COUNTRY, EVENT_COLUMNS
+from ipvigil.schema import DIM_COUNTRY, EVENT_COLUMNS, THREAT_EVENTS, conform
 from ipvigil.sources import messages, tables
 from ipvigil.streaming import jobs
 
@@ -104,7 +105,7 @@ def test_table_sink_equals_the_batch_and_survives_replay(spark, topic, countries
     assert tables.scan_events(spark, table, since=datetime(2024, 1, 1)).count() == 5
     later = tables.scan_events(spark, table, since=datetime(2999, 1, 1))
     assert later.count() == 0
-    assert "PartitionFilters: [isnotnull(load_date" in later._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\n]*load_date#\d+ >= ", later._jdf.queryExecution().executedPlan().toString())
     # a restarted stream has nothing left to do; one with a new checkpoint loads everything, under new ids
     jobs.start_table_sink(events, table, metrics, str(tmp_path / "state"), interval=None).awaitTermination()
     assert tables.scan_events(spark, table).count() == 5
@@ -127,17 +128,66 @@ def test_one_query_feeds_table_and_bus_format(spark, topic, countries, tmp_path)
     assert tables.scan_events(spark, f"{base}/t").count() == 4
 
 
-def test_batches_started_at_the_same_moment_get_other_ids(spark, tmp_path):
-    log = str(tmp_path / "log")
+def test_batches_started_at_the_same_moment_get_other_ids(spark, tmp_path, monkeypatch):
+    log, put, inner = str(tmp_path / "log"), tables.put_text, []
+
+    def interleaved(session, path, text, replace=False):
+        if "_chain" in path and not inner:  # run "b" has read the chain; before it puts its link, "a" reserves all it needs
+            inner.append(None)
+            inner[0] = tables.start_of(spark, log, 0, "a", 5)
+        return put(session, path, text, replace)
+
+    monkeypatch.setattr(tables, "put_text", interleaved)
     first = tables.start_of(spark, log, 0, "b", 10)
-    # run "a" has read the log before "b" wrote its note, and notes the same ids a little later
-    later = spark.range(1).selectExpr("timestamp_ntz'2999-01-01' AS loaded_at", "0L AS first_id", "5L AS rows")
-    later.write.parquet(tables.batch_path(log, 0, "a"))
-    assert first[1] == 0 and tables.start_of(spark, log, 0, "a", 5)[1] == 10
-    assert tables.start_of(spark, log, 0, "b", 10) == first
+    assert inner[0][1] == 0 and first[1] == 5
+    assert tables.start_of(spark, log, 0, "b", 10) == first and tables.start_of(spark, log, 0, "a", 5) == inner[0]
     assert tables.start_of(spark, log, 1, "b", 3)[1] == 15
 
 
+def test_a_reservation_reads_a_few_files_however_old_the_log_is(spark, tmp_path, monkeypatch):
+    log, read, reads = str(tmp_path / "log"), tables.read_text, []
+    for batch in range(30):
+        assert tables.start_of(spark, log, batch, "r", 2)[1] == 2 * batch
+    monkeypatch.setattr(tables, "read_text", lambda session, path: reads.append(path) or read(session, path))
+    assert tables.start_of(spark, log, 30, "r", 2)[1] == 60 and len(reads) <= 5
+    (tmp_path / "log" / "_last").unlink()  # a writer died before it noted the last link
+    assert tables.start_of(spark, log, 0, "s", 1)[1] == 62
+
+
+def test_compacted_days_keep_readers_and_unfinished_batches_whole(spark, tmp_path):
+    path, metrics, day = str(tmp_path / "t"), str(tmp_path / "m"), date(2024, 1, 1)
+    rows = spark.range(8000).selectExpr("id AS event_id", "concat('10.0.', id % 200, '.', id % 7) AS ip", "timestamp_ntz'2024-01-01 10:00:00' AS loaded_at")
+    rows = conform(rows, THREAT_EVENTS)
+    for batch in range(4):
+        part = rows.filter(F.col("event_id") % 4 == batch)
+        tables.write_batch(part, path, batch, "r", day)
+        if batch:
+            tables.write_batch(part.limit(1).select("event_id"), metrics, batch, "r")
+    everything = lambda df: sorted(r.event_id for r in df.collect())
+    assert tables.compact_days(spark, path, date(2024, 2, 1), metrics) == []  # batch 0 is not complete
+    tables.write_batch(rows.limit(1).select("event_id"), metrics, 0, "r")
+    reader = tables.scan_events(spark, path)
+    assert tables.compact_days(spark, path, date(2024, 2, 1), metrics, row_group=20_000) == ["2024-01-01"]
+    assert everything(reader) == everything(tables.scan_events(spark, path)) == list(range(8000))
+    assert tables.compact_days(spark, path, date(2024, 2, 1), metrics) == []
+    assert tables.folders(spark, f"{path}/load_date=2024-01-01") == ["run=compacted"]
+    assert everything(tables.scan_events(spark, path)) == list(range(8000))
+
+    import pyarrow.parquet as pq
+
+    groups = opened = 0
+    for file in (tmp_path / "t").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("ip")
+        for i in range(meta.num_row_groups):
+            stats = meta.row_group(i).column(at).statistics
+            groups += 1
+            opened += stats.min <= "10.0.77.3" <= stats.max
+    assert groups >= 4 and 1 <= opened <= 2
+    one = tables.scan_events(spark, path).filter("ip = '10.0.77.3'")
+    assert everything(one) == everything(rows.filter("ip = '10.0.77.3'"))
+
+
 def test_unreadable_folders_are_errors(spark, tmp_path):
     bad = tmp_path / "m" / "run=r" / "batch_id=0"
     bad.mkdir(parents=True)
