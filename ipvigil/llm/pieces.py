@@ -247,8 +247,9 @@ def encoded(docs: DataFrame, model: bytes, keep: list[str], text: str = "text",
 
 
 def decoded(rows: DataFrame, model: bytes, ids: str = "ids", into: str = "text", threads: int = THREADS) -> DataFrame:
-    """The rows with the text of their ids; null ids give an empty text."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
+    """The rows with the text of their ids in a last column named `into`, or a free name where that is taken; null ids give
+    an empty text."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(free_name(rows, into), T.StringType())])
 
     def run(batches):
         own = codec(model, threads)

@@ -1,15 +1,16 @@
 """WARC archives: pages to records, and records back to pages, with segments and chunked transfer framing.
 
 Written are `response` records (an HTTP response in chunked framing) and, for payloads of at least `least` bytes that
-occur again, `revisit` records without a payload. A block of more than `segment` bytes is cut in segments: the first
+occur again, `revisit` records without a payload that name the page, address and date of the response. A block of more than `segment` bytes is cut in segments: the first
 keeps the record's type, the others are `continuation` records that name the first one's id, and the last gives the
 total length. Records end with two line breaks, so Spark's text writer, with those as its separator, writes valid
 gzipped archives through its commit protocol; a lost task leaves nothing behind. As segments are bounded, a number of
 records bounds a file.
 
 Read back: every file is one row of Spark's binary source, records are cut by their lengths, segments are grouped by
-origin, ordered by number, checked against the total length and decoded. A revisit gets its page and size from the
-response with its payload digest. `intact` says that numbers, lengths, framing and digest agree.
+origin, ordered by number, checked against the total length and decoded. A revisit's `refers_to` is what its record says;
+its size comes from the response of that page with its payload digest. `intact` says that numbers, lengths, framing and
+digest agree, and that the response a revisit names is there.
 
 Defined results: a null payload is written as an empty one; a page without an id gets a record without one and, where
 its payload occurs at another page, revisits that; rows that repeat a page_id with its payload are all responses.
@@ -35,6 +36,7 @@ END = b"\r\n\r\n"
 
 # Fixed values of the public format.
 _VERSION = b"WARC/1.1\r\n"
+_DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -74,14 +76,16 @@ def record(kind: str, block: bytes, fields: dict[str, object]) -> bytes:
 
 
 def records(
-    page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, segment: int = SEGMENT
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str | None] | None, segment: int = SEGMENT
 ) -> Iterator[bytes]:
-    """The record of a page, or its segments."""
+    """The record of a page, or its segments; `refers_to`: page and address of the response that has the payload."""
     name = f"<{uuid.uuid4().urn}>"
-    common = {"WARC-Target-URI": url, "WARC-Date": "1970-01-01T00:00:00Z"}
+    common = {"WARC-Target-URI": url, "WARC-Date": _DATE}
     first = {"WARC-Record-ID": name, **common, "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Page-ID": page_id}
-    if revisit:
-        yield record("revisit", _HTTP, {**first, "WARC-Profile": _PROFILE})
+    if refers_to is not None:
+        page, address = refers_to
+        named = {"WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": _DATE, "WARC-Refers-To-Page-ID": page}
+        yield record("revisit", _HTTP, {**first, "WARC-Profile": _PROFILE, **named})
         return
     block = _HTTP + chunked(payload)
     if len(block) <= segment:
@@ -99,17 +103,18 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, segment: int = SEGM
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     large = F.length("payload") >= least
-    first = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = rows.filter(large).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n"))
     first = first.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", revisit.alias("revisit"))
+    revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    marked = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
     def run(batches):
         for batch in batches:
             out, size = [], 0
             for values in zip(*(batch.column(i) for i in range(5)), strict=True):
                 page, url, body, digest, again = (v.as_py() for v in values)
-                for made in records(page, url, body, digest.hex(), bool(again), segment):
+                for made in records(page, url, body, digest.hex(), tuple(again.values()) if again else None, segment):
                     out.append(made)
                     size += len(made)
                 if size > 4 << 20:
@@ -160,7 +165,8 @@ def _checked(block: bytes, expected: str, total: int | None) -> tuple[int | None
     return len(payload), digest, digest == expected and (total is None or total == len(block))
 
 
-_PART = "type string, page_id long, payload_bytes long, payload_digest string, intact boolean, origin string, number int, total long, block binary"
+_SHAPE = "type string, page_id long, payload_bytes long, payload_digest string, intact boolean, refers_to long"
+_PART = f"{_SHAPE}, origin string, number int, total long, block binary"
 
 
 def _read_file(batches):
@@ -180,7 +186,10 @@ def _read_file(batches):
                 elif kind == "response":
                     size, found, sound = _checked(block, digest, None)
                     row |= {"payload_bytes": size, "payload_digest": found, "intact": sound}
-                elif kind != "revisit":
+                elif kind == "revisit":
+                    page = fields.get("warc-refers-to-page-id")
+                    row["refers_to"] = None if page is None else int(page)
+                else:
                     continue
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
@@ -188,7 +197,7 @@ def _read_file(batches):
 
 _SCHEMA = pa.schema([
     ("type", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-    ("intact", pa.bool_()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()),
+    ("intact", pa.bool_()), ("refers_to", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()),
 ])
 
 
@@ -199,22 +208,22 @@ def _assembled(segments: pa.Table) -> pa.Table:
     size, digest, sound = _checked(b"".join(r["block"] for r in rows), rows[0]["payload_digest"], *total[:1] or [None])
     sound = sound and len(total) == 1 and [r["number"] for r in rows] == list(range(1, len(rows) + 1))
     made = {"type": rows[0]["type"], "page_id": rows[0]["page_id"], "payload_bytes": size, "payload_digest": digest, "intact": sound}
-    return pa.Table.from_pylist([made], pa.schema(list(_SCHEMA)[:5]))
+    return pa.Table.from_pylist([made], pa.schema(list(_SCHEMA)[:6]))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, intact) of every page in the archives."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     rows = cut_lineage(files.mapInArrow(_read_file, _PART), "warc-records")
-    shape = ["type", "page_id", "payload_bytes", "payload_digest", "intact"]
-    kinds = "type string, page_id long, payload_bytes long, payload_digest string, intact boolean"
-    joined = rows.filter("origin IS NOT NULL").groupBy("origin").applyInArrow(_assembled, kinds)
+    shape = [x.split(" ")[0] for x in _SHAPE.split(", ")]
+    joined = rows.filter("origin IS NOT NULL").groupBy("origin").applyInArrow(_assembled, _SHAPE)
     whole = rows.filter("origin IS NULL").select(*shape)
     responses = whole.filter("type = 'response'").unionByName(joined)
-    known = responses.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("size"))
-    revisits = whole.filter("type = 'revisit'").drop("payload_bytes").join(known, "payload_digest", "left")
+    known = responses.groupBy(F.col("payload_digest").alias("digest"), F.col("page_id").alias("page")).agg(F.max("payload_bytes").alias("size"))
+    same = (F.col("payload_digest") == F.col("digest")) & (F.col("refers_to") == F.col("page"))
+    revisits = whole.filter("type = 'revisit'").drop("payload_bytes").join(known, same, "left")
     revisits = revisits.withColumn("intact", F.col("size").isNotNull()).withColumnRenamed("size", "payload_bytes")
-    every = responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
+    every = responses.unionByName(revisits.select(*shape))
     return every.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact")
 
 

@@ -123,6 +123,29 @@ def test_broken_segments_are_told(spark):
         warc.unchunked(b"5\r\nhel")
 
 
+def test_a_revisit_names_its_response(spark, tmp_path):
+    rows = [(5, "http://five", "x" * 200), (3, "http://three", "x" * 200), (9, None, "x" * 200)]
+    warc.write(frame(spark, rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    found = [f for file in (tmp_path / "w").glob("*.gz") for f, _ in warc.parsed(gzip.decompress(file.read_bytes())) if f["warc-type"] == "revisit"]
+    assert {(f["warc-page-id"], f["warc-refers-to-page-id"], f["warc-refers-to-target-uri"]) for f in found} == {("5", "3", "http://three"), ("9", "3", "http://three")}
+    # a revisit whose response is not there is no longer intact
+    lone = gzip.compress(b"".join(warc.record("revisit", warc._HTTP, {"WARC-Record-ID": "<r>", "WARC-Page-ID": 9, "WARC-Refers-To-Page-ID": 3}) + warc.END for _ in range(1)))
+    (tmp_path / "lone").mkdir()
+    (tmp_path / "lone" / "a.gz").write_bytes(lone)
+    (row,) = warc.read(spark, str(tmp_path / "lone")).collect()
+    assert (row.page_id, row.refers_to, row.intact, row.payload_bytes) == (9, 3, False, None)
+
+
+def test_decoded_keeps_a_column_that_is_named_text(spark):
+    docs = frame(spark, [(1, "some words"), (2, None)], "doc_id long, text string")
+    model = pieces.model_bytes()
+    made = pieces.decoded(pieces.encoded(docs, model, ["doc_id", "text"]), model)
+    assert made.columns == ["doc_id", "text", "ids", "round_trip", "text_"]
+    assert {r.doc_id: (r["text"], r.text_) for r in made.collect()} == {1: ("some words", "some words"), 2: (None, "")}
+    empty = pieces.encoded(frame(spark, [], "doc_id long, text string, ids long"), model, ["doc_id", "ids"])
+    assert empty.columns == ["doc_id", "ids", "ids_", "round_trip"] and empty.collect() == []
+
+
 def test_no_pages(spark):
     assert warc.archived(frame(spark, [], "page_id long, url string, html string")).collect() == []
 
