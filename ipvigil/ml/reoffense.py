@@ -1,10 +1,12 @@
 """Will an address come back? Two classifiers on first-sighting features."""
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from ipvigil.ml.features import (
     train_set,
 )
 from ipvigil.operators.counts import top_country_codes
-from ipvigil.session import cut_lineage
+from ipvigil.session import cut_lineage, shared_folder
 
 
 def logistic_regression(n: int) -> LogisticRegression:
@@ -40,10 +42,74 @@ def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Rando
     )
 
 
+class FlatForest:
+    """The trees of a forest as arrays: children, split and class-1 share of every node, root first.
+
+    A one-hot column is split by its set of values (0, 1), the score by a threshold; both become "greater than" here.
+    """
+
+    def __init__(self, nodes: pd.DataFrame):
+        """`nodes` (tree, id, feature, threshold, left, right, share) with ids from 0 in each tree, -1 for no feature."""
+        nodes = nodes.sort_values(["tree", "id"])
+        self.first = nodes.groupby("tree", sort=True)["id"].size().cumsum().shift(fill_value=0).to_numpy()
+        base = np.repeat(self.first, np.diff([*self.first, len(nodes)]))
+        self.feature, self.threshold, self.share = (nodes[c].to_numpy() for c in ("feature", "threshold", "share"))
+        self.left, self.right = (nodes[c].to_numpy() + base for c in ("left", "right"))
+
+    @staticmethod
+    def of(model: RandomForestClassificationModel, folder: str) -> "FlatForest":
+        """From a fitted model, by the files it is saved as; they hold at most trees * 2^(depth + 1) nodes."""
+        model.write().overwrite().save(folder)
+        data = SparkSession.active().read.parquet(f"{folder}/data")
+        split = F.col("nodeData.split")
+        value = F.when(split["numCategories"] == -1, F.get(split["leftCategoriesOrThreshold"], F.lit(0)))
+        # two values: those with 0 on the left are parted at 0.5, those with 1 on the left the other way round
+        swapped = (split["numCategories"] != -1) & ~F.array_contains(split["leftCategoriesOrThreshold"], F.lit(0.0))
+        stats = F.col("nodeData.impurityStats")
+        left, right = F.col("nodeData.leftChild"), F.col("nodeData.rightChild")
+        rows = data.select(
+            F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
+            F.when(left < 0, -1).otherwise(split["featureIndex"]).alias("feature"), F.coalesce(value, F.lit(0.5)).alias("threshold"),
+            F.when(swapped, right).otherwise(left).alias("left"), F.when(swapped, left).otherwise(right).alias("right"),
+            (stats[1] / (stats[0] + stats[1])).alias("share"),
+        )
+        return FlatForest(rows.toPandas())
+
+    def shares(self, points: np.ndarray) -> np.ndarray:
+        """The mean class-1 share over the trees for each row of `points`."""
+        every, total = np.arange(len(points)), np.zeros(len(points))
+        for root in self.first:
+            node = np.full(len(points), root)
+            while True:
+                feature = self.feature[node]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                right = points[every, np.maximum(feature, 0)] > self.threshold[node]
+                node = np.where(inner, np.where(right, self.right[node], self.left[node]), node)
+            total += self.share[node]
+        return total / max(len(self.first), 1)
+
+
+def forest_column(forest: FlatForest):
+    """A column function from feature vectors (as arrays) to probabilities; a batch's distinct vectors are evaluated once."""
+    sent = SparkSession.active().sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def probability(vectors: pd.Series) -> pd.Series:
+        if len(vectors) == 0:
+            return pd.Series([], dtype=float)
+        points, back = np.unique(np.stack(vectors.to_numpy()), axis=0, return_inverse=True)
+        return pd.Series(sent.value.shares(points)[back.reshape(-1)])
+
+    return probability
+
+
 @dataclass
 class ReoffenseModel:
     pipeline: PipelineModel
     top_countries: list[str]
+    scorer: object = field(default=None, repr=False)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         return self.pipeline.transform(features(rows, self.top_countries))
@@ -53,8 +119,15 @@ class ReoffenseModel:
         return score_rows(events, self.top_countries, self._probability, "reoffense_probability")
 
     def _probability(self, prepared: DataFrame) -> DataFrame:
-        scored = self.pipeline.transform(prepared)
-        return scored.withColumn("reoffense_probability", F.round(vector_to_array("probability")[1], 4))
+        """A forest is evaluated from arrays that travel to the rows, any other model by its own transform."""
+        *stages, last = self.pipeline.stages
+        if not isinstance(last, RandomForestClassificationModel):
+            found = vector_to_array(F.col("probability"))[1]
+            return self.pipeline.transform(prepared).withColumn("reoffense_probability", F.round(found, 4))
+        if self.scorer is None:
+            self.scorer = forest_column(FlatForest.of(last, shared_folder(prepared.sparkSession, "flat-forest")))
+        encoded = PipelineModel(stages).transform(prepared)
+        return encoded.withColumn("reoffense_probability", F.round(self.scorer(vector_to_array("features")), 4))
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")

@@ -177,3 +177,27 @@ def test_report_joins_quality_and_coverage(spark, events):
     row = jobs.model_report(metrics, events).first()
     assert (row.model, row.total, row.reoffense_scored, row.anomaly_scored) == ("m", 1000, 1000, 950)
     assert X.CATEGORY_NAMES[1] == "C01"
+
+
+def test_flat_forest_gives_what_the_transform_gives(spark, labelled, tmp_path):
+    top = [f"K{i}" for i in range(1, 16)]
+    noisy = labelled.withColumn("reoffended", F.when(F.xxhash64("ip") % 5 == 0, 1 - F.col("reoffended")).otherwise(F.col("reoffended")))
+    prepared = feat.class_weights(feat.features(noisy, top))
+    model = reoffense.fit(prepared, reoffense.random_forest(trees=15, depth=8), top)
+    forest = reoffense.FlatForest.of(model.pipeline.stages[-1], str(tmp_path / "forest"))
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.predict(noisy).select(vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p")).collect()
+    points = np.array([r.x for r in rows])
+    assert forest.shares(points) == pytest.approx([r.p for r in rows], abs=1e-9)
+    assert forest.shares(points[:0]).shape == (0,)
+    scored = model.score(noisy).orderBy("ip").collect()
+    slow = model.predict(noisy).select("ip", F.round(vector_to_array("probability")[1], 4).alias("p")).orderBy("ip").collect()
+    assert [r.reoffense_probability for r in scored] == pytest.approx([r.p for r in slow], abs=1.1e-4)
+
+
+def test_a_constant_model_has_no_area_under_its_curve(spark, labelled):
+    top = [f"K{i}" for i in range(1, 16)]
+    blind = labelled.withColumns({c: F.lit("same") for c in ("source", "country_code", "risk_level", "category")}).withColumn("abuse_confidence_score", F.lit(1.0))
+    model = reoffense.fit(feat.class_weights(feat.features(blind, top)), reoffense.random_forest(trees=3, depth=3), top)
+    assert reoffense.evaluate(model, labelled).first().roc_auc == pytest.approx(0.5, abs=0.05)
