@@ -11,13 +11,14 @@ DECISIONS = ["insufficient_data", "block", "block", "monitor", "monitor", "monit
 
 
 def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame) -> DataFrame:
-    """Every address with its local sightings, reputation and hosting flag. All four sides meet on ip."""
+    """Every address once with its local sightings, reputation and hosting flag. All four sides meet on ip."""
     rep = latest_per_key(reputation, "ip").select(
         "ip", "abuse_confidence_score", "num_distinct_users", "total_reports", "recent_categories"
     )
     hosts = latest_per_key(geo, "ip").select("ip", "is_hosting")
     joined = (
         addresses.select("ip")
+        .distinct()
         .join(local_evidence(events), "ip", "left")
         .join(rep.withColumn("in_reputation", F.lit(True)), "ip", "left")
         .join(hosts, "ip", "left")
@@ -35,7 +36,7 @@ def evidence(addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo
 def attribution(
     addresses: DataFrame, events: DataFrame, reputation: DataFrame, geo: DataFrame, dim_category: DataFrame | None = None
 ) -> DataFrame:
-    """Decision per address: the first rule that holds, numbered 0 to 6.
+    """One decision per address, however often it is asked for: the first rule that holds, numbered 0 to 6.
 
     With `dim_category` also the tactics and techniques of its recent categories, as the list `mitre`.
     """

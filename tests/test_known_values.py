@@ -47,5 +47,12 @@ def test_attribution_rules(spark, events):
     assert decided.filter(F.col("reason") == "").count() == 0
 
 
+def test_attribution_of_a_repeated_address(spark, events):
+    rows = X.candidates(spark, SMALL, events)
+    twice = rows.unionByName(rows.withColumn("m", F.col("m") + 1))
+    once, found = (decisions.attribution(asked, events, X.reputation(rows), X.geo(rows)) for asked in (rows, twice))
+    assert found.count() == once.count() == found.select("ip").distinct().count()
+
+
 def test_valid_geo(events):
     assert quality.pct_valid_geo(events).first().pct_valid_geo == pytest.approx(98.0)
