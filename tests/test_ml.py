@@ -1,10 +1,14 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ipvigil.catalog import fixtures as X
+from ipvigil.catalog import models
+from ipvigil.catalog.all import QUERIES
 from ipvigil.ml import features as feat
 from ipvigil.ml import isolation, jobs, reoffense
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -201,3 +205,33 @@ def test_a_constant_model_has_no_area_under_its_curve(spark, labelled):
     blind = labelled.withColumns({c: F.lit("same") for c in ("source", "country_code", "risk_level", "category")}).withColumn("abuse_confidence_score", F.lit(1.0))
     model = reoffense.fit(feat.class_weights(feat.features(blind, top)), reoffense.random_forest(trees=3, depth=3), top)
     assert reoffense.evaluate(model, labelled).first().roc_auc == pytest.approx(0.5, abs=0.05)
+
+
+def test_a_linear_model_is_fitted_without_growing_a_forest(spark, monkeypatch):
+    grown = []
+    forest = reoffense.random_forest
+    monkeypatch.setattr(reoffense, "random_forest", lambda *given: grown.append(given) or forest(3, 2))
+    models._fitted.cache_clear()
+    assert QUERIES["fit_lr"](spark, SMALL).first().sound and not grown
+    assert QUERIES["fit_rf"](spark, SMALL).first().sound and len(grown) == 1
+    models._fitted.cache_clear()
+
+
+def test_forest_rows_keep_their_nodes_and_are_spread(spark):
+    assert reoffense.random_forest().getCacheNodeIds()
+    rows = spark.range(100_000, numPartitions=1).selectExpr("CAST(id AS string) AS ip")
+    dealt = [reoffense.spread(rows.repartition(n), 100_000, "ip") for n in (1, 5)]
+    parts = [d.select(F.spark_partition_id().alias("p"), "ip").collect() for d in dealt]
+    assert len({r.p for r in parts[0]}) == 7 and parts[0] == parts[1]
+
+
+def test_shares_follow_every_split(rng=np.random.default_rng(5)):
+    """Rows that lie between the same thresholds are walked once, with the result of a walk of their own."""
+    nodes = [n for t in range(6) for n in (
+        (t, 0, 0, 0.5, 1, 2, 0.0), (t, 1, 1, 10.0 * t, 3, 4, 0.0), (t, 2, -1, 0.5, -1, -1, 0.25 * t), (t, 3, -1, 0.5, -1, -1, 0.5), (t, 4, -1, 0.5, -1, -1, 0.75)
+    )]
+    forest = reoffense.FlatForest(pd.DataFrame(nodes, columns=["tree", "id", "feature", "threshold", "left", "right", "share"]))
+    points = np.column_stack([rng.integers(0, 2, 500), rng.uniform(-5, 60, 500)]).astype(float)
+    points[:4, 1] = [10.0, 50.0, np.nan, np.inf]
+    walked = [np.mean([0.25 * t if x > 0.5 else (0.75 if y > 10.0 * t else 0.5) for t in range(6)]) for x, y in points]
+    assert np.allclose(forest.shares(points), walked) and len(np.unique(forest.places(points), axis=0)) <= 14
