@@ -6,11 +6,10 @@ A bucket's weight is floor(10^6 ln(p_trusted / p_all)); a text's score is the su
 number, in thousandths, rounded down. All of it is whole numbers, so results do not depend on the order of rows. A text is
 kept if it does not fail the base rules and scores at least as high as all but TAIL of the trusted texts.
 
-Everything is column functions and one grouping by bucket, combined on the map side; texts are not shuffled, and no
-Python runs on them. Windows are told apart by 64-bit hashes within their text.
+Everything is column functions and one grouping by bucket, combined on the map side; no Python runs on the texts. Windows are told apart by 64-bit hashes within their text.
 
-Bounds: the trusted rows are at most TRUSTED distinct labelled ids (the smallest by md5, all of them up to that number);
-their ids and the BUCKETS weights are sent to all tasks. Corpus counts, scores and rules cover every row.
+Every labelled id of quality 1 is trusted, however many there are. They meet the texts in a join on the id, which costs one
+shuffle of the texts at any size. The BUCKETS weights are sent to all tasks.
 
 Defined results: a null text has no words and fails; a null doc_id is not trusted; rows that repeat an id are rows of
 their own; with no trusted text at hand every text that passes the base rules is kept; extra columns pass unchanged.
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ipvigil.llm.frames import cut_lineage, free_name
 
 BUCKETS = 1 << 14
+#: The check's SQL trusts so many ids at most; the operator has no such limit.
 TRUSTED = 1 << 16
 #: One trusted text in so many may score below the threshold.
 TAIL = 100
@@ -56,16 +56,17 @@ def _features() -> Column:
         CAST(crc32(CAST(concat(get(words, i), ' ', get(words, i + 1)) AS BINARY)) % {BUCKETS} AS INT)) END)""")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(id, trusted): at most `most` distinct ids of labelled rows of quality 1."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(id, trusted): the distinct ids of labelled rows of quality 1."""
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    return ids.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(most).withColumn("trusted", F.lit(True))
+    return ids.withColumn("trusted", F.lit(True))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row, one column: the weight of every bucket, in order."""
-    rows = _words(docs, [doc_id], text).select(F.col("row")[doc_id].cast("long").alias("id"), "words")
-    rows = rows.join(F.broadcast(trusted), "id", "left").select("trusted", F.explode(_features()).alias("bucket"))
+    # joined before the texts are split: words are several times their size
+    marked = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(trusted.hint("merge"), "id", "left")
+    rows = _words(marked, ["trusted"], "t").select("row.trusted", F.explode(_features()).alias("bucket"))
     found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count("trusted").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     n, good = (F.coalesce(c, F.lit(0)).cast("double") for c in ("n", "good"))
@@ -113,7 +114,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, te
     trusted = trusted_ids(labels)
     with_id = docs.withColumn(own := free_name(docs, "trusted_by"), F.col(doc_id).cast("long"))
     made = cut_lineage(measured(with_id, [*keep, own], weights(docs, trusted, text, doc_id), text), "quality")
-    good = made.filter("NOT base_failed").select(F.col("row")[own].alias("id"), "score").join(F.broadcast(trusted), "id", "left_semi")
+    good = made.filter("NOT base_failed").select(F.col("row")[own].alias("id"), "score").join(trusted, "id", "left_semi")
     limit = threshold(good).scalar()
     above = ~F.col("base_failed") & F.coalesce(F.col("score") >= limit, F.lit(True))
     names = {c: free_name(docs, c) for c in [*COUNTS, "base_failed", "score", "kept"]}

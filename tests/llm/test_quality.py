@@ -82,3 +82,18 @@ def test_no_python_on_the_main_path(spark):
     weight = quality.weights(docs, quality.trusted_ids(spark.createDataFrame([(0, 1, 0)], LABELS)))
     plan = quality.measured(docs, ["doc_id"], weight)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("Subquery")[0]
+
+
+def test_every_labelled_id_is_trusted(spark):
+    labels = spark.range(70_000).selectExpr("id % 69000 AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 69_000
+
+
+def test_trusted_ids_that_are_not_sent_to_the_texts(spark):
+    rows = [(d[0], d[1]) for d in corpus.rows(3)] + [(None, "a b c d e f g h " * 9)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, rows, [(d, 1, 0) for d, _ in rows[::2]])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
