@@ -10,16 +10,25 @@ from ipvigil.catalog.registry import query
 from ipvigil.catalog.sql import DIM_CATEGORY, over_events
 from ipvigil.operators.addresses import stats_of
 from ipvigil.plans.summary import summary_of_partials
-from ipvigil.session import shared_folder
+from ipvigil.session import cut_lineage, shared_folder
 from ipvigil.sources import partials
 
 
+#: What partials are made of.
+COLUMNS = ["loaded_at", "country_code", "category", "risk_level", "source", "ip"]
+
+
 def written(spark, sf) -> str:
-    """Three batches, the first of them written twice; the days of the first half are merged, some of them twice."""
+    """Three batches, the first of them written twice; the days of the first half are merged, some of them twice.
+
+    The batches lie on storage before their partials are made, so events are derived once and a batch is read by itself.
+    """
     events, path = X.threat_events(spark, sf), shared_folder(spark, "partials")
+    batches = events.select(*COLUMNS, (F.col("event_id") % 3).alias("batch"))
+    loaded = cut_lineage(batches, "batches", "batch")
     for batch in (0, 1, 2, 0):
-        partials.write_partials(events.filter(F.col("event_id") % 3 == batch), path, batch, "run")
-    ends = events.agg(F.min("loaded_at").alias("low"), F.max("loaded_at").alias("high")).first()
+        partials.write_partials(loaded.filter(F.col("batch") == batch).drop("batch"), path, batch, "run")
+    ends = loaded.agg(F.min("loaded_at").alias("low"), F.max("loaded_at").alias("high")).first()
     half = ends.low.date() + (ends.high.date() - ends.low.date()) / 2
     partials.merge_days(spark, path, date.fromordinal(half.toordinal() - 1))
     partials.merge_days(spark, path, half)

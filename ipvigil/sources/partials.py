@@ -51,10 +51,14 @@ def _merged(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def write_partials(rows: DataFrame, path: str, batch_id: int, run: str) -> None:
-    """Write the partials of one loaded batch (columns of the event table); writing the batch again replaces them."""
+    """Write the partials of one loaded batch (columns of the event table); writing the batch again replaces them.
+
+    Rows of a day meet before they are written, so a batch has one file per day (more where a day is large), not one per
+    task and day.
+    """
     own = {"run": F.lit(run), "batch_id": F.lit(batch_id).cast("long")}
     for kind in SCHEMAS:
-        made = _partial(rows, kind, F.to_date("loaded_at")).withColumns(own)
+        made = _partial(rows, kind, F.to_date("loaded_at")).withColumns(own).hint("rebalance", "load_date")
         writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("load_date", "run", "batch_id").parquet(f"{path}/{kind}")
 

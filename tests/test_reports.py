@@ -5,12 +5,14 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ipvigil.catalog import partial_reports
 from ipvigil.operators import addresses as A
 from ipvigil.operators import counts
 from ipvigil.plans.summary import summary, summary_of_partials
 from ipvigil.schema import THREAT_EVENTS
 from ipvigil.sources import partials, tables
 from ipvigil.streaming import reports
+from tests.conftest import SMALL
 
 START = datetime(2024, 1, 1)
 
@@ -174,3 +176,30 @@ def test_sketches_against_exact_counts(spark):
     assert abs(found.ip_count / 120_000 - 1) < bound and abs(found.ip_count_hll / 120_000 - 1) < bound
     few = partials._partial(rows.limit(5000), "sketches", F.lit(date(2024, 1, 1)))
     assert partials.distinct_addresses(few).first().ip_count == rows.limit(5000).select("ip").distinct().count()
+
+
+def test_batches_of_partials_are_read_by_themselves(spark, events, monkeypatch):
+    """The events are derived once; every batch reads its own rows of what that has left."""
+    write, read = partials.write_partials, []
+
+    def noted(rows, path, batch_id, run):
+        files = rows.select(F.input_file_name().alias("f"), "ip").distinct().collect()
+        read.append((batch_id, {r.f.split("/")[-2] for r in files}, rows.count()))
+        write(rows, path, batch_id, run)
+
+    monkeypatch.setattr(partials, "write_partials", noted)
+    partial_reports.written(spark, SMALL)
+    size = {b: events.filter(F.col("event_id") % 3 == b).count() for b in range(3)}
+    assert read == [(b, {f"batch={b}"}, size[b]) for b in (0, 1, 2, 0)]
+
+
+def test_a_batch_has_one_file_of_partials_per_day(spark, events, tmp_path):
+    """However many tasks there are; here 4 that are not merged for being small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        partials.write_partials(events, str(tmp_path), 0, "r")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for kind in partials.SCHEMAS:
+        days = tables.folders(spark, f"{tmp_path}/{kind}")
+        assert len(days) > 5 and all(len(list((tmp_path / kind / d).rglob("*.parquet"))) == 1 for d in days)
