@@ -219,7 +219,7 @@ def _(spark, sf):
     return feed.select("ip", "source", "country_code", "risk_level", "event_time")
 
 
-#: The table as it is loaded: four parts by load time, each one file and so one micro-batch; some rows come a part late.
+#: The table as it is loaded: four parts by load time, each one micro-batch; some rows come a part late.
 ARRIVALS = """,
 ends AS (SELECT min(epoch_us(loaded_at) // 1000000) AS low, max(epoch_us(loaded_at) // 1000000) AS high FROM te),
 arrivals AS (
@@ -235,16 +235,29 @@ def arrivals(spark, sf, late: bool = True) -> DataFrame:
     part = F.floor((second - low) * 4 / F.greatest(high - low, F.lit(1)))
     if late:
         part += (F.col("event_id") % 29 == 3).cast("int")
-    return cut_lineage(events.withColumn("part", F.least(F.lit(3), part).cast("int")), "arrivals")
+    return cut_lineage(events.withColumn("part", F.least(F.lit(3), part).cast("int")), "arrivals", "part")
 
 
-def loaded_in_parts(rows: DataFrame, base: str, start) -> DataFrame:
-    """Load the parts as files; `start` gets the table as a stream, and is stopped and started again after the second."""
+#: Rows of a file that a part is loaded with, about.
+FILE_ROWS = 250_000
+
+
+def loaded_in_parts(rows: DataFrame, base: str, start, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Load the parts as files; `start` gets the table as a stream, and is stopped and started again after the second.
+
+    All parts have the same number of files, as many as the largest needs, so a micro-batch of that many is one part.
+    """
     spark, path = rows.sparkSession, f"{base}/table"
+    largest = rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    files = max(1, -(-largest // file_rows))
     for parts in ((0, 1), (2, 3)):
         for part in parts:
-            rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
-        start(reports.table_stream(spark, path, 1)).awaitTermination()
+            loaded = rows.filter(F.col("part") == part).drop("part")
+            loaded.repartition(files).write.mode("append").parquet(path)
+            # tasks without rows write no file
+            for _ in range(files * (part + 1) - len(tables.scan_events(spark, path).inputFiles())):
+                loaded.limit(0).coalesce(1).write.mode("append").parquet(path)
+        start(reports.table_stream(spark, path, files)).awaitTermination()
     return tables.scan_events(spark, path)
 
 

@@ -4,8 +4,9 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ipvigil.catalog import partial_reports
+from ipvigil.catalog import partial_reports, streams
 from ipvigil.operators import addresses as A
 from ipvigil.operators import counts
 from ipvigil.plans.summary import summary, summary_of_partials
@@ -203,3 +204,19 @@ def test_a_batch_has_one_file_of_partials_per_day(spark, events, tmp_path):
     for kind in partials.SCHEMAS:
         days = tables.folders(spark, f"{tmp_path}/{kind}")
         assert len(days) > 5 and all(len(list((tmp_path / kind / d).rglob("*.parquet"))) == 1 for d in days)
+
+
+def test_parts_are_loaded_in_small_files_and_one_micro_batch_each(spark, tmp_path):
+    sizes = [10, 1, 0, 7]
+    rows = [event(100 * part + i, i) + (part,) for part, n in enumerate(sizes) for i in range(n)]
+    frame = spark.createDataFrame(rows, StructType([*THREAT_EVENTS.fields, StructField("part", IntegerType())]))
+    batches = []
+
+    def start(stream):
+        writer = stream.writeStream.foreachBatch(lambda b, _: batches.append(sorted(r.event_id for r in b.collect())))
+        return writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+
+    table = streams.loaded_in_parts(frame, str(tmp_path), start, file_rows=3)
+    assert batches == [[100 * part + i for i in range(n)] for part, n in enumerate(sizes)]
+    per_file = table.groupBy(F.input_file_name()).count().collect()
+    assert table.count() == sum(sizes) and max(r["count"] for r in per_file) < 10
