@@ -9,8 +9,11 @@ days, so reports read these tables and never the events.
 days; batches of merged days stay for readers at work until `merge_days` is called again.
 """
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,15 @@ def _merged(rows: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def _side_by_side[T](spark: SparkSession, make: Callable[[str], T]) -> list[T]:
+    """What `make` returns for every kind. The kinds need nothing of each other, so one's last tasks leave no cores idle.
+
+    Each thread has its own copy of the caller's job group and other properties; an error is raised once all have ended.
+    """
+    with ThreadPoolExecutor(len(SCHEMAS)) as pool:
+        return [made.result() for made in [pool.submit(inheritable_thread_target(spark)(make), kind) for kind in SCHEMAS]]
+
+
 def write_partials(rows: DataFrame, path: str, batch_id: int, run: str) -> None:
     """Write the partials of one loaded batch (columns of the event table); writing the batch again replaces them.
 
@@ -57,11 +69,14 @@ def write_partials(rows: DataFrame, path: str, batch_id: int, run: str) -> None:
     task and day.
     """
     own = {"run": F.lit(run), "batch_id": F.lit(batch_id).cast("long")}
-    for kind in SCHEMAS:
+
+    def write(kind: str) -> None:
         made = _partial(rows, kind, F.to_date("loaded_at")).withColumns(own).hint("rebalance", "load_date")
         writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("load_date", "run", "batch_id").parquet(f"{path}/{kind}")
 
+    _side_by_side(rows.sparkSession, write)
+
 
 def _finished(spark: SparkSession, path: str, kind: str) -> list[str]:
     """The days before which a merge is committed, ascending."""
@@ -80,19 +95,20 @@ def merge_days(spark: SparkSession, path: str, before: date) -> list[str]:
 
     One job per kind, whose result counts once it is committed. Returns the days that were merged.
     """
-    done: set[str] = set()
-    for kind in SCHEMAS:
+
+    def merge(kind: str) -> list[str]:
         last = max(_finished(spark, path, kind), default="")
         days = [f.removeprefix("load_date=") for f in folders(spark, f"{path}/{kind}")]
         wanted = [d for d in days if last <= d < before.isoformat()]
         if wanted:
             target = f"{path}/{kind}_merged/before={before.isoformat()}"
             _merged(_single(spark, path, kind, wanted), kind).write.mode("overwrite").parquet(target)
-            done.update(wanted)
         for day in days:
             if day < last:
                 remove_folder(spark, f"{path}/{kind}/load_date={day}")
-    return sorted(done)
+        return wanted
+
+    return sorted(set().union(*_side_by_side(spark, merge)))
 
 
 def read_partials(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -107,8 +123,12 @@ def read_partials(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def pairs(addresses: DataFrame) -> DataFrame:
-    """(ip, source, n), as `operators.addresses.source_counts` counts them from events."""
-    return addresses.groupBy("ip", "source").agg(F.sum("n").alias("n"))
+    """(ip, source, n), as `operators.addresses.source_counts` counts them from events.
+
+    Partials are combined already, so they move once, by address, which is how `stats_of` needs them, too. An address has
+    a row per source, open day and batch at most.
+    """
+    return addresses.repartition("ip").groupBy("ip", "source").agg(F.sum("n").alias("n"))
 
 
 def count_by(cells: DataFrame, column: str, name: str = "n") -> DataFrame:

@@ -1,6 +1,7 @@
 """Reports kept by streams and from partials give what the events give, however they are cut, restarted or merged."""
 
 from datetime import date, datetime, timedelta
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,37 @@ def test_parts_are_loaded_in_small_files_and_one_micro_batch_each(spark, tmp_pat
     assert batches == [[100 * part + i for i in range(n)] for part, n in enumerate(sizes)]
     per_file = table.groupBy(F.input_file_name()).count().collect()
     assert table.count() == sum(sizes) and max(r["count"] for r in per_file) < 10
+
+
+def test_partials_of_all_kinds_are_made_at_one_time(spark, events, loaded, monkeypatch):
+    """Each kind's job waits for those of the others, has the caller's properties, and its error reaches the caller."""
+    made, met, seen = {"_partial": partials._partial, "_merged": partials._merged}, Barrier(len(partials.SCHEMAS)), []
+
+    def waiting(name):
+        def make(rows, kind, *rest):
+            met.wait(20)
+            seen.append((name, kind, spark.sparkContext.getLocalProperty("spark.job.description")))
+            return made[name](rows, kind, *rest)
+
+        return make
+
+    for name in made:
+        monkeypatch.setattr(partials, name, waiting(name))
+    spark.sparkContext.setJobDescription("a batch")
+    try:
+        partials.write_partials(events, f"{loaded}-2", 0, "r")
+        merged = partials.merge_days(spark, f"{loaded}-2", date(9999, 1, 1))
+        assert [f"load_date={d}" for d in merged] == tables.folders(spark, f"{loaded}-2/cells")
+        assert sorted(seen) == sorted((name, kind, "a batch") for name in made for kind in partials.SCHEMAS)
+        monkeypatch.setattr(partials, "_partial", lambda rows, kind, day: 1 / (kind != "addresses") and made["_partial"](rows, kind, day))
+        with pytest.raises(ZeroDivisionError):
+            partials.write_partials(events, f"{loaded}-3", 0, "r")
+    finally:
+        spark.sparkContext.setJobDescription(None)
+
+
+def test_pairs_from_partials_move_once(spark, events, loaded):
+    """By address, which serves the figures per address and source and those per address."""
+    found = A.stats_of(partials.pairs(partials.read_partials(spark, loaded, "addresses")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, A.ip_stats(events).collect()))
