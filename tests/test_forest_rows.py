@@ -20,7 +20,7 @@ def many(spark):
     return dataclasses.replace(given, count=5_000_000)
 
 
-@pytest.mark.parametrize("name", ["evaluate", "fit_rf", "importance", "model_registry", "model_report"])
+@pytest.mark.parametrize("name", ["evaluate", "fit_rf", "importance", "model_registry", "model_report", "score_reoffense"])
 def test_a_forest_grows_on_all_rows_of_any_number(spark, monkeypatch, many, name):
     fitted, forest, fit = [], reoffense.random_forest, reoffense.fit
 
